@@ -16,8 +16,9 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct strings that a worker remembers of a kind before it starts afresh.
-REMEMBERED = 500_000
+#: Pieces, and chunks of pieces, that a worker remembers before it forgets those that are out of use.
+PIECES, CHUNKS = 300_000, 150_000
 
 
 class Vocabulary:
@@ -39,7 +40,10 @@ class Vocabulary:
         self._split: dict[int, tuple[int, int] | None] = {}
         self._spines: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
         self._made: dict[int, bool] = {}
-        self._near: dict[int, bool] = {}
+        #: near[left].get(right): whether the two may stand side by side, as far as that has been asked
+        self.near: dict[int, dict[int, bool]] = defaultdict(dict)
+        #: every end of a token: its own id if it is a token, else -1
+        self.endings = {t[i:]: -1 for t in ranks for i in range(len(t))} | ranks
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -87,12 +91,9 @@ class Vocabulary:
         the pair across the border would be merged first. Of equal ranks the leftmost goes first: one inside
         ``left`` goes before the pair, the pair goes before one inside ``right``.
         """
-        key = left << 32 | right
-        known = self._near.get(key)
+        known = self.near[left].get(right)
         if known is None:
-            known = self._near[key] = self._apart(left, right)
-            if len(self._near) > 4_000_000:
-                self._near.clear()
+            known = self.near[left][right] = self._apart(left, right)
         return known
 
     def _apart(self, left: int, right: int) -> bool:
@@ -126,24 +127,27 @@ class Piece:
         self._extend(len(self.data))
 
     def _extend(self, stop: int) -> None:
-        """Fill in the last tokens of the prefixes up to ``stop`` bytes."""
+        """Fill in the last tokens of the prefixes up to ``stop`` bytes.
+
+        Looks at the byte strings that end there from the shortest on, for as long as one is the end of any token.
+        """
         v, data, last = self.v, self.data, self.last
-        rank, near, longest = v.ranks.get, v._near.get, v.longest
+        ending, near, made = v.endings.get, v.near, v.made
         for end in range(len(last) + 1, stop + 1):
-            for start in range(max(0, end - longest), end):
-                token = rank(data[start:end])
+            for start in range(end - 1, -1, -1):
+                token = ending(data[start:end])
                 if token is None:
+                    raise ValueError(f"no token ends at byte {end}; the vocabulary lacks single bytes")
+                if token < 0:
                     continue
                 if start:
                     before = last[start - 1]
-                    fits = near(before << 32 | token)
+                    fits = near[before].get(token)
                     if not (v.adjacent(before, token) if fits is None else fits):
                         continue
-                if v.made(token):
+                if made(token):
                     last.append(token)
                     break
-            else:
-                raise ValueError(f"no token ends at byte {end}; the vocabulary lacks single bytes")
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` in place of data[start:stop]; returns how many prefixes were computed again."""
@@ -178,15 +182,17 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class _Memory(dict):
-    """Remembers what ``make`` gives for a string, for a bounded number of strings."""
+    """Remembers what ``make`` gives for a string, for a bounded number of strings; those in use stay."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, most, {}
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        made = self[key] = self.make(key)
+        made = self.older.get(key)
+        made = self[key] = self.make(key) if made is None else made
         return made
 
 
@@ -196,7 +202,7 @@ _UNCLEAR = re.compile(r"\s \s|\s \Z")
 
 @functools.cache
 def _encoder(path: str, pattern: str):
-    """ids of one text, by pieces and, where that is safe, by chunks of pieces that are remembered together.
+    """ids of one text as 32-bit integers, by pieces and, where that is safe, by chunks of pieces that are remembered together.
 
     With the splitting pattern of byte-level vocabularies a space before a visible character always starts a piece,
     so a text may be cut before its single spaces and the chunks encoded by themselves.
@@ -204,10 +210,10 @@ def _encoder(path: str, pattern: str):
     import regex
 
     find = regex.compile(pattern).findall
-    pieces = _Memory(lambda piece: encode_piece(vocabulary(path), piece.encode()))
-    chunks = _Memory(lambda chunk: tuple(chain.from_iterable([pieces[p] for p in find(chunk)])))
+    pieces = _Memory(lambda piece: array("i", encode_piece(vocabulary(path), piece.encode())).tobytes(), PIECES)
+    chunks = _Memory(lambda chunk: b"".join([pieces[p] for p in find(chunk)]), CHUNKS)
 
-    def ids(text: str) -> list[tuple[int, ...]]:
+    def ids(text: str) -> list[bytes]:
         if _UNCLEAR.search(text):
             return [pieces[p] for p in find(text)]
         first, *rest = text.split(" ")
@@ -219,7 +225,7 @@ def _encoder(path: str, pattern: str):
 def encode_texts(texts: Iterable[str | None], path: str, pattern: str) -> Iterator[np.ndarray]:
     ids = _encoder(path, pattern)
     for text in texts:
-        yield np.fromiter(chain.from_iterable(ids(text)), np.int32) if text else np.empty(0, np.int32)
+        yield np.frombuffer(b"".join(ids(text)) if text else b"", np.int32)
 
 
 def encode(
@@ -247,14 +253,12 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", rows_per_batch:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        tokens = pa.array([v.tokens.get(i) for i in range(max(v.tokens) + 1)], pa.large_binary())
+        token = v.tokens.__getitem__
         for whole in batches:
             for start in range(0, whole.num_rows, rows_per_batch):
                 part = whole.slice(start, rows_per_batch)
                 ids = pc.fill_null(part.column(names.index(ids_col)), pa.scalar([], pa.list_(pa.int32())))
-                flat = tokens.take(ids.flatten()).to_pylist()
-                ends = np.cumsum([0, *pc.list_value_length(ids).to_pylist()])
-                out = [b"".join(flat[a:b]) for a, b in zip(ends, ends[1:])]
+                out = [b"".join(map(token, one)) for one in ids.to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=names)
 
     return encoded.drop("decoded").mapInArrow(run, schema)

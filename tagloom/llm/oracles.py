@@ -1,5 +1,7 @@
 """DuckDB SQL for the operator queries that SQL can express."""
 
+from .licenses import TEMPLATES, key_position
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 OP10 = rf"""
@@ -34,4 +36,70 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
-ORACLE_SQL = {"op10_quality": OP10}
+
+
+def _licences() -> str:
+    """Every template against every place: places with enough equal words and all words of the key phrase."""
+    rows = []
+    for k, t in enumerate(TEMPLATES):
+        at, n = key_position(t), len(t.key.split())
+        for i, w in enumerate(t.text.split()):
+            in_key = "true" if at <= i < at + n else "false"
+            rows.append(f"({k}, '{t.label}', {i}, '{w}', {in_key}, {len(t.text.split())}, {n}, {t.limit}, {str(t.base).lower()})")
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT r, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS w FROM d),
+t(k, label, pos, w, in_key, n, n_key, least, base) AS (VALUES {", ".join(rows)}),
+p AS (SELECT r, k, label, base, i - pos AS start, count(*) / n::DOUBLE AS share
+      FROM w JOIN t USING (w) WHERE i >= pos GROUP BY r, k, label, base, i - pos, n, n_key, least
+      HAVING count(*) FILTER (WHERE in_key) = n_key AND count(*) / n::DOUBLE >= least),
+a AS (SELECT r, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word,
+             max(start) FILTER (WHERE base) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+             string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+      FROM p GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN a USING (r)
+"""
+
+
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN.format("text")} AS ws FROM documents),
+b AS (SELECT item_id, {_PLAIN.format("text")} AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[i:i + 12], ' ') AS g
+       FROM b, range(1, greatest(len(ws) - 12, 1) + 1) AS x(i) WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT r, i, n, array_to_string(ws[i:i + n - 1], ' ') AS g
+       FROM d, sizes, range(1, greatest(len(ws) - n + 1, 0) + 1) AS x(i)),
+m AS (SELECT r, i, dw.n, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
+hit AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM m, range(13) AS y(k) WHERE k < n GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
+          FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM m) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+#: Shingle sets, all pairs that share a shingle, and components by repeated spreading of the smallest id.
+OP2 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '{_WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g
+      FROM d, range(1, greatest(len(ws) - 3, 1) + 1) AS x(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+"""
+
+ORACLE_SQL = {"op2_minhash": OP2, "op5_licenses": _licences(), "op6_decontaminate": OP6, "op10_quality": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality
+from . import bpe, decontaminate, html, licenses, minhash, quality
 from .common import table
 
 #: Name of the rank file among the public vocabularies.
@@ -19,11 +19,28 @@ def tokenizer(name: str = RANK_FILE) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, threshold=0.8)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labelled(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.ledger(table(spark, sf_dir, "documents"))
     return found.select(
@@ -36,6 +53,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": op1_html,
+    "op2_minhash": op2_minhash,
+    "op5_licenses": op5_licenses,
+    "op6_decontaminate": op6_decontaminate,
     "op4_bpe": op4_bpe,
     "op10_quality": op10_quality,
 }
