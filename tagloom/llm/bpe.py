@@ -264,11 +264,12 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", rows_per_batch:
     return encoded.drop("decoded").mapInArrow(run, schema)
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, n_tokens, ids_sha256 and decoded_sha256."""
+def digests(decoded: DataFrame, id_col: str = "doc_id", also: list[str] = ()) -> DataFrame:
+    """id, n_tokens, ids_sha256 and decoded_sha256, and the columns named in ``also``."""
     return decoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *also,
     )

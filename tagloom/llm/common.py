@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,35 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def struct_of(fn: Callable[[tuple], tuple], schema: str) -> Callable[..., Column]:
+    """A function of columns that gives the fields of ``schema``: for where all columns of a row stay beside it.
+
+    Works on Arrow batches; only the columns it is called with reach Python.
+    """
+    fields = arrow_schema(schema)
+
+    def rows(columns: list) -> pa.StructArray:
+        made = list(zip(*(fn(*row) for row in zip(*(c.to_pylist() for c in columns)))))
+        made = made or [[]] * len(fields)
+        return pa.StructArray.from_arrays([pa.array(list(v), f.type) for v, f in zip(made, fields)], fields=list(fields))
+
+    def one(a: pa.Array) -> pa.Array:
+        return rows([a])
+
+    def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return rows([a, b, c])
+
+    calls = {1: F.arrow_udf(one, schema), 3: F.arrow_udf(three, schema)}
+    return lambda *columns: calls[len(columns)](*columns)
+
+
 def map_texts(
     df: DataFrame,
     columns: list[str],
@@ -49,11 +78,7 @@ def map_texts(
     Only the named columns reach Python, so further columns (whatever their names) are neither read nor carried.
     Batches are cut to ``rows_per_batch`` rows so that memory follows the texts in hand, not the partition.
     """
-    arrow = pa.schema([])
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -68,6 +93,6 @@ def map_texts(
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def ascii_lower(column) -> F.Column:
+def ascii_lower(column: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

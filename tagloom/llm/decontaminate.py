@@ -7,7 +7,7 @@ original text.
 
 The items are a query set. They are taken in blocks of a fixed number of bytes, one automaton and one broadcast for
 each, so that no broadcast grows with the benchmark; one block holds any usual benchmark and then each text is read
-once. With more blocks the texts are scanned once per block and the findings of a document are united.
+once. With more blocks a text is scanned once per block and its findings are united within its row.
 
 Defined results: null or empty texts have no words and are not contaminated; items without words are ignored; repeated
 items count by their id; repeated documents get a row each; other columns are ignored; an empty table on either side
@@ -19,10 +19,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import struct_of
 
 WINDOW = 13
 #: Bytes of item text in one automaton; about a hundred times that in memory.
@@ -129,55 +129,46 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int =
 def matches(
     docs: DataFrame,
     items: DataFrame,
-    id_col: str = "doc_id",
     text_col: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """id, n_words, ``runs`` (hit words as runs) and ``items`` (ids of items with occurring windows, as sorted strings)."""
+    """All rows and columns with n_words, ``runs`` (hit words as runs) and ``items`` (ids of items with occurring windows,
+    as sorted strings); columns of these names are replaced."""
     sc = docs.sparkSession.sparkContext
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, n_words long, runs array<struct<first:long,end:long>>, items array<string>"
-    parts = []
+    schema = "n_words long, runs array<struct<first:long,end:long>>, items array<string>"
+    found = []
     for block in item_blocks(items, item_id, item_text, block_bytes):
         held = _Items(sc.broadcast(block))
 
-        def find(i, text, held=held):
+        def find(text, held=held):
             n, runs, ids = scan(held.automaton(), text)
-            return i, n, [{"first": a, "end": b} for a, b in runs], sorted(map(str, ids))
-
-        parts.append((find, held))
-    if len(parts) == 1:
-        return map_texts(docs, [id_col, text_col], parts[0][0], schema)
-    keyed = written(docs.select(F.monotonically_increasing_id().alias("row"), id_col, text_col))
-    found = None
-    for find, _ in parts:
-        one = map_texts(
-            keyed, ["row", id_col, text_col], lambda r, i, text, find=find: (r, *find(i, text)), f"row long, {schema}"
-        )
-        found = one if found is None else found.unionByName(one)
-    return found.groupBy("row").agg(
-        F.first(id_col).alias(id_col),
-        F.first("n_words").alias("n_words"),
-        F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    ).select(id_col, "n_words", _united("runs").alias("runs"), "items")
+            return n, [{"first": a, "end": b} for a, b in runs], sorted(map(str, ids))
+
+        found.append(struct_of(find, schema)(F.col(text_col)))
+    names = [f"_found{k}" for k in range(len(found))]
+    rows = docs.drop("n_words", "runs", "items").select(F.struct("*").alias("_row"), *map(Column.alias, found, names))
+    if len(found) == 1:
+        return rows.select("_row.*", "_found0.*")
+    runs = _united(F.array_sort(F.concat(*[F.col(n)["runs"] for n in names])))
+    ids = F.array_sort(F.array_distinct(F.concat(*[F.col(n)["items"] for n in names])))
+    return rows.select("_row.*", F.col("_found0.n_words").alias("n_words"), runs.alias("runs"), ids.alias("items"))
 
 
-def _united(runs: str) -> F.Column:
+def _united(runs: Column) -> Column:
     """Sorted runs with overlapping and touching ones made one."""
     empty = F.array().cast("array<struct<first:bigint,end:bigint>>")
 
     def add(out, run):
-        last = F.element_at(out, -1)
+        last = F.try_element_at(out, F.lit(-1))
         joined = F.struct(last["first"].alias("first"), F.greatest(last["end"], run["end"]).alias("end"))
-        touches = (F.size(out) > 0) & (run["first"] <= F.try_element_at(out, F.lit(-1))["end"])
+        touches = F.coalesce(run["first"] <= last["end"], F.lit(False))
         return F.when(touches, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(joined))).otherwise(
             F.concat(out, F.array(run))
         )
 
-    return F.aggregate(F.col(runs), empty, add)
+    return F.aggregate(runs, empty, add)
 
 
 def judged(found: DataFrame) -> DataFrame:

@@ -278,5 +278,5 @@ def near_duplicates(
             F.col("n").alias("n_shingles"),
             F.coalesce("least", "class_doc", "doc").alias("component_id"),
         )
-        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
     )

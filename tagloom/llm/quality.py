@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, struct_of
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -93,10 +93,22 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     measured = map_texts(
         docs, [id_col, text_col], lambda i, text: (i, *measure(text)), f"`{id_col}` {id_type}, {MEASURES}"
     )
+    return measured.withColumn("fail_bits", fail_bits())
+
+
+def fail_bits() -> Column:
+    """One number with a bit for every rule, from the measurements."""
     bits = F.lit(0).cast("long")
     for rule in rules():
         bits = bits + F.when(rule.fails, F.lit(1 << rule.bit)).otherwise(0)
-    return measured.withColumn("fail_bits", bits)
+    return bits
+
+
+def passing(docs: DataFrame, policy: str, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that no rule of the policy rejects."""
+    row = docs.select(F.struct(*docs.columns).alias("row"), struct_of(measure, MEASURES)(F.col(text_col)).alias("m"))
+    judged = row.select("row", "m.*").withColumn("fail_bits", fail_bits())
+    return judged.where(verdict(policy)).select("row.*")
 
 
 def mask(policy: str) -> int:

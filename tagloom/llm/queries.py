@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, licenses, minhash, quality
+from . import bpe, decontaminate, html, katz, licenses, minhash, quality, sharding, suffixes, token_counts
 from .common import table
 
 #: Name of the rank file among the public vocabularies.
@@ -27,6 +27,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, threshold=0.8)
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path))
@@ -41,6 +45,23 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+#: Names of the shards that documents are placed on.
+SHARDS = [f"shard-{k:03d}" for k in range(256)]
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(table(spark, sf_dir, "documents"), "doc_id", SHARDS)
+    return placed.select("doc_id", "slot", "shard")
+
+
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"), *tokenizer())
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.ledger(table(spark, sf_dir, "documents"))
     return found.select(
@@ -55,8 +76,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html": op1_html,
     "op2_minhash": op2_minhash,
+    "op3_katz": op3_katz,
+    "op4_bpe": op4_bpe,
     "op5_licenses": op5_licenses,
     "op6_decontaminate": op6_decontaminate,
-    "op4_bpe": op4_bpe,
+    "op7_sharding": op7_sharding,
+    "op8_suffixes": op8_suffixes,
+    "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }
