@@ -1 +1,363 @@
-ORACLE_SQL = {}
+"""DuckDB SQL for the registered queries: the same tables as common table expressions, written independently in SQL."""
+
+from __future__ import annotations
+
+import re
+
+from ..bridge import LIMITS, PAGE_KEYS, PAGE_VALUES
+
+
+def _list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_T4 = "count(*) AS count_all, count(*) FILTER (WHERE otype='n') AS count_nodes, count(*) FILTER (WHERE otype='w') AS count_ways, count(*) FILTER (WHERE otype='r') AS count_relations"
+_M4 = _T4.replace("otype", "mtype")
+
+TABLES = {
+    "object_tags": """
+      SELECT 'n' AS otype, o_orderkey AS oid, o_custkey AS uid, 'status' AS key, o_orderstatus AS value FROM orders
+      UNION ALL SELECT 'n', o_orderkey, o_custkey, 'priority', o_orderpriority FROM orders
+      UNION ALL SELECT 'n', o_orderkey, o_custkey, 'year', year(o_orderdate)::VARCHAR FROM orders
+      UNION ALL SELECT 'n', o_orderkey, o_custkey, 'urgent', 'yes' FROM orders WHERE o_orderpriority='1-URGENT'
+      UNION ALL SELECT 'w', p_partkey, p_size::BIGINT, 'brand', p_brand FROM part
+      UNION ALL SELECT 'w', p_partkey, p_size::BIGINT, 'type', p_type FROM part
+      UNION ALL SELECT 'w', p_partkey, p_size::BIGINT, 'size', p_size::VARCHAR FROM part
+      UNION ALL SELECT 'w', p_partkey, p_size::BIGINT, p_name, p_brand FROM part
+      UNION ALL SELECT 'r', c_custkey, c_nationkey::BIGINT, 'type', c_mktsegment FROM customer
+      UNION ALL SELECT 'r', c_custkey, c_nationkey::BIGINT, 'nation:code', c_nationkey::VARCHAR FROM customer""",
+    "plain_tags": f"SELECT key, value, {_T4} FROM object_tags GROUP BY key, value",
+    "key_users": "SELECT key, count(DISTINCT uid) AS users_all FROM object_tags GROUP BY key",
+    "key_stats": """SELECT key, sum(count_all)::BIGINT AS count_all, sum(count_nodes)::BIGINT AS count_nodes, sum(count_ways)::BIGINT AS count_ways,
+      sum(count_relations)::BIGINT AS count_relations, count(*) AS values_all, count(*) FILTER (WHERE count_nodes>0) AS values_nodes,
+      count(*) FILTER (WHERE count_ways>0) AS values_ways, count(*) FILTER (WHERE count_relations>0) AS values_relations FROM plain_tags GROUP BY key""",
+    "plain_keys": r"""SELECT *, CASE WHEN count_all > 100 AND characters IN ('plain','colon','letters') OR key LIKE '%name:%-%' OR count_all > 1000 THEN 'g'
+        WHEN characters IN ('space','problem') OR count_all < 10 AND characters='rest' OR length(key) < 3 THEN 'b' ELSE 'u' END AS grade
+      FROM (SELECT s.*, users_all, CASE WHEN regexp_matches(s.key, '^[a-z]([a-z_]*[a-z])?$') THEN 'plain'
+        WHEN regexp_matches(s.key, '^[a-z][a-z_:]*[a-z]$') THEN 'colon'
+        WHEN regexp_matches(s.key, '^[\p{L}\p{M}]([\p{L}\p{M}\p{N}_:]*[\p{L}\p{M}\p{N}])?$') THEN 'letters'
+        WHEN regexp_matches(s.key, '\p{Z}') THEN 'space'
+        WHEN regexp_matches(s.key, '[=+/&<>;@''"?%#\\,\p{C}]') THEN 'problem' ELSE 'rest' END AS characters
+        FROM key_stats s JOIN key_users USING (key))""",
+    "key_combinations": f"SELECT a.key AS key1, b.key AS key2, {_T4.replace('otype', 'a.otype')} FROM object_tags a JOIN object_tags b ON a.otype=b.otype AND a.oid=b.oid AND a.key<b.key GROUP BY a.key, b.key",
+    "interesting_tags": f"SELECT key, '' AS value FROM key_stats WHERE count_all > {LIMITS['tags']} UNION SELECT key, value FROM plain_tags WHERE count_all > {LIMITS['tags']}",
+    "frequent_tags": f"SELECT key, value FROM plain_tags WHERE count_all > {LIMITS['map']}",
+    "interesting_rtypes": f"SELECT value AS rtype FROM plain_tags WHERE key='type' AND count_relations > {LIMITS['relations']}",
+    "items": """SELECT otype, oid, key, value FROM object_tags JOIN interesting_tags USING (key, value)
+      UNION SELECT otype, oid, o.key, '' FROM object_tags o JOIN interesting_tags i ON o.key=i.key AND i.value=''""",
+    "tag_combinations": f"""SELECT a.key AS key1, a.value AS value1, b.key AS key2, b.value AS value2, {_T4.replace('otype', 'a.otype')} FROM items a JOIN items b
+      ON a.otype=b.otype AND a.oid=b.oid AND a.key<b.key AND (a.value<>'' OR b.value<>'') GROUP BY ALL HAVING count(*) >= {LIMITS['combinations']}""",
+    "members": """SELECT c_custkey AS oid, c_mktsegment AS rtype, CASE o_orderstatus WHEN 'O' THEN 'n' WHEN 'F' THEN 'w' ELSE 'r' END AS mtype,
+      o_orderpriority AS role FROM customer JOIN orders ON o_custkey=c_custkey""",
+    "plain_relation_types": """SELECT rtype, count, members_all, members_nodes, members_ways, members_relations FROM
+      (SELECT c_mktsegment AS rtype, count(*) AS count FROM customer GROUP BY 1) LEFT JOIN (SELECT rtype, count(*) AS members_all,
+      count(*) FILTER (WHERE mtype='n') AS members_nodes, count(*) FILTER (WHERE mtype='w') AS members_ways, count(*) FILTER (WHERE mtype='r') AS members_relations
+      FROM members GROUP BY rtype) USING (rtype)""",
+    "relation_types": """SELECT * FROM plain_relation_types UNION ALL SELECT value, count_relations, NULL, NULL, NULL, NULL FROM plain_tags
+      WHERE key='type' AND count_relations>0 AND value NOT IN (SELECT rtype FROM plain_relation_types)""",
+    "relation_roles": f"SELECT rtype, role, {_M4} FROM members GROUP BY rtype, role",
+    "prevalent_values": """SELECT t.key, t.value, t.count_all AS count, t.count_all / k.count_all::DOUBLE AS fraction FROM plain_tags t JOIN key_stats k USING (key)
+      WHERE t.count_all > k.count_all / 100.0""",
+    "prevalent_roles": "SELECT rtype, role, count_all AS count, round(count_all / members_all::DOUBLE, 4) AS fraction FROM relation_types JOIN relation_roles USING (rtype) WHERE count_all > members_all / 100.0",
+    "cells": """SELECT o_orderkey AS oid, least(floor((lon + 180) / 360 * 360), 359)::INT AS x, least(floor((90 - lat) / 180 * 180), 179)::INT AS y FROM
+      (SELECT o_orderkey, (o_custkey * 7919 + o_orderkey * 31) % 36000 / 100.0::DOUBLE - 180 AS lon, (o_orderkey * 104729 + o_custkey) % 18000 / 100.0::DOUBLE - 90 AS lat FROM orders)""",
+    "way_cells": "SELECT DISTINCT p_partkey AS oid, x, y FROM part JOIN cells c ON c.oid IN (p_partkey, p_partkey + 32)",
+    "grid_rows": "SELECT otype AS object_type, key, value, x, y FROM object_tags JOIN cells USING (oid) WHERE otype='n' UNION ALL SELECT otype, key, value, x, y FROM object_tags JOIN way_cells USING (oid) WHERE otype='w'",
+    "key_grid": "SELECT key, object_type, x, y, count(*) AS count FROM grid_rows GROUP BY ALL",
+    "tag_grid": "SELECT key, value, object_type, x, y, count(*) AS count FROM grid_rows JOIN frequent_tags USING (key, value) GROUP BY ALL",
+    "similar_keys": """SELECT a.key AS key1, b.key AS key2, a.count_all AS count_all1, b.count_all AS count_all2, levenshtein(lower(a.key), lower(b.key))::INT AS similarity
+      FROM key_stats a JOIN key_stats b ON a.key<b.key WHERE levenshtein(lower(a.key), lower(b.key)) <= 2""",
+    "common_rare": f"""SELECT * FROM (SELECT key1 AS key_common, key2 AS key_rare, count_all1 AS count_all_common, count_all2 AS count_all_rare, similarity FROM similar_keys
+      UNION ALL SELECT key2, key1, count_all2, count_all1, similarity FROM similar_keys) WHERE count_all_common >= {LIMITS['common'] // 10} AND count_all_rare BETWEEN 1 AND {LIMITS['rare']}""",
+    "history": """SELECT ['n','w','r'][user_id % 3 + 1] AS otype, user_id AS oid, event_id AS version, event_id % 11 <> 0 AS visible, ts, event_type AS key,
+      coalesce(floor(value / 50)::INT::VARCHAR, 'none') AS value FROM events""",
+    "changes": """SELECT *, lag(CASE WHEN visible THEN key END) OVER w AS old_key, lag(CASE WHEN visible THEN value END) OVER w AS old_value,
+      CASE WHEN visible THEN key END AS new_key, CASE WHEN visible THEN value END AS new_value FROM history WINDOW w AS (PARTITION BY otype, oid ORDER BY version)""",
+    "key_steps": """SELECT otype, ts::DATE AS date, new_key AS key, 1 AS step FROM changes WHERE new_key IS NOT NULL AND old_key IS DISTINCT FROM new_key
+      UNION ALL SELECT otype, ts::DATE, old_key, -1 FROM changes WHERE old_key IS NOT NULL AND old_key IS DISTINCT FROM new_key""",
+    "tag_steps": """SELECT otype, ts::DATE AS date, new_key AS key, new_value AS value, 1 AS step FROM changes WHERE new_key IS NOT NULL AND (old_key IS DISTINCT FROM new_key OR old_value IS DISTINCT FROM new_value)
+      UNION ALL SELECT otype, ts::DATE, old_key, old_value, -1 FROM changes WHERE old_key IS NOT NULL AND (old_key IS DISTINCT FROM new_key OR old_value IS DISTINCT FROM new_value)""",
+}
+for _n, _by in (("key", "key"), ("tag", "key, value")):
+    TABLES[f"{_n}_chronology"] = f"""SELECT * FROM (SELECT {_by}, date, coalesce(sum(step) FILTER (WHERE otype='n'), 0)::BIGINT AS nodes, coalesce(sum(step) FILTER (WHERE otype='w'), 0)::BIGINT AS ways,
+      coalesce(sum(step) FILTER (WHERE otype='r'), 0)::BIGINT AS relations FROM {_n}_steps GROUP BY {_by}, date) WHERE nodes<>0 OR ways<>0 OR relations<>0"""
+TABLES |= {
+    "wikipages": f"""SELECT *, CASE WHEN type='redirect' THEN 'r' WHEN NOT has_templ THEN 'p' WHEN parsed THEN 't' ELSE 'e' END AS status FROM (
+      SELECT lang, {_list(PAGE_KEYS)}[doc_id % 8 + 1] AS key, CASE WHEN (doc_id // 8) % 2 = 1 THEN {_list(PAGE_VALUES)}[doc_id % 8 + 1] END AS value,
+      'page ' || doc_id AS title, text AS body, substr(text, 1, 20) AS description, CASE WHEN doc_id % 17 = 0 THEN 'redirect' ELSE 'page' END AS type, doc_id % 3 <> 0 AS has_templ,
+      doc_id % 5 <> 0 AS parsed, CASE WHEN doc_id % 4 = 0 THEN 'File:i' || doc_id % 40 END AS image, doc_id % 2 = 0 AS on_node, doc_id % 3 = 0 AS on_way, false AS on_area, false AS on_relation,
+      CASE WHEN toxic=1 THEN 'deprecated' WHEN quality=1 THEN 'approved' WHEN quality=0 THEN 'proposed' END AS approval_status FROM documents LEFT JOIN labels USING (doc_id))""",
+    "relation_pages": "SELECT *, coalesce(value, 'AUTOMOBILE') AS rtype FROM wikipages WHERE key='type'",
+    "wiki_images": "SELECT image, (n + 1) * 25 AS width, (n % 7 + 1) * 60 AS height, n * 1000000 AS size FROM (SELECT DISTINCT image, substr(image, 7)::INT AS n FROM wikipages WHERE image IS NOT NULL)",
+    "wikipages_keys": "SELECT key, count(*) AS lang_count, CASE WHEN count(DISTINCT approval_status)<=1 THEN max(approval_status) END AS approval_status FROM wikipages WHERE value IS NULL GROUP BY key",
+    "wikipages_tags": "SELECT key, value, count(*) AS lang_count, CASE WHEN count(DISTINCT approval_status)<=1 THEN max(approval_status) END AS approval_status FROM wikipages WHERE value IS NOT NULL AND value<>'*' GROUP BY key, value",
+    "inconsistent_keys": "SELECT DISTINCT a.key FROM wikipages a JOIN wikipages b ON a.key=b.key AND a.value IS NULL AND b.value IS NULL AND a.approval_status<>b.approval_status",
+    "inconsistent_tags": "SELECT DISTINCT a.key, a.value FROM wikipages a JOIN wikipages b ON a.key=b.key AND a.value=b.value AND a.approval_status<>b.approval_status",
+    "words": r"""SELECT key, value, string_agg(DISTINCT word, ',' ORDER BY word) AS words FROM (SELECT *, count(*) OVER (PARTITION BY word) AS n FROM (
+      SELECT key, coalesce(value, '') AS value, lower(w) AS word FROM (SELECT key, value, unnest(list_distinct(regexp_extract_all(body, '[A-Za-z0-9_]+'))) AS w FROM wikipages)
+      WHERE length(w) > 2 AND NOT regexp_matches(w, '[0-9]'))) WHERE n < 10 GROUP BY key, value""",
+    "problems": "SELECT 'page content' AS location, 'parsing failed' AS reason, title, lang, key, value, NULL::VARCHAR AS info FROM wikipages WHERE status='e'",
+    "projects": """SELECT s_name AS id, s_name AS name, CASE s_suppkey % 10 WHEN 0 THEN 'FETCH ERROR' WHEN 1 THEN 'PARSE_ERROR' ELSE 'OK' END AS status,
+      CASE WHEN s_suppkey % 3 = 0 THEN 'x' END AS icon_url FROM supplier""",
+    "project_tags": """SELECT s_name AS project_id, CASE l_returnflag WHEN 'R' THEN 'brand' ELSE 'type' END AS key, CASE l_returnflag WHEN 'R' THEN p_brand END AS value,
+      bool_or(l_linestatus='O') AS on_node, bool_or(l_linestatus='F') AS on_way, bool_or(l_linestatus='F') AS on_relation, bool_and(l_linestatus='O') AS on_area
+      FROM lineitem JOIN part ON l_partkey=p_partkey JOIN supplier ON l_suppkey=s_suppkey WHERE l_returnflag IN ('R','A') GROUP BY ALL""",
+    "unique_keys": """SELECT key, count(DISTINCT project_id) AS projects, coalesce(any_value(lang_count), 0) AS in_wiki, coalesce(any_value(count_all), 0)::BIGINT AS count_all
+      FROM project_tags LEFT JOIN (SELECT key, lang_count FROM wikipages_keys) USING (key) LEFT JOIN (SELECT key, count_all FROM key_stats) USING (key) GROUP BY key""",
+    "unique_tags": """SELECT key, value, count(DISTINCT project_id) AS projects, coalesce(any_value(lang_count), 0) AS in_wiki, coalesce(any_value(count_all), 0) AS count_all
+      FROM project_tags LEFT JOIN (SELECT key, value, lang_count FROM wikipages_tags) USING (key, value) LEFT JOIN (SELECT key, value, count_all FROM plain_tags) USING (key, value) WHERE value IS NOT NULL GROUP BY key, value""",
+    "discardable": f"SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN 'id' ELSE 'josm' END AS source, {_list(PAGE_KEYS)}[n_nationkey % 8 + 1] AS key FROM nation WHERE n_regionkey < 2",
+    "every_key": "SELECT * FROM plain_keys UNION ALL BY NAME SELECT DISTINCT key, 0 AS count_all, 0 AS count_nodes, 0 AS count_ways, 0 AS count_relations, 0 AS values_all, 0 AS users_all FROM wikipages WHERE key NOT IN (SELECT key FROM plain_keys)",
+    "keys": """SELECT k.*, k.key IN (SELECT key FROM wikipages WHERE value IS NULL) AS in_wiki, k.key IN (SELECT key FROM wikipages WHERE value IS NULL AND lang='en') AS in_wiki_en, projects
+      FROM every_key k LEFT JOIN (SELECT key, projects FROM unique_keys) USING (key)""",
+    "tags": """SELECT t.*, EXISTS (SELECT 1 FROM wikipages w WHERE w.key=t.key AND w.value=t.value AND w.value<>'*') AS in_wiki,
+      EXISTS (SELECT 1 FROM wikipages w WHERE w.key=t.key AND w.value=t.value AND w.value<>'*' AND lang='en') AS in_wiki_en FROM plain_tags t""",
+    "top_tags": """SELECT skey, svalue, count_all, count_nodes, count_ways, count_relations, coalesce(in_wiki, false) AS in_wiki, coalesce(in_wiki_en, false) AS in_wiki_en, projects FROM
+      (SELECT key1 AS skey, value1 AS svalue FROM tag_combinations WHERE value1<>'' UNION SELECT key2, value2 FROM tag_combinations WHERE value2<>'')
+      LEFT JOIN tags ON key=skey AND value=svalue LEFT JOIN (SELECT key AS k, value AS v, projects FROM unique_tags) ON k=skey AND v=svalue""",
+    "popular": f"""SELECT key, count_all AS count, users_all AS users, (SELECT count(*) FROM wikipages w WHERE w.key=k.key) AS wikipages, k.key IN (SELECT key FROM wikipages) AS in_wiki,
+      k.key IN (SELECT key FROM wikipages WHERE lang='en') AS in_wiki_en FROM plain_keys k WHERE count_all > {LIMITS['popular']}""",
+    "popular_meta": "SELECT count(*) AS keys, min(count) AS count_min, max(count) AS count_max, max(count)-min(count) AS count_delta, min(users) AS users_min, max(users) AS users_max, max(users)-min(users) AS users_delta FROM popular",
+    "popular_scores": """SELECT key, count, 10 * (count - count_min) / nullif(count_delta, 0)::DOUBLE + 8 * (users - users_min) / nullif(users_delta, 0)::DOUBLE
+      + 2 * wikipages / (SELECT nullif(max(wikipages), 0) FROM popular)::DOUBLE + 2 * (key NOT LIKE '%:%')::INT AS scale1 FROM popular, popular_meta""",
+    "suggestions": f"""SELECT *, count * (1 + in_wiki::INT * 9) AS score FROM (SELECT key, NULL AS value, count_all AS count, in_wiki FROM keys WHERE count_all >= {LIMITS['suggest']} OR in_wiki AND count_all >= 100
+      UNION SELECT p.key, p.value, p.count, w.key IS NOT NULL FROM prevalent_values p LEFT JOIN (SELECT DISTINCT key, value FROM wikipages WHERE value IS NOT NULL) w ON p.key=w.key AND p.value=w.value
+      WHERE (p.count>=1000 OR w.key IS NOT NULL AND p.count>=100) AND p.fraction>0.01 AND coalesce(try_cast(regexp_extract(p.value, '^\\s*([+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?)', 1) AS DOUBLE), 0)=0 AND length(p.value)<=20)""",
+    "languages": """SELECT code, english_name, native_name, (SELECT count(DISTINCT key) FROM wikipages WHERE lang=code AND value IS NULL) AS wiki_key_pages,
+      (SELECT count(DISTINCT (key, value)) FROM wikipages WHERE lang=code AND value IS NOT NULL) AS wiki_tag_pages FROM
+      (SELECT DISTINCT lang AS code, CASE WHEN lang IN ('en','de','fr') THEN 'language ' || lang END AS english_name, CASE WHEN lang IN ('en','de','fr') THEN upper(lang) END AS native_name FROM documents WHERE lang IS NOT NULL)""",
+    "totals": """SELECT count(DISTINCT (otype, oid)) AS t_all, count(DISTINCT oid) FILTER (WHERE otype='n') AS t_nodes, count(DISTINCT oid) FILTER (WHERE otype='w') AS t_ways,
+      count(DISTINCT oid) FILTER (WHERE otype='r') AS t_relations FROM object_tags""",
+    "search_index": r"""SELECT field, u.t AS token, (u.i - 1)::INT AS pos, key, value, count_all FROM (
+      SELECT 'key' AS field, key, value, count_all, list_filter(regexp_split_to_array(lower(key), '[^\p{L}\p{N}]+'), lambda x: x<>'') AS ts FROM plain_tags
+      UNION ALL SELECT 'value', key, value, count_all, list_filter(regexp_split_to_array(lower(value), '[^\p{L}\p{N}]+'), lambda x: x<>'') FROM plain_tags),
+      LATERAL (SELECT unnest(ts) AS t, generate_subscripts(ts, 1) AS i) u""",
+}
+_C4 = "count_all, count_nodes, count_ways, count_relations"
+_F4 = ", ".join(f"round(count_{x} / t_{x}::DOUBLE, 4) AS count_{x}_fraction" for x in ("all", "nodes", "ways", "relations"))
+
+
+def _union(rows: dict[str, str], source: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS key, coalesce(({v}), 0)::BIGINT AS value FROM {source}" for k, v in rows.items())
+
+
+def _by_type(name: str) -> dict[str, str]:
+    return {f"num_{name}": "count(*)"} | {f"num_{name}_on_{x}": f"count(*) FILTER (WHERE count_{x}>0)" for x in ("nodes", "ways", "relations")}
+
+
+_GRADES = {"bad": "b", "unknown": "u", "good": "g"}
+_OBJECT = {
+    "nodes": "(SELECT count(*) FROM orders)", "ways": "(SELECT count(*) FROM part)", "relations": "(SELECT count(*) FROM customer)",
+    "objects": "(SELECT count(*) FROM orders) + (SELECT count(*) FROM part) + (SELECT count(*) FROM customer)",
+    "node_tags": "(SELECT count(*) FROM object_tags WHERE otype='n')", "way_tags": "(SELECT count(*) FROM object_tags WHERE otype='w')",
+    "relation_tags": "(SELECT count(*) FROM object_tags WHERE otype='r')", "object_tags": "(SELECT count(*) FROM object_tags)",
+    "nodes_with_tags": "(SELECT count(*) FROM orders)", "closed_ways": "(SELECT count(*) FROM part WHERE p_size % 2 = 0)",
+}
+OBJECT_STATS = " UNION ALL ".join(f"SELECT '{k}' AS key, ({v})::BIGINT AS value" for k, v in _OBJECT.items())
+DB_STATS = " UNION ALL ".join(
+    [
+        _union(_by_type("keys") | {f"grade_{n}": f"count(*) FILTER (WHERE grade='{g}')" for n, g in _GRADES.items()} | {f"grade_key_count_{n}": f"sum(count_all) FILTER (WHERE grade='{g}')" for n, g in _GRADES.items()}, "plain_keys"),
+        "SELECT 'characters_in_keys_' || characters, count(*) FROM plain_keys GROUP BY characters",
+        _union(_by_type("tags"), "plain_tags"),
+        _union(_by_type("key_combinations"), "key_combinations"),
+        _union({"relation_types_with_detail": "count(members_all)", "relation_types": "count(*)"}, "relation_types"),
+        _union({"relation_roles": "count(*)"}, "relation_roles"),
+        _union({"num_similar_keys": "count(*)"}, "similar_keys"),
+        _union({"num_similar_keys_common_rare": "count(*)"}, "common_rare"),
+        OBJECT_STATS,
+    ]
+)
+_KINDS = {"": "true", "_redirect": "status='r'", "_without_template": "status='p'", "_with_template": "status='t'", "_with_error": "status='e'"}
+
+
+def _pages(name: str, of: str) -> dict[str, str]:
+    return {f"wiki_pages_for_{name}{k}": f"count(*) FILTER (WHERE ({of}) AND {v})" for k, v in _KINDS.items()}
+
+
+WIKI_STATS = " UNION ALL ".join(
+    [
+        _union(_pages("keys", "value IS NULL") | _pages("tags", "value IS NOT NULL") | {"wiki_languages": "count(DISTINCT lang)", "wiki_keys_described": "count(DISTINCT key) FILTER (WHERE value IS NULL)", "wiki_tags_described": "count(DISTINCT (key, value)) FILTER (WHERE value IS NOT NULL AND value<>'*')"}, "wikipages"),
+        _union(_pages("relation_types", "true"), "relation_pages"),
+        _union({"wiki_images": "count(*)"}, "wiki_images"),
+        _union({"wiki_inconsistent_status_keys": "count(*)"}, "inconsistent_keys"),
+        _union({"wiki_inconsistent_status_tags": "count(*)"}, "inconsistent_tags"),
+    ]
+)
+
+
+def _combined(key: str, n: str, query: str = "true") -> str:
+    return f"""SELECT other_key, together_count, round(together_count / (SELECT {n} FROM keys WHERE key='{key}')::DOUBLE, 4) AS to_fraction, round(together_count / nullif({n}, 0)::DOUBLE, 4) AS from_fraction
+      FROM (SELECT key2 AS other_key, {n} AS together_count FROM key_combinations WHERE key1='{key}' UNION ALL SELECT key1, {n} FROM key_combinations WHERE key2='{key}')
+      LEFT JOIN keys ON key=other_key WHERE together_count>0 AND {query}"""
+
+
+def _type_rows(source: str, values: bool) -> str:
+    v = lambda x: f", coalesce(max(values_{x}), 0) AS values" if values else ""
+    return " UNION ALL ".join(
+        f"SELECT '{x}' AS type, coalesce(max(count_{x}), 0)::BIGINT AS count{v(x)}, round(coalesce(max(count_{x}), 0) / (SELECT t_{x} FROM totals)::DOUBLE, 4) AS count_fraction FROM {source}" for x in ("all", "nodes", "ways", "relations")
+    )
+
+
+def _prevalent(key: str, least: float) -> str:
+    total = f"(SELECT count_all FROM keys WHERE key='{key}')"
+    often = f"SELECT value, count_all AS count FROM plain_tags WHERE key='{key}' AND count_all > floor({total} * {least})"
+    return f"""SELECT value, count, round(count / {total}::DOUBLE, 4) AS fraction FROM ({often}) UNION ALL
+      SELECT NULL, {total} - s, round(({total} - s) / {total}::DOUBLE, 4) FROM (SELECT coalesce(sum(count), 0)::BIGINT AS s FROM ({often})) WHERE {total} > s"""
+
+
+_TOP10 = "SELECT key, string_agg(value, ',' ORDER BY count DESC, value) AS prevalent_values FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY count DESC, value) AS n FROM prevalent_values) WHERE n<=10 GROUP BY key"
+_ROLE = "SELECT role, " + ", ".join(f"count_{x} AS count_{y}_members, round(count_{x} / nullif(members_{x}, 0)::DOUBLE, 4) AS count_{y}_members_fraction" for x, y in (("all", "all"), ("nodes", "node"), ("ways", "way"), ("relations", "relation"))) + " FROM relation_roles JOIN relation_types USING (rtype)"
+_STATUS = "SELECT coalesce(approval_status, 'none') AS status, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS k, count(*) FILTER (WHERE value IS NOT NULL) AS t FROM wikipages GROUP BY ROLLUP (coalesce(approval_status, 'none'))"
+
+SQL = {
+    "b0_explode_tags": "SELECT * FROM object_tags",
+    "b1_tag_stats": "SELECT * FROM plain_tags",
+    "b2_key_stats": "SELECT * FROM key_stats",
+    "b3_key_users": "SELECT * FROM key_users",
+    "b4_object_stats": OBJECT_STATS,
+    "b5_key_combinations": "SELECT * FROM key_combinations",
+    "b6_tag_combinations": "SELECT * FROM tag_combinations",
+    "b7_relation_types": "SELECT * FROM plain_relation_types",
+    "b8_relation_roles": "SELECT * FROM relation_roles",
+    "b9_relation_types_topup": "SELECT * FROM relation_types",
+    "b10_prevalent_values": "SELECT key, value, count, round(fraction, 8) AS fraction FROM prevalent_values",
+    "b11_prevalent_roles": "SELECT * FROM prevalent_roles",
+    "b12_key_grid": "SELECT * FROM key_grid",
+    "b12_tag_grid": "SELECT * FROM tag_grid",
+    "b13_key_cells": "SELECT key, count(*) FILTER (WHERE object_type='n') AS cells_nodes, count(*) FILTER (WHERE object_type='w') AS cells_ways FROM key_grid GROUP BY key",
+    "b14_similar_keys": "SELECT key1, key2, similarity FROM similar_keys",
+    "b15_similar_keys_counts": "SELECT * FROM similar_keys",
+    "b16_similar_keys_common_rare": "SELECT * FROM common_rare",
+    "b17_character_class": "SELECT key, characters FROM plain_keys",
+    "b18_key_grade": "SELECT key, grade FROM plain_keys",
+    "b19_db_stats": DB_STATS,
+    "b21_interesting_tags": "SELECT * FROM interesting_tags",
+    "b21_frequent_tags": "SELECT * FROM frequent_tags",
+    "b21_interesting_relation_types": "SELECT * FROM interesting_rtypes",
+    "b22_selection_stats": "SELECT 'interesting_tags' AS name, count(*) AS count FROM interesting_tags UNION ALL SELECT 'frequent_tags', count(*) FROM frequent_tags UNION ALL SELECT 'interesting_relation_types', count(*) FROM interesting_rtypes",
+    "c1_key_chronology": "SELECT * FROM key_chronology",
+    "c2_tag_chronology": "SELECT * FROM tag_chronology",
+    "c3_first_use": "SELECT key, floor(epoch(min(ts)))::BIGINT AS first_use FROM history WHERE visible GROUP BY key",
+    "c4_smoothness": "SELECT key, round(1 - max(u) / nullif(sum(u), 0)::DOUBLE, 8) AS smoothness FROM (SELECT key, greatest(nodes + ways + relations, 0) AS u FROM key_chronology) GROUP BY key",
+    "c5_cumulative": """SELECT key, date, sum(nodes + ways + relations) OVER (PARTITION BY key ORDER BY date)::BIGINT AS count FROM key_chronology
+      UNION ALL SELECT DISTINCT key, DATE '2007-10-07', 0 FROM key_chronology UNION ALL SELECT key, DATE '2024-12-31', sum(nodes + ways + relations)::BIGINT FROM key_chronology GROUP BY key""",
+    "c6_chronology_stats": """SELECT 'chronology_num_keys' AS key, count(DISTINCT key) AS value FROM key_chronology UNION ALL SELECT 'chronology_nodes', count(*) FROM history WHERE visible AND otype='n'
+      UNION ALL SELECT 'chronology_ways', count(*) FROM history WHERE visible AND otype='w' UNION ALL SELECT 'chronology_relations', count(*) FROM history WHERE visible AND otype='r'""",
+    "d13_page_status": "SELECT title, status FROM wikipages",
+    "d14_wikipages_keys": "SELECT * FROM wikipages_keys",
+    "d15_wikipages_tags": "SELECT * FROM wikipages_tags",
+    "d16_inconsistent_keys": "SELECT * FROM inconsistent_keys",
+    "d16_inconsistent_tags": "SELECT * FROM inconsistent_tags",
+    "d17_wiki_languages": "SELECT lang AS language, count(*) AS count_pages FROM wikipages GROUP BY lang",
+    "d18_wiki_stats": WIKI_STATS,
+    "d19_image_titles": "SELECT DISTINCT image AS title FROM wikipages WHERE image IS NOT NULL",
+    "d22_wiki_words": "SELECT * FROM words",
+    "e3_project_counters": "SELECT id, count(project_id) FILTER (WHERE value IS NULL) AS key_entries, count(value) AS tag_entries, count(DISTINCT key) AS unique_keys, count(DISTINCT (key, value)) FILTER (WHERE value IS NOT NULL) AS unique_tags FROM projects LEFT JOIN project_tags ON project_id=id GROUP BY id",
+    "e4_project_stats": _union({"projects": "count(*)", "projects_ok": "count(*) FILTER (WHERE status='OK')", "projects_fetch_error": "count(*) FILTER (WHERE status='FETCH ERROR')", "projects_parse_error": "count(*) FILTER (WHERE status='PARSE_ERROR')", "projects_with_icon": "count(icon_url)"}, "projects") + " UNION ALL " + _union({"project_keys": "count(*) FILTER (WHERE value IS NULL)", "project_tags": "count(value)"}, "project_tags"),
+    "g2_sw_stats": "SELECT 'discardable_tags_' || source AS key, count(*) AS value FROM discardable GROUP BY source UNION ALL SELECT 'deprecated_tags_id', count(*) FROM discardable UNION ALL SELECT 'discardable_tags', count(DISTINCT key) FROM discardable",
+    "m2_master_stats": f"SELECT DISTINCT key, value FROM ({DB_STATS} UNION ALL {WIKI_STATS})",
+    "m3_project_unique_keys": "SELECT * FROM unique_keys",
+    "m4_project_unique_tags": "SELECT * FROM unique_tags",
+    "m5_keys": "SELECT key, count_all, values_all, users_all, in_wiki, in_wiki_en, projects FROM keys",
+    "m6_tags": "SELECT * FROM tags",
+    "m7_top_tags": "SELECT * FROM top_tags",
+    "m8_popular_keys": "SELECT * FROM popular",
+    "m9_popular_metadata": "SELECT * FROM popular_meta",
+    "m10_popular_scores": "SELECT key, round(scale1, 8) AS scale1 FROM popular_scores",
+    "m11_language_pages": "SELECT * FROM languages",
+    "m12_suggestions": "SELECT * FROM suggestions",
+    "m13_stats_series": "SELECT ts::DATE AS udate, count(*) AS value FROM events WHERE event_type='click' GROUP BY 1",
+    "m14_search_index": "SELECT * FROM search_index",
+    "q1_key_combinations": _combined("priority", "count_all"),
+    "q1_key_combinations_nodes": _combined("type", "count_relations", "lower(other_key) LIKE '%n%'"),
+    "q2_key_similar": "SELECT key2 AS other_key, count_all2 AS count_all, similarity FROM similar_keys WHERE key1='old rod' UNION ALL SELECT key1, count_all1, similarity FROM similar_keys WHERE key2='old rod'",
+    "q3_key_distribution": "SELECT x, y, count FROM key_grid WHERE key='urgent' AND object_type='n'",
+    "q4_key_stats": _type_rows("keys WHERE key='type'", True),
+    "q5_key_values": f"SELECT value, {_C4}, count_all AS count, round(count_all / (SELECT count_all FROM keys WHERE key='brand')::DOUBLE, 4) AS fraction, in_wiki FROM tags WHERE key='brand'",
+    "q6_prevalent_values": _prevalent("priority", 0.2),
+    "q7_key_wiki_pages": "SELECT w.lang, CASE WHEN w.lang IS NULL THEN 'auto' ELSE 'ltr' END AS dir, coalesce(english_name, '(unknown)') AS language_en, title, width, approval_status FROM wikipages w LEFT JOIN wiki_images USING (image) LEFT JOIN languages ON code=w.lang WHERE key='type' AND value IS NULL",
+    "q8_key_projects": "SELECT project_id, value, on_node, on_way FROM project_tags JOIN projects ON id=project_id AND status='OK' WHERE key='brand' AND (on_way OR on_area)",
+    "q9_key_chronology": "SELECT date, nodes, ways, relations FROM key_chronology WHERE key='click'",
+    "q10_key_overview": """SELECT 'type' AS key, users_all AS users, (SELECT count(DISTINCT project_id) FROM project_tags WHERE key='type') AS projects, count_nodes + count_ways > 0 AS has_map, count_all,
+      (SELECT string_agg(value, ',' ORDER BY count DESC, value DESC) FROM prevalent_values WHERE key='type') AS prevalent FROM keys WHERE key='type'""",
+    "q11_keys_all": f"SELECT key, {_C4}, values_all, users_all, in_wiki, in_wiki_en, projects, {_F4}, prevalent_values FROM keys CROSS JOIN totals LEFT JOIN ({_TOP10}) USING (key)",
+    "q11_keys_filtered": f"SELECT key, {_C4}, values_all, users_all, in_wiki, in_wiki_en, projects, {_F4} FROM keys, totals WHERE characters='space' AND lower(key) LIKE '%r%'",
+    "q12_keys_wiki_pages": "SELECT key, lang_count FROM wikipages_keys",
+    "q13_keys_similar": "SELECT * FROM common_rare WHERE similarity<>0 AND count_all_common>=20",
+    "q14_keys_without_wiki_page": f"SELECT key, count_all, round(count_all / t_all::DOUBLE, 8) AS count_all_fraction, values_all, users_all, in_wiki, in_wiki_en, prevalent_values FROM keys CROSS JOIN totals LEFT JOIN ({_TOP10}) USING (key) WHERE count_all > 100 AND NOT in_wiki",
+    "q15_keys_discardable": """SELECT key, coalesce(wiki, false) AS wiki, coalesce(id, false) AS id, coalesce(josm, false) AS josm, count_all FROM
+      (SELECT key, true AS wiki FROM wikipages_keys WHERE approval_status IN ('approved','proposed')) FULL JOIN (SELECT key, bool_or(source='id') AS id, bool_or(source='josm') AS josm FROM discardable GROUP BY key) USING (key) JOIN (SELECT key, count_all FROM keys) USING (key)""",
+    "q16_tag_combinations": """SELECT other_key, other_value, together_count, round(together_count / (SELECT count_all FROM plain_tags WHERE key='priority' AND value='1-URGENT')::DOUBLE, 4) AS to_fraction,
+      round(together_count / CASE other_value WHEN '' THEN k.count_all ELSE t.count_all END::DOUBLE, 4) AS from_fraction FROM
+      (SELECT key2 AS other_key, value2 AS other_value, count_all AS together_count FROM tag_combinations WHERE key1='priority' AND value1='1-URGENT'
+       UNION ALL SELECT key1, value1, count_all FROM tag_combinations WHERE key2='priority' AND value2='1-URGENT') LEFT JOIN keys k ON k.key=other_key LEFT JOIN plain_tags t ON t.key=other_key AND t.value=other_value""",
+    "q17_tag_distribution": "SELECT x, y, count FROM tag_grid WHERE key='status' AND value='P' AND object_type='n'",
+    "q18_tag_stats": _type_rows("plain_tags WHERE key='priority' AND value='5-LOW'", False),
+    "q19_tag_wiki_pages": "SELECT lang, title, approval_status FROM wikipages WHERE key='type' AND value='BUILDING'",
+    "q20_tag_projects": "SELECT project_id, max(value) AS value FROM project_tags JOIN projects ON id=project_id AND status='OK' WHERE key='brand' AND (value IS NULL OR value='Brand#11') GROUP BY project_id",
+    "q21_tag_chronology": "SELECT date, nodes, ways, relations FROM tag_chronology WHERE key='click' AND value='0'",
+    "q22_tag_overview": "SELECT 'status' AS key, 'O' AS value, 0::BIGINT AS projects, EXISTS (SELECT 1 FROM tag_grid WHERE key='status' AND value='O') AS has_map, (SELECT count_all FROM plain_tags WHERE key='status' AND value='O') AS count_all",
+    "q24_tags_popular": f"SELECT t.*, {_F4} FROM top_tags t, totals",
+    "q25_relation_roles": _ROLE + " WHERE rtype='BUILDING'",
+    "q26_relation_stats": " UNION ALL ".join(f"SELECT '{x}' AS type, coalesce(max(members_{x}), 0)::BIGINT AS count FROM relation_types WHERE rtype='BUILDING'" for x in ("all", "nodes", "ways", "relations")),
+    "q27_relation_wiki_pages": "SELECT lang, title FROM relation_pages WHERE rtype='BUILDING'",
+    "q28_relation_projects": "SELECT project_id FROM project_tags JOIN projects ON id=project_id AND status='OK' WHERE key='type' AND value='BUILDING' AND on_relation",
+    "q29_relations_all": "SELECT rtype, count, round(count / (SELECT t_relations FROM totals)::DOUBLE, 8) AS count_fraction, (SELECT string_agg(role, ',' ORDER BY role) FROM prevalent_roles p WHERE p.rtype=r.rtype) AS prevalent_roles FROM relation_types r",
+    "q30_relations_roles": "SELECT * FROM relation_roles WHERE lower(role) LIKE '%u%'",
+    "q31_search_key_and_value": "SELECT key, value, count_all FROM plain_tags WHERE list_contains(regexp_split_to_array(lower(key), '[^a-z0-9]+'), 'brand') AND list_contains(regexp_split_to_array(lower(value), '[^a-z0-9]+'), 'brand')",
+    "q31_search_phrase": "SELECT DISTINCT a.key, a.value, a.count_all FROM search_index a JOIN search_index b ON a.key=b.key AND a.value=b.value AND a.field=b.field AND a.token='not' AND b.token='specified' AND b.pos=a.pos+1",
+    "q32_search_keyword": "SELECT key, nullif(value, '') AS value FROM words WHERE words LIKE '%tion%'",
+    "q33_search_role": "SELECT rtype, role, count_all FROM relation_roles WHERE lower(role) LIKE '%low%'",
+    "q34_search_value": "SELECT DISTINCT key, value, count_all FROM search_index WHERE field='value' AND token='urgent'",
+    "q35_suggest": "SELECT key, value, score FROM suggestions WHERE value IS NULL AND lower(key) LIKE 'p%' ORDER BY score DESC, key LIMIT 10",
+    "q36_project_tags": """SELECT p.key, p.value, coalesce(t.in_wiki, k.in_wiki) AS in_wiki, coalesce(t.count_all, k.count_all) AS count_all FROM project_tags p LEFT JOIN unique_tags t ON p.key=t.key AND p.value=t.value
+      LEFT JOIN unique_keys k ON p.key=k.key AND p.value IS NULL WHERE project_id='Supplier#000000002'""",
+    "q37_projects_all": "SELECT id, name, count(DISTINCT key) AS unique_keys, count(DISTINCT (key, value)) FILTER (WHERE value IS NOT NULL) AS unique_tags FROM projects LEFT JOIN project_tags ON project_id=id WHERE status='OK' GROUP BY id, name",
+    "q38_projects_keys": "SELECT *, round(projects / (SELECT count(*) FROM projects WHERE status='OK')::DOUBLE, 4) AS projects_fraction FROM unique_keys",
+    "q39_projects_tags": "SELECT *, round(projects / (SELECT count(*) FROM projects WHERE status='OK')::DOUBLE, 4) AS projects_fraction FROM unique_tags WHERE key LIKE '%1%' OR value LIKE '%1%'",
+    "q42_wiki_languages": "SELECT code, wiki_key_pages, round(wiki_key_pages / (SELECT count(*) FROM wikipages_keys)::DOUBLE, 8) AS fraction FROM languages",
+    "q43_wiki_key_status": "SELECT approval_status, key, string_agg(lang, ',' ORDER BY lang) AS languages FROM wikipages WHERE value IS NULL GROUP BY ALL",
+    "q44_wiki_tag_status": "SELECT approval_status, key, value, string_agg(lang, ',' ORDER BY lang) AS languages FROM wikipages WHERE value IS NOT NULL AND approval_status IS NULL GROUP BY ALL",
+    "q45_inconsistent_key_status": "SELECT key, string_agg(approval_status || ':' || n, ',' ORDER BY approval_status) AS statuses FROM (SELECT key, approval_status, count(*) AS n FROM wikipages WHERE value IS NULL AND approval_status IS NOT NULL AND key IN (SELECT key FROM inconsistent_keys) GROUP BY ALL) GROUP BY key",
+    "q46_inconsistent_tag_status": "SELECT key, value, string_agg(approval_status || ':' || n, ',' ORDER BY approval_status) AS statuses FROM (SELECT key, value, approval_status, count(*) AS n FROM wikipages JOIN inconsistent_tags USING (key, value) WHERE approval_status IS NOT NULL GROUP BY ALL) GROUP BY key, value",
+    "q47_wiki_problems": "SELECT * FROM problems WHERE lower(location || reason || title) LIKE '%page 1%'",
+    "r1_key_lengths": "SELECT i::INT AS length, coalesce(n, 0) AS count FROM range(1, 61) x(i) LEFT JOIN (SELECT least(length(key), 60) AS l, count(*) AS n FROM plain_keys GROUP BY 1) ON l=i",
+    "r2_characters_in_keys": "SELECT characters, count(*) AS count, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM plain_keys), 2) AS percent FROM plain_keys GROUP BY characters",
+    "r3_historic_development": "SELECT ts::DATE AS udate, nullif(count(*) FILTER (WHERE event_type='click'), 0) AS click, nullif(count(*) FILTER (WHERE event_type='view'), 0) AS view FROM events WHERE event_type IN ('click','view') GROUP BY 1",
+    "r4_pages_about_missing_keys": "SELECT key, count_all FROM keys WHERE in_wiki AND count_all=0",
+    "r6_tag_cloud": "SELECT key, row_number() OVER (ORDER BY scale1 DESC, key)::INT AS rank FROM popular_scores ORDER BY scale1 DESC, key LIMIT 300",
+    "r7_top_tags": "SELECT key, value, count_all FROM plain_tags WHERE key<>'status' ORDER BY count_all DESC, key, value LIMIT 30",
+    "r7_top_relation_types": "SELECT rtype, count FROM relation_types ORDER BY count DESC, rtype LIMIT 30",
+    "r8_status_table": f"""SELECT coalesce(a.status, 'total') AS status, a.n AS "all", a.n * 100 // b.n AS all_percent, a.k AS keys, a.k * 100 // nullif(b.k, 0) AS keys_percent, a.t AS tags, a.t * 100 // nullif(b.t, 0) AS tags_percent
+      FROM ({_STATUS}) a, (SELECT * FROM ({_STATUS}) WHERE status IS NULL) b""",
+    "r9_status_choices": "SELECT approval_status, count(DISTINCT key) FILTER (WHERE value IS NULL) AS keys, count(DISTINCT (key, value)) FILTER (WHERE value IS NOT NULL) AS tags FROM wikipages WHERE approval_status IS NOT NULL GROUP BY approval_status",
+    "r10_frequent_statuses": "SELECT approval_status, count(*) AS pages FROM wikipages WHERE approval_status IS NOT NULL GROUP BY approval_status HAVING count(*) > 10",
+    "r11_image_sizes": """SELECT kind, image, key, value, count(*) AS pages FROM wikipages JOIN wiki_images i USING (image), (VALUES ('small'), ('tall'), ('wide'), ('large')) v(kind)
+      WHERE CASE kind WHEN 'small' THEN width<100 AND height<100 WHEN 'tall' THEN height // width >= 2 WHEN 'wide' THEN width // height >= 3 ELSE size > 20000000 END GROUP BY ALL""",
+    "r13_language_comparison": "SELECT key, min(status) FILTER (WHERE lang='en') AS en, min(status) FILTER (WHERE lang='de') AS de FROM wikipages WHERE value IS NULL GROUP BY key",
+    "r14_problems_by_lang": "SELECT lang, count(*) AS count FROM problems GROUP BY lang",
+    "r15_object_ratios": "SELECT 100.0::DOUBLE AS tagged_nodes_percent, floor(n / (SELECT count(*) FROM orders)::DOUBLE * 100) / 100 AS tags_per_node, floor(w / (SELECT count(*) FROM part)::DOUBLE * 100) / 100 AS tags_per_way, floor(r / (SELECT count(*) FROM customer)::DOUBLE * 100) / 100 AS tags_per_relation FROM (SELECT count(*) FILTER (WHERE otype='n') AS n, count(*) FILTER (WHERE otype='w') AS w, count(*) FILTER (WHERE otype='r') AS r FROM object_tags)",
+    "r16_discardable_by_source": "SELECT key, max((source='id')::INT) AS id, max((source='josm')::INT) AS josm FROM discardable GROUP BY key",
+    "r20_project_overview": "SELECT id, status, true AS outdated FROM projects",
+    "r22_embed_counts": " UNION ALL ".join(f"SELECT '{x}' AS type, count_{x}::BIGINT AS count FROM keys WHERE key='type'" for x in ("all", "nodes", "ways", "relations")),
+    "r22_embed_roles": "SELECT role, count_all FROM relation_roles WHERE rtype='BUILDING' ORDER BY count_all DESC, role LIMIT 10",
+    "r25_value_treemap": _prevalent("year", 0.002),
+}
+
+
+def _with_tables(sql: str) -> str:
+    """The query behind the tables that it needs, each before those that use it."""
+    needed: dict[str, bool] = {}
+
+    def need(text: str) -> None:
+        for name in re.findall(r"(?:FROM|JOIN|,)\s+([a-z_0-9]+)", text):
+            if name in TABLES and name not in needed:
+                needed[name] = True
+                need(TABLES[name])
+                needed[name] = needed.pop(name)  # behind what it uses
+
+    need(sql)
+    return "WITH " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in needed) + "\n" + sql if needed else sql
+
+
+ORACLE_SQL = {name: _with_tables(sql) for name, sql in SQL.items()}
