@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -36,9 +36,13 @@ def components(links: DataFrame) -> DataFrame:
         large = large.unionByName(edges.where("u = v")).where("u >= v").distinct()
         down = _least(large)
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(
-            small.unionByName(down.select("u", F.col("m").alias("v"))).unionByName(least.select(F.col("m").alias("u"), F.col("m").alias("v"))).where("u >= v").distinct()
+        before, edges = edges, written(
+            small.unionByName(down.select("u", F.col("m").alias("v")))
+            .unionByName(least.select(F.col("m").alias("u"), F.col("m").alias("v")))
+            .where("u >= v")
+            .distinct()
         )
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -6,9 +6,12 @@ and a second half key is the key of one table. So ``HALVES`` squared tables of `
 
 Equal shingle sets are one class from the start. Within a bucket no pairs are listed:
 
-1. Classes in a bucket are compared with its smallest class only (a star), and the confirmed links make components.
-2. Only buckets that still hold several components are looked at again: members of different components are compared
-   by their signatures in blocks, and the pairs that may reach the threshold are confirmed as well.
+1. Classes in a bucket are compared by signature with its smallest class only (a star); what may be similar makes loose
+   clusters.
+2. A cluster's full sets are compared with each other, in blocks for a large one, and only the links that hold its parts
+   together are given out: less than one for each member.
+3. Buckets that still hold several clusters are looked at again: members of different clusters are compared by their
+   signatures, and the few pairs that may reach the threshold are confirmed on the full sets too.
 
 Buckets are found by a range partitioning over (key, class), which splits a hot bucket over tasks; the parts of a bucket
 are joined through one row for each task border. Stars of a hot class are dealt over tasks by a salt. What is kept on
@@ -25,12 +28,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import discard, map_texts, written
 from .graph import components
 
 HALVES = 12
@@ -40,7 +42,7 @@ N_HASHES = 2 * HALVES * ROWS
 LEAST_AGREEMENT = 0.6
 #: Members of a star, or of a block of a bucket, that one task handles together.
 STAR = 4096
-BLOCK = 1024
+BLOCK = 2048
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
@@ -212,40 +214,143 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
     return rows.select("a", "kind", "b", "packed").mapInArrow(check, "a long, b long")
 
 
-def rest(found: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Candidate links between members of one bucket whose components still differ."""
-    member = found.select("key", "node").distinct().join(labels, "node", "left")
+def cluster_links(clusters: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Confirmed links (a, b) that connect what is linked within each cluster, from all pairs of its full sets.
+
+    Blocks of a large cluster meet in pairs, each pair in a group of its own; rows of a group come sorted, so that a task
+    holds two blocks at a time.
+    """
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
+    rows = clusters.join(sizes, "component").join(texts, "node").withColumn("p", F.explode(pairs))
+    dealt = rows.select("component", "p.i", "p.j", own.alias("own"), "node", "packed")
+    key = ["component", "i", "j"]
+    sorted_rows = dealt.repartition(*key).sortWithinPartitions(*key, "node")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members = None, []
+        for batch in batches:
+            found = []
+            for component, i, j, own, node, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if (component, i, j) != group:
+                    found += linked(group, members, threshold)
+                    group, members = (component, i, j), []
+                members.append((own, node, shingle_hashes(zlib.decompress(packed).decode(), size)))
+            yield _pairs_batch(found)
+        yield _pairs_batch(linked(group, members, threshold))
+
+    return sorted_rows.mapInArrow(solve, "a long, b long")
+
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def linked(group: tuple | None, members: list[tuple], threshold: float) -> list[tuple[int, int]]:
+    """Links that connect all members of two blocks (or one) that links of the threshold connect."""
+    if group is None or len(members) < 2:
+        return []
+    left = [m for m in members if m[0] == group[1]]
+    right = left if group[1] == group[2] else [m for m in members if m[0] == group[2]]
+    if not left or not right:
+        return []
+    near = similar([m[2] for m in left], [m[2] for m in right], threshold)
+    found, open_left, open_right = [], set(range(len(left))), np.ones(len(right), bool)
+    while open_left:  # a breadth-first forest from side to side
+        start = open_left.pop()
+        if left is right:
+            open_right[start] = False
+        frontier = [(start, True)]
+        while frontier:
+            at, on_left = frontier.pop()
+            if on_left:
+                reached = np.flatnonzero(near[at] & open_right)
+                open_right[reached] = False
+                found += [(left[at][1], right[k][1]) for k in reached]
+                if left is right:
+                    open_left.difference_update(reached.tolist())
+                    frontier += [(k, True) for k in reached.tolist()]
+                else:
+                    frontier += [(k, False) for k in reached.tolist()]
+            else:
+                reached = [k for k in np.flatnonzero(near[:, at]).tolist() if k in open_left]
+                open_left.difference_update(reached)
+                found += [(left[k][1], right[at][1]) for k in reached]
+                frontier += [(k, True) for k in reached]
+    return found
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Whether each set on the left and each on the right reach the threshold, from their exact common elements."""
+    n, m = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    percent = int(round(threshold * 100))
+    _, code = np.unique(np.concatenate(left + right), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), np.concatenate((n, m)))
+    shared = np.bincount(code) > 1  # elements of one set only are in no intersection
+    number = np.cumsum(shared) - 1
+    keep = shared[code]
+    code, owner = number[code[keep]], owner[keep]
+    common = np.zeros((len(left), len(right)), np.float32)
+    step = 2048
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, step):
+        a, b = np.searchsorted(code, (at, at + step))
+        part = np.zeros((len(left) + len(right), step), np.float32)
+        part[owner[a:b], code[a:b] - at] = 1
+        common += part[: len(left)] @ part[len(left) :].T
+    return 100 * common >= percent * (n[:, None] + m[None, :] - common)
+
+
+def rest(found: DataFrame, classes: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
+    """Candidate links between members of one bucket that are in different clusters."""
+    member = found.select("key", "node").distinct().join(clusters, "node", "left")
     member = member.withColumn("component", F.coalesce("component", "node"))
     open_ = (
         member.groupBy("key")
         .agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members"))
         .where("c1 <> c2")
     )
-    # a class sees the same others in many tables: buckets of equal smallest and largest members and size are one
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = member.join(open_, "key").join(classes.select("node", "n", "sig"), "node")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     # block i meets block j once: every member goes to (i, its own) for i up to its own and to (its own, j) beyond
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
-    dealt = rows.withColumn("own", own).withColumn("p", F.explode(pairs)).select("key", "p.i", "p.j", "own", "node", "component", "n", "sig")
+    rows = member.join(open_, "key").join(classes.select("node", "n", "sig"), "node")
+    dealt = rows.withColumn("p", F.explode(pairs)).select("key", "p.i", "p.j", own.alias("own"), "node", "component", "n", "sig")
     percent = int(round(threshold * 100))
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iat[0]), int(group["j"].iat[0])
-        left = group[group["own"] == i]
-        right = left if i == j else group[group["own"] == j]
-        x, y = (np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(-1, N_HASHES) for g in (left, right))
-        nodes, comps, ns = (right[c].to_numpy() for c in ("node", "component", "n"))
+    key = ["key", "i", "j"]
+    sorted_rows = dealt.repartition(*key).sortWithinPartitions(*key, "node")
+
+    def meet(group: tuple | None, members: list[tuple]) -> list[tuple[int, int]]:
+        if group is None or len(members) < 2:
+            return []
+        own, node, component, n = (np.array([m[k] for m in members]) for k in range(4))
+        sig = np.frombuffer(b"".join(m[4] for m in members), np.uint8).reshape(-1, N_HASHES)
+        left, right = np.flatnonzero(own == group[1]), np.flatnonzero(own == group[2])
         out = []
-        for node, comp, n, sig in zip(left["node"], left["component"], left["n"], x):
-            may = np.flatnonzero((comps != comp) & (np.minimum(ns, n) * 100 >= np.maximum(ns, n) * percent))
-            if i == j:
-                may = may[nodes[may] > node]
-            near = may[(y[may] == sig).mean(axis=1) >= LEAST_AGREEMENT] if len(may) else may
-            out += [(min(node, other), max(node, other)) for other in nodes[near]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        for at in left:
+            others = right[right > at] if group[1] == group[2] else right
+            others = others[(component[others] != component[at]) & (np.minimum(n[others], n[at]) * 100 >= np.maximum(n[others], n[at]) * percent)]
+            if len(others):
+                near = others[(sig[others] == sig[at]).mean(axis=1) >= LEAST_AGREEMENT]
+                out += [(min(int(node[at]), int(node[k])), max(int(node[at]), int(node[k]))) for k in near]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members = None, []
+        for batch in batches:
+            out = []
+            for k, i, j, *member in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, i, j) != group:
+                    out += meet(group, members)
+                    group, members = (k, i, j), []
+                members.append(member)
+            yield _pairs_batch(out)
+        yield _pairs_batch(meet(group, members))
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
+    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -257,15 +362,19 @@ def near_duplicates(
     first = lambda c: F.first(c).alias(c)
     classes = written(full.groupBy("node").agg(F.min("doc").alias("doc"), first("n"), first("a"), first("b"), first("sig")))
     found = buckets(classes)
-    texts = lambda pairs: full.groupBy("node").agg(first("packed")).join(
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"
-    )
-    candidates = written(agreeing(stars(found), classes, threshold))
-    links = written(confirmed(candidates, texts(candidates), size, threshold))
-    more = rest(found, classes, components(links), threshold)
-    more = written(more.join(candidates, ["a", "b"], "left_anti"))
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        # both sides grow with the input: a shuffled join at every size
+        wanted = nodes.select("node").distinct().hint("shuffle_merge")
+        return full.join(wanted, "node", "left_semi").groupBy("node").agg(first("packed"))
+
+    clusters = written(components(agreeing(stars(found), classes, threshold)))
+    links = written(cluster_links(clusters, texts(clusters), size, threshold))
+    more = written(rest(found, classes, clusters, threshold))
     if not more.isEmpty():
-        links = written(links.unionByName(confirmed(more, texts(more), size, threshold)))
+        ends = more.select(F.col("a").alias("node")).union(more.select("b"))
+        links = written(links.unionByName(confirmed(more, texts(ends), size, threshold)))
+    discard(found, clusters, more)
     named = components(links).join(classes.select("node", "doc"), "node")
     least = named.groupBy("component").agg(F.min("doc").alias("least"))
     group = named.join(least, "component").select("node", "least")
