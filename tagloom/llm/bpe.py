@@ -18,7 +18,7 @@ import functools
 import re
 from array import array
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces, and chunks of pieces, that a worker remembers before it forgets those that are out of use.
-PIECES, CHUNKS = 300_000, 150_000
+#: Pieces that a worker remembers before it forgets those that are out of use.
+PIECES = 350_000
 
 
 class Vocabulary:
@@ -39,7 +39,7 @@ class Vocabulary:
         self.tokens = {i: t for t, i in ranks.items()}
         self._split: dict[int, tuple[int, int] | None] = {}
         self._spines: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
-        self._made: dict[int, bool] = {}
+        self.known_made: set[int] = set()
         #: near[left].get(right): whether the two may stand side by side, as far as that has been asked
         self.near: dict[int, dict[int, bool]] = defaultdict(dict)
         #: every end of a token: its own id if it is a token, else -1
@@ -69,10 +69,9 @@ class Vocabulary:
 
     def made(self, token: int) -> bool:
         """Whether merges alone make the token; others only stand for a whole piece."""
-        known = self._made.get(token)
-        if known is None:
-            known = self._made[token] = len(self.tokens[token]) == 1 or self.split(token) is not None
-        return known
+        if token not in self.known_made and (len(self.tokens[token]) == 1 or self.split(token) is not None):
+            self.known_made.add(token)
+        return token in self.known_made
 
     def spine(self, token: int, side: int) -> list[tuple[int, bytes]]:
         """(rank of the merge that makes it, bytes of the token) along one edge, from the single byte up."""
@@ -132,7 +131,7 @@ class Piece:
         Looks at the byte strings that end there from the shortest on, for as long as one is the end of any token.
         """
         v, data, last = self.v, self.data, self.last
-        ending, near, made = v.endings.get, v.near, v.made
+        ending, near, made = v.endings.get, v.near, v.known_made
         for end in range(len(last) + 1, stop + 1):
             for start in range(end - 1, -1, -1):
                 token = ending(data[start:end])
@@ -145,7 +144,7 @@ class Piece:
                     fits = near[before].get(token)
                     if not (v.adjacent(before, token) if fits is None else fits):
                         continue
-                if made(token):
+                if token in made or v.made(token):
                     last.append(token)
                     break
 
@@ -181,55 +180,97 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary.load(path)
 
 
-class _Memory(dict):
-    """Remembers what ``make`` gives for a string, for a bounded number of strings; those in use stay."""
-
-    def __init__(self, make, most: int):
-        self.make, self.most, self.older = make, most, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        made = self.older.get(key)
-        made = self[key] = self.make(key) if made is None else made
-        return made
+def encode_sorted(v: Vocabulary, pieces: list[bytes]) -> Iterator[tuple[int, ...]]:
+    """Ids of sorted pieces; the table of a prefix that a piece shares with the one before is kept."""
+    piece = Piece(v)
+    for data in pieces:
+        whole = v.ranks.get(data)
+        if whole is not None:
+            yield (whole,)
+            continue
+        shared = 0
+        for x, y in zip(piece.data, data):
+            if x != y:
+                break
+            shared += 1
+        piece.data = data
+        del piece.last[shared:]
+        piece._extend(len(data))
+        yield tuple(piece.ids())
 
 
 #: A space between two white-space characters, or after one at the end: there the pieces depend on both sides.
-_UNCLEAR = re.compile(r"\s \s|\s \Z")
+_UNCLEAR = re.compile(r" (?<=\s )(?=\s|\Z)")
 
 
-@functools.cache
-def _encoder(path: str, pattern: str):
-    """ids of one text as 32-bit integers, by pieces and, where that is safe, by chunks of pieces that are remembered together.
+class Encoder:
+    """Encodes batches of texts; what it remembers is shared by the batches of a worker.
 
-    With the splitting pattern of byte-level vocabularies a space before a visible character always starts a piece,
-    so a text may be cut before its single spaces and the chunks encoded by themselves.
+    With the splitting pattern of byte-level vocabularies a space before a visible character always starts a piece, so a
+    text may be cut before its single spaces, and equal chunks of a batch are split and encoded once.
     """
-    import regex
 
-    find = regex.compile(pattern).findall
-    pieces = _Memory(lambda piece: array("i", encode_piece(vocabulary(path), piece.encode())).tobytes(), PIECES)
-    chunks = _Memory(lambda chunk: b"".join([pieces[p] for p in find(chunk)]), CHUNKS)
+    def __init__(self, path: str, pattern: str):
+        import regex
 
-    def ids(text: str) -> list[bytes]:
-        if _UNCLEAR.search(text):
-            return [pieces[p] for p in find(text)]
-        first, *rest = text.split(" ")
-        return [chunks[first], *[chunks[" " + r] for r in rest]]
+        self.v, self.find = vocabulary(path), regex.compile(pattern).findall
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    return ids
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = []  # of each text the pieces before its first cut, and the chunks after each
+        for text in texts:
+            if not text:
+                split.append(((), ()))
+            elif _UNCLEAR.search(text):
+                split.append((self.find(text), ()))
+            else:
+                first, *rest = text.split(" ")
+                split.append((self.find(first), rest))
+        find = self.find
+        chunks = {
+            chunk: [" " + chunk] if chunk.isascii() and chunk.isalpha() else find(" " + chunk)  # letters are one piece
+            for chunk in set().union(*(rest for _, rest in split))
+        }
+        ids = self.ids(set().union(*chunks.values(), *(first for first, _ in split)))
+        piece = ids.__getitem__
+        for chunk, parts in chunks.items():
+            chunks[chunk] = piece(parts[0]) if len(parts) == 1 else b"".join(map(piece, parts))
+        whole = chunks.__getitem__
+        return [np.frombuffer(b"".join([*map(piece, first), *map(whole, rest)]), np.int32) for first, rest in split]
+
+    def ids(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces as 32-bit integers. Those of a bounded number of pieces are remembered; pieces in use stay."""
+        out, new, recent, older = {}, [], self.recent, self.older
+        for piece in pieces:
+            found = recent.get(piece)
+            if found is None:
+                found = older.get(piece)
+                if found is None:
+                    new.append(piece.encode())
+                    continue
+                recent[piece] = found
+            out[piece] = found
+        new.sort()
+        for data, made in zip(new, encode_sorted(self.v, new)):
+            piece = data.decode()
+            out[piece] = recent[piece] = array("i", made).tobytes()
+        if len(recent) > PIECES:
+            self.older, self.recent = recent, {}
+        return out
+
+
+@functools.cache
+def _encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
-def encode_texts(texts: Iterable[str | None], path: str, pattern: str) -> Iterator[np.ndarray]:
-    ids = _encoder(path, pattern)
-    for text in texts:
-        yield np.frombuffer(b"".join(ids(text)) if text else b"", np.int32)
+def encode_texts(texts: list[str | None], path: str, pattern: str) -> list[np.ndarray]:
+    return _encoder(path, pattern).encode(texts)
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", rows_per_batch: int = 256
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", rows_per_batch: int = 1024
 ) -> DataFrame:
     """id and ``ids`` (array of int) of every whole text. ``path`` names a rank file that every worker can open."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -238,7 +279,7 @@ def encode(
         for whole in batches:
             for start in range(0, whole.num_rows, rows_per_batch):
                 part = whole.slice(start, rows_per_batch)
-                each = list(encode_texts(part.column(1).to_pylist(), path, pattern))
+                each = encode_texts(part.column(1).to_pylist(), path, pattern)
                 ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
@@ -253,13 +294,17 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", rows_per_batch:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        token = v.tokens.__getitem__
+        tokens = pa.array([v.tokens.get(i, b"") for i in range(max(v.tokens) + 1)], pa.binary())
         for whole in batches:
             for start in range(0, whole.num_rows, rows_per_batch):
                 part = whole.slice(start, rows_per_batch)
                 ids = pc.fill_null(part.column(names.index(ids_col)), pa.scalar([], pa.list_(pa.int32())))
-                out = [b"".join(map(token, one)) for one in ids.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=names)
+                # the bytes of all tokens in a row; a text is the part between its first and last token
+                taken = tokens.take(ids.flatten())
+                place = ids.offsets.to_numpy()
+                ends = np.frombuffer(taken.buffers()[1], np.int32)[place - place[0]] if len(taken) else np.zeros(len(ids) + 1, np.int32)
+                out = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), taken.buffers()[2]])
+                yield pa.RecordBatch.from_arrays([*part.columns, out], names=names)
 
     return encoded.drop("decoded").mapInArrow(run, schema)
 

@@ -98,10 +98,13 @@ def test_bpe_is_the_library_encoding():
     path, pattern = tokenizer()
     v = bpe.vocabulary(path)
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=v.ranks, special_tokens={})
-    rnd = random.Random(5)
+    rnd, texts = random.Random(5), [None, ""]
     for k in range(3000):
         text = "".join(rnd.choice("aabbeéthin  'st\n\t .,12😀中\x00ÿ \x1c　") for _ in range(rnd.randrange(40)))
-        assert list(next(bpe.encode_texts([text], path, pattern))) == library.encode_ordinary(text), repr(text)
+        texts.append(text)
+    for size in (1, 700):  # batches share what they have learnt
+        got = [ids.tolist() for at in range(0, len(texts), size) for ids in bpe.encode_texts(texts[at : at + size], path, pattern)]
+        assert got == [library.encode_ordinary(t or "") for t in texts]
 
 
 def test_bpe_appends_and_edits():
