@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers before it forgets those that are out of use.
-PIECES = 350_000
+PIECES = 150_000
 
 
 class Vocabulary:
@@ -214,6 +214,9 @@ class Encoder:
         import regex
 
         self.v, self.find = vocabulary(path), regex.compile(pattern).findall
+        self.forget()
+
+    def forget(self) -> None:
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -270,7 +273,7 @@ def encode_texts(texts: list[str | None], path: str, pattern: str) -> list[np.nd
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", rows_per_batch: int = 1024
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", rows_per_batch: int = 512
 ) -> DataFrame:
     """id and ``ids`` (array of int) of every whole text. ``path`` names a rank file that every worker can open."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -283,6 +286,7 @@ def encode(
                 ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
+        _encoder(path, pattern).forget()  # the worker goes on to other work
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>")
 
