@@ -2,7 +2,8 @@
 it kept. All but the last return the columns of ``documents``.
 
 Defined results: documents with null text are rejected by the quality rules; a null id is a document without a name that
-survives where no named document of its group does; an empty table passes through every stage.
+survives where no named document of its group does; of each group of near-duplicates exactly one row survives, whatever
+ids are null or repeated; an empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    kept = minhash.near_duplicates(docs, size=SHINGLE).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each group of near-duplicates: of those with the smallest id, the first in a written, numbered table;
+    a row without an id only where all are."""
+    rows = written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")))
+    name = F.struct(F.col("row.doc_id").isNull().alias("unnamed"), "row.doc_id", "number")
+    found = minhash.near_duplicates(rows.select(name.alias("name"), "row.text"), size=SHINGLE, id_col="name")
+    return rows.join(found.where("kept").select("name.number"), "number", "left_semi").select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

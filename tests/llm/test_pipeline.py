@@ -40,3 +40,21 @@ def test_stages(spark, tmp_path):
             assert got.keys() == given.keys()
         at = out
     assert P.run(spark, str(tmp_path)).count() == at.count()
+
+
+def test_one_row_of_each_group_survives(spark):
+    text = {k: " ".join(f"{k}{n}" for n in range(60)) for k in "abcdef"}
+    near = {k: v.rsplit(" ", 1)[0] + " end" for k, v in text.items()}
+    rows = [
+        (None, near["a"], "-"), (5, text["a"], "kept"), (6, near["a"], "-"),  # a named document before one without id
+        (None, text["b"], "kept"),  # alone and without id
+        (None, text["c"], "one of c"), (None, near["c"], "one of c"), (None, text["c"], "one of c"),
+        (7, text["d"], "one of d"), (7, text["d"], "one of d"), (7, near["d"], "one of d"),
+        (5, text["e"], "-"), (3, near["e"], "kept"),  # the id 5 is kept for another text
+        (None, text["f"], "-"), (9, near["f"], "kept"), (9, None, "kept"), (None, " ", "kept"), (None, None, "kept"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, number string").repartition(3)
+    out = P.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [r[2] for r in rows if r[2] == "kept"] + ["one of c", "one of d"]
+    assert sorted(r["number"] for r in out.collect()) == sorted(want)
