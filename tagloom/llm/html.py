@@ -6,8 +6,11 @@ share. An element's density sum adds the densities of its children. The element
 text; the smallest density on the path from it to the body is the threshold, and every element of at least that
 density contributes the subtree with the largest sum below it.
 
-Elements that never hold an article (menus, page headers and footers, asides, forms, scripts, styles, and elements whose
-class, id or role names an advert, notice, sidebar or comments) are left out of the tree before densities are computed.
+Elements that never hold an article (menus, page headers and footers, asides, scripts, styles, what is hidden) are left
+out of the tree before densities are computed. So are forms and elements whose class or id names an advert, notice,
+sidebar or comments, unless one, or all of one name together, hold most of the page's text outside links: then the
+densities decide. Beside the one article or main element of a page they are always left out. Formulas are text of the
+line that they stand in.
 
 Defined results: null, empty or text-less pages give an empty text; unclosed and unknown tags are tolerated and cut-off
 pages give what is there; repeated pages get a row each; other columns are ignored; an empty table gives no rows.
@@ -18,32 +21,35 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 
 from .common import map_texts
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
+RAW = set("script style textarea title noscript template iframe noembed noframes xmp svg annotation annotation-xml".split())
 #: Elements that end a line of text; all others are part of one.
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section "
     "summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = set("head nav footer aside form button select menu dialog object canvas audio video".split())
-ROLES = set("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
+NEVER = set("head nav footer aside button select menu dialog object canvas audio video".split())
+ROLES = set("navigation banner contentinfo complementary menu menubar alert dialog alertdialog".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words of a class or id that mark what is not the article.
+#: Whole names in a class or id, or heads of names, that mark what is not the article. A word of place may stand before
+#: them (site-footer, left-sidebar); other names before them say what stands beside an element or what made it.
 NOISE = re.compile(
-    r"(?<![a-z])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|banners?|"
+    r"[^a-z]*(?:(?:site|page|global|main|primary|secondary|left|right|top|bottom|post|entry|article|blog)[-_]+)*"
+    r"(ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|banners?|"
     r"nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|side-?bars?|sidenav|aside|related|recommend(?:ed|ations)?|"
     r"widgets?|footers?|(?:site|page)-?header|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|notifications?|alerts?|"
     r"popups?|pop-up|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|search|"
     r"shar(?:e|ing)|social|comments?|commentlist|respond|replies|disqus|discussion|skip-?link)(?![a-z])"
 )
-#: Names such as has-sidebar say what stands beside an element, not what it is.
-BESIDE = re.compile(r"(?:has|with|no|without)[-_]")
+#: The kind of noise that is left out however much text it holds.
+ALWAYS = "always"
 #: An open element is closed by the start of these.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
@@ -59,32 +65,40 @@ ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "chars", "links", "tags", "link_tags", "density", "total", "block")
+    __slots__ = ("name", "parent", "children", "chars", "links", "tags", "link_tags", "density", "total", "block", "own", "noise")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.children = name, parent, []
-        self.chars = self.links = self.tags = self.link_tags = 0
+        self.chars = self.links = self.tags = self.link_tags = self.own = 0
+        self.noise = ""
         self.density = self.total = 0.0
         self.block = name in BLOCKS
 
 
-def noise(name: str, attrs: str, in_article: bool, by_class: bool) -> bool:
-    """Whether an element and all below it are no part of an article."""
+def noise(name: str, attrs: str, in_article: bool, by_class: bool) -> str:
+    """Whether an element and all below it are no part of an article: ALWAYS, the name that says so, or nothing."""
     if name in NEVER or name == "header" and not in_article:
-        return True
-    if not attrs or not by_class or name in ("html", "body", "article", "main"):
-        return False
+        return ALWAYS
+    if not by_class or name in ("html", "body", "article", "main"):
+        return ""
+    found = ""
     for key, *values in ATTR.findall(attrs):
         key, value = key.lower(), "".join(values).lower()
         if key in ("class", "id"):
             for word in value.split():
-                if word == "header" and not in_article or NOISE.search(word) and not BESIDE.match(word):
-                    return True
+                if m := NOISE.match(word):
+                    found = found or m[1]
+                elif word == "header" and not in_article:
+                    found = found or word
+        elif key == "role" and value in ("form", "search"):
+            found = found or value
         elif (key, value) == ("aria-hidden", "true") or key == "role" and value in ROLES:
-            return True
+            return ALWAYS
         elif key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return bool(re.search(r"(?<!\S)hidden(?!\S)", attrs))
+            return ALWAYS
+    if re.search(r"(?<!\S)hidden(?!\S)", attrs):
+        return ALWAYS
+    return found or ("form" if name == "form" else "")
 
 
 def inside(node: Node | None, *names: str) -> Node | None:
@@ -95,30 +109,22 @@ def inside(node: Node | None, *names: str) -> Node | None:
 
 
 def parse(page: str, by_class: bool = True) -> Node:
-    """The tree of the page without its noise; texts are children of their element."""
+    """The tree of the page with its noise marked; texts are children of their element."""
     root = node = Node("html", None)
-    skip: list[str] = []  # names of the elements that are open from a piece of noise on
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
-        if not skip and (text := page[at : m.start() if m else end]):
+        if text := (page[at : m.start() if m else end]):
             node.children.append(text)
         if not m:
             break
         at, (closing, name, attrs) = m.end(), m.groups()
         if name is None:
-            if not skip and m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA["):
                 node.children.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         name = name.lower()
         if closing:
-            if name in skip:
-                while skip.pop() != name:
-                    pass
-                continue
-            if skip and name not in ("article", "main", "body", "html"):
-                continue
-            skip.clear()  # noise that was never closed ends with what it stands in
             found = inside(node, name)
             if found is not None and found is not root:
                 node = found.parent
@@ -131,29 +137,21 @@ def parse(page: str, by_class: bool = True) -> Node:
             continue
         if name in ("html", "body"):
             if name == "body" and inside(node, "body") is None:
-                skip.clear()  # a head that was never closed
-                node = root
+                node = root  # a head that was never closed ends here
                 node.children.append(node := Node("body", node))
             continue
-        if skip:
-            if name in BLOCKS and "p" in skip:
-                del skip[skip.index("p") :]
-            while skip and name in CLOSES.get(skip[-1], ()):
-                skip.pop()
-            if skip:
-                if name not in VOID:
-                    skip.append(name)
+        if node.name == "math":  # a formula is one piece of text; a block ends one that was never closed
+            if name not in BLOCKS:
                 continue
+            node = node.parent
         while name in CLOSES.get(node.name, ()):
             node = node.parent
         if name in BLOCKS and (p := inside(node, "p", "td", "th", "li")) is not None and p.name == "p":
             node = p.parent
-        if name in VOID:
-            node.children.append(Node(name, node))
-        elif noise(name, attrs, inside(node, "article", "main") is not None, by_class):
-            skip = [name]
-        else:
-            node.children.append(node := Node(name, node))
+        node.children.append(child := Node(name, node))
+        if name not in VOID:
+            child.noise = noise(name, attrs, inside(node, "article", "main") is not None, by_class)
+            node = child
     return root
 
 
@@ -166,15 +164,49 @@ def walk(root: Node) -> list[Node]:
     return order[::-1]
 
 
+def prune(nodes: list[Node]) -> None:
+    """Counts the characters of every element's own text and takes the noise out of the tree; the last one is the root."""
+    plain: dict[Node, int] = {}  # characters outside links and outside what is always left out
+    for node in nodes:
+        node.own = sum(len(" ".join(html.unescape(c).split())) for c in node.children if isinstance(c, str))
+        within = node.own + sum(plain[c] for c in node.children if isinstance(c, Node))
+        plain[node] = 0 if node.name == "a" or node.noise == ALWAYS else within
+    most = plain[nodes[-1]] / 2
+    held, largest = Counter(), Counter()  # by all elements of one name together, and by one of them
+    around: dict[Node | None, frozenset] = {None: frozenset()}
+    homes = 0
+    for node in reversed(nodes):
+        names = around[node.parent]
+        if ALWAYS in names:
+            plain[node] = 0
+        kind = ALWAYS if node.name == "a" else node.noise
+        if kind and kind not in names:
+            held[kind] += plain[node]
+            largest[kind] = max(largest[kind], plain[node])
+            names = names | {kind}
+        elif node.name in ("article", "main") and not names and plain[node]:
+            homes += 1
+            names = frozenset({"article"})
+        around[node] = names
+
+    def stays(node: Node) -> bool:
+        if not node.noise:
+            return True
+        if homes == 1 and "article" not in around[node]:
+            return False
+        return plain[node] > most or held[node.noise] > most >= largest[node.noise]
+
+    for node in nodes:
+        node.children = [c for c in node.children if isinstance(c, str) or stays(c)]
+
+
 def densities(nodes: list[Node]) -> None:
     """Counts, composite densities and density sums of all elements; the last one is the root."""
     for node in nodes:
+        node.chars += node.own
+        node.links += node.own if node.name == "a" else 0
         for child in node.children:
-            if isinstance(child, str):
-                n = len(" ".join(html.unescape(child).split()))
-                node.chars += n
-                node.links += n if node.name == "a" else 0
-            else:
+            if isinstance(child, Node):
                 node.chars += child.chars
                 node.links += child.chars if node.name == "a" else child.links
                 node.tags += child.tags + 1
@@ -214,7 +246,9 @@ def chosen(nodes: list[Node]) -> list[Node]:
 
 
 def main_text(page: str | None, by_class: bool = True) -> str:
-    nodes = walk(parse(page or "", by_class))
+    tree = parse(page or "", by_class)
+    prune(walk(tree))
+    nodes = walk(tree)
     densities(nodes)
     root = nodes[-1]
     if not root.chars:

@@ -152,6 +152,25 @@ def test_html_main_text():
     assert html.main_text(deep) == "words in the deep"
 
 
+def test_html_names_do_not_cut_the_article():
+    said = [f"Paragraph {k} of a text that goes on for some time and is read by somebody." for k in range(6)]
+    paragraphs, want = "".join(f"<p>{p}</p>" for p in said), "\n".join(said)
+    rest = "<nav><a href=/>Start</a></nav><div class=left-sidebar>Beside</div>%s<div id=site-footer>&copy; 2020 me</div>"
+    pieces = "".join(f"<div class='{{0}}'><p>{p}</p></div>" for p in said)
+    for name in ("elementor-widget-container", "elementor-widget", "post-with-sidebar", "content-has-sidebar", "widget"):
+        assert html.main_text(rest % f"<div class='{name}'>{paragraphs}</div>") == want
+        assert html.main_text(rest % pieces.format(name)) == want
+    assert html.main_text(f"<body><form id=form1>{rest % paragraphs}</form></body>") == want
+    assert html.main_text(f"<body><form id=form1>{paragraphs}</form></body>") == want
+    assert html.main_text(f"<body><form>{paragraphs}</form><p>&copy; 2020 me</p></body>").startswith(want)
+    assert html.main_text(f"<body><div class=ad>{paragraphs}</div><article><p>Short.</p></article></body>") == "Short."
+    assert html.main_text(f"<body><main><h1>Head</h1><form>{paragraphs}</form></main></body>") == f"Head\n{want}"
+    assert html.main_text(rest % f"{paragraphs}<form>Your name <input></form>") == want
+    sum_ = "<math><mi>a</mi><mo>+</mo><mi>b</mi><annotation encoding=tex>a + b</annotation></math>"
+    assert html.main_text(f"<p>The sum {sum_} of two numbers.</p>") == "The sum a+b of two numbers."
+    assert html.main_text("<p>The sum <math><mi>a</mi><p>goes on.</p>") == "The sum a\ngoes on."
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>A text of some words.</p>", 3), (None, None, None, 3), (1, "u", "<p>A text of some words.</p>", 3)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
