@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,15 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where the session names none."""
+    """The folder that all executors share, as the session names it; a folder of our own only in local mode, as one of
+    the driver's machine would be out of reach for the executors of a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and (current := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        named = current.get()
+    if not named and spark.sparkContext.master.partition("[")[0] == "local":  # one process on one machine, as in tests
+        named = tempfile.mkdtemp(prefix="tagloom-")
+        spark.sparkContext.setCheckpointDir(named)
     if not named:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            named = current.get()
-        else:
-            named = tempfile.mkdtemp(prefix="tagloom-")
-            spark.sparkContext.setCheckpointDir(named)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
@@ -47,6 +51,24 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def measured(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """(rows, bytes of their texts): numbers of parts follow them, no result does."""
+    row = df.agg(F.count("*"), F.sum(F.octet_length(text_col).cast("long"))).first()
+    return row[0], row[1] or 0
+
+
+def hand_back() -> None:
+    """Gives the memory that a task no longer uses back to the system, as its worker waits for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Rows of a batch that become Python values at a time.
+ROWS = 256
+
+
 def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -62,9 +84,12 @@ def struct_of(fn: Callable[[tuple], tuple], schema: str) -> Callable[..., Column
     fields = arrow_schema(schema)
 
     def rows(columns: list) -> pa.StructArray:
-        made = list(zip(*(fn(*row) for row in zip(*(c.to_pylist() for c in columns)))))
-        made = made or [[]] * len(fields)
-        return pa.StructArray.from_arrays([pa.array(list(v), f.type) for v, f in zip(made, fields)], fields=list(fields))
+        parts = []
+        for at in range(0, max(1, len(columns[0])), ROWS):
+            made = list(zip(*(fn(*row) for row in zip(*(c.slice(at, ROWS).to_pylist() for c in columns)))))
+            made = made or [[]] * len(fields)
+            parts.append(pa.StructArray.from_arrays([pa.array(list(v), f.type) for v, f in zip(made, fields)], fields=list(fields)))
+        return pa.concat_arrays(parts)
 
     def one(a: pa.Array) -> pa.Array:
         return rows([a])
@@ -81,7 +106,7 @@ def map_texts(
     columns: list[str],
     fn: Callable[[tuple], tuple],
     schema: str,
-    rows_per_batch: int = 256,
+    rows_per_batch: int = ROWS,
 ) -> DataFrame:
     """One output row for each input row: ``fn`` gets the named columns and returns the columns of ``schema``.
 
@@ -99,6 +124,7 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(v), type=f.type) for v, f in zip(made, arrow)], schema=arrow
                 )
+        hand_back()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -25,18 +25,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, written
+from .common import arrow_schema, hand_back, measured, written
 
 #: Counts up to this are discounted.
 K = 5
-#: Tokens in a block.
+#: Tokens in a block, and bytes of input for each part of the tables at most.
 BLOCK_TOKENS = 3_000_000
+PART_BYTES = 16_000_000
 #: A first word with more than this share of a part's tokens is dealt over all parts.
 FREQUENT = 4
 MODULUS, HELD_OUT = 7, 2
@@ -110,10 +111,11 @@ def encode(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame
         place[order] = np.arange(len(order), dtype=np.int32)
         own = place[np.concatenate(tokens)]
         sizes = np.array(sizes, np.int32)
-        train = np.repeat(np.array([not held_out(i) for i in ids]), sizes)
+        held = np.array([held_out(i) for i in ids])
+        train = np.repeat(~held, sizes)
         counts = np.bincount(own[train], minlength=len(order))
         hashes, part = hashes[order], part[order]
-        yield 0, 0, block, ids, pack(sizes), pack(own), None
+        yield 0, 0, block, ids, pack(sizes), pack(own), pack(held.view(np.uint8))
         cuts = np.searchsorted(part, np.arange(parts + 1))
         for p in range(parts):
             if cuts[p] < cuts[p + 1]:
@@ -144,6 +146,7 @@ def encode(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame
                     ids, sizes, tokens, n, words = [], [], [], 0, {_END: 0}
         if ids:
             yield out()
+        hand_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -151,40 +154,45 @@ def encode(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame
 _ANSWER = "block long, part int, a binary, b binary, n array<long>, word long, stats array<double>"
 
 
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
 def unigrams(asked: DataFrame, parts: int) -> DataFrame:
     """Answers for each block and part: counts (a) and numbers (b) of its words; block -1 has sums over a part: tokens,
     words, and words that occur 1 to K + 1 times."""
+    arrow = arrow_schema(_ANSWER)
 
-    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
-        part = int(rows["part"].iat[0])
-        hashes = [unpack(a, np.uint64) for a in rows["a"]]
+    def add_up(rows: pa.Table) -> pa.Table:
+        part = rows["part"][0].as_py()
+        hashes = [unpack(a.as_py(), np.uint64) for a in rows["a"]]
         known, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([unpack(b, np.int64) for b in rows["b"]]), len(known)).astype(np.int64)
+        counts = np.bincount(inverse, np.concatenate([unpack(b.as_py(), np.int64) for b in rows["b"]]), len(known)).astype(np.int64)
         number = np.empty(len(known), np.int64)
         number[np.argsort(-counts, kind="stable")] = np.arange(len(known))
         number = number * parts + part
         out, at = [], 0
-        for block, h in zip(rows["block"], hashes):
+        for block, h in zip(rows["block"].to_pylist(), hashes):
             mine = inverse[at : at + len(h)]
             at += len(h)
             out.append((block, part, pack(counts[mine]), pack(number[mine]), None, None, None))
         rare = [int((counts == r).sum()) for r in range(1, K + 2)]
         out.append((-1, part, None, None, [int(counts.sum()), int((counts > 0).sum()), *rare], None, None))
-        return pd.DataFrame(out, columns=["block", "part", "a", "b", "n", "word", "stats"])
+        return _table(out, arrow)
 
-    return asked.groupBy("part").applyInPandas(add_up, _ANSWER)
+    return asked.groupBy("part").applyInArrow(add_up, _ANSWER)
 
 
 class Block:
     """A block's tokens with what the unigram tables answered: counts and numbers of its words in their order."""
 
-    def __init__(self, row, answers: pd.DataFrame):
-        self.id, self.ids = row["block"], row["ids"]
-        self.sizes, self.tokens = unpack(row["a"], np.int32), unpack(row["b"], np.int32)
-        answers = answers.sort_values("part")
-        self.counts = np.concatenate([unpack(a, np.int64) for a in answers["a"]])
-        self.numbers = np.concatenate([unpack(b, np.int64) for b in answers["b"]])
-        self.held = np.array([held_out(None if pd.isna(i) else i) for i in self.ids])
+    def __init__(self, row: pa.Table, answers: pa.Table):
+        self.id = row["block"][0].as_py()
+        self.sizes, self.tokens = unpack(row["a"][0].as_py(), np.int32), unpack(row["b"][0].as_py(), np.int32)
+        self.held = unpack(row["c"][0].as_py(), np.uint8) > 0
+        answers = answers.sort_by("part")
+        self.counts = np.concatenate([unpack(a.as_py(), np.int64) for a in answers["a"]])
+        self.numbers = np.concatenate([unpack(b.as_py(), np.int64) for b in answers["b"]])
         # the end mark is the last token of every text, and stands before its first one
         before = np.concatenate((self.tokens[-1:], self.tokens[:-1])).astype(np.int64)
         self.pairs, self.inverse = np.unique(before << 32 | self.tokens, return_inverse=True)
@@ -213,34 +221,35 @@ def ask_bigrams(blocks: DataFrame, answered: DataFrame, parts: int, total: int)
     """(part, block, a: first words, how many pairs each and whether it is frequent, b: second words, their counts and the
     block's training counts of the pairs)."""
 
-    def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in left.iterrows():
-            block = Block(row, right[right["block"] == row["block"]])
-            train = np.repeat(~block.held, block.sizes)
-            counts = np.bincount(block.inverse[train], minlength=len(block.pairs))
-            _, frequent = block.parts(parts, total)
-            for p, at in block.in_parts(parts, total):
-                first = block.numbers[block.first[at]]
-                start = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-                runs = np.diff(np.append(start, len(first)))
-                a = (first[start], runs.astype(np.int32), frequent[at][start].astype(np.uint8))
-                b = (block.numbers[block.second[at]], block.counts[block.second[at]], counts[at].astype(np.int32))
-                out.append((p, block.id, [pack(x) for x in a], [pack(x) for x in b]))
-        return pd.DataFrame(out, columns=["part", "block", "a", "b"])
-
     schema = "part int, block long, a array<binary>, b array<binary>"
-    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(ask, schema)
+    arrow = arrow_schema(schema)
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        block, out = Block(left, right), []
+        train = np.repeat(~block.held, block.sizes)
+        counts = np.bincount(block.inverse[train], minlength=len(block.pairs))
+        _, frequent = block.parts(parts, total)
+        for p, at in block.in_parts(parts, total):
+            first = block.numbers[block.first[at]]
+            start = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
+            runs = np.diff(np.append(start, len(first)))
+            a = (first[start], runs.astype(np.int32), frequent[at][start].astype(np.uint8))
+            b = (block.numbers[block.second[at]], block.counts[block.second[at]], counts[at].astype(np.int32))
+            out.append((p, block.id, [pack(x) for x in a], [pack(x) for x in b]))
+        return _table(out, arrow)
+
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(ask, schema)
 
 
 def bigrams(asked: DataFrame, base: Unigrams) -> DataFrame:
     """Answers for each block and part: training counts of its pairs (a) and the backoff figures of its first words (b);
     block -1: pairs that occur 1 to K + 1 times; block -2: a part's share in the figures of a frequent word."""
+    arrow = arrow_schema(_ANSWER)
 
-    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
-        part = int(rows["part"].iat[0])
-        heads = [[unpack(x, t) for x, t in zip(a, (np.int64, np.int32, np.uint8))] for a in rows["a"]]
-        tails = [[unpack(x, t) for x, t in zip(b, (np.int64, np.int64, np.int32))] for b in rows["b"]]
+    def add_up(rows: pa.Table) -> pa.Table:
+        part = rows["part"][0].as_py()
+        heads = [[unpack(x, t) for x, t in zip(a.as_py(), (np.int64, np.int32, np.uint8))] for a in rows["a"]]
+        tails = [[unpack(x, t) for x, t in zip(b.as_py(), (np.int64, np.int64, np.int32))] for b in rows["b"]]
         words, word_of = np.unique(np.concatenate([h[0] for h in heads]), return_inverse=True)
         frequent = np.zeros(len(words), bool)
         frequent[word_of] = np.concatenate([h[2] for h in heads]) > 0
@@ -257,16 +266,16 @@ def bigrams(asked: DataFrame, base: Unigrams) -> DataFrame:
         stats[:, K] = np.bincount(head, np.where(counts > K, counts, 0), len(words))
         stats[:, K + 1] = np.bincount(head, np.where(counts > 0, mass[tail], 0.0), len(words))
         out, at, word_at = [], 0, 0
-        for block, h, t in zip(rows["block"], heads, tails):
+        for block, h, t in zip(rows["block"].to_pylist(), heads, tails):
             mine, own = inverse[at : at + len(t[0])], word_of[word_at : word_at + len(h[0])]
             at, word_at = at + len(t[0]), word_at + len(h[0])
             out.append((block, part, pack(counts[mine].astype(np.int64)), pack(stats[own].ravel()), None, None, None))
         rare = [int((counts == r).sum()) for r in range(1, K + 2)]
         out.append((-1, part, None, None, rare, None, None))
         out += [(-2, part, None, None, None, int(words[w]), stats[w].tolist()) for w in np.flatnonzero(frequent)]
-        return pd.DataFrame(out, columns=["block", "part", "a", "b", "n", "word", "stats"])
+        return _table(out, arrow)
 
-    return asked.groupBy("part").applyInPandas(add_up, _ANSWER)
+    return asked.groupBy("part").applyInArrow(add_up, _ANSWER)
 
 
 def backoff(stats: np.ndarray, counts: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,57 +295,53 @@ def backoff(stats: np.ndarray, counts: np.ndarray, d: np.ndarray) -> tuple[np.nd
 def evaluate(
     blocks: DataFrame, answers: DataFrame, parts: int, base: Unigrams, words: int, d: np.ndarray, frequent: dict, id_col: str
 ) -> DataFrame:
-    """Scores of every document."""
+    """Scores of every document. The ids are handed through as Arrow values and never become numbers of another kind."""
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in left.iterrows():
-            mine = right[right["block"] == row["block"]]
-            block = Block(row, mine[mine["level"] == 1])
-            seen = np.zeros(len(block.pairs), np.int64)
-            stats = np.zeros((len(block.numbers), _STATS))
-            replies = mine[mine["level"] == 2].set_index("part")
-            for p, at in block.in_parts(parts, base.total):
-                seen[at] = unpack(replies.at[p, "a"], np.int64)
-                first = block.first[at]
-                start = np.concatenate(([True], first[1:] != first[:-1]))
-                stats[first[start]] = unpack(replies.at[p, "b"], np.float64).reshape(-1, _STATS)
-            for k in np.flatnonzero(block.counts * FREQUENT * parts >= max(1, base.total)):
-                if int(block.numbers[k]) in frequent:
-                    stats[k] = frequent[int(block.numbers[k])]
-            weight, scale = backoff(stats, block.counts, d)
-            lower = base.probability(block.counts)
-            history = np.maximum(block.counts[block.first], 1)
-            ratio = np.where(seen <= K, d[np.minimum(seen, K)], 1.0) * scale[block.first]
-            chance = np.where(seen > 0, ratio * seen / history, weight[block.first] * lower[block.second])
-            logs = np.log10(chance)[block.inverse]
-            plain = np.log10((block.counts + 1) / (base.total + words + 1))[block.tokens]
-            ends = np.concatenate(([0], np.cumsum(block.sizes)[:-1]))
-            out.append(
-                pd.DataFrame(
-                    {
-                        id_col: list(block.ids),
-                        "held_out": block.held,
-                        "n_tokens": block.sizes.astype(np.int64),
-                        "n_known": np.add.reduceat((block.counts[block.tokens] > 0).astype(np.int64), ends),
-                        "train_tokens": base.total,
-                        "base_score": np.add.reduceat(plain, ends),
-                        "score": np.add.reduceat(logs, ends),
-                    }
-                )
-            )
-        return pd.concat(out) if out else pd.DataFrame(columns=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, schema)
+    arrow = arrow_schema(schema)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block(left, right.filter(pc.equal(right["level"], 1)))
+        seen = np.zeros(len(block.pairs), np.int64)
+        stats = np.zeros((len(block.numbers), _STATS))
+        second = right.filter(pc.equal(right["level"], 2))
+        replies = {p: k for k, p in enumerate(second["part"].to_pylist())}
+        for p, at in block.in_parts(parts, base.total):
+            k = replies[p]
+            seen[at] = unpack(second["a"][k].as_py(), np.int64)
+            first = block.first[at]
+            start = np.concatenate(([True], first[1:] != first[:-1]))
+            stats[first[start]] = unpack(second["b"][k].as_py(), np.float64).reshape(-1, _STATS)
+        for k in np.flatnonzero(block.counts * FREQUENT * parts >= max(1, base.total)):
+            if int(block.numbers[k]) in frequent:
+                stats[k] = frequent[int(block.numbers[k])]
+        weight, scale = backoff(stats, block.counts, d)
+        lower = base.probability(block.counts)
+        history = np.maximum(block.counts[block.first], 1)
+        ratio = np.where(seen <= K, d[np.minimum(seen, K)], 1.0) * scale[block.first]
+        chance = np.where(seen > 0, ratio * seen / history, weight[block.first] * lower[block.second])
+        logs = np.log10(chance)[block.inverse]
+        plain = np.log10((block.counts + 1) / (base.total + words + 1))[block.tokens]
+        ends = np.concatenate(([0], np.cumsum(block.sizes)[:-1]))
+        columns = [
+            pc.list_flatten(left["ids"]).combine_chunks(),
+            block.held,
+            block.sizes.astype(np.int64),
+            np.add.reduceat((block.counts[block.tokens] > 0).astype(np.int64), ends),
+            np.full(len(ends), base.total, np.int64),
+            np.add.reduceat(plain, ends),
+            np.add.reduceat(logs, ends),
+        ]
+        return pa.Table.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability of the text)."""
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), measured(docs, text_col)[1] // PART_BYTES)
     encoded = written(encode(docs, parts, id_col, text_col))
-    blocks = encoded.where("kind = 0").select("block", "ids", "a", "b")
+    blocks = encoded.where("kind = 0").select("block", "ids", "a", "b", "c")
     first = written(unigrams(encoded.where("kind = 1").select("part", "block", "a", "b"), parts))
     total, words, *rare = _sums(first, K + 3)
     base = Unigrams(total, [0, *rare])
