@@ -9,8 +9,11 @@ density contributes the subtree with the largest sum below it.
 Elements that never hold an article (menus, page headers and footers, asides, scripts, styles, what is hidden) are left
 out of the tree before densities are computed. So are forms and elements whose class or id names an advert, notice,
 sidebar or comments, unless one, or all of one name together, hold most of the page's text outside links: then the
-densities decide. Beside the one article or main element of a page they are always left out. Formulas are text of the
-line that they stand in.
+densities decide. Names of what consists of links or fields (menus, search, social) count only for elements without much
+other text. Beside the one article or main element of a page noise is always left out. A header that its class names as
+that of an entry belongs to the article, and its headings to the text. Formulas are text of the line that they stand in.
+
+Open elements are kept on a stack with a count of each name, so the time follows the length of a page, however deep.
 
 Defined results: null, empty or text-less pages give an empty text; unclosed and unknown tags are tolerated and cut-off
 pages give what is there; repeated pages get a row each; other columns are ignored; an empty table gives no rows.
@@ -18,6 +21,7 @@ pages give what is there; repeated pages get a row each; other columns are ignor
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -38,6 +42,7 @@ BLOCKS = set(
 NEVER = set("head nav footer aside button select menu dialog object canvas audio video".split())
 ROLES = set("navigation banner contentinfo complementary menu menubar alert dialog alertdialog".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+HOMES = {"article", "main"}
 #: Whole names in a class or id, or heads of names, that mark what is not the article. A word of place may stand before
 #: them (site-footer, left-sidebar); other names before them say what stands beside an element or what made it.
 NOISE = re.compile(
@@ -50,34 +55,45 @@ NOISE = re.compile(
 )
 #: The kind of noise that is left out however much text it holds.
 ALWAYS = "always"
+#: Elements that hold a paragraph or are one.
+PARAGRAPHS = {"p", "td", "th", "li"}
 #: An open element is closed by the start of these.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
     "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
 }
 
+#: Names of what consists of links or fields, and the characters of other text that make it something else.
+LINKED = set("nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager social search toolbar login".split())
+OTHER_TEXT = 80
+#: Classes of a header that belongs to an article.
+OWN_HEADER = re.compile(r"(?<![a-z])(?:entry|post|article|story|content|single)[-_]+(?:header|heading|title|top)(?![a-z])")
+
+#: One attribute: a quote begins a value only where the value begins, elsewhere it is a character like any other.
+_ATTR = r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*))?)?"
+ATTR = re.compile(_ATTR)
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    rf"|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|{re.sub(r'[(](?![?])', '(?:', _ATTR)})*+)(?:>|\Z)",
     re.S,
 )
-ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "chars", "links", "tags", "link_tags", "density", "total", "block", "own", "noise")
+    __slots__ = ("name", "parent", "children", "chars", "links", "tags", "link_tags", "density", "total", "block", "own", "noise", "home")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.children = name, parent, []
         self.chars = self.links = self.tags = self.link_tags = self.own = 0
         self.noise = ""
+        self.home = self if name in HOMES else parent and parent.home  # the nearest article, if any
         self.density = self.total = 0.0
         self.block = name in BLOCKS
 
 
 def noise(name: str, attrs: str, in_article: bool, by_class: bool) -> str:
     """Whether an element and all below it are no part of an article: ALWAYS, the name that says so, or nothing."""
-    if name in NEVER or name == "header" and not in_article:
+    if name in NEVER or name == "header" and not in_article and not OWN_HEADER.search(attrs.lower()):
         return ALWAYS
     if not by_class or name in ("html", "body", "article", "main"):
         return ""
@@ -101,60 +117,95 @@ def noise(name: str, attrs: str, in_article: bool, by_class: bool) -> str:
     return found or ("form" if name == "form" else "")
 
 
-def inside(node: Node | None, *names: str) -> Node | None:
-    """The nearest open element of those names."""
-    while node is not None and node.name not in names:
-        node = node.parent
-    return node
+class Open:
+    """The open elements, outermost first."""
+
+    def __init__(self, root: Node):
+        self.root = root
+        self.restart()
+
+    def restart(self) -> None:
+        self.stack, self.count = [self.root], Counter()
+        self.lines: list[Node] = []  # those that end or hold a paragraph
+
+    @property
+    def last(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.count[node.name] += 1
+        if node.name in PARAGRAPHS:
+            self.lines.append(node)
+
+    def pop(self) -> Node:
+        node = self.stack.pop()
+        self.count[node.name] -= 1
+        if node.name in PARAGRAPHS:
+            self.lines.pop()
+        return node
+
+    def close(self, name: str) -> None:
+        """Ends the nearest element of that name and all within it; nothing where none is open."""
+        while self.count[name]:
+            if self.pop().name == name:
+                break
 
 
 def parse(page: str, by_class: bool = True) -> Node:
     """The tree of the page with its noise marked; texts are children of their element."""
-    root = node = Node("html", None)
-    at, end = 0, len(page)
+    root = Node("html", None)
+    open_, at, end = Open(root), 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
         if text := (page[at : m.start() if m else end]):
-            node.children.append(text)
+            open_.last.children.append(text)
         if not m:
             break
         at, (closing, name, attrs) = m.end(), m.groups()
         if name is None:
             if m[0].startswith("<![CDATA["):
-                node.children.append(html.escape(m[0][9:].removesuffix("]]>")))
+                open_.last.children.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         name = name.lower()
         if closing:
-            found = inside(node, name)
-            if found is not None and found is not root:
-                node = found.parent
+            open_.close(name)
             continue
         if name in RAW:  # its content is no markup
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            close = _raw_end(name).search(page, at)
             at = close.end() if close else end
             if close and (gt := page.find(">", at)) >= 0:
                 at = gt + 1
             continue
         if name in ("html", "body"):
-            if name == "body" and inside(node, "body") is None:
-                node = root  # a head that was never closed ends here
-                node.children.append(node := Node("body", node))
+            if name == "body" and not open_.count["body"]:
+                open_.restart()  # a head that was never closed ends here
+                root.children.append(body := Node("body", root))
+                open_.push(body)
             continue
-        if node.name == "math":  # a formula is one piece of text; a block ends one that was never closed
+        if open_.last.name == "math":  # a formula is one piece of text; a block ends one that was never closed
             if name not in BLOCKS:
                 continue
-            node = node.parent
-        while name in CLOSES.get(node.name, ()):
-            node = node.parent
-        if name in BLOCKS and (p := inside(node, "p", "td", "th", "li")) is not None and p.name == "p":
-            node = p.parent
-        node.children.append(child := Node(name, node))
+            open_.pop()
+        while name in CLOSES.get(open_.last.name, ()):
+            open_.pop()
+        if name in BLOCKS and open_.lines and open_.lines[-1].name == "p":
+            open_.close("p")
+        parent = open_.last
+        parent.children.append(child := Node(name, parent))
         if name not in VOID:
-            child.noise = noise(name, attrs, inside(node, "article", "main") is not None, by_class)
-            node = child
+            child.noise = noise(name, attrs, parent.home is not None, by_class)
+            if name == "header" and not child.noise and child.home is None:
+                child.home = parent  # the header of an entry
+            open_.push(child)
     return root
 
 
+@functools.cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I)
+
+
 def walk(root: Node) -> list[Node]:
     """Every element, children before their parents, without recursion."""
     order, stack = [], [root]
@@ -167,8 +218,10 @@ def walk(root: Node) -> list[Node]:
 def prune(nodes: list[Node]) -> None:
     """Counts the characters of every element's own text and takes the noise out of the tree; the last one is the root."""
     plain: dict[Node, int] = {}  # characters outside links and outside what is always left out
+    whole: dict[Node, int] = {}
     for node in nodes:
         node.own = sum(len(" ".join(html.unescape(c).split())) for c in node.children if isinstance(c, str))
+        whole[node] = node.own + sum(whole[c] for c in node.children if isinstance(c, Node))
         within = node.own + sum(plain[c] for c in node.children if isinstance(c, Node))
         plain[node] = 0 if node.name == "a" or node.noise == ALWAYS else within
     most = plain[nodes[-1]] / 2
@@ -184,7 +237,7 @@ def prune(nodes: list[Node]) -> None:
             held[kind] += plain[node]
             largest[kind] = max(largest[kind], plain[node])
             names = names | {kind}
-        elif node.name in ("article", "main") and not names and plain[node]:
+        elif node.name in HOMES and not names and plain[node]:
             homes += 1
             names = frozenset({"article"})
         around[node] = names
@@ -194,6 +247,8 @@ def prune(nodes: list[Node]) -> None:
             return True
         if homes == 1 and "article" not in around[node]:
             return False
+        if node.noise in LINKED and plain[node] > max(OTHER_TEXT, whole[node] / 2):
+            return True
         return plain[node] > most or held[node.noise] > most >= largest[node.noise]
 
     for node in nodes:
@@ -255,7 +310,11 @@ def main_text(page: str | None, by_class: bool = True) -> str:
         # a page whose every element looks like noise is read again without regard to class names
         return main_text(page, False) if by_class and page else ""
     marked = set(chosen(nodes))
-    homes = {home for n in marked if (home := inside(n, "article", "main"))}
+    above: set[Node] = set()
+    for node in marked:  # every element that holds some of the text
+        while node is not None and node not in above:
+            above.add(node)
+            node = node.parent
     blocks: list[list[str]] = [[]]
     stack: list = [(root, False)]
     while stack:  # in page order; None ends the block of an element
@@ -268,7 +327,7 @@ def main_text(page: str | None, by_class: bool = True) -> str:
         elif item.name == "br":
             blocks[-1].append(" ")
         else:
-            taken = taken or item in marked or item.name in HEADINGS and inside(item, "article", "main") in homes
+            taken = taken or item in marked or item.name in HEADINGS and item.home in above
             if item.name in BLOCKS:
                 blocks.append([])
                 stack.append((None, False))
