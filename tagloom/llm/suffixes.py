@@ -11,8 +11,8 @@ are sorted, each with the bytes that its strings reach before and after the anch
 2. Exchange: the pieces are shuffled by range. Anchors that share their gram always meet.
 3. Merge: a loser tree merges the pieces of a range. Each loser keeps the length of the prefix it shares with the suffix
    that beat it, a new suffix brings the one from its front code, and characters are compared only beyond these.
-4. Suffixes whose neighbours share enough are candidates; their strings are matched, and all but the first of equal
-   strings give an interval to remove. Intervals are joined to their documents.
+4. Suffixes whose neighbours share enough are candidates; their strings are looked up by hash and compared byte by byte,
+   and all but the first of equal strings give an interval to remove. Intervals are joined to their documents.
 
 A string shared by any number of documents costs one suffix for each run, not for each document.
 
@@ -23,26 +23,30 @@ columns are ignored; an empty table gives no rows; texts of any length are taken
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import struct_of, written
+from .common import hand_back, measured, struct_of, written
 
 LENGTH = 100
 GRAM = 8
 GRAMS = LENGTH - GRAM + 1
 #: Bytes of text whose suffixes are one run, and bytes that are scanned at a time.
 RUN_BYTES = 12_000_000
-SEGMENT = 1_000_000
+#: Bytes of input whose suffixes meet in one range of the merge at most.
+RANGE_BYTES = 16_000_000
+SEGMENT = 250_000
 #: Documents, and anchors of each, that the splitters are taken from at most.
 SAMPLE_DOCS, SAMPLE_ANCHORS = 4000, 64
 #: Candidate suffixes whose strings are matched together; whole groups are kept together beyond it.
-TOGETHER = 20_000
+TOGETHER = 8_000
+#: Pairs of strings that are compared at a time.
+COMPARED = 50_000
 
 _U = np.uint64
 _rng = np.random.default_rng(100)
@@ -158,22 +162,21 @@ def merge(runs: list[Iterator[tuple]]) -> Iterator[tuple[int, tuple]]:
             node >>= 1
 
 
-def _pack(part: list[tuple], docs: np.ndarray) -> bytes:
-    """A front-coded piece of a run: (suffix, before, document, anchor, strings), sorted by suffix."""
+def _pack(suffixes: list[bytes], before: list[bytes], strings: np.ndarray, docs: np.ndarray, places: np.ndarray) -> bytes:
+    """A front-coded piece of a run, sorted by suffix."""
     import zstandard
 
-    suffixes = [p[0] for p in part]
     shares = [0, *(shared_prefix(a, b, 0) for a, b in zip(suffixes, suffixes[1:]))]
     columns = [
-        np.array([len(part)], np.int64).tobytes(),
+        np.array([len(suffixes)], np.int64).tobytes(),
         np.array(shares, np.uint8).tobytes(),
         np.array([len(s) for s in suffixes], np.uint8).tobytes(),
-        np.array([len(p[1]) for p in part], np.uint8).tobytes(),
-        np.array([p[4] for p in part], np.uint8).tobytes(),
-        docs[[p[2] for p in part]].tobytes(),
-        np.array([p[3] for p in part], np.int64).tobytes(),
+        np.array([len(b) for b in before], np.uint8).tobytes(),
+        strings.astype(np.uint8).tobytes(),
+        docs.astype(np.int64).tobytes(),
+        places.astype(np.int64).tobytes(),
         b"".join([s[k:] for s, k in zip(suffixes, shares)]),
-        b"".join([p[1] for p in part]),
+        b"".join(before),
     ]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(columns))
 
@@ -201,36 +204,49 @@ def _unpack(blob: bytes) -> Iterator[tuple]:
 
 
 def _run(rows: list[tuple[int, bytes]], splitters: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Pieces (range, blob) of one run; range -1 has intervals that need no merge."""
-    known: dict[bytes, tuple] = {}
+    """Pieces (range, blob) of one run; range -1 has intervals that need no merge.
+
+    What an anchor's strings are is looked up by a hash of their bytes, and the bytes are compared before they count as
+    known. An entry is five numbers; suffixes become bytes of their own only while they are sorted and packed.
+    """
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    known: dict[int, int] = {}
     gone: list[tuple[int, int, int]] = []
+    owner, place, starts, ends, grams = array("q"), array("q"), array("q"), array("q"), array("Q")
     docs = np.array([d for d, _ in rows], np.int64)
-    order = np.argsort(docs, kind="stable")  # an earlier document keeps its strings
-    for k in order.tolist():
+    for k in np.argsort(docs, kind="stable").tolist():  # an earlier document keeps its strings
         doc, data = rows[k]
         for a, first, last, gram in zip(*(x.tolist() for x in anchors(data))):
             text = data[first : last + LENGTH]
-            key = text + bytes((a - first,))
-            if key in known:
+            at = known.setdefault(digest(text, a - first), len(owner))
+            if at < len(owner) and a - first == place[at] - starts[at] and text == rows[owner[at]][1][starts[at] : ends[at]]:
                 if gone and gone[-1][0] == doc and gone[-1][2] >= first:
                     gone[-1] = (doc, gone[-1][1], last + LENGTH)
                 else:
                     gone.append((doc, first, last + LENGTH))
-            else:
-                known[key] = (k, a, last - first + 1, gram)
+                continue
+            owner.append(k)
+            place.append(a)
+            starts.append(first)
+            ends.append(last + LENGTH)
+            grams.append(gram)
+    known.clear()
     if gone:
         yield -1, np.array(gone, np.int64).tobytes()
-    entries = []
-    for key, (k, a, strings, gram) in known.items():
-        cut = key[-1]
-        entries.append((key[cut:-1], key[:cut], k, a, strings, gram))
-    known.clear()
-    entries.sort()
-    into = np.searchsorted(splitters, np.array([e[5] for e in entries], np.uint64), side="right")
-    ends = np.flatnonzero(np.diff(into)) + 1
-    for start, stop in zip([0, *ends.tolist()], [*ends.tolist(), len(entries)]):
-        if stop > start:
-            yield int(into[start]), _pack(entries[start:stop], docs)
+    if not owner:
+        return
+    suffixes = [rows[k][1][a:end] for k, a, end in zip(owner, place, ends)]
+    order = np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__), np.int64)
+    owner, place, starts, ends = (np.frombuffer(x, np.int64) for x in (owner, place, starts, ends))
+    into = np.searchsorted(splitters, np.frombuffer(grams, np.uint64)[order], side="right")
+    cuts = np.flatnonzero(np.diff(into)) + 1
+    for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
+        mine = order[start:stop]
+        before = [rows[k][1][first:a] for k, first, a in zip(owner[mine].tolist(), starts[mine].tolist(), place[mine].tolist())]
+        strings = ends[mine] - LENGTH - starts[mine] + 1
+        yield int(into[start]), _pack([suffixes[i] for i in mine.tolist()], before, strings, docs[owner[mine]], place[mine])
 
 
 def runs(docs: DataFrame, splitters: np.ndarray) -> DataFrame:
@@ -254,13 +270,14 @@ def runs(docs: DataFrame, splitters: np.ndarray) -> DataFrame:
                         rows, size = [], 0
         if rows:
             yield out(rows)
+        rows = []
+        hand_back()
 
     return docs.select("doc", "text").mapInArrow(make, "range int, blob binary")
 
 
-def split_points(docs: DataFrame, ranges: int) -> np.ndarray:
-    """Grams that cut the anchors of a bounded sample of documents into equal ranges."""
-    n = docs.count()
+def split_points(docs: DataFrame, n: int, ranges: int) -> np.ndarray:
+    """Grams that cut the anchors of a bounded sample of the n documents into equal ranges."""
     if not n:
         return np.empty(0, np.uint64)
 
@@ -279,8 +296,8 @@ def split_points(docs: DataFrame, ranges: int) -> np.ndarray:
 def repeats(group: list[tuple]) -> tuple[np.ndarray, ...]:
     """(doc, start, end) of the strings that came before in a batch of whole gram groups.
 
-    The strings of all candidates are hashed from running hashes over their bytes; candidates stand in document order, so
-    the first of equal strings is the one that stays.
+    The strings of all candidates are found by running hashes over their bytes, and their bytes are compared before any
+    is called a repeat. Candidates stand in document order, so the first of equal strings is the one that stays.
     """
     group.sort(key=lambda e: (e[4], e[5]))
     n, width = len(group), 2 * LENGTH
@@ -290,14 +307,27 @@ def repeats(group: list[tuple]) -> tuple[np.ndarray, ...]:
     running = np.zeros((n, width + 1), np.uint64)
     for j in range(width):
         running[:, j + 1] = running[:, j] * _BASE + _VALUES[text[:, j]]
-    hashed = running[:, LENGTH:] - running[:, :-LENGTH] * _POWER  # of the string that starts at each column
     back = np.array([len(e[2]) for e in group])
     count = np.array([e[3] for e in group])
     column = np.arange(width - LENGTH + 1)
     valid = (column >= (LENGTH - back)[:, None]) & (column < (LENGTH - back + count)[:, None])
-    _, where, inverse = np.unique(hashed[valid], return_index=True, return_inverse=True)
+    hashed = (running[:, LENGTH:] - running[:, :-LENGTH] * _POWER)[valid]  # of the string that starts at each column
+    del running
+    _, where, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+    again = np.flatnonzero(where[inverse] != np.arange(len(inverse)))
+    row, start = np.nonzero(valid)
+    strings = np.lib.stride_tricks.sliding_window_view(text, LENGTH, axis=1)
+    first = where[inverse[again]]
+    del hashed, where, inverse
+    same = np.ones(len(again), bool)
+    for at in range(0, len(again), COMPARED):
+        x, y = again[at : at + COMPARED], first[at : at + COMPARED]
+        same[at : at + COMPARED] = (strings[row[x], start[x]] == strings[row[y], start[y]]).all(axis=1)
+    if not same.all():  # different strings of one hash: tell all of this batch apart by their bytes
+        seen: dict[bytes, int] = {}
+        again = np.array([k for k in range(len(row)) if seen.setdefault(strings[row[k], start[k]].tobytes(), k) != k], np.int64)
     gone = np.zeros(valid.shape, bool)
-    gone[valid] = where[inverse] != np.arange(len(inverse))
+    gone[row[again], start[again]] = True
     edges = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, start = np.nonzero(edges == 1)
     _, stop = np.nonzero(edges == -1)
@@ -305,11 +335,12 @@ def repeats(group: list[tuple]) -> tuple[np.ndarray, ...]:
     return doc[row], place[row] - LENGTH + start, place[row] - LENGTH + stop - 1 + LENGTH
 
 
-def _merged(pieces: pd.DataFrame) -> pd.DataFrame:
+def _merged(pieces: pa.Table) -> pa.Table:
     """Intervals to remove, from the pieces of one range."""
-    if pieces["range"].iat[0] < 0:
-        gone = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 3) for b in pieces["blob"]])
-        return pd.DataFrame(gone, columns=["doc", "start", "end"])
+    names = ["doc", "start", "end"]
+    if pieces["range"][0].as_py() < 0:
+        gone = np.concatenate([np.frombuffer(b.as_py(), np.int64).reshape(-1, 3) for b in pieces["blob"]])
+        return pa.Table.from_arrays([pa.array(gone[:, k]) for k in range(3)], names=names)
     found, batch, group = [], [], []
     shared_before = 0  # of the last entry of the group with the one before it
     need = lambda e: LENGTH - len(e[2])  # noqa: E731  bytes that a partner shares beyond the anchor at least
@@ -324,7 +355,7 @@ def _merged(pieces: pd.DataFrame) -> pd.DataFrame:
             found.append(repeats(batch))
             batch = []
 
-    for shared, entry in merge([_unpack(b) for b in pieces["blob"]]):
+    for shared, entry in merge([_unpack(b.as_py()) for b in pieces["blob"]]):
         if last is not None and max(shared_before, shared) >= need(last):
             group.append(last)
         if shared < GRAM:
@@ -336,26 +367,30 @@ def _merged(pieces: pd.DataFrame) -> pd.DataFrame:
     if batch:
         found.append(repeats(batch))
     out = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 3
-    return pd.DataFrame(dict(zip(("doc", "start", "end"), out)))
+    hand_back()
+    return pa.Table.from_arrays([pa.array(x) for x in out], names=names)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns with ``kept`` (binary: the remaining bytes), ``spans`` (removed runs of bytes as start and
     end) and n_bytes; columns of these names are replaced."""
     docs = docs.drop("kept", "spans", "n_bytes")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct("*").alias("_row"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct("*").alias("_row"))
+    text = F.col("_row")[text_col]
     kind = docs.schema[id_col].dataType.simpleString()
     odd = docs.groupBy(id_col).agg(F.count("*").alias("_n")).where(F.col(id_col).isNull() | (F.col("_n") > 1))
     if kind in ("bigint", "int") and odd.isEmpty():
-        rows = rows.select(F.col("_id").cast("long").alias("doc"), F.col("_text").alias("text"), "_row")
+        rows = rows.select(F.col("_id").cast("long").alias("doc"), "_row")
     else:  # a number for each row that keeps the order of the documents
-        key = ["_id", F.xxhash64("_text")]
+        key = ["_id", F.xxhash64(text)]
         rows = rows.repartitionByRange(*key).sortWithinPartitions(*key)
-        rows = written(rows.select(F.monotonically_increasing_id().alias("doc"), F.col("_text").alias("text"), "_row"))
-    ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = runs(rows, split_points(rows, ranges))
+        rows = written(rows.select(F.monotonically_increasing_id().alias("doc"), "_row"))
+    texts = rows.select("doc", text.alias("text"))
+    n, size = measured(texts)
+    ranges = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+    pieces = runs(texts, split_points(texts, n, ranges))
     dealt = F.when(F.col("range") < 0, F.pmod(F.xxhash64("blob"), F.lit(ranges)))
-    gone = pieces.groupBy("range", dealt).applyInPandas(_merged, "doc long, start long, end long")
+    gone = pieces.groupBy("range", dealt).applyInArrow(_merged, "doc long, start long, end long")
     spans = gone.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     joined = rows.join(spans, "doc", "left")
 
@@ -370,7 +405,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])), gone, len(data)
 
     schema = "kept binary, spans array<struct<start:long,end:long>>, n_bytes long"
-    made = struct_of(cut, schema)(F.col("text"), F.col("starts"), F.col("ends"))
+    made = struct_of(cut, schema)(text, F.col("starts"), F.col("ends"))
     return joined.select("_row", made.alias("_made")).select("_row.*", "_made.*")
 
 
