@@ -26,8 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hand_back
+
 #: Pieces that a worker remembers before it forgets those that are out of use.
 PIECES = 150_000
+#: Pairs of tokens whose neighbourhood a vocabulary remembers.
+PAIRS = 150_000
 
 
 class Vocabulary:
@@ -42,6 +46,7 @@ class Vocabulary:
         self.known_made: set[int] = set()
         #: near[left].get(right): whether the two may stand side by side, as far as that has been asked
         self.near: dict[int, dict[int, bool]] = defaultdict(dict)
+        self.n_near = 0
         #: every end of a token: its own id if it is a token, else -1
         self.endings = {t[i:]: -1 for t in ranks for i in range(len(t))} | ranks
 
@@ -92,7 +97,11 @@ class Vocabulary:
         """
         known = self.near[left].get(right)
         if known is None:
+            if self.n_near >= PAIRS:
+                self.near.clear()
+                self.n_near = 0
             known = self.near[left][right] = self._apart(left, right)
+            self.n_near += 1
         return known
 
     def _apart(self, left: int, right: int) -> bool:
@@ -287,6 +296,7 @@ def encode(
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
         _encoder(path, pattern).forget()  # the worker goes on to other work
+        hand_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>")
 
