@@ -8,14 +8,16 @@ Equal shingle sets are one class from the start. Within a bucket no pairs are li
 
 1. Classes in a bucket are compared by signature with its smallest class only (a star); what may be similar makes loose
    clusters.
-2. A cluster's full sets are compared with each other, in blocks for a large one, and only the links that hold its parts
-   together are given out: less than one for each member.
+2. A cluster's full sets are compared with each other, and only the links that hold its parts together are given out:
+   less than one for each member. In a large cluster all members are compared with a few leads first; what the leads
+   connect is not compared with itself again, and blocks of the members left over meet each other and all others.
 3. Buckets that still hold several clusters are looked at again: members of different clusters are compared by their
    signatures, and the few pairs that may reach the threshold are confirmed on the full sets too.
 
 Buckets are found by a range partitioning over (key, class), which splits a hot bucket over tasks; the parts of a bucket
 are joined through one row for each task border. Stars of a hot class are dealt over tasks by a salt. What is kept on
-disk at a time is one signature row for each document and the members of shared buckets.
+disk at a time is one signature row for each document and the members of shared buckets. Copies of a text are combined
+before their text is shuffled, and rows without words are joined with nothing.
 
 Defined results: null, empty or white-space texts have no shingles and are linked with nothing; a text of fewer words
 than a shingle is one shingle; repeated rows are equal documents and get a row each; a null id is never the name of a
@@ -29,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, map_texts, written
+from .common import discard, hand_back, map_texts, written
 from .graph import components
 
 HALVES = 12
@@ -43,6 +45,10 @@ LEAST_AGREEMENT = 0.6
 #: Members of a star, or of a block of a bucket, that one task handles together.
 STAR = 4096
 BLOCK = 2048
+#: Shingles in a block of a cluster at most, as far as it has several members.
+BLOCK_SHINGLES = 1_000_000
+#: A cluster of more than this many blocks is compared with this many leads before its blocks meet.
+LARGE, LEADS = 2, 3
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
@@ -214,18 +220,52 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
     return rows.select("a", "kind", "b", "packed").mapInArrow(check, "a long, b long")
 
 
-def cluster_links(clusters: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Confirmed links (a, b) that connect what is linked within each cluster, from all pairs of its full sets.
+def met(rows: DataFrame, main: Column, blocks: Column, main_blocks: Column) -> DataFrame:
+    """Deals rows to (i, j), the pairs of blocks that meet: blocks of all rows but those of the main part (0 to
+    ``blocks`` - 1) meet each other and those of the main part (beyond), which do not meet each other."""
+    first, many = F.when(main, blocks).otherwise(F.lit(0)), F.when(main, main_blocks).otherwise(blocks)
+    own = (first + F.pmod(F.xxhash64("node"), many)).cast("int")
+    others = F.when(main, blocks).otherwise(blocks + main_blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), others - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
+    return rows.where(others > 0).withColumns({"own": own, "p": F.explode(pairs)}).withColumns({"i": F.col("p.i"), "j": F.col("p.j")})
+
+
+def block_count(members: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(members / BLOCK, F.least(members, shingles / BLOCK_SHINGLES))).cast("int")
+
+
+def led(clusters: DataFrame, large: DataFrame, texts, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of large clusters: confirmed links of every member with the leads, and (node, main) of members, main where the
+    largest part that these links connect holds the member."""
+    members = clusters.join(large, "component", "left_semi")
+    place = F.row_number().over(Window.partitionBy("component").orderBy("node"))
+    leads = members.withColumn("place", place).where(F.col("place") <= LEADS).select("component", F.col("node").alias("a"))
+    pairs = members.select("component", F.col("node").alias("b")).join(leads, "component").where("a <> b").select("a", "b")
+    links = written(confirmed(pairs, texts(members), size, threshold))
+    parts = members.join(components(links).withColumnRenamed("component", "part"), "node").select("component", "node", "part")
+    largest = parts.groupBy("component", "part").count().groupBy("component").agg(F.max_by("part", "count").alias("part"))
+    return links, parts.join(largest, ["component", "part"]).select("node", F.lit(True).alias("main"))
+
+
+def cluster_links(clusters: DataFrame, classes: DataFrame, texts, size: int, threshold: float) -> DataFrame:
+    """Confirmed links (a, b) that connect what is linked within each cluster, from all pairs of its full sets but those
+    that leads have connected.
 
     Blocks of a large cluster meet in pairs, each pair in a group of its own; rows of a group come sorted, so that a task
     holds two blocks at a time.
     """
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
-    rows = clusters.join(sizes, "component").join(texts, "node").withColumn("p", F.explode(pairs))
-    dealt = rows.select("component", "p.i", "p.j", own.alias("own"), "node", "packed")
+    sized = clusters.join(classes.select("node", "n"), "node")
+    whole = sized.groupBy("component").agg(block_count(F.count("*"), F.sum("n")).alias("blocks"))
+    large = written(whole.where(F.col("blocks") > LARGE).select("component"))
+    links, main = None, F.lit(False)
+    if not large.isEmpty():
+        links, parts = led(clusters, large, texts, size, threshold)
+        sized, main = sized.join(parts, "node", "left"), F.coalesce("main", F.lit(False))
+    sized = sized.select("component", "node", "n", main.alias("main"))
+    part = lambda m: block_count(F.count_if(F.col("main") == m), F.coalesce(F.sum(F.when(F.col("main") == m, F.col("n"))), F.lit(0)))
+    sizes = sized.groupBy("component").agg(part(False).alias("blocks"), part(True).alias("main_blocks"))
+    rows = sized.join(sizes, "component").join(texts(clusters), "node")
+    dealt = met(rows, F.col("main"), F.col("blocks"), F.col("main_blocks")).select("component", "i", "j", "own", "node", "packed")
     key = ["component", "i", "j"]
     sorted_rows = dealt.repartition(*key).sortWithinPartitions(*key, "node")
 
@@ -240,8 +280,11 @@ def cluster_links(clusters: DataFrame, texts: DataFrame, size: int, threshold: f
                 members.append((own, node, shingle_hashes(zlib.decompress(packed).decode(), size)))
             yield _pairs_batch(found)
         yield _pairs_batch(linked(group, members, threshold))
+        members = []
+        hand_back()
 
-    return sorted_rows.mapInArrow(solve, "a long, b long")
+    found = sorted_rows.mapInArrow(solve, "a long, b long")
+    return found if links is None else found.unionByName(links)
 
 
 def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -308,17 +351,17 @@ def rest(found: DataFrame, classes: DataFrame, clusters: DataFrame, threshold: f
     """Candidate links between members of one bucket that are in different clusters."""
     member = found.select("key", "node").distinct().join(clusters, "node", "left")
     member = member.withColumn("component", F.coalesce("component", "node"))
+    parts = member.groupBy("key", "component").agg(F.count("*").alias("members"))
     open_ = (
-        member.groupBy("key")
-        .agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members"))
-        .where("c1 <> c2")
+        parts.groupBy("key")
+        .agg(F.max_by("component", "members").alias("largest"), F.max("members").alias("most"), F.sum("members").alias("all"))
+        .where(F.col("all") > F.col("most"))
     )
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    # block i meets block j once: every member goes to (i, its own) for i up to its own and to (its own, j) beyond
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
+    blocks = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
     rows = member.join(open_, "key").join(classes.select("node", "n", "sig"), "node")
-    dealt = rows.withColumn("p", F.explode(pairs)).select("key", "p.i", "p.j", own.alias("own"), "node", "component", "n", "sig")
+    rows = rows.withColumn("main", F.col("component") == F.col("largest"))
+    dealt = met(rows, F.col("main"), blocks, F.ceil(F.col("most") / BLOCK).cast("int"))
+    dealt = dealt.select("key", "i", "j", "own", "node", "component", "n", "sig")
     percent = int(round(threshold * 100))
     key = ["key", "i", "j"]
     sorted_rows = dealt.repartition(*key).sortWithinPartitions(*key, "node")
@@ -349,6 +392,8 @@ def rest(found: DataFrame, classes: DataFrame, clusters: DataFrame, threshold: f
                 members.append(member)
             yield _pairs_batch(out)
         yield _pairs_batch(meet(group, members))
+        members = []
+        hand_back()
 
     return sorted_rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -364,28 +409,31 @@ def near_duplicates(
     found = buckets(classes)
 
     def texts(nodes: DataFrame) -> DataFrame:
-        # both sides grow with the input: a shuffled join at every size
+        # copies are combined before the shuffle; both sides grow with the input: a shuffled join at every size
         wanted = nodes.select("node").distinct().hint("shuffle_merge")
-        return full.join(wanted, "node", "left_semi").groupBy("node").agg(first("packed"))
+        return full.groupBy("node").agg(first("packed")).join(wanted, "node")
 
     clusters = written(components(agreeing(stars(found), classes, threshold)))
-    links = written(cluster_links(clusters, texts(clusters), size, threshold))
+    links = written(cluster_links(clusters, classes, texts, size, threshold))
     more = written(rest(found, classes, clusters, threshold))
+    scratch = [base, classes, found, clusters, more, links]
     if not more.isEmpty():
         ends = more.select(F.col("a").alias("node")).union(more.select("b"))
         links = written(links.unionByName(confirmed(more, texts(ends), size, threshold)))
-    discard(found, clusters, more)
+        scratch.append(links)
     named = components(links).join(classes.select("node", "doc"), "node")
     least = named.groupBy("component").agg(F.min("doc").alias("least"))
     group = named.join(least, "component").select("node", "least")
     own = classes.select("node", F.col("doc").alias("class_doc")).join(group, "node", "left")
+    # written tables on both sides: a class of very many copies is a skewed partition that Spark can split, and all tables
+    # that hold texts or signatures can go before the result is read
+    own = written(own.select("node", F.coalesce("least", "class_doc").alias("least")))
+    members = written(base.select("doc", "n", "node"))
+    discard(*scratch)
+    named = members.where("n > 0").join(own.hint("shuffle_merge"), "node").select("doc", "n", "least")
+    empty = members.where("n = 0").select("doc", "n", F.col("doc").alias("least"))
     return (
-        base.select("doc", "n", "node")
-        .join(own, "node", "left")
-        .select(
-            F.col("doc").alias(id_col),
-            F.col("n").alias("n_shingles"),
-            F.coalesce("least", "class_doc", "doc").alias("component_id"),
-        )
+        named.unionByName(empty)
+        .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
     )
