@@ -171,11 +171,119 @@ def test_html_names_do_not_cut_the_article():
     assert html.main_text("<p>The sum <math><mi>a</mi><p>goes on.</p>") == "The sum a\ngoes on."
 
 
+def test_html_probes():
+    said = [f"Paragraph {k} of a text that goes on for some time and is read by somebody." for k in range(6)]
+    paragraphs, want = "".join(f"<p>{p}</p>" for p in said), "\n".join(said)
+    header = "<header class='entry-header'><h1>A title</h1></header>"
+    assert html.main_text(f"<body><header><h1>Site</h1></header><div class=post>{header}<div>{paragraphs}</div></div></body>") == f"A title\n{want}"
+    inner = f"<article><h1>T</h1><div class='social science'><p>{said[0] * 2}</p></div>{paragraphs}<div class=social><a href=x>Share</a></div></article>"
+    assert html.main_text(inner) == f"T\n{said[0] * 2}\n{want}"
+    quoted = f"<article><p>See <a title=Bob's href=x>this</a> first, it is not over.</p>{paragraphs}<p>It isn't.</p></article>"
+    assert html.main_text(quoted) == f"See this first, it is not over.\n{want}\nIt isn't."
+    odd = "<p a=1 b='x>y' c>one</p><p =x>two</p><p a= >three</p><p a=b/>four<br/>five<p a='>six"
+    assert html.main_text(odd) == "one\ntwo\nthree\nfour five"
+
+
+def test_html_time_follows_the_length():
+    import time
+
+    deep = lambda n: "<div>" * n + "words in the deep" + "</div>" * n
+    open_ = lambda n: "<span>x<div>y" * n
+    for page in (deep, open_):
+        took = []
+        for n in (4_000, 40_000):
+            start = time.process_time()
+            text = html.main_text(page(n))
+            took.append(time.process_time() - start)
+            assert text == "words in the deep" if page is deep else text.endswith("yx\ny")
+        assert took[1] < 30 * took[0] + 1
+    for long in ("<a " + "x=1 " * 50_000, "<a" + " " * 100_000 + "<", "<" * 100_000, "<p a='" + "x" * 100_000, "<!--" * 50_000):
+        start = time.process_time()
+        html.main_text(long)
+        assert time.process_time() - start < 5
+
+
+def made_up_tree(rnd, depth=0):
+    """(name, children) of elements and texts."""
+    text = lambda: " ".join(rnd.choice(["a", "word", "or", "sentence", "goes", "on"]) for _ in range(rnd.choice([1, 3, 9, 30])))
+    if depth and rnd.random() < 0.45:
+        return "p", [text() if rnd.random() < 0.6 else (rnd.choice("ab"), [text()]) for _ in range(rnd.randrange(1, 4))]
+    if depth > 3:
+        return "p", [text()]
+    return "div", [made_up_tree(rnd, depth + 1) for _ in range(rnd.randrange(1, 5))]
+
+
+def slow_main_text(body):
+    """Main text of a tree, straight from the definition; None where several elements have the largest sum."""
+    from math import e, log
+
+    kids = lambda n: [c for c in n[1] if not isinstance(c, str)]
+    every = lambda n: [n, *(x for c in kids(n) for x in every(c))]
+    chars = lambda n: sum(len(c) if isinstance(c, str) else chars(c) for c in n[1])
+    linked = lambda n: chars(n) if n[0] == "a" else sum(map(linked, kids(n)))
+    block = lambda n: any(x[0] in ("html", "body", "div", "p") for x in every(n))
+    share = linked(body) / max(1, chars(body))
+
+    def density(n):
+        c, lc, t = chars(n), linked(n), len(every(n)) - 1
+        lt = sum(x[0] == "a" for x in every(n)[1:])
+        if not c:
+            return 0.0
+        if not share:
+            return c / max(1, t)
+        base = log(c / max(1, c - lc) * lc + share * c + e)
+        return c / max(1, t) * max(0.0, log(c / max(1, lc) * max(1, t) / max(1, lt))) / log(base)
+
+    total = lambda n: sum(density(c) for c in kids(n) if block(c)) or density(n)
+    top = lambda n: max([n, *map(top, filter(block, kids(n)))], key=total)
+    root = ("html", [body])
+    blocks = [n for n in every(root) if block(n)]
+    sums = sorted(map(total, blocks))
+    if len(sums) > 1 and sums[-1] - sums[-2] < 1e-9:
+        return None
+    best = max(blocks, key=total)
+    path = lambda n: [n] if n is best else next(([n, *p] for c in kids(n) if (p := path(c))), None)
+    least = min(density(n) for n in path(root) if n is best or n is not root)
+    marked = [id(top(n)) for n in blocks if density(n) >= least > 0] or [id(best)]
+    lines = [""]
+
+    def out(n, taken):
+        taken = taken or id(n) in marked
+        if n[0] not in "ab":
+            lines.append("")
+        for c in n[1]:
+            if isinstance(c, str):
+                lines[-1] += c if taken else ""
+            else:
+                out(c, taken)
+        if n[0] not in "ab":
+            lines.append("")
+
+    out(root, False)
+    return "\n".join(x for x in lines if x)
+
+
+def test_html_density_against_the_definition():
+    show = lambda n: n if isinstance(n, str) else f"<{n[0]}>{''.join(map(show, n[1]))}</{n[0]}>"
+    compared = 0
+    for seed in range(300):
+        rnd = random.Random(seed)
+        body = ("body", [made_up_tree(rnd) for _ in range(2)])
+        want = slow_main_text(body)
+        if want is not None:
+            compared += 1
+            assert html.main_text(show(body)) == want, seed
+    assert compared > 150
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>A text of some words.</p>", 3), (None, None, None, 3), (1, "u", "<p>A text of some words.</p>", 3)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
     got = collected(html.extract(df))
     assert sorted(r["n_chars"] for r in got) == [0, 21, 21]
+    clash = spark.createDataFrame([(1, "u", "<p>" + "long words " * 100_000, 1, 2.0)], "page_id long, url string, html string, n_chars int, `text` double")
+    assert [r["n_chars"] for r in collected(html.extract(clash))] == [11 * 100_000 - 1]
+    assert html.extract(df.where("page_id = 7")).count() == 0
 
 
 # ---------------------------------------------------------------- licences
@@ -254,6 +362,42 @@ def test_near_duplicates(spark, monkeypatch, seed, size, block):
     assert got == slow_components(rows, size)
 
 
+def test_large_clusters_meet_through_leads(spark, monkeypatch):
+    """One text with many changed copies, and a chain in which only neighbours are alike."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 900)
+    monkeypatch.setattr(minhash, "STAR", 16)
+    rnd, rows = random.Random(8), []
+    base = [f"w{k}" for k in range(120)]
+    for k in range(90):
+        words = list(base)
+        words[rnd.randrange(120)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    chain = [f"c{k}" for k in range(400)]
+    rows += [(200 + k, " ".join(chain[6 * k : 6 * k + 120])) for k in range(40)]
+    rows += [(300, rows[3][1]), (301, rows[3][1]), (302, " ".join(base[:60]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in collected(minhash.near_duplicates(table(spark, rows)))}
+    assert got == slow_components(rows, 5)
+
+
+def test_recall_just_above_the_limit(spark):
+    """Pairs of similarity 0.80 to 0.85 of their own words each: at least 99 in 100 are found, and no pair below 0.8."""
+    rnd, rows, alike = random.Random(21), [], {}
+    for k in range(400):
+        words = [f"{k}a{n}" for n in range(200)]
+        other = list(words)
+        for at in rnd.sample(range(0, 200, 5), rnd.choice([3, 4, 5])):
+            other[at] = f"{k}b{at}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        sets = [{tuple(w[i : i + 5]) for i in range(196)} for w in (words, other)]
+        alike[k] = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    got = {r["doc_id"]: r["component_id"] for r in collected(minhash.near_duplicates(table(spark, rows)))}
+    found = {k: got[2 * k + 1] == 2 * k for k in alike}
+    close = [k for k, s in alike.items() if 0.8 <= s <= 0.85]
+    assert len(close) > 50 and sum(found[k] for k in close) >= 0.99 * len(close)
+    assert not any(found[k] for k, s in alike.items() if s < 0.8)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = collected(minhash.near_duplicates(table(spark, ODD)))
     assert len(got) == len(ODD)
@@ -303,6 +447,26 @@ def test_loser_tree_merges_with_shared_prefixes():
             assert share == suffixes.shared_prefix(x, y, 0)
 
 
+def test_repeats_do_not_rest_on_hashes(spark, monkeypatch):
+    """With hashes that are all equal the bytes still decide."""
+    group = []
+    for k, (before, suffix) in enumerate([(b"x" * 50, b"y" * 60), (b"x" * 50, b"y" * 60), (b"x" * 49 + b"z", b"y" * 60), (b"x" * 50, b"y" * 49 + b"q" * 11)]):
+        group.append((suffix, 0, before, len(before) + len(suffix) - 99, k, 50))
+    right = sorted(zip(*(x.tolist() for x in suffixes.repeats(list(group)))))
+    assert right == [(1, 0, 110)]
+    import numpy as np
+
+    monkeypatch.setattr(suffixes, "_VALUES", np.zeros(256, np.uint64))
+    assert sorted(zip(*(x.tolist() for x in suffixes.repeats(list(group))))) == right
+
+
+def test_suffixes_with_ids_of_text(spark):
+    passage = "0123456789" * 12
+    df = spark.createDataFrame([("b", "head " + passage), ("a", passage + " tail"), ("a", passage + " tail"), (None, None)], "doc_id string, text string")
+    got = {(r["doc_id"], r["n_removed"]) for r in collected(suffixes.digests(suffixes.remove_repeats(df)))}
+    assert got == {(None, 0), ("a", 110), ("a", 125), ("b", 120)}  # the passage repeats itself from its tenth byte on
+
+
 def test_suffixes_of_odd_rows(spark):
     got = collected(suffixes.digests(suffixes.remove_repeats(table(spark, ODD))))
     assert len(got) == len(ODD)
@@ -311,20 +475,35 @@ def test_suffixes_of_odd_rows(spark):
 
 
 # ---------------------------------------------------------------- language model
+def slow_discounts(counts):
+    """Good-Turing ratios of counts 1 to K, or half a count less where they make no sense."""
+    n = Counter(counts.values())
+    d = {}
+    for r in range(1, katz.K + 1):
+        d[r] = (r - 0.5) / r
+        if n[1] and n[r]:
+            a = (katz.K + 1) * n[katz.K + 1] / n[1]
+            if a < 1 and 0 < (x := ((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a)) < 1:
+                d[r] = x
+    return d
+
+
 def slow_katz(rows):
     """The same model from dictionaries."""
     token_rows = [(i, [*(t or "").encode().lower().split(), b""]) for i, t in rows]
-    train = [ts for i, ts in token_rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    train = [ts for i, ts in token_rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
     uni, bi = Counter(), Counter()
     for ts in train:
         uni.update(ts)
         bi.update(zip([b"", *ts], ts))
     total = sum(uni.values())
-    rare = lambda c: [0, *(sum(v == r for v in c.values()) for r in range(1, katz.K + 2))]
-    base, d = katz.Unigrams(total, rare(uni)), katz.discounts(rare(bi))
-    import numpy as np
-
-    p1 = lambda w: float(base.probability(np.array([uni[w]]))[0])
+    d1, d = slow_discounts(uni), slow_discounts(bi)
+    share = {w: c * d1.get(c, 1.0) / total for w, c in uni.items()}
+    unknown = 1 - sum(share.values())
+    if unknown <= 1e-12:  # no rare word: room for one count of the unknown word
+        unknown = 1 / (total + 1)
+        share = {w: c / (total + 1) for w, c in uni.items()}
+    p1 = lambda w: share.get(w, unknown)
     after = {}
     for (v, w), c in bi.items():
         after.setdefault(v, {})[w] = c
@@ -333,16 +512,16 @@ def slow_katz(rows):
         if not uni[v]:
             return p1(w)
         seen = after[v]
-        used = sum(c * (d[c] if c <= katz.K else 1.0) for c in seen.values()) / uni[v]
+        used = sum(c * d.get(c, 1.0) for c in seen.values()) / uni[v]
         scale = uni[v] / (uni[v] + 1) if 1 - used < 1e-9 else 1.0
         if w in seen:
-            return scale * seen[w] * (d[seen[w]] if seen[w] <= katz.K else 1.0) / uni[v]
+            return scale * seen[w] * d.get(seen[w], 1.0) / uni[v]
         return (1 - used * scale) / (1 - sum(map(p1, seen))) * p1(w)
 
     n = len(uni)
     out = {
-        i: (len(ts), sum(uni[t] > 0 for t in ts), sum(log10((uni[t] + 1) / (total + n + 1)) for t in ts), sum(log10(p2(v, w)) for v, w in zip([b"", *ts], ts)))
-        for i, ts in token_rows
+        (i, t): (len(ts), sum(uni[t] > 0 for t in ts), sum(log10((uni[t] + 1) / (total + n + 1)) for t in ts), sum(log10(p2(v, w)) for v, w in zip([b"", *ts], ts)))
+        for (i, t), (_, ts) in zip(rows, token_rows)
     }
     return out, p2, list(uni), total
 
@@ -356,13 +535,24 @@ def test_katz_scores(spark, monkeypatch, tokens):
         assert sum(p2(v, w) for w in vocabulary) + p2(v, b"\xff never") == pytest.approx(1.0)
     got = collected(katz.scores(table(spark, rows)))
     assert len(got) == len(rows)
+    text = dict(rows)
     for r in got:
-        n, known, plain, score = want[r["doc_id"]]
+        n, known, plain, score = want[r["doc_id"], text[r["doc_id"]]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
         assert r["base_score"] == pytest.approx(plain) and r["score"] == pytest.approx(score)
 
 
+def test_katz_with_null_and_very_large_ids(spark):
+    rows = made_up(12, 40) + [(None, "a b c a b"), (2**53 + 1, "a b c"), (2**62 + 7, "c b a"), (None, "words of no id")]
+    want, _, _, total = slow_katz(rows)
+    got = collected(katz.scores(table(spark, rows)))
+    shown = lambda i, n, known, plain, score: (repr(i), n, known, round(plain, 8), round(score, 8))
+    assert sorted(shown(r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got) == sorted(shown(i, *v) for (i, _), v in want.items())
+    assert all(r["held_out"] == (zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 7 == 2) for r in got)
+    assert {r["train_tokens"] for r in got} == {total}
+
+
 def test_katz_of_odd_rows(spark):
     got = collected(katz.scores(table(spark, ODD)))
     assert len(got) == len(ODD) and all(r["score"] < 0 for r in got)
