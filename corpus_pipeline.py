@@ -27,7 +27,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: of those with the smallest id, the first in a written, numbered table;
-    a row without an id only where all are."""
+    a row without an id only where all are. Where every row has an id of its own, ids do without that table."""
+    odd = docs.groupBy("doc_id").count().where(F.col("doc_id").isNull() | (F.col("count") > 1))
+    if odd.isEmpty():
+        found = minhash.near_duplicates(docs.select("doc_id", "text"), size=SHINGLE)
+        return docs.join(found.where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     rows = written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")))
     name = F.struct(F.col("row.doc_id").isNull().alias("unnamed"), "row.doc_id", "number")
     found = minhash.near_duplicates(rows.select(name.alias("name"), "row.text"), size=SHINGLE, id_col="name")
