@@ -21,13 +21,18 @@ PAGE_KEYS = ("status", "priority", "year", "brand", "type", "size", "nation:code
 PAGE_VALUES = ("O", "1-URGENT", "1995", "Brand#11", "BUILDING", "10", "3", "x")
 
 
+RELATION_TYPES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
 class Tables(Mapping):
-    """Tables by name; see the methods."""
+    """Tables by name; see the methods. Tables that a batch has prepared (a ``Catalog``) are read and not made again."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self._made = spark, sf_dir, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, prepared: Mapping[str, DataFrame] | None = None):
+        self.spark, self.dir, self.prepared, self._made = spark, sf_dir, prepared or {}, {}
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name in self.prepared:
+            return self.prepared[name]
         if name not in self._made:
             make = getattr(self, f"t_{name}", None)
             self._made[name] = make() if make else self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -41,6 +46,10 @@ class Tables(Mapping):
 
     # ---- inputs
     def t_objects(self) -> DataFrame:
+        return self._objects()
+
+    def _objects(self, members: bool = True) -> DataFrame:
+        """Tagged objects; what looks at tags alone does without the join that makes members."""
         text = lambda c: F.col(c).cast("string")
         o, p, c = self["orders"], self["part"], self["customer"]
         urgent = F.col("o_orderpriority") == "1-URGENT"
@@ -63,9 +72,12 @@ class Tables(Mapping):
         nds = F.expr("if(p_size % 2 = 0, array(p_partkey, p_partkey + 32, p_partkey), array(p_partkey, p_partkey + 32))")
         ways = rows(p, otype=F.lit("w"), oid=F.col("p_partkey"), uid=F.col("p_size").cast("long"), tags=part_tags, nds=nds)
         member = F.struct(F.translate("o_orderstatus", "OFP", "nwr").alias("mtype"), F.col("o_orderkey").alias("ref"), F.col("o_orderpriority").alias("role"))
-        members = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(member).alias("m"))
+        more = {}
+        if members:
+            listed = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(member).alias("m"))
+            c, more = c.join(listed, "c_custkey", "left"), {"members": F.col("m")}
         relation_tags = F.create_map(F.lit("type"), "c_mktsegment", F.lit("nation:code"), text("c_nationkey"))
-        relations = rows(c.join(members, "c_custkey", "left"), otype=F.lit("r"), oid=F.col("c_custkey"), uid=F.col("c_nationkey").cast("long"), tags=relation_tags, members=F.col("m"))
+        relations = rows(c, otype=F.lit("r"), oid=F.col("c_custkey"), uid=F.col("c_nationkey").cast("long"), tags=relation_tags, **more)
         return nodes.unionByName(ways).unionByName(relations)
 
     def t_history(self) -> DataFrame:
@@ -112,11 +124,12 @@ class Tables(Mapping):
 
     def t_project_tags(self) -> DataFrame:
         l = self["lineitem"].select("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")  # noqa: E741
-        rows = l.where("l_returnflag in ('R', 'A')").join(self["part"].select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        rows = l.join(self["part"].select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
         rows = rows.join(self["supplier"].select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-        brand = F.col("l_returnflag") == "R"
-        flat = rows.select(F.col("s_name").alias("project_id"), F.when(brand, "brand").otherwise("type").alias("key"), F.when(brand, F.col("p_brand")).alias("value"), (F.col("l_linestatus") == "O").alias("o"), (F.col("l_linestatus") == "F").alias("f"))
-        found = flat.groupBy("project_id", "key", "value").agg(F.bool_or("o").alias("on_node"), F.bool_or("f").alias("on_way"), F.bool_or("f").alias("on_relation"), F.bool_and("o").alias("on_area"))
+        brand, rtype = F.col("l_returnflag") == "R", F.element_at(F.array(*map(F.lit, RELATION_TYPES)), (F.col("l_suppkey") % len(RELATION_TYPES) + 1).cast("int"))
+        value = F.when(brand, F.col("p_brand")).when(F.col("l_returnflag") == "N", rtype)
+        flat = rows.select(F.col("s_name").alias("project_id"), F.when(brand, "brand").otherwise("type").alias("key"), value.alias("value"), (F.col("l_linestatus") == "O").alias("o"), (F.col("l_linestatus") == "F").alias("f"), (F.col("l_returnflag") == "N").alias("r"))
+        found = flat.groupBy("project_id", "key", "value").agg(F.bool_or("o").alias("on_node"), F.bool_or("f").alias("on_way"), F.bool_or(F.col("f") | F.col("r")).alias("on_relation"), F.bool_and("o").alias("on_area"))
         return found.select("*", F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("doc_url"), F.lit(None).cast("string").alias("icon_url"))
 
     def t_discardable_tags(self) -> DataFrame:
@@ -133,7 +146,19 @@ class Tables(Mapping):
 
     # ---- counts
     def t_object_tags(self) -> DataFrame:
-        return counting.explode_tags(self["objects"])
+        return counting.explode_tags(self._objects(members=False))
+
+    def t_object_stats(self) -> DataFrame:
+        return counting.object_stats(self._objects(members=False))
+
+    def t_key_counts(self) -> DataFrame:
+        return counting.key_stats(self["plain_tags"])
+
+    def key_pairs(self, key: str) -> DataFrame:
+        """Combinations with one key, prepared or from the objects that have it."""
+        if "key_combinations" in self.prepared:
+            return self["key_combinations"]
+        return counting.key_combinations(self._objects(members=False).where(F.map_contains_key("tags", key)))
 
     def t_plain_tags(self) -> DataFrame:
         return counting.tag_stats(self["object_tags"])
@@ -143,19 +168,20 @@ class Tables(Mapping):
         return counting.key_grade(counting.character_class(keys))
 
     def t_keys(self) -> DataFrame:
-        return integration.enrich_keys(self["plain_keys"], self["wikipages"], self["project_unique_keys"])
+        users = self["project_tags"].groupBy("key").agg(F.countDistinct("project_id").alias("projects"))
+        return integration.enrich_keys(self["plain_keys"], self["wikipages"], users)
 
     def t_tags(self) -> DataFrame:
         return integration.enrich_tags(self["plain_tags"], self["wikipages"])
 
     def t_key_combinations(self) -> DataFrame:
-        return counting.key_combinations(self["objects"])
+        return counting.key_combinations(self._objects(members=False))
 
     def selection(self) -> dict[str, DataFrame]:
         return counting.selection(self["plain_keys"], self["plain_tags"], self["plain_relation_types"], LIMITS["tags"], LIMITS["map"], LIMITS["relations"])
 
     def t_tag_combinations(self) -> DataFrame:
-        return counting.tag_combinations(self["objects"], self.selection()["interesting_tags"], LIMITS["combinations"])
+        return counting.tag_combinations(self._objects(members=False), self.selection()["interesting_tags"], LIMITS["combinations"])
 
     def t_plain_relation_types(self) -> DataFrame:
         return counting.relation_types(self["objects"])
@@ -173,10 +199,10 @@ class Tables(Mapping):
         return counting.prevalent_roles(self["relation_types"], self["relation_roles"])
 
     def t_key_grid(self) -> DataFrame:
-        return counting.geo_grid(self["objects"])
+        return counting.geo_grid(self._objects(members=False))
 
     def t_tag_grid(self) -> DataFrame:
-        return counting.geo_grid(self["objects"], ("key", "value"), only=self.selection()["frequent_tags"])
+        return counting.geo_grid(self._objects(members=False), ("key", "value"), only=self.selection()["frequent_tags"])
 
     def t_similar_keys(self) -> DataFrame:
         return counting.with_counts(counting.similar_keys(self["plain_keys"]), self["plain_keys"])
@@ -185,8 +211,11 @@ class Tables(Mapping):
         return counting.common_rare(self["similar_keys"], LIMITS["common"] // 10, LIMITS["rare"])
 
     def t_stats(self) -> DataFrame:
-        mine = counting.db_stats(self["plain_keys"], self["plain_tags"], self["key_combinations"], self["relation_types"], self["relation_roles"], self["similar_keys"], self["similar_keys_common_rare"], self["objects"])
-        return integration.master_stats(mine, wiki.wiki_stats(self["wikipages"], self["relation_pages"], self["wiki_images"]))
+        mine = counting.db_stats(self["plain_keys"], self["plain_tags"], self["key_combinations"], self["relation_types"], self["relation_roles"], self["similar_keys"], self["similar_keys_common_rare"], self._objects(members=False))
+        return integration.master_stats(mine, self["wiki_stats"])
+
+    def t_wiki_stats(self) -> DataFrame:
+        return wiki.wiki_stats(self["wikipages"], self["relation_pages"], self["wiki_images"])
 
     # ---- history
     def t_key_chronology(self) -> DataFrame:

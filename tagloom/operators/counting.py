@@ -88,7 +88,7 @@ def tag_combinations(objects: DataFrame, interesting_tags: DataFrame, min_count:
     """Objects that have both of two selected items, a tag or a key (value ''), of different keys and not both keys."""
     numbered = objects.select("otype", F.struct("otype", "oid").alias("o"), F.explode("tags").alias("key", "value"))
     chosen = interesting_tags.select("key", "value").distinct()
-    both = numbered.withColumn("value", F.explode(F.array(F.col("value"), F.lit("")))).distinct()
+    both = numbered.withColumn("value", F.explode(F.array(F.col("value"), F.lit(""))))  # the join leaves few of them to group
     items = both.join(chosen, ["key", "value"]).groupBy("o").agg(F.array_sort(F.collect_set(F.struct("key", "value"))).alias("items"))
     pairs = items.select(F.col("o.otype").alias("otype"), F.explode(_pairs(F.col("items"))).alias("p"))
     wanted = pairs.where("p.a.key <> p.b.key and (p.a.value <> '' or p.b.value <> '')")
@@ -234,7 +234,7 @@ def common_rare(similar: DataFrame, min_common: int = 1000, max_rare: int = 10)
     return either.where((F.col("count_all_common") >= min_common) & F.col("count_all_rare").between(1, max_rare))
 
 
-#: Character classes by the first pattern that matches; lines are matched one by one.
+#: Character classes by the first pattern that matches; lines are matched one by one.
 CLASSES = (
     ("plain", r"(?md)^[a-z]([a-z_]*[a-z])?$"),
     ("colon", r"(?md)^[a-z][a-z_:]*[a-z]$"),

@@ -54,14 +54,14 @@ def _flags() -> list:
 def enrich_keys(keys: DataFrame, wikipages: DataFrame, project_unique_keys: DataFrame) -> DataFrame:
     """Adds documented keys that no object has (count 0), in_wiki, in_wiki_en and projects (null without any)."""
     keys = keys.drop("in_wiki", "in_wiki_en", "projects")
-    only_wiki = wikipages.where("key is not null").select("key").distinct().join(keys.select("key"), "key", "left_anti")
-    zeros = [F.lit(0).cast(f.dataType).alias(f.name) for f in keys.schema if f.name.startswith(("count_", "values_", "users_", "cells_"))]
-    grade = [F.lit("u").alias("grade")] if "grade" in keys.columns else []
-    every = keys.unionByName(only_wiki.select("key", *zeros, *grade), allowMissingColumns=True)
-    known = _documented(wikipages.where("value is null"), ["key"])
-    projects = project_unique_keys.select("key", "projects")
-    joined = every.join(known, "key", "left").join(projects, "key", "left")
-    return joined.select(*every.columns, *_flags(), "projects")
+    about_key = F.col("value").isNull()
+    known = wikipages.where("key is not null").groupBy("key").agg(
+        F.bool_or(about_key).alias("in_wiki"), F.bool_or(about_key & (F.col("lang") == "en")).alias("in_wiki_en")
+    )
+    joined = keys.join(known, "key", "full").join(project_unique_keys.select("key", "projects"), "key", "left")
+    filled = {c: F.coalesce(c, F.lit(0).cast(keys.schema[c].dataType)) for c in keys.columns if c.startswith(("count_", "values_", "users_", "cells_"))}
+    filled |= {"grade": F.coalesce("grade", F.lit("u"))} if "grade" in keys.columns else {}
+    return joined.withColumns(filled).select(*keys.columns, *_flags(), "projects")
 
 
 def _tag_pages(wikipages: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.semantics import counters
 
 TAG_TYPES = ("node", "way", "relation", "area")
+#: The properties that the format of project files fixes.
 TOP_LEVEL = r"^([$]schema|data_format|data_updated|data_url|project|tags)$"
 PROJECT = ("name", "description", "project_url", "doc_url", "icon_url", "contact_name", "contact_email", "keywords", "data_url")
 
@@ -28,6 +29,27 @@ def _text(path: str) -> Column:
     return F.when(_kind(path) == "STRING", F.expr(f"try_variant_get(v, '{path}', 'string')"))
 
 
+def _entry_findings(entry: Column, n: Column) -> Column:
+    """Findings on one entry of the tags; all but the warning leave the entry out."""
+    value = lambda name, kind="variant": F.try_variant_get(entry, f"$.{name}", kind)
+    kind = lambda name: F.nullif(F.schema_of_variant(value(name)), F.lit("VOID"))
+    place = F.concat(F.lit("tags."), n.cast("string"))
+    say = lambda test, level, message: F.when(test, F.concat(F.lit(f"{level}: "), place, F.lit(message)))
+    named = F.coalesce(kind("key") == "STRING", F.lit(False))
+    types = F.when(kind("object_types").startswith("ARRAY"), value("object_types", "array<string>"))
+    messages = [
+        say(kind("key").isNull(), "ERROR", ".key is missing"),
+        say(kind("key").isNotNull() & ~named, "ERROR", ".key is not a string"),
+        say(named & kind("object_types").isNotNull() & types.isNull(), "ERROR", ".object_types is not an array"),
+        say(named & (F.size(types) == 0), "WARNING", ".object_types is empty and means all types"),
+        *[say(named & kind(c).isNotNull() & (kind(c) != "STRING"), "ERROR", f".{c} is not a string") for c in ("value", "description", "doc_url", "icon_url")],
+    ]
+    unknown = F.filter(types, lambda t: ~F.coalesce(t.isin(*TAG_TYPES), F.lit(False)))
+    unknown = F.transform(unknown, lambda t: F.concat(F.lit("ERROR: "), place, F.lit(".object_types has an unknown type: "), F.coalesce(t, F.lit("null"))))
+    none = F.array().cast("array<string>")
+    return F.concat(F.filter(F.array(*messages), lambda m: m.isNotNull()), F.when(named, F.coalesce(unknown, none)).otherwise(none))
+
+
 def validate_projects(projects: DataFrame) -> DataFrame:
     """Adds the fields of the document, ``status`` (OK, PARSE_ERROR, JSON_ERROR) and ``error_log`` (one line for each
     finding with its level). A fatal finding makes PARSE_ERROR; some of them end the checks."""
@@ -68,6 +90,9 @@ def validate_projects(projects: DataFrame) -> DataFrame:
         F.when(on, F.transform(more, lambda k: F.concat(F.lit("WARNING: project has unknown property: "), k))).otherwise(F.array().cast("array<string>")),
     )
     log = F.when(F.col("v").isNotNull(), F.concat(found, unknown)).otherwise(F.array(F.lit("FATAL: not JSON")))
+    entries = F.expr("try_variant_get(v, '$.tags', 'array<variant>')")
+    about_tags = F.flatten(F.transform(entries, _entry_findings))
+    log = F.when(on & tags_ok, F.concat(log, about_tags)).otherwise(log)
     fatal = F.exists("log", lambda m: m.startswith("FATAL"))
     checked = rows.withColumn("log", log)
     fields = [_text(f"$.project.{n}").alias(n) for n in PROJECT if n not in ("keywords", "data_url")]

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import contains, fraction, matching, sorted_page
 from ..sources.readers import in_ranges
-from .keys import Tables, direction
+from .keys import Tables, direction, narrow
 
 
 def wiki_languages(t: Tables, sort=None, order="asc", page=None, rp=None) -> DataFrame:
     """Languages with their pages and which part of the documented keys and tags they describe (not rounded)."""
-    total = t["stats"].agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in ("wiki_keys_described", "wiki_tags_described")])
+    total = narrow(t, "wiki_stats", "stats").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in ("wiki_keys_described", "wiki_tags_described")])
     rows = t["languages"].crossJoin(F.broadcast(total)).select(
         "code", "native_name", "english_name", direction(F.col("code")).alias("dir"), "wiki_key_pages", "wiki_tag_pages",
         fraction("wiki_key_pages", "wiki_keys_described", None).alias("wiki_key_pages_fraction"),
@@ -137,7 +137,7 @@ def keys_name(t: Tables, query=None, page=None, rp=None) -> DataFrame:
     is_script = second.rlike("^[A-Za-z]{4}$")
     rest = F.when(is_script, third).otherwise(second)
     rows = rows.withColumns({"lang": F.element_at(pieces, 1), "script": F.when(is_script, second), "region": F.when(rest.rlike("^[A-Z]{2}$"), rest)})
-    known = lambda s, c: F.broadcast(t["subtags"].where(F.col("stype") == s).groupBy(F.col("subtag").alias(c)).agg(F.max("description").alias(f"{c}_note")))
+    known = lambda s, c: t["subtags"].where(F.col("stype") == s).groupBy(F.col("subtag").alias(c)).agg(F.max("description").alias(f"{c}_note"))
     rows = rows.join(known("language", "lang"), "lang", "left").join(known("script", "script"), "script", "left")
     state = lambda c, good: F.when(F.col(c).isNull(), None).when(~F.col(c).rlike(good), "bad").when(F.col(f"{c}_note").isNotNull(), "good").otherwise("okay")
     found = rows.select(

@@ -16,20 +16,25 @@ TOTAL_OF = {"all": "objects", "nodes": "nodes_with_tags", "ways": "ways", "relat
 RTL = ("ar", "arc", "az-arab", "bgn", "ckb", "dv", "fa", "ha-arab", "he", "khw", "ks", "ku-arab", "mzn", "nqo", "pnb", "ps", "sd", "syr", "ug", "ur", "uz-arab", "yi")
 
 
+def narrow(t: Tables, name: str, whole: str) -> DataFrame:
+    """The table with just the counts where there is one, else the table that has them among others."""
+    return t[name] if name in t else t[whole]
+
+
 def direction(lang: Column) -> Column:
     """Writing direction of a language code; unknown without a code."""
     return F.when(lang.isNull(), "auto").when(F.lower(lang).isin(*RTL), "rtl").otherwise("ltr")
 
 
-def totals(stats: DataFrame) -> DataFrame:
+def totals(object_stats: DataFrame) -> DataFrame:
     """One row: the number of objects that fractions of each type refer to."""
-    return stats.agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(f"total_{t}") for t, k in TOTAL_OF.items()])
+    return object_stats.agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(f"total_{t}") for t, k in TOTAL_OF.items()])
 
 
-def with_fractions(rows: DataFrame, stats: DataFrame) -> DataFrame:
+def with_fractions(rows: DataFrame, object_stats: DataFrame) -> DataFrame:
     """Adds the fraction of all objects for each count; the totals are a single row."""
     named = [fraction(f"count_{t}", f"total_{t}").alias(f"count_{t}_fraction") for t in TYPES]
-    return rows.crossJoin(F.broadcast(totals(stats))).select(*rows.columns, *named)
+    return rows.crossJoin(F.broadcast(totals(object_stats))).select(*rows.columns, *named)
 
 
 def by_type(row: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -39,19 +44,21 @@ def by_type(row: DataFrame, columns: dict[str, str]) -> DataFrame:
     return one.select(F.inline(rows))
 
 
-def type_stats(counted: DataFrame, stats: DataFrame) -> DataFrame:
+def type_stats(counted: DataFrame, object_stats: DataFrame) -> DataFrame:
     total = functools.reduce(lambda c, t: c.when(F.col("type") == t, F.col(f"total_{t}")), TYPES[1:], F.when(F.col("type") == "all", F.col("total_all")))
-    return counted.crossJoin(F.broadcast(totals(stats))).withColumn("count_fraction", fraction(F.col("count"), total)).drop(*[f"total_{t}" for t in TYPES])
+    return counted.crossJoin(F.broadcast(totals(object_stats))).withColumn("count_fraction", fraction(F.col("count"), total)).drop(*[f"total_{t}" for t in TYPES])
 
 
 def key_combinations(t: Tables, key: str, query=None, T="all", sort=None, order="desc", page=None, rp=None) -> DataFrame:
     """Keys that occur together with the key: how often, and which part of either key's objects that is."""
     required(key=key)
     n = f"count_{check_type(T)}"
-    side = lambda a, b: t["key_combinations"].where(F.col(a) == key).select(F.col(b).alias("other_key"), F.col(n).alias("together_count"))
-    rows = matching(side("key1", "key2").unionAll(side("key2", "key1")), query, "other_key").where("together_count > 0")
-    own = t["keys"].where(F.col("key") == key).agg(F.max(n).alias("this_count"))
-    other = t["keys"].select(F.col("key").alias("other_key"), F.col(n).alias("other_count"))
+    pairs = t.key_pairs(key) if hasattr(t, "key_pairs") else t["key_combinations"]  # without prepared pairs only those of the key are made
+    rows = pairs.where((F.col("key1") == key) | (F.col("key2") == key))
+    rows = rows.select(F.when(F.col("key1") == key, F.col("key2")).otherwise(F.col("key1")).alias("other_key"), F.col(n).alias("together_count"))
+    rows = matching(rows, query, "other_key").where("together_count > 0")
+    own = narrow(t, "key_counts", "keys").where(F.col("key") == key).agg(F.max(n).alias("this_count"))
+    other = narrow(t, "key_counts", "keys").select(F.col("key").alias("other_key"), F.col(n).alias("other_count"))
     found = rows.join(other, "other_key", "left").crossJoin(F.broadcast(own)).select(
         "other_key", "together_count", fraction("together_count", "this_count").alias("to_fraction"), fraction("together_count", "other_count").alias("from_fraction")
     )
@@ -78,7 +85,7 @@ def key_distribution(t: Tables, key: str, kind: str = "nodes") -> DataFrame:
 def key_stats(t: Tables, key: str) -> DataFrame:
     """Objects, their share of all objects, and distinct values, by type."""
     required(key=key)
-    return type_stats(by_type(t["keys"].where(F.col("key") == key), {"count": "count", "values": "values"}), t["stats"])
+    return type_stats(by_type(narrow(t, "key_counts", "keys").where(F.col("key") == key), {"count": "count", "values": "values"}), narrow(t, "object_stats", "stats"))
 
 
 def key_values(t: Tables, key: str, lang: str = "en", query=None, T="all", sort=None, order="desc", page=None, rp=None) -> DataFrame:
@@ -159,7 +166,8 @@ def key_chronology(t: Tables, key: str) -> DataFrame:
 
 def _descriptions(pages: DataFrame) -> DataFrame:
     entry = F.struct("lang", F.struct(F.col("description").alias("text"), direction(F.col("lang")).alias("dir")).alias("d"))
-    rows = pages.where("description is not null and description <> '' and lang is not null").dropDuplicates(["lang"])
+    rows = pages.where("description is not null and description <> '' and lang is not null")
+    rows = rows.groupBy("lang").agg(F.min_by("description", "title").alias("description"))  # of several pages the first by title
     return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("description"))
 
 
@@ -193,7 +201,7 @@ def keys_all(t: Tables, query=None, filters: list[str] = (), include: list[str]
         else:
             raise ValueError(f"unknown filter {f!r}")
     kept = ["key", *COUNTS, "values_all", "users_all", "in_wiki", "in_wiki_en", "projects"]
-    found = with_fractions(rows.select(*kept), t["stats"])
+    found = with_fractions(rows.select(*kept), narrow(t, "object_stats", "stats"))
     if "wikipages" in include:
         pages = t["wikipages"].where("value is null").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("lang", "title", "status"))).alias("wikipages"))
         found = found.join(pages, "key", "left")
@@ -232,7 +240,7 @@ def keys_without_wiki_page(t: Tables, min_count: int = 10_000, english: bool = F
     """Frequent keys that no page (or no English page) describes; the fraction is not rounded."""
     missing = ~F.col("in_wiki_en") if english else ~F.col("in_wiki")
     rows = matching(t["keys"].where((F.col("count_all") > min_count) & missing), query, "key")
-    total = totals(t["stats"]).select("total_all")
+    total = totals(narrow(t, "object_stats", "stats")).select("total_all")
     found = rows.crossJoin(F.broadcast(total)).select("key", "count_all", fraction("count_all", "total_all", None).alias("count_all_fraction"), "values_all", "users_all", "in_wiki", "in_wiki_en")
     return sorted_page(found.join(top_values(t), "key", "left"), {"key": [], "count_all": [], "values_all": [], "users_all": []}, sort, order, page, rp)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..bridge import LIMITS, Tables
@@ -16,27 +16,44 @@ from . import projects as project_queries
 END = date(2024, 12, 31)
 
 
+def _as_text(c: Column, kind) -> Column:
+    """A value as text that every engine writes alike; fields of structs are joined by colons."""
+    name = kind.typeName()
+    if name == "struct":
+        return F.concat_ws(":", *[_as_text(c[f.name], f.dataType) for f in kind.fields])
+    return c.cast("decimal(20,6)").cast("string") if name == "double" else c.cast("string")
+
+
 def joined(df: DataFrame, *columns: str) -> DataFrame:
-    """Arrays of structs, maps and arrays as text, to compare rows with other engines."""
-    out = df
-    for name in columns:
-        kind = df.schema[name].dataType.typeName()
-        items = F.array_sort(F.map_entries(name)) if kind == "map" else F.col(name)
-        element = df.schema[name].dataType
-        nested = kind == "map" or element.elementType.typeName() == "struct"
-        fields = ["key", "value"] if kind == "map" else [f.name for f in element.elementType.fields] if nested else []
-        text = F.transform(items, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])) if nested else items
-        out = out.withColumn(name, F.array_join(F.array_sort(text), ","))
-    return out
+    """Arrays and maps as text (sorted, fields of structs joined by colons), to compare rows with other engines."""
+
+    def text(name: str) -> Column:
+        kind = df.schema[name].dataType
+        if kind.typeName() == "map":
+            return F.transform(F.map_entries(name), lambda x: F.concat_ws(":", _as_text(x["key"], kind.keyType), _as_text(x["value"], kind.valueType)))
+        return F.transform(name, lambda x: _as_text(x, kind.elementType))
+
+    return df.withColumns({name: F.array_join(F.array_sort(text(name)), ",") for name in columns})
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 8) for c in columns})
+
+
+def _images(df: DataFrame) -> DataFrame:
+    """Pages with the fields of their image as columns."""
+    return df.select(*[c for c in df.columns if c != "image"], "image.*")
 
 
 def _cells(t: Tables) -> DataFrame:
     return counting.grid_cells(t["key_grid"])
 
 
-def _flat_values(df: DataFrame) -> DataFrame:
-    """The name of the first value of each array of prevalent values."""
-    return df.withColumn("prevalent_values", F.array_join(F.transform("prevalent_values", lambda v: v["value"]), ","))
+def _facts(df: DataFrame) -> DataFrame:
+    return df.select(*[c for c in df.columns if c != "image"], "image.image", F.col("image.url").alias("image_url"))
+
+
+_NESTED = ("counts", "prevalent_values", "wiki_pages", "description")
 
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
@@ -72,24 +89,24 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "c5_cumulative": lambda t: chronology.cumulative(t["key_chronology"], end=END),
     "c6_chronology_stats": lambda t: chronology.chronology_stats(t["key_chronology"], t["history"]),
     "d13_page_status": lambda t: t["wikipages"].select("title", "status"),
-    "d14_wikipages_keys": lambda t: t["wikipages_keys"].select("key", "lang_count", "approval_status"),
-    "d15_wikipages_tags": lambda t: t["wikipages_tags"].select("key", "value", "lang_count", "approval_status"),
+    "d14_wikipages_keys": lambda t: joined(t["wikipages_keys"], "langs"),
+    "d15_wikipages_tags": lambda t: joined(t["wikipages_tags"], "langs"),
     "d16_inconsistent_keys": lambda t: t["inconsistent_status_keys"],
     "d16_inconsistent_tags": lambda t: t["inconsistent_status_tags"],
     "d17_wiki_languages": lambda t: wiki.wiki_languages(t["wikipages"]),
     "d18_wiki_stats": lambda t: wiki.wiki_stats(t["wikipages"], t["relation_pages"], t["wiki_images"]),
     "d19_image_titles": lambda t: wiki.image_titles(t["wikipages"], t["relation_pages"]),
     "d22_wiki_words": lambda t: joined(t["words"], "words"),
-    "e3_project_counters": lambda t: projects.project_counters(t["projects"], t["project_tags"]).select("id", "key_entries", "tag_entries", "unique_keys", "unique_tags"),
+    "e3_project_counters": lambda t: projects.project_counters(t["projects"], t["project_tags"]),
     "e4_project_stats": lambda t: projects.project_stats(t["projects"], t["project_tags"]),
     "g2_sw_stats": lambda t: registries.sw_stats(t["discardable_tags"].select("key"), t["discardable_tags"]),
     "m2_master_stats": lambda t: t["stats"],
     "m3_project_unique_keys": lambda t: t["project_unique_keys"],
     "m4_project_unique_tags": lambda t: t["project_unique_tags"],
-    "m5_keys": lambda t: t["keys"].select("key", "count_all", "values_all", "users_all", "in_wiki", "in_wiki_en", "projects"),
+    "m5_keys": lambda t: t["keys"],
     "m6_tags": lambda t: t["tags"],
     "m7_top_tags": lambda t: t["top_tags"],
-    "m8_popular_keys": lambda t: t["popular_keys"].select("key", "count", "users", "wikipages", "in_wiki", "in_wiki_en"),
+    "m8_popular_keys": lambda t: rounded(t["popular_keys"], "scale_count", "scale_users", "scale_wiki", "scale1"),
     "m9_popular_metadata": lambda t: integration.popular_metadata(t["popular_keys"]),
     "m10_popular_scores": lambda t: t["popular_keys"].select("key", F.round("scale1", 8).alias("scale1")),
     "m11_language_pages": lambda t: t["languages"],
@@ -101,33 +118,33 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "q2_key_similar": lambda t: keys.key_similar(t, "old rod"),
     "q3_key_distribution": lambda t: keys.key_distribution(t, "urgent"),
     "q4_key_stats": lambda t: keys.key_stats(t, "type"),
-    "q5_key_values": lambda t: keys.key_values(t, "brand", "de").drop("description", "desclang", "descdir"),
+    "q5_key_values": lambda t: keys.key_values(t, "brand", "de"),
     "q6_prevalent_values": lambda t: keys.key_prevalent_values(t, "priority", 0.2),
-    "q7_key_wiki_pages": lambda t: keys.key_wiki_pages(t, "type").select("lang", "dir", "language_en", "title", F.col("image.width").alias("width"), "approval_status"),
-    "q8_key_projects": lambda t: keys.key_projects(t, "brand", T="ways").select("project_id", "value", "on_node", "on_way"),
+    "q7_key_wiki_pages": lambda t: _images(keys.key_wiki_pages(t, "type")),
+    "q8_key_projects": lambda t: keys.key_projects(t, "brand", T="ways"),
     "q9_key_chronology": lambda t: keys.key_chronology(t, "click"),
-    "q10_key_overview": lambda t: keys.key_overview(t, "type").select("key", "users", "projects", "has_map", F.col("counts")[0]["count"].alias("count_all"), F.array_join(F.transform("prevalent_values", lambda v: v["value"]), ",").alias("prevalent")),
-    "q11_keys_all": lambda t: _flat_values(keys.keys_all(t, include=["prevalent_values"])),
+    "q10_key_overview": lambda t: joined(keys.key_overview(t, "type"), *_NESTED),
+    "q11_keys_all": lambda t: joined(keys.keys_all(t, include=["prevalent_values", "wikipages"]), "prevalent_values", "wikipages"),
     "q11_keys_filtered": lambda t: keys.keys_all(t, query="R", filters=["characters_space"]),
-    "q12_keys_wiki_pages": lambda t: keys.keys_wiki_pages(t).select("key", "lang_count"),
+    "q12_keys_wiki_pages": lambda t: joined(keys.keys_wiki_pages(t), "langs"),
     "q13_keys_similar": lambda t: keys.keys_similar(t, min_common=20),
-    "q14_keys_without_wiki_page": lambda t: _flat_values(keys.keys_without_wiki_page(t, 100)).withColumn("count_all_fraction", F.round("count_all_fraction", 8)),
+    "q14_keys_without_wiki_page": lambda t: joined(rounded(keys.keys_without_wiki_page(t, 100), "count_all_fraction"), "prevalent_values"),
     "q15_keys_discardable": lambda t: keys.keys_discardable(t, ("approved", "proposed")),
     "q16_tag_combinations": lambda t: tags.tag_combinations(t, "priority", "1-URGENT"),
     "q17_tag_distribution": lambda t: tags.tag_distribution(t, "status", "P"),
     "q18_tag_stats": lambda t: tags.tag_stats(t, "priority", "5-LOW"),
-    "q19_tag_wiki_pages": lambda t: tags.tag_wiki_pages(t, "type", "BUILDING").select("lang", "title", "approval_status"),
-    "q20_tag_projects": lambda t: tags.tag_projects(t, "brand", "Brand#11").select("project_id", "value"),
+    "q19_tag_wiki_pages": lambda t: _images(tags.tag_wiki_pages(t, "type", "BUILDING")),
+    "q20_tag_projects": lambda t: tags.tag_projects(t, "brand", "Brand#11"),
     "q21_tag_chronology": lambda t: tags.tag_chronology(t, "click", "0"),
-    "q22_tag_overview": lambda t: tags.tag_overview(t, "status", "O").select("key", "value", "projects", "has_map", F.col("counts")[0]["count"].alias("count_all")),
-    "q23_tags_list": lambda t: tags.tags_list(t, tags="status=O,P,priority=*").drop("wiki"),
-    "q23_tags_of_key": lambda t: tags.tags_list(t, key="brand").select("key", "value", "count_all", "on_node"),
+    "q22_tag_overview": lambda t: joined(tags.tag_overview(t, "status", "O"), "counts", "wiki_pages", "description"),
+    "q23_tags_list": lambda t: joined(tags.tags_list(t, tags="status=O,P,priority=*"), "wiki"),
+    "q23_tags_of_key": lambda t: joined(tags.tags_list(t, key="brand"), "wiki"),
     "q24_tags_popular": lambda t: tags.tags_popular(t),
     "q25_relation_roles": lambda t: relations.relation_roles(t, "BUILDING"),
     "q26_relation_stats": lambda t: relations.relation_stats(t, "BUILDING"),
-    "q27_relation_wiki_pages": lambda t: relations.relation_wiki_pages(t, "BUILDING").select("lang", "title"),
-    "q28_relation_projects": lambda t: relations.relation_projects(t, "BUILDING").select("project_id"),
-    "q29_relations_all": lambda t: joined(relations.relations_all(t).withColumn("count_fraction", F.round("count_fraction", 8)).withColumn("prevalent_roles", F.transform("prevalent_roles", lambda r: r["role"])), "prevalent_roles"),
+    "q27_relation_wiki_pages": lambda t: _images(relations.relation_wiki_pages(t, "BUILDING")),
+    "q28_relation_projects": lambda t: relations.relation_projects(t, "BUILDING"),
+    "q29_relations_all": lambda t: joined(rounded(relations.relations_all(t), "count_fraction"), "prevalent_roles"),
     "q30_relations_roles": lambda t: relations.relations_roles(t, query="u"),
     "q31_search_key_and_value": lambda t: search.by_key_and_value(t, "brand=brand"),
     "q31_search_phrase": lambda t: search.by_key_and_value(t, '"not specified"'),
@@ -135,11 +152,11 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "q33_search_role": lambda t: search.by_role(t, "low"),
     "q34_search_value": lambda t: search.by_value(t, "urgent"),
     "q35_suggest": lambda t: search.suggest(t, "p"),
-    "q36_project_tags": lambda t: project_queries.project_tags(t, "Supplier#000000002").select("key", "value", "in_wiki", "count_all"),
-    "q37_projects_all": lambda t: project_queries.projects_all(_with_counters(t)).select("id", "name", "unique_keys", "unique_tags"),
+    "q36_project_tags": lambda t: project_queries.project_tags(t, "Supplier#000000002"),
+    "q37_projects_all": lambda t: project_queries.projects_all(_with_counters(t)),
     "q38_projects_keys": lambda t: project_queries.projects_keys(t),
     "q39_projects_tags": lambda t: project_queries.projects_tags(t, query="1"),
-    "q42_wiki_languages": lambda t: documentation.wiki_languages(t).select("code", "wiki_key_pages", F.round("wiki_key_pages_fraction", 8).alias("fraction")),
+    "q42_wiki_languages": lambda t: rounded(documentation.wiki_languages(t), "wiki_key_pages_fraction", "wiki_tag_pages_fraction"),
     "q43_wiki_key_status": lambda t: joined(documentation.wiki_key_status(t), "languages"),
     "q44_wiki_tag_status": lambda t: joined(documentation.wiki_tag_status(t, "none"), "languages"),
     "q45_inconsistent_key_status": lambda t: joined(documentation.inconsistent_key_status(t), "statuses"),
@@ -148,8 +165,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "r1_key_lengths": lambda t: reports.key_lengths(t),
     "r2_characters_in_keys": lambda t: reports.characters_in_keys(t),
     "r3_historic_development": lambda t: reports.historic_development(t, ("click", "view")),
-    "r4_pages_about_missing_keys": lambda t: reports.pages_about_missing_keys(t).select("key", "count_all"),
-    "r6_tag_cloud": lambda t: reports.tag_cloud(t).select("key", "rank"),
+    "r4_pages_about_missing_keys": lambda t: joined(reports.pages_about_missing_keys(t), "wikipages"),
+    "r6_tag_cloud": lambda t: rounded(reports.tag_cloud(t), "scale1"),
     "r7_top_tags": lambda t: reports.top_tags(t, without=("status",)),
     "r7_top_relation_types": lambda t: reports.top_relation_types(t),
     "r8_status_table": lambda t: reports.status_table(t),
@@ -160,9 +177,9 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "r14_problems_by_lang": lambda t: reports.problems_by(t, "lang"),
     "r15_object_ratios": lambda t: reports.object_ratios(t),
     "r16_discardable_by_source": lambda t: reports.discardable_by_source(t),
-    "r17_compare": lambda t: reports.compare(t, [("status", None), ("status", "O")]).select("key", "value", "projects", "has_map"),
-    "r18_page_facts": lambda t: reports.page_facts(t, "brand", locale="de").select("key", "description", "projects", "wiki_pages"),
-    "r20_project_overview": lambda t: reports.project_overview(t, F.lit("2024-01-09").cast("timestamp")).select("id", "status", "outdated"),
+    "r17_compare": lambda t: joined(reports.compare(t, [("status", None), ("status", "O")]), "counts", "wiki_pages", "description"),
+    "r18_page_facts": lambda t: joined(_facts(reports.page_facts(t, "brand", locale="de")), "discardable_by"),
+    "r20_project_overview": lambda t: reports.project_overview(t, F.lit("2024-01-09").cast("timestamp")),
     "r22_embed_counts": lambda t: reports.embed_counts(t, "type"),
     "r22_embed_roles": lambda t: reports.embed_roles(t, "BUILDING"),
     "r25_value_treemap": lambda t: reports.value_treemap(t, "year"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import TYPES, fraction, matching, required, sorted_page, top_per_group
-from .keys import Tables, pages_with_images
+from .keys import Tables, narrow, pages_with_images
 
 _MEMBERS = {"all": "members_all", "nodes": "members_nodes", "ways": "members_ways", "relations": "members_relations"}
 
@@ -56,7 +56,7 @@ def top_roles(t: Tables, k: int = 10) -> DataFrame:
 def relations_all(t: Tables, query=None, sort=None, order="desc", page=None, rp=None) -> DataFrame:
     """Relation types with their share of all relations (not rounded) and most frequent roles; null roles where members
     were not counted."""
-    total = t["stats"].where("key = 'relations'").agg(F.max("value").alias("total"))
+    total = narrow(t, "object_stats", "stats").where("key = 'relations'").agg(F.max("value").alias("total"))
     rows = matching(t["relation_types"], query, "rtype").crossJoin(F.broadcast(total)).join(top_roles(t), "rtype", "left")
     none = F.array().cast("array<struct<role:string,count:bigint,fraction:double>>")
     found = rows.select("rtype", "count", fraction("count", "total", None).alias("count_fraction"), F.when(F.col("members_all").isNotNull(), F.coalesce("prevalent_roles", none)).alias("prevalent_roles"))

@@ -117,7 +117,7 @@ def problems_by(t: Tables, column: str = "reason") -> DataFrame:
 def object_ratios(t: Tables) -> DataFrame:
     """Percentage of tagged nodes and average tags of nodes, ways and relations, cut to two digits."""
     names = ("nodes", "ways", "relations", "node_tags", "way_tags", "relation_tags", "nodes_with_tags")
-    one = t["stats"].agg(*[F.max(F.when(F.col("key") == n, F.col("value"))).cast("double").alias(n) for n in names])
+    one = K.narrow(t, "object_stats", "stats").agg(*[F.max(F.when(F.col("key") == n, F.col("value"))).cast("double").alias(n) for n in names])
     cut = lambda c: F.floor(c * 100) / 100
     return one.select(
         cut(F.try_divide(F.col("nodes_with_tags") * 100, F.col("nodes"))).alias("tagged_nodes_percent"),
@@ -147,11 +147,11 @@ def page_facts(t: Tables, key: str, value: str | None = None, locale: str = "en"
     about = (F.col("key") == key) & F.col("value").eqNullSafe(F.lit(value))
     rank = F.when(F.col("lang") == locale, 0).when(F.col("lang") == "en", 1).otherwise(2)
     pages = t["wikipages"].where(about)
-    text = pages.where((F.col("description") != "") & F.col("lang").isin(locale, "en")).agg(F.min_by("description", rank).alias("description"))
+    text = pages.where((F.col("description") != "") & F.col("lang").isin(locale, "en")).agg(F.min_by("description", F.struct(rank, "title")).alias("description"))
     images = pages.where("image <> ''").join(t["wiki_images"], "image").withColumn("rank", rank).where("rank < 2")
     thumb = F.concat("thumb_url_prefix", F.lit(str(max_width)), "thumb_url_suffix")
     url = F.when((F.col("width") <= max_width) | F.col("thumb_url_prefix").isNull(), F.col("image_url")).otherwise(thumb)
-    image = images.agg(F.min_by(F.struct("image", url.alias("url")), "rank").alias("image"))
+    image = images.agg(F.min_by(F.struct("image", url.alias("url")), F.struct("rank", "title")).alias("image"))
     projects = t["project_tags"].where(F.col("key") == key).agg(F.countDistinct("project_id").alias("projects"))
     listed = t["discardable_tags"].where(F.col("key") == key).agg(F.array_sort(F.collect_set("source")).alias("discardable_by"))
     count = pages.agg(F.count("*").alias("wiki_pages"))
@@ -174,7 +174,7 @@ def tag_links(tags: DataFrame, wikipedia_sites: DataFrame) -> DataFrame:
     web = F.regexp_extract("value", r"^(https?://\S+)$", 1)
     phone = F.regexp_replace(F.regexp_extract("value", r"^(\+[0-9][0-9() /.-]*)$", 1), r"[() /.-]+", "-")
     title = F.regexp_extract("value", r"^([a-z-]+):(.+)$", 2)
-    sites = F.broadcast(wikipedia_sites.select(F.col("prefix").alias("site")).distinct())
+    sites = wikipedia_sites.select(F.col("prefix").alias("site")).distinct()
     rows = tags.where(F.col("key").isin(*LINK_KEYS)).withColumn("_lang", F.regexp_extract("value", r"^([a-z-]+):", 1))
     rows = rows.join(sites, F.col("_lang") == F.col("site"), "left")
     key = F.col("key")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import COUNTS, check_type, fraction, matching, required, sorted_page
-from .keys import Tables, _descriptions, by_type, direction, on_type, pages_with_images, type_stats, with_fractions
+from .keys import Tables, _descriptions, by_type, direction, narrow, on_type, pages_with_images, type_stats, with_fractions
 
 
 def _is(key: str, value: str):
@@ -43,7 +43,7 @@ def tag_distribution(t: Tables, key: str, value: str, kind: str = "nodes") -> Da
 
 def tag_stats(t: Tables, key: str, value: str) -> DataFrame:
     """Objects and their share of all objects, by type."""
-    return type_stats(by_type(t["tags"].where(_is(key, value)), {"count": "count"}), t["stats"])
+    return type_stats(by_type(t["tags"].where(_is(key, value)), {"count": "count"}), narrow(t, "object_stats", "stats"))
 
 
 def tag_wiki_pages(t: Tables, key: str, value: str) -> DataFrame:
@@ -101,9 +101,11 @@ def tags_list(t: Tables, key: str | None = None, tags: str | None = None) -> Dat
     else:
         wanted = pages.sparkSession.createDataFrame(parse_tag_list(tags), "key string, value string").distinct()
     entry = F.struct("lang", F.struct("description", "image", "rendering").alias("page"))
-    first = lambda c: F.min_by(c, F.struct(F.col("lang") != "en", "lang")).alias(c)
+    first = lambda c: F.min_by(c, F.struct(F.col("lang") != "en", "lang", "title")).alias(c)
     chosen = pages.alias("p").join(F.broadcast(wanted).alias("w"), (F.col("p.key") == F.col("w.key")) & F.col("p.value").eqNullSafe(F.col("w.value")), "left_semi")
-    documented = chosen.dropDuplicates(["key", "value", "lang"]).groupBy("key", "value").agg(
+    one = F.min_by(F.struct("lang", "title", "description", "image", "rendering", "on_node", "on_way", "on_area", "on_relation"), "title").alias("page")
+    each = chosen.groupBy("key", "value", "lang").agg(one).select("key", "value", "page.*")  # of several pages the first by title
+    documented = each.groupBy("key", "value").agg(
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("wiki"), *[first(c) for c in ("on_node", "on_way", "on_area", "on_relation")]
     )
     counted = t["tags"].select("key", "value", *COUNTS).unionByName(t["keys"].select("key", F.lit(None).cast("string").alias("value"), *COUNTS))
@@ -111,12 +113,12 @@ def tags_list(t: Tables, key: str | None = None, tags: str | None = None) -> Dat
     rows = w.join(d, (F.col("key") == F.col("dk")) & F.col("value").eqNullSafe(F.col("dv")), "left")
     rows = rows.join(c, (F.col("key") == F.col("ck")) & F.col("value").eqNullSafe(F.col("cv")), "left").where("dk is not null or ck is not null")
     rows = rows.select("key", "value", *[F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in COUNTS], "wiki", "on_node", "on_way", "on_area", "on_relation")
-    return with_fractions(rows, t["stats"])
+    return with_fractions(rows, narrow(t, "object_stats", "stats"))
 
 
 def tags_popular(t: Tables, query=None, sort=None, order="desc", page=None, rp=None) -> DataFrame:
     """Tags that occur in combinations, with their fractions."""
-    rows = with_fractions(matching(t["top_tags"], query, "skey", "svalue"), t["stats"])
+    rows = with_fractions(matching(t["top_tags"], query, "skey", "svalue"), narrow(t, "object_stats", "stats"))
     spec = {"tag": ["skey", "svalue"], **{c: [] for c in COUNTS}, "in_wiki": [], "projects": ["projects", "skey"]}
     return sorted_page(rows, spec, sort, order, page, rp)
 

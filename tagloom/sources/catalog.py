@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +32,18 @@ class Catalog(Mapping):
             self[name].createOrReplaceTempView(name)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: below the checkpoint folder of the session, in local mode also elsewhere."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and (current := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        shared = current.get()
+    if not shared and spark.sparkContext.master.partition("[")[0] == "local":
+        shared = tempfile.gettempdir()
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
 def write_tables(tables: Mapping[str, DataFrame], path: str, partition_by: Mapping[str, list[str]] | None = None) -> None:
     """Writes every table; large ones can be partitioned."""
     for name, df in tables.items():
