@@ -5,12 +5,14 @@ words. Every run of 13 consecutive item words is a pattern of the automaton, and
 at a known normalised offset, so word starts map it back to words, and ``hit_spans`` maps words back to offsets of the
 original text.
 
-The items are a query set. They are taken in blocks of a fixed number of bytes, one automaton and one broadcast for
-each, so that no broadcast grows with the benchmark; one block holds any usual benchmark and then each text is read
-once. With more blocks a text is scanned once per block and its findings are united within its row.
-
-Defined results: null or empty texts have no words and are not contaminated; items without words are ignored; repeated
-items count by their id; repeated documents get a row each; other columns are ignored; an empty table on either side
+The items are a query set. They are taken in blocks of a fixed number of bytes, with a broadcast for each, so that no
+broadcast grows with the benchmark; one block holds any usual benchmark and then each text is scanned once. With more
+blocks a text is scanned once per block, within one expression, and its findings are united. A worker keeps the automata
+of the blocks used last, up to ``KEPT_BYTES`` of items: with more than that it builds each of them once for every Arrow
+batch, so a benchmark of many blocks is better scanned with larger batches.
+
+Defined results: null or empty texts have no words and are not contaminated; items without words are ignored; an item
+without an id marks words but is not listed; repeated items count by their id; repeated documents get a row each; other columns are ignored; an empty table on either side
 gives no hits. The hash of no items is the hash of the empty string.
 """
 
@@ -19,14 +21,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import struct_of
+from .common import arrow_schema
 
 WINDOW = 13
 #: Bytes of item text in one automaton; about a hundred times that in memory.
 BLOCK_BYTES = 4_000_000
+#: Bytes of item text whose automata a worker keeps.
+KEPT_BYTES = 8_000_000
 
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -94,36 +99,36 @@ def hit_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class _Items:
-    """The items of one block; a worker builds their automaton once."""
+    """The items of one block; a worker builds their automaton when it has none."""
 
-    def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, broadcast._jbroadcast.id()
+    def __init__(self, broadcast, size: int):
+        self.broadcast, self.id, self.size = broadcast, broadcast._jbroadcast.id(), size
 
     def __getstate__(self):
-        return {"broadcast": self.broadcast, "id": self.id}
+        return {"broadcast": self.broadcast, "id": self.id, "size": self.size}
 
     def automaton(self):
-        key = self.id
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = build(self.broadcast.value)
-        return _BUILT[key]
+        found = _BUILT.pop(self.id, None)
+        while found is None and _BUILT and sum(size for size, _ in _BUILT.values()) + self.size > KEPT_BYTES:
+            del _BUILT[next(iter(_BUILT))]  # the one that was not used for longest
+        _BUILT[self.id] = found = found or (self.size, build(self.broadcast.value))
+        return found[1]
 
 
-_BUILT: dict[int, object] = {}
+_BUILT: dict[int, tuple[int, object]] = {}
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
-    """The query set in blocks of at most ``block_bytes`` (an item above that stands alone), one at a time."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple], int]]:
+    """The query set, with its bytes, in blocks of at most ``block_bytes`` (an item above that stands alone), one at a time."""
     block, size = [], 0
     for row in items.where(F.col(text_col).isNotNull()).select(id_col, text_col).toLocalIterator():
         n = len(row[1].encode())
         if block and size + n > block_bytes:
-            yield block
+            yield block, size
             block, size = [], 0
         block.append(tuple(row))
         size += n
-    yield block
+    yield block, size
 
 
 def matches(
@@ -134,41 +139,32 @@ def matches(
     item_text: str = "text",
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """All rows and columns with n_words, ``runs`` (hit words as runs) and ``items`` (ids of items with occurring windows,
-    as sorted strings); columns of these names are replaced."""
+    """All rows and columns with n_words, ``runs`` (hit words as runs), ``spans`` (the same as code points of the original
+    text) and ``items`` (ids of items with occurring windows, as sorted strings); columns of these names are replaced."""
     sc = docs.sparkSession.sparkContext
-    schema = "n_words long, runs array<struct<first:long,end:long>>, items array<string>"
-    found = []
-    for block in item_blocks(items, item_id, item_text, block_bytes):
-        held = _Items(sc.broadcast(block))
-
-        def find(text, held=held):
-            n, runs, ids = scan(held.automaton(), text)
-            return n, [{"first": a, "end": b} for a, b in runs], sorted(map(str, ids))
-
-        found.append(struct_of(find, schema)(F.col(text_col)))
-    names = [f"_found{k}" for k in range(len(found))]
-    rows = docs.drop("n_words", "runs", "items").select(F.struct("*").alias("_row"), *map(Column.alias, found, names))
-    if len(found) == 1:
-        return rows.select("_row.*", "_found0.*")
-    runs = _united(F.array_sort(F.concat(*[F.col(n)["runs"] for n in names])))
-    ids = F.array_sort(F.array_distinct(F.concat(*[F.col(n)["items"] for n in names])))
-    return rows.select("_row.*", F.col("_found0.n_words").alias("n_words"), runs.alias("runs"), ids.alias("items"))
-
-
-def _united(runs: Column) -> Column:
-    """Sorted runs with overlapping and touching ones made one."""
-    empty = F.array().cast("array<struct<first:bigint,end:bigint>>")
-
-    def add(out, run):
-        last = F.try_element_at(out, F.lit(-1))
-        joined = F.struct(last["first"].alias("first"), F.greatest(last["end"], run["end"]).alias("end"))
-        touches = F.coalesce(run["first"] <= last["end"], F.lit(False))
-        return F.when(touches, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(joined))).otherwise(
-            F.concat(out, F.array(run))
-        )
-
-    return F.aggregate(runs, empty, add)
+    blocks = [_Items(sc.broadcast(block), size) for block, size in item_blocks(items, item_id, item_text, block_bytes)]
+    schema = "n_words long, runs array<struct<first:long,end:long>>, spans array<struct<start:long,end:long>>, items array<string>"
+    arrow = arrow_schema(schema)
+
+    def find(column: pa.Array) -> pa.Array:
+        texts = column.to_pylist()
+        found = [[0, [], set()] for _ in texts]
+        for block in blocks:
+            automaton = block.automaton()
+            for each, text in zip(found, texts):
+                each[0], runs, ids = scan(automaton, text)
+                each[1] += runs
+                each[2] |= ids
+        rows = []
+        for (n, runs, ids), text in zip(found, texts):
+            runs = merged(sorted(runs)) if len(blocks) > 1 else runs
+            spans = hit_spans(text, runs) if runs else []
+            rows.append((n, [{"first": a, "end": b} for a, b in runs], [{"start": a, "end": b} for a, b in spans], sorted(str(i) for i in ids if i is not None)))
+        columns = list(zip(*rows)) or [[]] * len(arrow)
+        return pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], fields=list(arrow))
+
+    rows = docs.drop("n_words", "runs", "spans", "items").select(F.struct("*").alias("_row"), F.arrow_udf(find, schema)(text_col).alias("_found"))
+    return rows.select("_row.*", "_found.*")
 
 
 def judged(found: DataFrame) -> DataFrame:

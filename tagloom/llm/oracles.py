@@ -1,6 +1,6 @@
 """DuckDB SQL for the operator queries that SQL can express."""
 
-from .licenses import TEMPLATES, key_position
+from .licenses import TEMPLATES, key_positions
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,13 +39,13 @@ FROM b
 
 
 def _licences() -> str:
-    """Every template against every place: places with enough equal words and all words of the key phrase."""
+    """Every template against every place: places with enough equal words and all words of the key phrases."""
     rows = []
     for k, t in enumerate(TEMPLATES):
-        at, n = key_position(t), len(t.key.split())
+        keys = key_positions(t)
         for i, w in enumerate(t.text.split()):
-            in_key = "true" if at <= i < at + n else "false"
-            rows.append(f"({k}, '{t.label}', {i}, '{w}', {in_key}, {len(t.text.split())}, {n}, {t.limit}, {str(t.base).lower()})")
+            in_key = "true" if i in keys else "false"
+            rows.append(f"({k}, '{t.label}', {i}, '{w}', {in_key}, {len(t.text.split())}, {len(keys)}, {t.limit}, {str(t.base).lower()})")
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 from math import log10
@@ -305,6 +306,34 @@ def test_licenses(spark):
     assert got[5]["labels"] == "mit" and got[5]["score"] == 1.0 and got[5]["base_labels"] == ""
     assert got[6]["labels"] == "" and got[7]["score"] == 0.0
     assert licenses.labelled(licenses.scan(table(spark, []))).count() == 0
+    odd = collected(licenses.labelled(licenses.scan(table(spark, ODD + [(9, "all rights reserved " * 20_000)] * 2 + [(None, "cc by")]))))
+    assert len(odd) == len(ODD) + 3 and [r["n_base"] for r in odd if r["doc_id"] == 9] == [20_000] * 2
+    assert [r["base_labels"] for r in odd if r["doc_id"] is None] in (["", "cc-by"], ["cc-by", ""])
+
+
+def slow_places(text, templates):
+    words, out = re.findall("[0-9a-z]+", (text or "").lower()), []
+    for t in templates:
+        body = t.text.split()
+        for at in range(len(words)):
+            equal = [words[at + i : at + i + 1] == [w] for i, w in enumerate(body)]
+            if all(equal[i] for i in licenses.key_positions(t)) and sum(equal) / len(body) >= t.limit:
+                out.append((t.label, at, round(sum(equal) / len(body), 9)))
+    return sorted(out)
+
+
+def test_licence_places_against_every_place(spark):
+    rnd, texts = random.Random(31), []
+    for k in range(120):
+        words = []
+        for _ in range(rnd.randrange(1, 4)):
+            body = rnd.choice(licenses.TEMPLATES).text.split()
+            for _ in range(rnd.choice([0, 0, 1, 3, 9])):
+                body[rnd.randrange(len(body))] = rnd.choice(["x", "license", "software", "by"])
+            words += body[rnd.choice([0, 0, 0, 2]) :] + ["between"] * rnd.randrange(3)
+        texts.append((k, " ".join(words).title()))
+    got = {r["doc_id"]: sorted((licenses.TEMPLATES[p["t"]].label, p["first"], round(p["share"], 9)) for p in r["places"]) for r in licenses.scan(table(spark, texts)).collect()}
+    assert got == {k: slow_places(t, licenses.TEMPLATES) for k, t in texts} and sum(map(len, got.values())) > 100
 
 
 # ---------------------------------------------------------------- decontamination
@@ -327,10 +356,32 @@ def test_decontamination(spark):
     (first, end), = [(r["first"], r["end"]) for r in got[1]["runs"]]
     (a, b), = decontaminate.hit_spans(texts[0][1], [(first, end)])
     assert texts[0][1][a:b] == item.upper().replace(" ", ", ")
+    (span,) = got[1]["spans"]
+    assert (span["start"], span["end"]) == (a, b)
+    nameless = spark.createDataFrame([(None, "short item")], "item_id long, text string")
+    found = {r["doc_id"]: r for r in collected(decontaminate.judged(decontaminate.matches(table(spark, texts), nameless)))}
+    assert (found[3]["n_hit"], found[3]["n_items"], found[3]["items"]) == (2, 0, [])
+    odd = collected(decontaminate.judged(decontaminate.matches(table(spark, ODD), items)))
+    assert len(odd) == len(ODD) and not any(r["n_hit"] for r in odd)
     empty = spark.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] for r in collected(decontaminate.judged(decontaminate.matches(table(spark, texts), empty))))
 
 
+def test_blocks_are_built_once(monkeypatch):
+    """As many automata as fit are kept; the one that was used least lately goes first."""
+    built = []
+    monkeypatch.setattr(decontaminate, "build", lambda items: built.append(items) or items)
+    monkeypatch.setattr(decontaminate, "_BUILT", {})
+    blocks = []
+    for k in range(3):
+        held = decontaminate._Items.__new__(decontaminate._Items)
+        held.id, held.size, held.broadcast = k, decontaminate.KEPT_BYTES // 2, type("B", (), {"value": k})
+        blocks.append(held)
+    assert [blocks[k].automaton() for k in (0, 1, 0, 1, 0)] == [0, 1, 0, 1, 0] and built == [0, 1]
+    assert blocks[2].automaton() == 2 and blocks[0].automaton() == 0 and built == [0, 1, 2]
+    assert blocks[1].automaton() == 1 and built == [0, 1, 2, 1]
+
+
 # ---------------------------------------------------------------- near-duplicates
 def slow_components(rows, size):
     sets = {}
