@@ -8,7 +8,10 @@ are sorted, each with the bytes that its strings reach before and after the anch
 1. Runs: a task sorts the anchor suffixes of some megabytes of text, keeps one of equal ones (the others are repeats of
    it, known at once), front-codes them (length of the prefix shared with the suffix before, and the rest) and cuts the
    run at splitters taken from a bounded sample of documents.
-2. Exchange: the pieces are shuffled by range. Anchors that share their gram always meet.
+2. Exchange: the pieces are shuffled by range. Anchors that share their gram meet, but for the grams that are frequent in
+   the sample: their strings are parted into those that reach ``AHEAD`` bytes beyond the start of the anchor, dealt by
+   these bytes, and the others, which have the remaining bytes before it, dealt by those. Equal strings still meet, and
+   one gram is spread over all ranges.
 3. Merge: a loser tree merges the pieces of a range. Each loser keeps the length of the prefix it shares with the suffix
    that beat it, a new suffix brings the one from its front code, and characters are compared only beyond these.
 4. Suffixes whose neighbours share enough are candidates; their strings are looked up by hash and compared byte by byte,
@@ -43,6 +46,10 @@ RANGE_BYTES = 16_000_000
 SEGMENT = 250_000
 #: Documents, and anchors of each, that the splitters are taken from at most.
 SAMPLE_DOCS, SAMPLE_ANCHORS = 4000, 64
+#: A gram with more than a quarter of a range's share of the sample, and this many anchors in it, is frequent.
+FREQUENT = 16
+#: Bytes from the anchor on that one part of a frequent gram's strings has in common with its equals.
+AHEAD = LENGTH // 2 + GRAM // 2
 #: Candidate suffixes whose strings are matched together; whole groups are kept together beyond it.
 TOGETHER = 8_000
 #: Pairs of strings that are compared at a time.
@@ -203,7 +210,7 @@ def _unpack(blob: bytes) -> Iterator[tuple]:
         back += before[k]
 
 
-def _run(rows: list[tuple[int, bytes]], splitters: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _run(rows: list[tuple[int, bytes]], splitters: np.ndarray, hot: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
     """Pieces (range, blob) of one run; range -1 has intervals that need no merge.
 
     What an anchor's strings are is looked up by a hash of their bytes, and the bytes are compared before they count as
@@ -237,24 +244,47 @@ def _run(rows: list[tuple[int, bytes]], splitters: np.ndarray) -> Iterator[tuple
         yield -1, np.array(gone, np.int64).tobytes()
     if not owner:
         return
-    suffixes = [rows[k][1][a:end] for k, a, end in zip(owner, place, ends)]
-    order = np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__), np.int64)
     owner, place, starts, ends = (np.frombuffer(x, np.int64) for x in (owner, place, starts, ends))
-    into = np.searchsorted(splitters, np.frombuffer(grams, np.uint64)[order], side="right")
+    grams = np.frombuffer(grams, np.uint64)
+    often = np.isin(grams, hot)
+    usual = np.flatnonzero(~often)
+    into = np.searchsorted(splitters, grams[usual], side="right")
+    yield from _pieces(rows, docs, owner[usual], place[usual], starts[usual], ends[usual], into, False)
+    if often.any():
+        owner, place, starts, ends = (x[often] for x in (owner, place, starts, ends))
+        border = place - LENGTH + AHEAD  # the first string that reaches AHEAD bytes beyond the anchor's start
+        for ahead in (True, False):
+            first, end = (np.maximum(starts, border), ends) if ahead else (starts, np.minimum(ends, border - 1 + LENGTH))
+            some = np.flatnonzero(end - first >= LENGTH)
+            texts = zip(owner[some].tolist(), place[some].tolist())
+            cut = lambda k, a: rows[k][1][a : a + AHEAD] if ahead else rows[k][1][a - LENGTH + AHEAD - 1 : a]
+            into = np.array([ranges + digest(cut(k, a), int(ahead)) % ranges for k, a in texts], np.int64)
+            yield from _pieces(rows, docs, owner[some], place[some], first[some], end[some], into, True)
+
+
+def _pieces(rows, docs, owner, place, starts, ends, into, dealt: bool) -> Iterator[tuple[int, bytes]]:
+    """Entries as sorted, packed pieces of their ranges. Ranges follow the order of suffixes unless they are dealt by hash."""
+    suffixes = [rows[k][1][a:end] for k, a, end in zip(owner.tolist(), place.tolist(), ends.tolist())]
+    numbers = into.tolist()
+    key = (lambda i: (numbers[i], suffixes[i])) if dealt else suffixes.__getitem__
+    order = np.array(sorted(range(len(suffixes)), key=key), np.int64)
+    into = into[order]
     cuts = np.flatnonzero(np.diff(into)) + 1
     for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
         mine = order[start:stop]
+        if not len(mine):
+            continue
         before = [rows[k][1][first:a] for k, first, a in zip(owner[mine].tolist(), starts[mine].tolist(), place[mine].tolist())]
         strings = ends[mine] - LENGTH - starts[mine] + 1
         yield int(into[start]), _pack([suffixes[i] for i in mine.tolist()], before, strings, docs[owner[mine]], place[mine])
 
 
-def runs(docs: DataFrame, splitters: np.ndarray) -> DataFrame:
+def runs(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray, ranges: int) -> DataFrame:
     """(range, blob) of all runs of (doc, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows):
-            made = list(_run(rows, splitters))
+            made = list(_run(rows, splitters, hot, ranges))
             return pa.RecordBatch.from_arrays(
                 [pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.binary())], names=["range", "blob"]
             )
@@ -276,10 +306,10 @@ def runs(docs: DataFrame, splitters: np.ndarray) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(make, "range int, blob binary")
 
 
-def split_points(docs: DataFrame, n: int, ranges: int) -> np.ndarray:
-    """Grams that cut the anchors of a bounded sample of the n documents into equal ranges."""
+def split_points(docs: DataFrame, n: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """From a bounded sample of the n documents: grams that cut the anchors into equal ranges, and the frequent ones."""
     if not n:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +320,11 @@ def split_points(docs: DataFrame, n: int, ranges: int) -> np.ndarray:
 
     sample = docs.select("text").sample(min(1.0, SAMPLE_DOCS / n), 8).mapInArrow(some, "gram long")
     grams = np.sort(np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64))
-    return np.unique(grams[np.linspace(0, len(grams) - 1, ranges + 1).astype(int)[1:-1]]) if len(grams) else grams
+    if not len(grams):
+        return grams, grams
+    each, count = np.unique(grams, return_counts=True)
+    hot = each[count > max(FREQUENT, len(grams) / (4 * ranges))]  # at most four for each range
+    return np.unique(grams[np.linspace(0, len(grams) - 1, ranges + 1).astype(int)[1:-1]]), hot
 
 
 def repeats(group: list[tuple]) -> tuple[np.ndarray, ...]:
@@ -388,7 +422,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = rows.select("doc", text.alias("text"))
     n, size = measured(texts)
     ranges = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
-    pieces = runs(texts, split_points(texts, n, ranges))
+    pieces = runs(texts, *split_points(texts, n, ranges), ranges)
     dealt = F.when(F.col("range") < 0, F.pmod(F.xxhash64("blob"), F.lit(ranges)))
     gone = pieces.groupBy("range", dealt).applyInArrow(_merged, "doc long, start long, end long")
     spans = gone.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from math import log10
 
+import numpy as np
 import pytest
 
 from tagloom.llm import bpe, decontaminate, html, katz, licenses, minhash, quality, sharding, suffixes, token_counts
@@ -471,9 +472,12 @@ def slow_removal(rows):
     return out
 
 
-@pytest.mark.parametrize("seed,run", [(3, 12_000_000), (4, 3000)])
-def test_repeats_are_removed(spark, monkeypatch, seed, run):
+@pytest.mark.parametrize("seed,run,frequent", [(3, 12_000_000, 16), (4, 3000, 16), (5, 3000, -1)])
+def test_repeats_are_removed(spark, monkeypatch, seed, run, frequent):
     monkeypatch.setattr(suffixes, "RUN_BYTES", run)
+    if frequent < 0:  # every gram is a frequent one
+        split = suffixes.split_points
+        monkeypatch.setattr(suffixes, "split_points", lambda docs, n, ranges: (split(docs, n, ranges)[0], np.unique(np.concatenate([suffixes.anchors((r[0] or "").encode())[3] for r in docs.select("text").collect()]))))
     rows = made_up(seed, 120) + [(500, "ab" * 300), (501, "é" * 200), (502, "x" + "ab" * 120)]
     got = collected(suffixes.remove_repeats(table(spark, rows)))
     want = slow_removal(rows)
@@ -505,12 +509,27 @@ def test_repeats_do_not_rest_on_hashes(spark, monkeypatch):
         group.append((suffix, 0, before, len(before) + len(suffix) - 99, k, 50))
     right = sorted(zip(*(x.tolist() for x in suffixes.repeats(list(group)))))
     assert right == [(1, 0, 110)]
-    import numpy as np
-
     monkeypatch.setattr(suffixes, "_VALUES", np.zeros(256, np.uint64))
     assert sorted(zip(*(x.tolist() for x in suffixes.repeats(list(group))))) == right
 
 
+def test_a_frequent_gram_is_dealt_over_ranges():
+    """Many different contexts of one short string: no range gets more than a few times its share."""
+    rnd = random.Random(6)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    around = [(digits(110), digits(110)) for _ in range(2000)]
+    hits = lambda word, some: sum(int.from_bytes(word.encode(), "big") in suffixes.anchors((x + word + y).encode())[3].tolist() for x, y in some)
+    word = max((f"q{k:07d}" for k in range(200)), key=lambda w: hits(w, around[:3]))  # one that is chosen as an anchor
+    texts = [(k, (x + word + y).encode()) for k, (x, y) in enumerate(around)]
+    gram = int.from_bytes(word.encode(), "big")
+    hot, n = np.array([gram], np.uint64), hits(word, around)
+    assert n > 1000
+    sizes, plain = Counter(), Counter()
+    for number, blob in suffixes._run(texts, np.empty(0, np.uint64), hot, 16):
+        (sizes if number >= 16 else plain)[number] += len(list(suffixes._unpack(blob)))
+    assert n <= sum(sizes.values()) <= 2 * n and max(sizes.values()) <= 1.6 * sum(sizes.values()) / 16 and len(sizes) == 16
+
+
 def test_suffixes_with_ids_of_text(spark):
     passage = "0123456789" * 12
     df = spark.createDataFrame([("b", "head " + passage), ("a", passage + " tail"), ("a", passage + " tail"), (None, None)], "doc_id string, text string")
