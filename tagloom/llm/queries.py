@@ -59,7 +59,8 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.counts(table(spark, sf_dir, "documents"), *tokenizer())
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.counts(docs, *tokenizer(), trained=token_counts.train(docs, *tokenizer()))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,26 +1,32 @@
 """Token counts under a unigram model by dynamic programming over a trie.
 
-Texts are split into pre-tokens; the distinct ones of a batch are put into a trie of bytes. The best score of every
+Texts are split into pre-tokens; the distinct ones of a batch are inserted into a trie of bytes. The best score of every
 prefix (the largest sum of token scores over all ways to split it into tokens) depends on the prefix alone, so it is
-computed once for each trie node, whatever number of pre-tokens share it; the number of tokens of the best split is kept
-at the nodes where pre-tokens end. A document's count is the sum over its pre-tokens.
+computed once, when its node is made, whatever number of pre-tokens share it; the number of tokens of the best split is
+kept at the nodes where pre-tokens end. A document's count is the sum over its pre-tokens.
 
-The vocabulary is a public rank file that is given and not trained. Its tokens get Zipf scores by rank, normalised over
-the vocabulary; of splits with equal scores the one with fewer tokens counts, so counts are unique.
+The vocabulary is a public rank file that is given and not trained. ``train`` fits the token probabilities to all texts:
+the distinct pre-tokens are counted by Spark, each is split once by first scores (Zipf by rank), and the tokens of the
+splits are added up; the model is a table of the vocabulary's size. Of splits with equal scores the one with fewer tokens
+counts, so counts are unique.
 
 Defined results: null and empty texts have no pre-tokens and no tokens; repeated rows get a row each; other columns are
-ignored; an empty table gives no rows; a batch holds a bounded number of texts and its trie is dropped after it.
+ignored; an empty table gives no rows and trains a uniform model; a batch holds a bounded number of texts and its trie is
+dropped after it.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import hand_back
 
 #: Texts that share one trie.
 BATCH = 1024
@@ -29,71 +35,147 @@ REMEMBERED = 400_000
 
 
 class Unigram:
-    """Token scores: log of a Zipf distribution over the ranks of the vocabulary."""
+    """Token scores: natural logarithms of probabilities, by default of a Zipf distribution over the ranks of the
+    vocabulary."""
 
-    def __init__(self, tokens: dict[bytes, int]):
+    def __init__(self, tokens: dict[bytes, int], score: dict[bytes, float] | None = None):
         total = math.log(sum(1 / (rank + 1) for rank in tokens.values()))
-        self.score = {token: -math.log(rank + 1) - total for token, rank in tokens.items()}
+        self.score = score or {token: -math.log(rank + 1) - total for token, rank in tokens.items()}
         self.ends = {token[i:] for token in tokens for i in range(len(token))}
 
     @classmethod
-    @functools.cache
-    def load(cls, path: str) -> Unigram:
+    def load(cls, path: str, counts: dict[int, int] | None = None) -> Unigram:
+        """The model of a rank file; with counts of token ids, of one more than the count of each token."""
         with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
+            tokens = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        if counts is None:
+            return cls(tokens)
+        total = math.log(sum(counts.values()) + len(tokens))
+        return cls(tokens, {token: math.log(counts.get(rank, 0) + 1) - total for token, rank in tokens.items()})
+
+
+class Trie:
+    """Pre-tokens by their bytes. ``best`` has for each node the score of its prefix's best split, minus its number of
+    tokens, and where its last token starts."""
+
+    def __init__(self, model: Unigram):
+        self.model = model
+        self.edges: dict[int, int] = {}  # (node, byte) as one number, to the node below
+        self.best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
+        self.tokens: dict[bytes, int] = {}  # at the ends of pre-tokens
+
+    def insert(self, word: bytes) -> list[int]:
+        """The nodes of a pre-token's prefixes; new ones get their scores."""
+        path, edges = [0], self.edges
+        for end, byte in enumerate(word, 1):
+            edge = path[-1] << 8 | byte
+            node = edges.get(edge)
+            if node is None:
+                node = edges[edge] = len(self.best)
+                self.best.append(self._forward(word, end, path))
+            path.append(node)
+        self.tokens[word] = -self.best[path[-1]][1]
+        return path
+
+    def _forward(self, word: bytes, end: int, path: list[int]) -> tuple[float, int, int]:
+        score, ends, best, top = self.model.score.get, self.model.ends, self.best, None
+        for start in range(end - 1, -1, -1):
+            token = word[start:end]
+            if token not in ends:
+                break
+            own = score(token)
+            if own is not None:
+                total, minus, _ = best[path[start]]
+                made = (total + own, minus - 1, start)
+                if top is None or made > top:
+                    top = made
+        if top is None:
+            raise ValueError(f"no token ends in {word[:end]!r}; the vocabulary lacks single bytes")
+        return top
+
+    def split(self, word: bytes) -> list[bytes]:
+        """The tokens of a pre-token's best split."""
+        path, end, out = self.insert(word), len(word), []
+        while end:
+            start = self.best[path[end]][2]
+            out.append(word[start:end])
+            end = start
+        return out[::-1]
 
 
 def count_tokens(model: Unigram, pretokens: Iterable[bytes]) -> dict[bytes, int]:
-    """Tokens in the best split of each distinct pre-token.
-
-    The trie is walked depth first in byte order: ``best[d]`` belongs to the node at depth d of the current path, and
-    going from one pre-token to the next only leaves the nodes below their common prefix.
-    """
-    score, ends, counts = model.score.get, model.ends, {}
-    best: list[tuple[float, int]] = [(0.0, 0)]  # (score, minus the tokens) of each prefix on the path
-    before = b""
-    for word in sorted(set(pretokens)):
-        shared = 0
-        for x, y in zip(before, word):
-            if x != y:
-                break
-            shared += 1
-        del best[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            top = None
-            for start in range(end - 1, -1, -1):
-                token = word[start:end]
-                if token not in ends:
-                    break
-                own = score(token)
-                if own is not None:
-                    total, minus = best[start]
-                    made = (total + own, minus - 1)
-                    if top is None or made > top:
-                        top = made
-            if top is None:
-                raise ValueError(f"no token ends in {word[:end]!r}; the vocabulary lacks single bytes")
-            best.append(top)
-        counts[word] = -best[len(word)][1]
-        before = word
-    return counts
-
-
-@functools.cache
-def _known(path: str) -> dict[bytes, int]:
-    return {}
+    """Tokens in the best split of each distinct pre-token."""
+    trie = Trie(model)
+    for word in set(pretokens):
+        trie.insert(word)
+    return trie.tokens
+
+
+def _splitter(pattern: str):
+    import regex
+
+    return regex.compile(pattern).findall
+
+
+def train(docs: DataFrame, path: str, pattern: str, text_col: str = "text", batch: int = BATCH) -> dict[int, int]:
+    """How often each token of the vocabulary stands in the best splits of all texts, by first scores."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _splitter(pattern)
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch):
+                found: Counter = Counter()
+                for text in whole.column(0).slice(start, batch).to_pylist():
+                    if text:
+                        found.update(find(text))
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["piece", "n"])
+        hand_back()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Unigram.load(path)
+        with open(path, "rb") as f:
+            ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        found: Counter = Counter()
+        for whole in batches:
+            trie = Trie(model)
+            for piece, n in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist()):
+                for token in trie.split(piece.encode()):
+                    found[ids[token]] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["id", "n"])
+        hand_back()
+
+    counted = docs.select(text_col).mapInArrow(pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    totals = counted.mapInArrow(split, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return {row["id"]: row["n"] for row in totals.collect()}  # at most one row for each token of the vocabulary
+
+
+_MODELS: dict[tuple, tuple[Unigram, dict[str, int]]] = {}
+
+
+def _model(path: str, held, number: int | None) -> tuple[Unigram, dict[str, int]]:
+    """A worker's model and the counts of pre-tokens that it remembers; the model used last is kept."""
+    if (path, number) not in _MODELS:
+        _MODELS.clear()
+        _MODELS[path, number] = Unigram.load(path, held and held.value), {}
+    return _MODELS[path, number]
 
 
 def counts(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    batch: int = BATCH,
+    trained: dict[int, int] | None = None,
 ) -> DataFrame:
-    """id, n_pretokens and n_tokens of every whole text."""
+    """id, n_pretokens and n_tokens of every whole text, by first scores or by counts of ``train``."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    held = None if trained is None else docs.sparkSession.sparkContext.broadcast(trained)  # of the vocabulary's size
+    number = held and held._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find, model, known = regex.compile(pattern).findall, Unigram.load(path), _known(path)
+        find, (model, known) = _splitter(pattern), _model(path, held, number)
         for whole in batches:
             for start in range(0, whole.num_rows, batch):
                 part = whole.slice(start, batch)
@@ -109,5 +191,6 @@ def counts(
                     [part.column(0), pa.array([len(one) for one in split], pa.int64()), pa.array(n, pa.int64())],
                     names=[id_col, "n_pretokens", "n_tokens"],
                 )
+        hand_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_pretokens long, n_tokens long")

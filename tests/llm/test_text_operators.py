@@ -1,6 +1,7 @@
 """Operators on texts against brute-force versions, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -659,20 +660,35 @@ def test_placement(spark):
 
 # ---------------------------------------------------------------- token counts
 def test_token_counts(spark):
+    import regex
+
     path, pattern = tokenizer()
-    model = token_counts.Unigram.load(path)
+    first = token_counts.Unigram.load(path)
 
-    def slow(word):
-        best = [(0.0, 0)]
+    def slow(word, score):
+        """(score, minus the tokens, tokens) of the best split."""
+        best = [(0.0, 0, ())]
         for end in range(1, len(word) + 1):
-            best.append(max((best[s][0] + model.score[word[s:end]], best[s][1] - 1) for s in range(end) if word[s:end] in model.score))
-        return -best[-1][1]
+            ways = ((best[s][0] + score[word[s:end]], best[s][1] - 1, s) for s in range(end) if word[s:end] in score)
+            total, minus, start = max(ways)
+            best.append((total, minus, (*best[start][2], word[start:end])))
+        return best[-1]
 
     rnd = random.Random(1)
     words = {bytes(rnd.choice("thetionandé ".encode()) for _ in range(rnd.randrange(1, 14))) for _ in range(400)}
-    assert token_counts.count_tokens(model, words) == {w: slow(w) for w in words}
-    import regex
-
-    got = collected(token_counts.counts(table(spark, ODD), path, pattern, batch=3))
-    assert sorted(r["n_tokens"] for r in got) == sorted(sum(slow(p.encode()) for p in regex.findall(pattern, t or "")) for _, t in ODD)
-    assert token_counts.counts(table(spark, []), path, pattern).count() == 0
+    trie = token_counts.Trie(first)
+    assert all(trie.split(w) == list(slow(w, first.score)[2]) for w in words)
+    assert len(trie.best) - 1 == len({w[:k] for w in words for k in range(1, len(w) + 1)})  # a node for each distinct prefix
+    assert token_counts.count_tokens(first, words) == {w: -slow(w, first.score)[1] for w in words}
+
+    pieces = [[p.encode() for p in regex.findall(pattern, t or "")] for _, t in ODD]
+    seen = Counter(token for one in pieces for p in one for token in slow(p, first.score)[2])
+    ids = {token: rank for rank, token in bpe.vocabulary(path).tokens.items()}
+    trained = token_counts.train(table(spark, ODD), path, pattern, batch=3)
+    assert trained == {ids[token]: n for token, n in seen.items()}
+    own = token_counts.Unigram.load(path, trained)
+    assert sum(math.exp(x) for x in own.score.values()) == pytest.approx(1.0)
+    for model, given in ((first, None), (own, trained)):
+        got = collected(token_counts.counts(table(spark, ODD), path, pattern, batch=3, trained=given))
+        assert sorted((r["n_pretokens"], r["n_tokens"]) for r in got) == sorted((len(one), sum(-slow(p, model.score)[1] for p in one)) for one in pieces)
+    assert token_counts.counts(table(spark, []), path, pattern, trained=token_counts.train(table(spark, []), path, pattern)).count() == 0
