@@ -235,16 +235,16 @@ def block_count(members: Column, shingles: Column) -> Column:
 
 
 def led(clusters: DataFrame, large: DataFrame, texts, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Of large clusters: confirmed links of every member with the leads, and (node, main) of members, main where the
-    largest part that these links connect holds the member."""
+    """Of large clusters: confirmed links of every member with the leads, and (node, main) of the lead with the most links
+    and of the members that it is linked with."""
     members = clusters.join(large, "component", "left_semi")
     place = F.row_number().over(Window.partitionBy("component").orderBy("node"))
     leads = members.withColumn("place", place).where(F.col("place") <= LEADS).select("component", F.col("node").alias("a"))
     pairs = members.select("component", F.col("node").alias("b")).join(leads, "component").where("a <> b").select("a", "b")
     links = written(confirmed(pairs, texts(members), size, threshold))
-    parts = members.join(components(links).withColumnRenamed("component", "part"), "node").select("component", "node", "part")
-    largest = parts.groupBy("component", "part").count().groupBy("component").agg(F.max_by("part", "count").alias("part"))
-    return links, parts.join(largest, ["component", "part"]).select("node", F.lit(True).alias("main"))
+    best = links.groupBy("a").count().join(leads, "a").groupBy("component").agg(F.max_by("a", "count").alias("a")).select("a")
+    main = links.join(best, "a", "left_semi").select(F.col("b").alias("node")).unionByName(best.select(F.col("a").alias("node")))
+    return links, main.withColumn("main", F.lit(True))
 
 
 def cluster_links(clusters: DataFrame, classes: DataFrame, texts, size: int, threshold: float) -> DataFrame:
