@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hand_back
+from .common import chunk_pieces, chunks, hand_back
 
 #: Pieces that a worker remembers before it forgets those that are out of use.
 PIECES = 150_000
@@ -208,16 +207,8 @@ def encode_sorted(v: Vocabulary, pieces: list[bytes]) -> Iterator[tuple[int, ...
         yield tuple(piece.ids())
 
 
-#: A space between two white-space characters, or after one at the end: there the pieces depend on both sides.
-_UNCLEAR = re.compile(r" (?<=\s )(?=\s|\Z)")
-
-
 class Encoder:
-    """Encodes batches of texts; what it remembers is shared by the batches of a worker.
-
-    With the splitting pattern of byte-level vocabularies a space before a visible character always starts a piece, so a
-    text may be cut before its single spaces, and equal chunks of a batch are split and encoded once.
-    """
+    """Encodes batches of texts, equal chunks of a batch once; what it remembers is shared by the batches of a worker."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -230,25 +221,14 @@ class Encoder:
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = []  # of each text the pieces before its first cut, and the chunks after each
-        for text in texts:
-            if not text:
-                split.append(((), ()))
-            elif _UNCLEAR.search(text):
-                split.append((self.find(text), ()))
-            else:
-                first, *rest = text.split(" ")
-                split.append((self.find(first), rest))
         find = self.find
-        chunks = {
-            chunk: [" " + chunk] if chunk.isascii() and chunk.isalpha() else find(" " + chunk)  # letters are one piece
-            for chunk in set().union(*(rest for _, rest in split))
-        }
-        ids = self.ids(set().union(*chunks.values(), *(first for first, _ in split)))
+        split = [chunks(text, find) for text in texts]
+        known = {chunk: chunk_pieces(chunk, find) for chunk in set().union(*(rest for _, rest in split))}
+        ids = self.ids(set().union(*known.values(), *(first for first, _ in split)))
         piece = ids.__getitem__
-        for chunk, parts in chunks.items():
-            chunks[chunk] = piece(parts[0]) if len(parts) == 1 else b"".join(map(piece, parts))
-        whole = chunks.__getitem__
+        for chunk, parts in known.items():
+            known[chunk] = piece(parts[0]) if len(parts) == 1 else b"".join(map(piece, parts))
+        whole = known.__getitem__
         return [np.frombuffer(b"".join([*map(piece, first), *map(whole, rest)]), np.int32) for first, rest in split]
 
     def ids(self, pieces: set[str]) -> dict[str, bytes]:
@@ -282,9 +262,10 @@ def encode_texts(texts: list[str | None], path: str, pattern: str) -> list[np.nd
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", rows_per_batch: int = 512
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", rows_per_batch: int = 512, decoded: bool = False
 ) -> DataFrame:
-    """id and ``ids`` (array of int) of every whole text. ``path`` names a rank file that every worker can open."""
+    """id and ``ids`` (array of int) of every whole text, on demand with ``decoded`` (as ``decode`` gives it, without a
+    second worker for each task). ``path`` names a rank file that every worker can open."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,11 +275,28 @@ def encode(
                 each = encode_texts(part.column(1).to_pylist(), path, pattern)
                 ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
+                columns = [part.column(0), ids]
+                if decoded:
+                    columns.append(_bytes_of(ids, _token_bytes(path)))
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "decoded"][: len(columns)])
         _encoder(path, pattern).forget()  # the worker goes on to other work
         hand_back()
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>" + (", decoded binary" if decoded else ""))
+
+
+@functools.cache
+def _token_bytes(path: str) -> pa.Array:
+    tokens = vocabulary(path).tokens
+    return pa.array([tokens.get(i, b"") for i in range(max(tokens) + 1)], pa.binary())
+
+
+def _bytes_of(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The bytes of all tokens in a row; a text is the part between its first and last token."""
+    taken = tokens.take(ids.flatten())
+    place = ids.offsets.to_numpy()
+    ends = np.frombuffer(taken.buffers()[1], np.int32)[place - place[0]] if len(taken) else np.zeros(len(ids) + 1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), taken.buffers()[2]])
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", rows_per_batch: int = 256) -> DataFrame:
@@ -307,18 +305,11 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", rows_per_batch:
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
-        tokens = pa.array([v.tokens.get(i, b"") for i in range(max(v.tokens) + 1)], pa.binary())
         for whole in batches:
             for start in range(0, whole.num_rows, rows_per_batch):
                 part = whole.slice(start, rows_per_batch)
                 ids = pc.fill_null(part.column(names.index(ids_col)), pa.scalar([], pa.list_(pa.int32())))
-                # the bytes of all tokens in a row; a text is the part between its first and last token
-                taken = tokens.take(ids.flatten())
-                place = ids.offsets.to_numpy()
-                ends = np.frombuffer(taken.buffers()[1], np.int32)[place - place[0]] if len(taken) else np.zeros(len(ids) + 1, np.int32)
-                out = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), taken.buffers()[2]])
-                yield pa.RecordBatch.from_arrays([*part.columns, out], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns, _bytes_of(ids, _token_bytes(path))], names=names)
 
     return encoded.drop("decoded").mapInArrow(run, schema)
 

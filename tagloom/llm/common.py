@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,6 +90,7 @@ def struct_of(fn: Callable[[tuple], tuple], schema: str) -> Callable[..., Column
             made = list(zip(*(fn(*row) for row in zip(*(c.slice(at, ROWS).to_pylist() for c in columns)))))
             made = made or [[]] * len(fields)
             parts.append(pa.StructArray.from_arrays([pa.array(list(v), f.type) for v, f in zip(made, fields)], fields=list(fields)))
+        hand_back()
         return pa.concat_arrays(parts)
 
     def one(a: pa.Array) -> pa.Array:
@@ -129,6 +131,29 @@ def map_texts(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+#: A space between two white-space characters, or after one at the end: there the pieces depend on both sides.
+_UNCLEAR = re.compile(r" (?<=\s )(?=\s|\Z)")
+
+
+def chunks(text: str | None, find: Callable[[str], list[str]]) -> tuple[list[str], list[str]]:
+    """The pieces of a text before its first cut, and the chunks after each cut.
+
+    With the splitting pattern of byte-level vocabularies a space before a visible character always starts a piece, so a
+    text may be cut before its single spaces, and equal chunks are split once (``chunk_pieces``).
+    """
+    if not text:
+        return [], []
+    if _UNCLEAR.search(text):
+        return find(text), []
+    first, *rest = text.split(" ")
+    return find(first), rest
+
+
+def chunk_pieces(chunk: str, find: Callable[[str], list[str]]) -> list[str]:
+    """The pieces of a chunk with the space before it."""
+    return [" " + chunk] if chunk.isascii() and chunk.isalpha() else find(" " + chunk)  # letters are one piece
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -33,7 +33,7 @@ def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,7 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return token_counts.counts(docs, *tokenizer(), trained=token_counts.train(docs, *tokenizer()))
+    return token_counts.counts(table(spark, sf_dir, "documents"), *tokenizer())
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

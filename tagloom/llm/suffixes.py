@@ -405,9 +405,9 @@ def _merged(pieces: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x) for x in out], names=names)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns with ``kept`` (binary: the remaining bytes), ``spans`` (removed runs of bytes as start and
-    end) and n_bytes; columns of these names are replaced."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """All rows and columns with ``kept`` (binary: the remaining bytes; as text without the pieces of characters that were
+    cut), ``spans`` (removed runs of bytes as start and end) and n_bytes; columns of these names are replaced."""
     docs = docs.drop("kept", "spans", "n_bytes")
     rows = docs.select(F.col(id_col).alias("_id"), F.struct("*").alias("_row"))
     text = F.col("_row")[text_col]
@@ -436,23 +436,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             else:
                 gone.append({"start": a, "end": b})
         edges = [0, *(e for g in gone for e in (g["start"], g["end"])), len(data)]
-        return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])), gone, len(data)
+        kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+        return kept.decode("utf-8", "ignore") if as_text else kept, gone, len(data)
 
-    schema = "kept binary, spans array<struct<start:long,end:long>>, n_bytes long"
+    schema = ("kept string," if as_text else "kept binary,") + " spans array<struct<start:long,end:long>>, n_bytes long"
     made = struct_of(cut, schema)(text, F.col("starts"), F.col("ends"))
     return joined.select("_row", made.alias("_made")).select("_row.*", "_made.*")
 
 
-def whole_characters(column: str) -> F.Column:
-    """Bytes as text, without the pieces of characters that were cut."""
-    decoded = F.arrow_udf(_decoded, "string")
-    return decoded(F.col(column))
-
-
-def _decoded(column: pa.Array) -> pa.Array:
-    return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in column.to_pylist()], pa.string())
-
-
 def digests(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256."""
     return removed.select(

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hand_back
+from .common import chunk_pieces, chunks, hand_back
 
 #: Texts that share one trie.
 BATCH = 1024
-#: Pre-tokens whose counts a worker remembers.
+#: Chunks of text whose counts a worker remembers.
 REMEMBERED = 400_000
 
 
@@ -121,14 +121,26 @@ def train(docs: DataFrame, path: str, pattern: str, text_col: str = "text", batc
     """How often each token of the vocabulary stands in the best splits of all texts, by first scores."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _splitter(pattern)
+        find, found, parts = _splitter(pattern), Counter(), Counter()
+
+        def out():
+            for chunk, n in parts.items():
+                for piece in chunk_pieces(chunk, find):
+                    found[piece] += n
+            made = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["piece", "n"])
+            found.clear()
+            parts.clear()
+            return made
+
         for whole in batches:
             for start in range(0, whole.num_rows, batch):
-                found: Counter = Counter()
                 for text in whole.column(0).slice(start, batch).to_pylist():
-                    if text:
-                        found.update(find(text))
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["piece", "n"])
+                    first, rest = chunks(text, find)
+                    found.update(first)
+                    parts.update(rest)
+                if len(found) + len(parts) > REMEMBERED // 2:
+                    yield out()
+        yield out()
         hand_back()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +161,11 @@ def train(docs: DataFrame, path: str, pattern: str, text_col: str = "text", batc
     return {row["id"]: row["n"] for row in totals.collect()}  # at most one row for each token of the vocabulary
 
 
-_MODELS: dict[tuple, tuple[Unigram, dict[str, int]]] = {}
+_MODELS: dict[tuple, tuple[Unigram, dict[str, tuple[int, int]]]] = {}
 
 
-def _model(path: str, held, number: int | None) -> tuple[Unigram, dict[str, int]]:
-    """A worker's model and the counts of pre-tokens that it remembers; the model used last is kept."""
+def _model(path: str, held, number: int | None) -> tuple[Unigram, dict[str, tuple[int, int]]]:
+    """A worker's model and what it remembers of chunks (pre-tokens and tokens); the model used last is kept."""
     if (path, number) not in _MODELS:
         _MODELS.clear()
         _MODELS[path, number] = Unigram.load(path, held and held.value), {}
@@ -179,17 +191,20 @@ def counts(
         for whole in batches:
             for start in range(0, whole.num_rows, batch):
                 part = whole.slice(start, batch)
-                split = [find(text) if text else [] for text in part.column(1).to_pylist()]
-                new = {p for one in split for p in one if p not in known}
-                if len(known) + len(new) > REMEMBERED:
+                split = [chunks(text, find) for text in part.column(1).to_pylist()]
+                wanted = set().union(*(rest for _, rest in split))
+                if len(known) + len(wanted) > REMEMBERED:
                     known.clear()
-                    new = {p for one in split for p in one}
-                found = count_tokens(model, (p.encode() for p in new))
-                known.update((p.decode(), n) for p, n in found.items())
-                n = [sum(map(known.__getitem__, one)) for one in split]
+                new = {chunk: chunk_pieces(chunk, find) for chunk in wanted if chunk not in known}
+                pieces = set().union(*new.values(), *(first for first, _ in split))
+                found = {p.decode(): n for p, n in count_tokens(model, (p.encode() for p in pieces)).items()}
+                known.update((chunk, (len(of), sum(map(found.__getitem__, of)))) for chunk, of in new.items())
+                rows = []
+                for first, rest in split:
+                    pairs = [known[chunk] for chunk in rest]
+                    rows.append((len(first) + sum(a for a, _ in pairs), sum(map(found.__getitem__, first)) + sum(b for _, b in pairs)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(one) for one in split], pa.int64()), pa.array(n, pa.int64())],
-                    names=[id_col, "n_pretokens", "n_tokens"],
+                    [part.column(0), *[pa.array([row[k] for row in rows], pa.int64()) for k in (0, 1)]], names=[id_col, "n_pretokens", "n_tokens"]
                 )
         hand_back()
 

@@ -132,7 +132,9 @@ def test_bpe_round_trip(spark):
     want = sorted((hashlib.sha256((t or "").encode()).hexdigest() for _, t in ODD))
     assert sorted(r["decoded_sha256"] for r in rows) == want
     assert all(r["n_tokens"] == len(r["ids"]) for r in rows)
-    assert bpe.encode(table(spark, []), path, pattern).count() == 0
+    once = collected(bpe.digests(bpe.encode(table(spark, ODD), path, pattern, decoded=True), also=["ids"]))
+    assert sorted(once, key=repr) == sorted(rows, key=repr)
+    assert bpe.encode(table(spark, []), path, pattern, decoded=True).count() == bpe.encode(table(spark, []), path, pattern).count() == 0
 
 
 # ---------------------------------------------------------------- HTML
