@@ -51,8 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the bytes that repeat an earlier passage; a cut inside a character takes the character."""
-    left = suffixes.remove_repeats(docs)
-    text = suffixes.whole_characters("kept")
+    left = suffixes.remove_repeats(docs, as_text=True)
+    text = F.col("kept")
     return left.select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
@@ -65,7 +65,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with digests of them and of the bytes that they decode to."""
     path, pattern = tokenizer()
-    return bpe.digests(bpe.decode(bpe.encode(docs, path, pattern), path), also=["ids"])
+    return bpe.digests(bpe.encode(docs, path, pattern, decoded=True), also=["ids"])
 
 
 STAGES = [
