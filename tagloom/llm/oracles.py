@@ -37,6 +37,34 @@ FROM b
 """
 
 
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS size FROM k GROUP BY lang),
+groups AS (SELECT lang, source, coalesce(sum(n), 0) AS size FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+full_ AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n,
+                 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.size + 5 * l.v) AS p,
+                 1 + 1000000000::HUGEINT * (k.total + 5) // (l.size + 5 * l.v) AS q
+          FROM groups g JOIN langs l USING (lang) JOIN k USING (lang) LEFT JOIN c ON (c.lang, c.source, c.term) = (g.lang, g.source, k.term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(v.value, 0)::BIGINT AS value
+         FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN (SELECT x.lang, x.source AS a, y.source AS b, sum(abs(x.p - y.p)) AS value
+                    FROM full_ x JOIN full_ y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) v
+         ON (v.lang, v.a, v.b) = (a.lang, a.source, b.source)),
+more AS (SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM full_ WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value,
+                  row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item))::INT AS rank FROM pair
+           UNION ALL
+           SELECT * FROM (SELECT lang, source, 'term' AS part, item, value,
+                  row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item))::INT AS rank FROM more) WHERE rank <= 50)
+SELECT * FROM ranked
+"""
+
+
 
 def _licences() -> str:
     """Every template against every place: places with enough equal words and all words of the key phrases."""
@@ -102,4 +130,4 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_minhash": OP2, "op5_licenses": _licences(), "op6_decontaminate": OP6, "op10_quality": OP10}
+ORACLE_SQL = {"op2_minhash": OP2, "op5_licenses": _licences(), "op6_decontaminate": OP6, "op10_quality": OP10, "op12_divergence": OP12}

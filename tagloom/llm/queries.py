@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, katz, licenses, minhash, quality, sharding, suffixes, token_counts
+from . import binary, bpe, decontaminate, divergence, html, katz, licenses, minhash, periods, quality, sharding, suffixes, token_counts
 from .common import table
 
-#: Name of the rank file among the public vocabularies.
+#: Names of the rank file and of the tokenizer among the public vocabularies.
 RANK_FILE = "byte_bpe_50k.tiktoken"
+TOKENIZER_FILE = "byte_bpe_50k.json"
 
 
 def tokenizer(name: str = RANK_FILE) -> tuple[str, str]:
@@ -73,6 +76,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated(doc_id: int | None, text: str | None) -> list[bytes]:
+    """Words of a text; those of every tenth document by checksum repeat themselves from some word on. Without an id none do."""
+    words = periods.words_of(doc_id, text)
+    checksum = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if checksum % 10 or not words:
+        return words
+    g, n = checksum // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic(table(spark, sf_dir, "documents"), periods.digest, periods.DIGESTS, words=repeated)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+def op13_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = binary.token_files(table(spark, sf_dir, "documents"), tokenizer(TOKENIZER_FILE)[0])
+    return binary.read_files(manifest).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_minhash": op2_minhash,
@@ -84,4 +112,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_periods": op11_periods,
+    "op12_divergence": op12_divergence,
+    "op13_binary": op13_binary,
 }
