@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .registered_sql import OBJECT_STATS, SQL, _list_text, _union, with_tables
 
-_W = "trim(regexp_replace(substr(coalesce(text, ''), 1, 20), '[^A-Za-z0-9 ]+', '', 'g'), ' ')"
+_W = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]+', '', 'g'), ' ')"
 
 TABLES = {
     "raw": f"""SELECT *, CASE WHEN i % 17 = 0 THEN 'redirect' ELSE 'page' END AS type, CASE WHEN i % 17 = 0 THEN 'moved' WHEN i % 13 = 0 THEN 'plain' WHEN i % 19 = 0 THEN 'bad' ELSE 'page' END AS b,
@@ -16,10 +16,14 @@ TABLES = {
     "pages": """SELECT *, prefix || head || coalesce(rtype, key || coalesce('=' || value, '')) AS title, CASE prefix WHEN '' THEN 'en' ELSE lower(regexp_replace(prefix, ':$', '')) END AS lang,
       CASE WHEN rtype IS NULL THEN key || coalesce('=' || value, '') END AS tag, CASE WHEN rtype IS NULL AND prefix <> '' THEN lower(substr(head, 1, 3)) END AS ttype FROM raw""",
     "bodies": """SELECT *, CASE b WHEN 'moved' THEN CASE WHEN i % 34 = 0 THEN '#REDIRECT [[Tag:target=x' || i || ']]' ELSE '#REDIRECT to nothing' END WHEN 'plain' THEN w WHEN 'bad' THEN 'x }} ' || w ELSE
-      '<!-- {{Key|no}} -->{{' || ['KeyDescription', 'ValueDescription', 'RelationDescription', 'KeyDescription'][kind + 1] || '|description=' || w || ' {{Tag|key' || i % 50 || '|val' || i % 7 || '}}'
-      || CASE i % 3 WHEN 0 THEN '|image=File:i' || i % 40 || '.png' WHEN 1 THEN '|image=no image' ELSE '' END || '|onNode=' || ['yes', 'no'][i % 2 + 1] || '|onWay=' || CASE WHEN i % 5 = 0 THEN 'maybe' ELSE 'yes' END
-      || '|status=' || ['approved', 'de facto', 'proposed'][i % 3 + 1] || '|group=g' || i % 9 || '|combination={{Tag|c' || i % 4 || '}} {{Tag|d|e' || i % 4 || '}}}} ' || w || ' {{Tag|link' || i % 6 || '|x}} [[other]]'
-      || '{{RelatedTerm|de|term' || i % 11 || '}} {{Wikipedia|' || CASE WHEN i % 10 = 0 THEN 'b@d' ELSE 'en' END || '|Article ' || i % 8 || '}}' END AS body FROM pages""",
+      '<!-- {{Key|no}} -->{{' || ['KeyDescription', 'ValueDescription', 'RelationDescription', 'KeyDescription'][kind + 1] || CASE WHEN i % 10 = 2 THEN '|stray' ELSE '' END || '|description=' || w || CASE WHEN i % 12 = 5 THEN ' <b>' ELSE '' END || ' {{Tag|key' || i % 50 || '|val' || i % 7 || '}}'
+      || CASE i % 3 WHEN 0 THEN '|image=File:i' || i % 40 || '.png' WHEN 1 THEN '|image=no image' ELSE '' END || CASE i % 7 WHEN 2 THEN '|osmcarto-rendering=Image:r' || i % 5 || '.svg' WHEN 3 THEN '|osmcarto-rendering=none' ELSE '' END
+      || '|onNode=' || ['yes', 'no'][i % 2 + 1] || CASE WHEN i % 15 = 4 THEN '|onNode=no' ELSE '' END || '|onWay=' || CASE WHEN i % 5 = 0 THEN 'maybe' ELSE 'yes' END
+      || CASE WHEN odd < 2 THEN '|onArea=yes' WHEN odd < 4 THEN '|onArea=no' ELSE '' END || '|onRelation=' || CASE odd WHEN 5 THEN 'Yes' WHEN 1 THEN 'yes' ELSE 'no' END
+      || CASE WHEN i % 9 <> 8 THEN '|status=' || ['approved', 'de facto', 'proposed'][i % 3 + 1] ELSE '' END || CASE WHEN i % 5 = 1 THEN '|statuslink=Proposal ' || i % 3 ELSE '' END || '|group=g' || i % 9
+      || CASE WHEN i % 6 < 2 THEN '|implies={{Tag|i' || i % 3 || '|v}} {{Key|j}}' ELSE '' END || '|combination={{Tag|c' || i % 4 || '}} {{Tag|d|e' || i % 4 || '}}}} ' || w || ' {{Tag|link' || i % 6 || '|x}} [[other]]'
+      || CASE WHEN i % 11 <> 10 THEN '{{RelatedTerm|' || CASE WHEN i % 3 = 0 THEN '' WHEN i % 3 = 1 THEN 'de|' WHEN i % 21 = 2 THEN 'b@d|' ELSE 'fr|' END || 'term' || i % 11 || '}}' ELSE '' END
+      || ' {{Wikipedia|' || CASE i % 10 WHEN 0 THEN 'b@d' WHEN 1 THEN '' WHEN 2 THEN 'commons' WHEN 3 THEN 'de' ELSE 'en' END || CASE WHEN i % 10 <> 4 THEN '|Article ' || i % 8 ELSE '' END || '}}' END AS body FROM pages""",
     "good": "SELECT * FROM pages WHERE kind < 3",
     "described": "SELECT * FROM good WHERE b = 'page'",
     "wiki_links": """SELECT CASE i % 6 WHEN 0 THEN 'Tag:key' || i % 10 || '=v' WHEN 1 THEN 'DE:Key:key' || i % 10 WHEN 2 THEN 'Category:c' || i WHEN 3 THEN 'User talk:u' || i WHEN 4 THEN 'Proposed_features/p' || i ELSE 'Relation:r' || i % 10 END AS from_title,
@@ -51,6 +55,7 @@ _LOG = """concat_ws(chr(10), CASE WHEN k % 6 = 5 THEN 'ERROR: data_updated is no
   'ERROR: tags.4.key is missing', 'WARNING: tags.5.object_types is empty and means all types', 'ERROR: tags.6.key is not a string')"""
 _ABOUT = "title, lang, key, value"
 _WHERE = "'Template:Key/Value/RelationDescription'"
+_DESCRIPTION = "trim(w || CASE WHEN i % 12 = 5 THEN ' <b>' ELSE '' END || ' key' || i % 50 || '=val' || i % 7)"
 _LABELS = "LEFT JOIN (SELECT code, 'label of ' || description AS label FROM items WHERE code IS NOT NULL) l USING (code)"
 _VALID = "SELECT s_suppkey AS k, s_name AS id FROM supplier WHERE s_suppkey % 10 > 4"
 
@@ -89,18 +94,28 @@ RAW_SQL = {
     "d2_good_titles": "SELECT title FROM good",
     "d2_title_problems": f"SELECT 'page title' AS location, ['slash_in_key', 'value_in_key_page', 'no_value_for_tag_page', 'lang_is_en', 'slash_in_value', 'wrong_lang_format'][odd + 1] AS reason, {_ABOUT}, NULL::VARCHAR AS info FROM pages WHERE kind = 3",
     "d3_redirects": "SELECT title AS from_title, lang AS from_lang, key AS from_key, value AS from_value, 'Tag:target=x' || i AS to_title, CASE WHEN kind < 2 THEN 'en' END AS to_lang, CASE WHEN kind < 2 THEN 'target' END AS to_key, CASE WHEN kind < 2 THEN 'x' || i END AS to_value FROM good WHERE i % 34 = 0",
-    "d4_templates": """SELECT title, b <> 'bad' AS parsed, CASE b WHEN 'page' THEN concat_ws(' ', 'tag(key' || i % 50 || ';val' || i % 7 || ')', 'tag(c' || i % 4 || ')', 'tag(d;e' || i % 4 || ')', ['key', 'value', 'relation', 'key'][kind + 1] || 'description()', 'tag(link' || i % 6 || ';x)',
-      'relatedterm(de;term' || i % 11 || ')', 'wikipedia(' || CASE WHEN i % 10 = 0 THEN 'b@d' ELSE 'en' END || ';Article ' || i % 8 || ')') ELSE '' END AS templates FROM pages""",
-    "d5_descriptions": "SELECT title, CASE b WHEN 'page' THEN trim(w || ' key' || i % 50 || '=val' || i % 7) END AS description, CASE WHEN b <> 'moved' THEN b = 'page' END AS has_templ, CASE WHEN b <> 'moved' THEN b <> 'bad' END AS parsed, CASE b WHEN 'moved' THEN 'r' WHEN 'page' THEN 't' ELSE 'p' END AS status FROM good",
-    "d6_images": "SELECT title, CASE WHEN b = 'page' THEN CASE i % 3 WHEN 0 THEN 'File:i' || i % 40 || '.png' WHEN 1 THEN '' END END AS image, NULL::VARCHAR AS rendering FROM good",
-    "d7_object_types": "SELECT title, CASE WHEN b <> 'moved' THEN b = 'page' AND i % 2 = 0 END AS on_node, CASE WHEN b <> 'moved' THEN b = 'page' AND i % 5 <> 0 END AS on_way, CASE WHEN b <> 'moved' THEN false END AS on_area, CASE WHEN b <> 'moved' THEN false END AS on_relation FROM good",
-    "d8_tag_lists": """SELECT title, CASE WHEN b <> 'moved' THEN '' END AS tags_implies, CASE b WHEN 'page' THEN 'c' || i % 4 || ',d=e' || i % 4 WHEN 'moved' THEN NULL ELSE '' END AS tags_combination,
-      CASE b WHEN 'page' THEN 'c' || i % 4 || ',d=e' || i % 4 || ',key' || i % 50 || '=val' || i % 7 || ',link' || i % 6 || '=x' WHEN 'moved' THEN NULL ELSE '' END AS tags_linked FROM good""",
-    "d9_related_terms": "SELECT key, value, rtype, 'de' AS lang, 'term' || i % 11 AS term FROM described",
-    "d10_wikipedia_links": "SELECT key, value, rtype, 'en' AS lang, 'Article ' || i % 8 AS link FROM described WHERE i % 10 <> 0",
-    "d11_group_status": "SELECT title, CASE b WHEN 'page' THEN 'g' || i % 9 END AS tgroup, CASE b WHEN 'page' THEN ['approved', 'de facto', 'proposed'][i % 3 + 1] END AS approval_status, NULL::VARCHAR AS statuslink FROM good",
+    "d4_templates": """SELECT title, b <> 'bad' AS parsed, CASE b WHEN 'page' THEN concat_ws(' ', 'tag(key' || i % 50 || ';val' || i % 7 || ')', CASE WHEN i % 6 < 2 THEN 'tag(i' || i % 3 || ';v) key(j)' END, 'tag(c' || i % 4 || ')', 'tag(d;e' || i % 4 || ')',
+      ['key', 'value', 'relation', 'key'][kind + 1] || 'description(' || CASE WHEN i % 10 = 2 THEN 'stray' ELSE '' END || ')', 'tag(link' || i % 6 || ';x)',
+      CASE WHEN i % 11 <> 10 THEN 'relatedterm(' || CASE WHEN i % 3 = 0 THEN '' WHEN i % 3 = 1 THEN 'de;' WHEN i % 21 = 2 THEN 'b@d;' ELSE 'fr;' END || 'term' || i % 11 || ')' END,
+      'wikipedia(' || CASE i % 10 WHEN 0 THEN 'b@d' WHEN 1 THEN '' WHEN 2 THEN 'commons' WHEN 3 THEN 'de' ELSE 'en' END || CASE WHEN i % 10 <> 4 THEN ';Article ' || i % 8 ELSE '' END || ')') ELSE '' END AS templates FROM pages""",
+    "d5_descriptions": f"SELECT title, CASE b WHEN 'page' THEN {_DESCRIPTION} END AS description, CASE WHEN b <> 'moved' THEN b = 'page' END AS has_templ, CASE WHEN b <> 'moved' THEN b <> 'bad' END AS parsed, CASE b WHEN 'moved' THEN 'r' WHEN 'page' THEN 't' ELSE 'p' END AS status FROM good",
+    "d6_images": """SELECT title, CASE WHEN b = 'page' THEN CASE i % 3 WHEN 0 THEN 'File:i' || i % 40 || '.png' WHEN 1 THEN '' END END AS image,
+      CASE WHEN b = 'page' THEN CASE i % 7 WHEN 2 THEN 'File:r' || i % 5 || '.svg' WHEN 3 THEN '' END END AS rendering FROM good""",
+    "d7_object_types": """SELECT title, CASE WHEN b <> 'moved' THEN b = 'page' AND i % 2 = 0 AND i % 15 <> 4 END AS on_node, CASE WHEN b <> 'moved' THEN b = 'page' AND i % 5 <> 0 END AS on_way,
+      CASE WHEN b <> 'moved' THEN b = 'page' AND odd < 2 END AS on_area, CASE WHEN b <> 'moved' THEN b = 'page' AND odd = 1 END AS on_relation FROM good""",
+    "d8_tag_lists": """SELECT title, CASE WHEN b <> 'moved' THEN CASE WHEN b = 'page' AND i % 6 < 2 THEN 'i' || i % 3 || '=v,j' ELSE '' END END AS tags_implies, CASE b WHEN 'page' THEN 'c' || i % 4 || ',d=e' || i % 4 WHEN 'moved' THEN NULL ELSE '' END AS tags_combination,
+      CASE b WHEN 'page' THEN 'c' || i % 4 || ',d=e' || i % 4 || CASE WHEN i % 6 < 2 THEN ',i' || i % 3 || '=v,j' ELSE '' END || ',key' || i % 50 || '=val' || i % 7 || ',link' || i % 6 || '=x' WHEN 'moved' THEN NULL ELSE '' END AS tags_linked FROM good""",
+    "d9_related_terms": "SELECT key, value, rtype, CASE i % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'fr' END AS lang, 'term' || i % 11 AS term FROM described WHERE i % 11 <> 10 AND i % 21 <> 2",
+    "d10_wikipedia_links": "SELECT key, value, rtype, CASE i % 10 WHEN 2 THEN 'commons' WHEN 3 THEN 'de' ELSE 'en' END AS lang, CASE WHEN i % 10 <> 4 THEN 'Article ' || i % 8 END AS link FROM described WHERE i % 10 <> 0",
+    "d11_group_status": "SELECT title, CASE b WHEN 'page' THEN 'g' || i % 9 END AS tgroup, CASE WHEN b = 'page' AND i % 9 <> 8 THEN ['approved', 'de facto', 'proposed'][i % 3 + 1] END AS approval_status, CASE WHEN b = 'page' AND i % 5 = 1 THEN 'Proposal ' || i % 3 END AS statuslink FROM good",
     "d12_problems": f"""SELECT {_WHERE} AS location, 'invalid image parameter' AS reason, {_ABOUT}, 'no image' AS info FROM described WHERE i % 3 = 1
+      UNION ALL SELECT {_WHERE}, 'non-file osmcarto-rendering parameter', {_ABOUT}, 'none' FROM described WHERE i % 7 = 3
+      UNION ALL SELECT {_WHERE}, 'description parameter contains characters that might be problematic', {_ABOUT}, {_DESCRIPTION} FROM described WHERE i % 12 = 5
+      UNION ALL SELECT {_WHERE}, 'multiple values for onNode parameter', {_ABOUT}, ['yes', 'no'][i % 2 + 1] || ', no' FROM described WHERE i % 15 = 4
       UNION ALL SELECT {_WHERE}, 'invalid value for onWay parameter', {_ABOUT}, 'maybe' FROM described WHERE i % 5 = 0
+      UNION ALL SELECT {_WHERE}, 'invalid value for onRelation parameter', {_ABOUT}, 'Yes' FROM described WHERE odd = 5
+      UNION ALL SELECT {_WHERE}, 'has positional parameter', {_ABOUT}, 'stray' FROM described WHERE i % 10 = 2
+      UNION ALL SELECT 'Template:RelatedTerm', 'invalid lang parameter', {_ABOUT}, 'b@d' FROM described WHERE i % 21 = 2 AND i % 11 <> 10
       UNION ALL SELECT 'Template:Wikipedia', 'invalid lang parameter', {_ABOUT}, 'b@d' FROM described WHERE i % 10 = 0
       UNION ALL SELECT 'page content', 'parsing failed', {_ABOUT}, NULL FROM good WHERE b = 'bad' UNION ALL SELECT 'redirect page content', 'parsing failed', {_ABOUT}, NULL FROM good WHERE b = 'moved' AND i % 34 <> 0""",
     "d21_expire_cache": "SELECT title, timestamp FROM newest WHERE age <= 30 OR r > 5",

@@ -123,7 +123,7 @@ QUERIES: dict[str, Callable[[Raw], DataFrame]] = {
     "d1_parse_titles": lambda t: t["parsed_titles"].select("title", "lang", "tag", "key", "value", "ttype", "rtype"),
     "d2_good_titles": lambda t: wiki.check_titles(t["parsed_titles"])[0].select("title"),
     "d2_title_problems": lambda t: wiki.check_titles(t["parsed_titles"])[1],
-    "d3_redirects": lambda t: wiki.redirects(wiki.check_titles(t["parsed_titles"])[0])[0],
+    "d3_redirects": lambda t: t.documentation()["redirects"],
     "d4_templates": _templates,
     "d5_descriptions": lambda t: _pages(t, "description", "has_templ", "parsed", "status"),
     "d6_images": lambda t: _pages(t, "image", "rendering"),

@@ -48,14 +48,18 @@ class Raw(Tables):
             .when(odd == 4, _say("Tag:k", i, "=v/w"))
             .otherwise(_say("Bad code:Key:k", i))
         )
-        words = F.trim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 20), "[^A-Za-z0-9 ]+", ""))
+        words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]+", ""))
+        if_ = lambda hit, *parts: F.when(hit, _say(*parts)).otherwise("")
         image = F.when(i % 3 == 0, _say("|image=File:i", i % 40, ".png")).when(i % 3 == 1, F.lit("|image=no image")).otherwise(F.lit(""))
+        rendering = F.when(i % 7 == 2, _say("|osmcarto-rendering=Image:r", i % 5, ".svg")).when(i % 7 == 3, F.lit("|osmcarto-rendering=none")).otherwise(F.lit(""))
         page = _say(
-            "<!-- {{Key|no}} -->{{", _pick(("KeyDescription", "ValueDescription", "RelationDescription", "KeyDescription"), kind),
-            "|description=", words, " {{Tag|key", i % 50, "|val", i % 7, "}}", image, "|onNode=", _pick(("yes", "no"), i),
-            "|onWay=", F.when(i % 5 == 0, "maybe").otherwise("yes"), "|status=", _pick(("approved", "de facto", "proposed"), i),
-            "|group=g", i % 9, "|combination={{Tag|c", i % 4, "}} {{Tag|d|e", i % 4, "}}}} ", words, " {{Tag|link", i % 6, "|x}} [[other]]",
-            "{{RelatedTerm|de|term", i % 11, "}} {{Wikipedia|", F.when(i % 10 == 0, "b@d").otherwise("en"), "|Article ", i % 8, "}}",
+            "<!-- {{Key|no}} -->{{", _pick(("KeyDescription", "ValueDescription", "RelationDescription", "KeyDescription"), kind), if_(i % 10 == 2, "|stray"),
+            "|description=", words, if_(i % 12 == 5, " <b>"), " {{Tag|key", i % 50, "|val", i % 7, "}}", image, rendering, "|onNode=", _pick(("yes", "no"), i), if_(i % 15 == 4, "|onNode=no"),
+            "|onWay=", F.when(i % 5 == 0, "maybe").otherwise("yes"), F.when(odd < 2, "|onArea=yes").when(odd < 4, "|onArea=no").otherwise(""), "|onRelation=", F.when(odd == 5, "Yes").when(odd == 1, "yes").otherwise("no"),
+            if_(i % 9 != 8, "|status=", _pick(("approved", "de facto", "proposed"), i)), if_(i % 5 == 1, "|statuslink=Proposal ", i % 3),
+            "|group=g", i % 9, if_(i % 6 < 2, "|implies={{Tag|i", i % 3, "|v}} {{Key|j}}"), "|combination={{Tag|c", i % 4, "}} {{Tag|d|e", i % 4, "}}}} ", words, " {{Tag|link", i % 6, "|x}} [[other]]",
+            if_(i % 11 != 10, "{{RelatedTerm|", F.when(i % 3 == 0, "").when(i % 3 == 1, "de|").when(i % 21 == 2, "b@d|").otherwise("fr|"), "term", i % 11, "}}"),
+            " {{Wikipedia|", F.when(i % 10 == 0, "b@d").when(i % 10 == 1, "").when(i % 10 == 2, "commons").when(i % 10 == 3, "de").otherwise("en"), if_(i % 10 != 4, "|Article ", i % 8), "}}",
         )
         moved = F.when(i % 34 == 0, _say("#REDIRECT [[Tag:target=x", i, "]]")).otherwise(F.lit("#REDIRECT to nothing"))
         body = F.when(i % 17 == 0, moved).when(i % 13 == 0, words).when(i % 19 == 0, _say("x }} ", words)).otherwise(page)
@@ -84,7 +88,10 @@ class Raw(Tables):
         return wiki.parse_titles(self["raw_pages"].drop("doc_id"))
 
     def documentation(self) -> dict[str, DataFrame]:
-        return wiki.documentation(wiki.check_titles(self["parsed_titles"])[0])
+        return wiki.documentation(self["documented_pages"])
+
+    def t_documented_pages(self) -> DataFrame:
+        return wiki.documented(wiki.check_titles(self["parsed_titles"])[0])
 
     def t_page_links(self) -> DataFrame:
         i = F.col("doc_id")

@@ -110,7 +110,7 @@ def test_documentation(spark):
     data = [(t, "redirect" if t == "Key:old" else "page", bodies[t]) for t in titles]
     good, bad = wiki.check_titles(wiki.parse_titles(spark.createDataFrame(data, "title string, type string, body string")))
     assert rows(bad, "title", "reason") == [("DE:Key:a=b", "value_in_key_page"), ("Key:a/b", "slash_in_key"), ("en:Key:x", "lang_is_en")]
-    made = wiki.documentation(good)
+    made = wiki.documentation(wiki.documented(good))
     page = made["wikipages"].where("title = 'Key:highway'").first()
     assert page.description == "About highway=primary things"
     assert (page.image, page.on_node, page.on_way, page.tgroup, page.approval_status) == ("File:A.jpg", True, False, "roads", "approved")
