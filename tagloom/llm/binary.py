@@ -6,21 +6,21 @@ sequence of n numbers up to u takes about 2 + log2(u / n) bits for each: the low
 a row of bits at (high part + number before it). ``select`` finds the i-th one from samples of every ``EVERY``-th, which
 are packed in as many bits as the row's length needs; no table of 64-bit offsets exists, on disk or in memory.
 
-1. Tokens: each text is encoded in the task that reads it, each distinct chunk once, and the ids are written as a table.
-2. Files: that table is sorted by document over ranges; a task writes a file for every ``FILE_IDS`` ids, under a name of its
-   own that becomes visible by a rename, and returns its entry for the manifest. A task that runs twice leaves a file that
-   no manifest names.
-3. The manifest gets the number of ids before each file. Reading takes the manifest alone and goes through the files in
+1. Texts are sorted by document over ranges. The task of a range encodes them, each distinct chunk once, and writes a file
+   for every ``FILE_IDS`` ids, under a name of its own that becomes visible by a rename; it returns the entries of its files
+   for the manifest. A task that runs twice leaves files that no manifest names.
+2. The manifest gets the number of ids before each file. Reading takes the manifest alone and goes through the files in
    ranges of ids.
 
-Defined results: null text is empty and has the end id alone; null ids come first; rows with equal ids stand by a checksum
-of their tokens; repeated rows are kept; ids have to be whole numbers; other columns are ignored; an empty table makes no
+Defined results: null text is empty and has the end id alone; null ids come first; rows with equal ids stand by a hash of
+their texts; repeated rows are kept; ids have to be whole numbers; other columns are ignored; an empty table makes no
 files and gives no rows; a text is a document of one file whatever its length.
 """
 
 from __future__ import annotations
 
 import contextlib
+import functools
 import os
 import struct
 import uuid
@@ -29,18 +29,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROWS, arrow_schema, chunks, discard, hand_back, shared_dir, written
+from .common import UNCLEAR, arrow_schema, hand_back, measured, shared_dir, written
 
 #: Id that ends every document.
 END = 2
 #: Ids of a file at least, unless a range has fewer; and ids that a reader holds at a time.
 FILE_IDS = 16_000_000
 READ_IDS = 2_000_000
-#: Distinct chunks that a task remembers, and the longest that it remembers.
-CHUNKS, LONGEST = 200_000, 64
+#: Bytes of text of a range at most, unless one document has more.
+RANGE_BYTES = 48_000_000
+#: Distinct chunks that a worker remembers, the longest that it remembers, and chunks that the library gets at a time.
+CHUNKS, LONGEST, TOGETHER = 700_000, 64, 100
+#: Marks that often follow a word.
+MARKS = ".,"
+#: Bytes of texts that are encoded at a time.
+BATCH_BYTES = 6_000_000
 #: Ones between two samples of ``select``, and documents of a batch that a reader gives out.
 EVERY = 256
 DOCS = 10_000
@@ -182,66 +189,106 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _encoder(path: str, end: int):
-    """A function from texts to their ids as bytes, and the width of an id. A text is cut before its single spaces, where
-    no piece of the vocabulary's pattern reaches across, and every chunk that has been met keeps its ids."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class _Encoder:
+    """Ids of texts by a tokenizer file. A text is cut before its single spaces, where no piece of the vocabulary's pattern
+    reaches across, and every chunk that has been met keeps its ids. New chunks go to the library together, as a text of
+    their own: each begins with the only token of it that begins with a space."""
+
+    def __init__(self, path: str, end: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        size = max(self.tokenizer.get_vocab_size(), end + 1)
+        self.width = 2 if size <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
+        self.end = np.array([end], self.kind).tobytes()
+        self.begins = np.zeros(size, bool)  # tokens that begin with a space, as the vocabulary writes it
+        self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == "\u0120"]] = True
+        self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, self.plain(list(MARKS))))
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, fresh: list[str]) -> None:
+        """Keeps the ids of chunks. Letters and a mark after them are two pieces, so the mark does not make a new chunk."""
+        marked = [c for c in fresh if c[-1:] in self.marks and c[:-1].isalpha()]
+        if marked:
+            told = set(marked)
+            self.learn(list({c[:-1] for c in marked} - self.known.keys()) + [c for c in fresh if c not in told])
+            self.known.update((c, self.known[c[:-1]] + self.marks[c[-1]]) for c in marked)
+            return
+        fresh = [c for c in fresh if c not in self.known]
+        usual = [c for c in fresh if c and c.strip() == c]
+        data = b"".join(self.plain([" " + " ".join(usual[at : at + TOGETHER]) for at in range(0, len(usual), TOGETHER)]))
+        limits = (np.flatnonzero(self.begins[np.frombuffer(data, self.kind)]) * self.width).tolist() + [len(data)]
+        if len(limits) != len(usual) + 1:
+            raise ValueError("chunks of a text and their tokens differ in number")
+        self.known.update((c, data[a:b]) for c, a, b in zip(usual, limits, limits[1:]))
+        odd = [c for c in fresh if not c or c.strip() != c]
+        self.known.update(zip(odd, self.plain([" " + c for c in odd])))
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text with the end id."""
+        listed = texts.to_pylist()
+        whole = np.array([bool(t and UNCLEAR.search(t)) for t in listed], bool)  # not to be cut
+        cut = pc.split_pattern(pc.if_else(pa.array(whole), "", pc.fill_null(texts, "")), " ")
+        starts = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        codes, chunks = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        first = [t if w else (t or "").partition(" ")[0] for t, w in zip(listed, whole.tolist())]
+        if len(self.known) > CHUNKS:  # what this batch has again stays
+            self.known = {c: self.known[c] for c in chunks if c in self.known}
+        self.learn([c for c in chunks if c not in self.known])
+        # a text is its first chunk, which has no space before it, the others, and the end
+        made = [*map(self.known.__getitem__, chunks), *self.plain(first), self.end]
+        codes[starts[:-1]] = len(chunks) + np.arange(len(listed))
+        codes = np.insert(codes, starts[1:], len(made) - 1)
+        data, sizes = np.frombuffer(b"".join(made), self.kind), np.fromiter(map(len, made), np.int64, len(made)) // self.width
+        begin, n = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        ends = np.cumsum(n)
+        ids = data[np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        for c in chunks:
+            if len(c) > LONGEST:
+                del self.known[c]
+        limits = np.concatenate(([0], ends[starts[1:] + np.arange(len(listed))])) * self.width
+        return [ids[a:b] for a, b in zip(limits.tolist(), limits[1:].tolist())]
+
+
+@functools.lru_cache(1)
+def _encoder(path: str, end: int) -> _Encoder:
+    """Kept by a worker from task to task."""
+    return _Encoder(path, end)
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, n) of consecutive texts with some megabytes together."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        before = sizes[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(sizes, before + BATCH_BYTES, side="right")))
+        yield first, stop - first
+        first = stop
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    width = 2 if max(tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
-    known: dict[str, bytes] = {}
 
-    def plain(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{width}").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        cut = [chunks(t, lambda whole: [whole]) for t in texts]
-        fresh = list({c for _, rest in cut for c in rest} - known.keys())
-        if len(known) + len(fresh) > CHUNKS:
-            known.clear()
-            fresh = list({c for _, rest in cut for c in rest})
-        now = dict(zip(fresh, plain([" " + c for c in fresh])))
-        known.update((c, made) for c, made in now.items() if len(c) <= LONGEST)
-        of = lambda c: known.get(c) or now[c]
-        last = np.array([end], f"<u{width}").tobytes()
-        firsts = iter(plain([p for first, _ in cut for p in first]))
-        return [b"".join((*(next(firsts) for _ in first), *map(of, rest), last)) for first, rest in cut]
-
-    return encode, width
+MANIFEST = "path string, first long, tie long, number int, n_docs long, n_ids long"
 
 
-def encoded(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, tie, ids) of each text: number of ids with the end id, a checksum, and the ids as bytes."""
+def token_files(docs: DataFrame, path: str, folder: str | None = None, end: int = END, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
+    """Encodes all texts with the tokenizer in the file ``path``, writes them in the order of ids below ``folder`` (else a
+    new one in the shared folder) and gives the manifest: path, documents and ids of each file, and ``base``, the ids of all
+    files before it."""
+    spark: SparkSession = docs.sparkSession
     if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise ValueError(f"{id_col} has to be a whole number")
-    schema = "id long, n long, tie long, width int, ids binary"
-    fields = arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, width = _encoder(path, end)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                part = whole.slice(at, ROWS)
-                made = encode(part.column(1).to_pylist())
-                columns = [[len(x) // width for x in made], [zlib.crc32(x) for x in made], [width] * len(made), made]
-                arrays = [pa.array(c, f.type) for c, f in zip(columns, list(fields)[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], schema=fields)
-        hand_back()
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, schema)
-
-
-MANIFEST = "path string, first long, tie long, number int, n_docs long, n_ids long"
-
-
-def write_files(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> DataFrame:
-    """Writes the rows of ``encoded`` below the folder in the order of ids, and gives the manifest: path, documents and ids of
-    each file, and ``base``, the ids of all files before it."""
-    spark = tokens.sparkSession
-    n_ids = tokens.agg(F.sum("n")).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_ids // file_ids + 1)
+    folder = folder or f"{shared_dir(spark)}/tagloom-{uuid.uuid4().hex}"
+    # the number makes rows with equal ids and texts differ, so that no key is bound to one range
+    keys = [F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.monotonically_increasing_id().alias("row")]
+    texts = docs.select(*keys, F.col(text_col).alias("text"))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), measured(texts)[1] // RANGE_BYTES + 1)
     fields = arrow_schema(MANIFEST)
     files, inside = _file_system(folder)
     files.create_dir(inside, recursive=True)
@@ -256,21 +303,23 @@ def write_files(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> Dat
         return f"{folder}/{name.rpartition('/')[2]}.tokens"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, size, rows, width, tie = [], [], 0, [], 2, None
+        encode = _encoder(path, end)
+        names, held, size, rows, tie = [], [], 0, [], None
 
         def close():
-            rows.append((write(names, held, width), names[0], tie, len(rows), len(names), size))
+            rows.append((write(names, held, encode.width), names[0], tie, len(rows), len(names), size))
 
         for batch in batches:
-            for name, n, own, width, ids in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "tie", "width", "ids"))):
-                if not names:
-                    tie = own
-                names.append(name)
-                held.append(ids)
-                size += n
-                if size >= file_ids:
-                    close()
-                    names, held, size = [], [], 0
+            for part in (batch.slice(at, n) for at, n in _slices(batch.column(2))):
+                for name, own, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encode(part.column(2))):
+                    if not names:
+                        tie = own
+                    names.append(name)
+                    held.append(ids)
+                    size += len(ids) // encode.width
+                    if size >= file_ids:
+                        close()
+                        names, held, size = [], [], 0
         if names:
             close()
         names, held = [], []
@@ -278,12 +327,11 @@ def write_files(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> Dat
         columns = zip(*rows) if rows else [[]] * len(fields)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, fields)], schema=fields)
 
-    # the number makes rows with equal ids and tokens differ, so that no key is bound to one range
-    rows = tokens.withColumn("row", F.monotonically_increasing_id())
-    made = rows.repartitionByRange(ranges, "id", "tie", "row").sortWithinPartitions("id", "tie", "row").drop("row").mapInArrow(run, MANIFEST)
+    sorted_ = texts.repartitionByRange(ranges, "id", "tie", "row").sortWithinPartitions("id", "tie", "row")
+    made = written(sorted_.select("id", "tie", "text").mapInArrow(run, MANIFEST))
     order = Window.orderBy(F.asc_nulls_first("first"), "tie", "number")  # a row for each file
     before = F.coalesce(F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    return written(written(made).withColumn("base", before))
+    return written(made.withColumn("base", before))
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
@@ -306,13 +354,3 @@ def read_files(manifest: DataFrame) -> DataFrame:
 
     parts = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count())
     return manifest.select("path", "base").repartition(parts).mapInArrow(run, schema)
-
-
-def token_files(docs: DataFrame, path: str, folder: str | None = None, end: int = END, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
-    """Encodes all texts, writes them below ``folder`` (else a new one in the shared folder) and gives the manifest."""
-    spark: SparkSession = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/tagloom-{uuid.uuid4().hex}"
-    tokens = written(encoded(docs, path, end, id_col, text_col))
-    manifest = write_files(tokens, folder, file_ids)
-    discard(tokens)
-    return manifest

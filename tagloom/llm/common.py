@@ -132,7 +132,7 @@ def map_texts(
 
 
 #: A space between two white-space characters, or after one at the end: there the pieces depend on both sides.
-_UNCLEAR = re.compile(r" (?<=\s )(?=\s|\Z)")
+UNCLEAR = re.compile(r" (?<=\s )(?=\s|\Z)")
 
 
 def chunks(text: str | None, find: Callable[[str], list[str]]) -> tuple[list[str], list[str]]:
@@ -143,7 +143,7 @@ def chunks(text: str | None, find: Callable[[str], list[str]]) -> tuple[list[str
     """
     if not text:
         return [], []
-    if _UNCLEAR.search(text):
+    if UNCLEAR.search(text):
         return find(text), []
     first, *rest = text.split(" ")
     return find(first), rest

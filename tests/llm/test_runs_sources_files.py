@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from tagloom.llm import binary, divergence, periods, queries
 from tagloom.llm.common import written
@@ -245,10 +246,11 @@ def expected_files(rows):
 
     tokenizer = Tokenizer.from_file(queries.tokenizer(queries.TOKENIZER_FILE)[0])
     tokenizer.encode_special_tokens = True
-    made = [(i, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")) for i, t in rows]
-    made.sort(key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1].astype("<u2").tobytes())))
+    tie = lambda t: 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))  # noqa: E731  Spark's hash
+    made = [(i, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4"), tie(t)) for i, t in rows]
+    made.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
     out, start = [], 0
-    for i, ids in made:
+    for i, ids, _ in made:
         out.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     return out
@@ -273,6 +275,7 @@ def test_file_query_on_generated_texts(spark):
 
 def test_many_files_and_single_documents(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(binary, "CHUNKS", 50)
+    monkeypatch.setattr(binary, "TOGETHER", 7)
     rows = ODD + [(k, t) for k, (_, t) in enumerate(made_up(7, 90))]
     path = queries.tokenizer(queries.TOKENIZER_FILE)[0]
     manifest = binary.token_files(table(spark, rows), path, str(tmp_path), file_ids=500)
@@ -298,7 +301,7 @@ def test_no_documents_and_other_names(spark, tmp_path):
     path = queries.tokenizer(queries.TOKENIZER_FILE)[0]
     assert binary.read_files(binary.token_files(table(spark, []), path, str(tmp_path))).collect() == []
     with pytest.raises(ValueError, match="whole number"):
-        binary.encoded(table(spark, []), path, id_col="lang")
+        binary.token_files(table(spark, []), path, id_col="lang")
     with pytest.raises(ValueError, match="no token ids"):
         (tmp_path / "x").write_bytes(b"y" * 100)
         binary.TokenFile(str(tmp_path / "x"))
