@@ -12,6 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import batch
 from .operators import chronology, counting, integration, wiki
 
 #: Thresholds of the integration jobs, for data of this size.
@@ -154,11 +155,16 @@ class Tables(Mapping):
     def t_key_counts(self) -> DataFrame:
         return counting.key_stats(self["plain_tags"])
 
-    def key_pairs(self, key: str) -> DataFrame:
-        """Combinations with one key, prepared or from the objects that have it."""
+    def t_key_pairs(self) -> DataFrame:
+        return counting.both_ways(self["key_combinations"])
+
+    def pairs_of(self, key: str) -> DataFrame:
+        """Combinations with one key as ``key1``, prepared or from the objects that have it."""
+        if "key_pairs" in self.prepared:
+            return self["key_pairs"].where(F.col("key1") == key)
         if "key_combinations" in self.prepared:
-            return self["key_combinations"]
-        return counting.key_combinations(self._objects(members=False).where(F.map_contains_key("tags", key)))
+            return counting.both_ways(self["key_combinations"], key)
+        return counting.both_ways(counting.key_combinations(self._objects(members=False).where(F.map_contains_key("tags", key))), key)
 
     def t_plain_tags(self) -> DataFrame:
         return counting.tag_stats(self["object_tags"])
@@ -211,11 +217,10 @@ class Tables(Mapping):
         return counting.common_rare(self["similar_keys"], LIMITS["common"] // 10, LIMITS["rare"])
 
     def t_stats(self) -> DataFrame:
-        mine = counting.db_stats(self["plain_keys"], self["plain_tags"], self["key_combinations"], self["relation_types"], self["relation_roles"], self["similar_keys"], self["similar_keys_common_rare"], self._objects(members=False))
-        return integration.master_stats(mine, self["wiki_stats"])
+        return integration.master_stats(batch.statistics(self))
 
-    def t_wiki_stats(self) -> DataFrame:
-        return wiki.wiki_stats(self["wikipages"], self["relation_pages"], self["wiki_images"])
+    def t_wiki_languages(self) -> DataFrame:
+        return wiki.wiki_languages(self["wikipages"])
 
     # ---- history
     def t_key_chronology(self) -> DataFrame:

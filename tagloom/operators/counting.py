@@ -43,26 +43,28 @@ def key_users(object_tags: DataFrame, approx: bool = False) -> DataFrame:
     return object_tags.select("key", "uid").distinct().groupBy("key").agg(F.count("uid").alias("users_all"))
 
 
-def object_stats(objects: DataFrame) -> DataFrame:
-    """(key, value): objects and tags by type, nodes with tags, closed ways."""
+def object_counters() -> dict[str, Column]:
+    """Objects and tags by type, nodes with tags, closed ways."""
     n, w, r = (F.col("otype") == t for t in "nwr")
     size = F.coalesce(F.cardinality("tags"), F.lit(0))
     closed = w & (F.size("nds") > 0) & (F.element_at("nds", 1) == F.element_at("nds", -1))
-    return counters(
-        objects,
-        {
-            "nodes": F.count_if(n),
-            "ways": F.count_if(w),
-            "relations": F.count_if(r),
-            "objects": F.count("*"),
-            "node_tags": F.sum(F.when(n, size)),
-            "way_tags": F.sum(F.when(w, size)),
-            "relation_tags": F.sum(F.when(r, size)),
-            "object_tags": F.sum(size),
-            "nodes_with_tags": F.count_if(n & (size > 0)),
-            "closed_ways": F.count_if(closed),
-        },
-    )
+    return {
+        "nodes": F.count_if(n),
+        "ways": F.count_if(w),
+        "relations": F.count_if(r),
+        "objects": F.count("*"),
+        "node_tags": F.sum(F.when(n, size)),
+        "way_tags": F.sum(F.when(w, size)),
+        "relation_tags": F.sum(F.when(r, size)),
+        "object_tags": F.sum(size),
+        "nodes_with_tags": F.count_if(n & (size > 0)),
+        "closed_ways": F.count_if(closed),
+    }
+
+
+def object_stats(objects: DataFrame) -> DataFrame:
+    """(key, value): the counters of objects."""
+    return counters(objects, object_counters())
 
 
 def _pairs(items: Column) -> Column:
@@ -84,6 +86,15 @@ def key_combinations(objects: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("p.a").alias("key1"), F.col("p.b").alias("key2")).agg(*typed())
 
 
+def both_ways(combinations: DataFrame, key: str | None = None) -> DataFrame:
+    """Combinations with each of their keys (or only with the given one) as ``key1``, so that those of a key stand together."""
+    one, two = F.col("key1"), F.col("key2")
+    rows = combinations if key is None else combinations.where((one == key) | (two == key))
+    both = F.inline(F.array(F.struct(one, two), F.struct(two.alias("key1"), one.alias("key2"))))
+    turned = rows.select(both, *[c for c in combinations.columns if c not in ("key1", "key2")])
+    return turned if key is None else turned.where(one == key)
+
+
 def tag_combinations(objects: DataFrame, interesting_tags: DataFrame, min_count: int = 1000) -> DataFrame:
     """Objects that have both of two selected items, a tag or a key (value ''), of different keys and not both keys."""
     numbered = objects.select("otype", F.struct("otype", "oid").alias("o"), F.explode("tags").alias("key", "value"))
@@ -299,35 +310,27 @@ def selection_stats(sel: dict[str, DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def db_stats(
-    keys: DataFrame,
-    tags: DataFrame,
-    key_combinations: DataFrame,
-    relation_types: DataFrame,
-    relation_roles: DataFrame,
-    similar_keys: DataFrame,
-    common_rare_keys: DataFrame,
-    objects: DataFrame,
-) -> DataFrame:
-    """(key, value): counters over all tables, one aggregation for each. ``relation_types`` is the topped-up table, whose
-    types without detail have no member counts."""
-    by_type = lambda name: {
-        f"num_{name}": F.count("*"),
-        **{f"num_{name}_on_{t}": F.count_if(F.col(f"count_{t}") > 0) for t in ("nodes", "ways", "relations")},
-    }
+def table_counters() -> dict[str, dict[str, Column]]:
+    """Counters of each table of counts. ``relation_types`` is the topped-up table, whose types without detail have no
+    member counts."""
+
+    def by_type(name: str) -> dict[str, Column]:
+        return {f"num_{name}": F.count("*")} | {f"num_{name}_on_{t}": F.count_if(F.col(f"count_{t}") > 0) for t in ("nodes", "ways", "relations")}
+
     graded = {"bad": "b", "unknown": "u", "good": "g"}
     grades = {f"grade_{name}": F.count_if(F.col("grade") == g) for name, g in graded.items()}
     uses = {f"grade_key_count_{name}": F.sum(F.when(F.col("grade") == g, F.col("count_all"))) for name, g in graded.items()}
-    classes = keys.where("characters is not null").groupBy("characters").agg(F.count("*").alias("value"))
-    parts = [
-        counters(keys, by_type("keys") | grades | uses),
-        classes.select(F.concat(F.lit("characters_in_keys_"), "characters").alias("key"), "value"),
-        counters(tags, by_type("tags")),
-        counters(key_combinations, by_type("key_combinations")),
-        counters(relation_types, {"relation_types_with_detail": F.count("members_all"), "relation_types": F.count("*")}),
-        counters(relation_roles, {"relation_roles": F.count("*")}),
-        counters(similar_keys, {"num_similar_keys": F.count("*")}),
-        counters(common_rare_keys, {"num_similar_keys_common_rare": F.count("*")}),
-        object_stats(objects),
-    ]
-    return functools.reduce(DataFrame.unionByName, parts)
+    classes = {f"{CHARACTERS_IN_KEYS}{c}": F.count_if(F.col("characters") == c) for c in (*(name for name, _ in CLASSES), "rest")}
+    return {
+        "plain_keys": by_type("keys") | grades | uses | classes,
+        "plain_tags": by_type("tags"),
+        "key_combinations": by_type("key_combinations"),
+        "relation_types": {"relation_types_with_detail": F.count("members_all"), "relation_types": F.count("*")},
+        "relation_roles": {"relation_roles": F.count("*")},
+        "similar_keys": {"num_similar_keys": F.count("*")},
+        "similar_keys_common_rare": {"num_similar_keys_common_rare": F.count("*")},
+    }
+
+
+#: Counters that begin so are left out where they are 0.
+CHARACTERS_IN_KEYS = "characters_in_keys_"

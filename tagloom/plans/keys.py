@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import COUNTS, TYPES, check_type, fraction, matching, required, sorted_page, top_per_group
+from ..operators.counting import both_ways
 
 Tables = Mapping[str, DataFrame]
 
+#: Values of a key that are given out without paging.
+MOST_VALUES = 1000
 TOTAL_OF = {"all": "objects", "nodes": "nodes_with_tags", "ways": "ways", "relations": "relations"}
 RTL = ("ar", "arc", "az-arab", "bgn", "ckb", "dv", "fa", "ha-arab", "he", "khw", "ks", "ku-arab", "mzn", "nqo", "pnb", "ps", "sd", "syr", "ug", "ur", "uz-arab", "yi")
 
@@ -53,9 +56,8 @@ def key_combinations(t: Tables, key: str, query=None, T="all", sort=None, order=
     """Keys that occur together with the key: how often, and which part of either key's objects that is."""
     required(key=key)
     n = f"count_{check_type(T)}"
-    pairs = t.key_pairs(key) if hasattr(t, "key_pairs") else t["key_combinations"]  # without prepared pairs only those of the key are made
-    rows = pairs.where((F.col("key1") == key) | (F.col("key2") == key))
-    rows = rows.select(F.when(F.col("key1") == key, F.col("key2")).otherwise(F.col("key1")).alias("other_key"), F.col(n).alias("together_count"))
+    pairs = t.pairs_of(key) if hasattr(t, "pairs_of") else both_ways(t["key_combinations"], key)
+    rows = pairs.select(F.col("key2").alias("other_key"), F.col(n).alias("together_count"))
     rows = matching(rows, query, "other_key").where("together_count > 0")
     own = narrow(t, "key_counts", "keys").where(F.col("key") == key).agg(F.max(n).alias("this_count"))
     other = narrow(t, "key_counts", "keys").select(F.col("key").alias("other_key"), F.col(n).alias("other_count"))
@@ -93,8 +95,10 @@ def key_values(t: Tables, key: str, lang: str = "en", query=None, T="all", sort=
     required(key=key)
     n = f"count_{check_type(T)}"
     rows = matching(t["tags"].where((F.col("key") == key) & (F.col(n) > 0)), query, "value")
-    if page is None and rows.limit(1001).count() > 1000:
-        raise ValueError("over 1000 values: page and rp are needed")
+    if page is None:  # decided where the query runs
+        few = rows.limit(MOST_VALUES + 1).agg((F.count("*") <= MOST_VALUES).alias("few"))
+        error = F.raise_error(F.lit(f"over {MOST_VALUES} values: page and rp are needed"))
+        rows = rows.crossJoin(F.broadcast(few)).where(F.when(F.col("few"), True).otherwise(error.cast("boolean"))).drop("few")
     own = t["keys"].where(F.col("key") == key).agg(F.max(n).alias("key_count"))
 
     def described(code: str, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import batch
 from ..bridge import LIMITS, Tables
 from ..operators import chronology, counting, integration, projects, registries, wiki
 from . import documentation, keys, relations, reports, search, tags
@@ -77,7 +78,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "b16_similar_keys_common_rare": lambda t: t["similar_keys_common_rare"],
     "b17_character_class": lambda t: t["plain_keys"].select("key", "characters"),
     "b18_key_grade": lambda t: t["plain_keys"].select("key", "grade"),
-    "b19_db_stats": lambda t: counting.db_stats(t["plain_keys"], t["plain_tags"], t["key_combinations"], t["relation_types"], t["relation_roles"], t["similar_keys"], t["similar_keys_common_rare"], t["objects"]),
+    "b19_db_stats": lambda t: batch.statistics(t, counting.table_counters()).unionByName(t["object_stats"]),
     "b21_interesting_tags": lambda t: t.selection()["interesting_tags"],
     "b21_frequent_tags": lambda t: t.selection()["frequent_tags"],
     "b21_interesting_relation_types": lambda t: t.selection()["interesting_relation_types"],
@@ -93,8 +94,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "d15_wikipages_tags": lambda t: joined(t["wikipages_tags"], "langs"),
     "d16_inconsistent_keys": lambda t: t["inconsistent_status_keys"],
     "d16_inconsistent_tags": lambda t: t["inconsistent_status_tags"],
-    "d17_wiki_languages": lambda t: wiki.wiki_languages(t["wikipages"]),
-    "d18_wiki_stats": lambda t: wiki.wiki_stats(t["wikipages"], t["relation_pages"], t["wiki_images"]),
+    "d17_wiki_languages": lambda t: t["wiki_languages"],
+    "d18_wiki_stats": lambda t: batch.statistics(t, wiki.table_counters()),
     "d19_image_titles": lambda t: wiki.image_titles(t["wikipages"], t["relation_pages"]),
     "d22_wiki_words": lambda t: joined(t["words"], "words"),
     "e3_project_counters": lambda t: projects.project_counters(t["projects"], t["project_tags"]),

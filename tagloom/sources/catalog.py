@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 
 class Catalog(Mapping):
-    """The parquet tables of a directory by name, to be read; ``register`` makes them views for SQL."""
-
-    def __init__(self, spark: SparkSession, path: str, names: list[str]):
-        self.spark, self.path, self.names = spark, path.rstrip("/"), list(names)
+    """The tables of a directory by name, to be read; ``register`` makes them views for SQL. Tables that were written in
+    buckets are read with them, so that a key prunes to its bucket and joins by the key need no exchange."""
+
+    def __init__(self, spark: SparkSession, path: str, names: list[str] | None = None, layout: dict[str, Row] | None = None):
+        self.spark, self.path, self._layout = spark, path.rstrip("/"), layout
+        self.names = list(self.layout if names is None else names)
+
+    @property
+    def layout(self) -> dict[str, Row]:
+        """How each table was written last: a row for each table."""
+        if self._layout is None:
+            rows = self.spark.read.schema(_LAYOUT).parquet(f"{self.path}/{LAYOUT}") if _exists(self.spark, f"{self.path}/{LAYOUT}") else None
+            last = rows.groupBy("name").agg(F.max_by(F.struct(*rows.columns), "written").alias("l")).select("l.*").collect() if rows is not None else []
+            self._layout = {r.name: r for r in last}
+        return self._layout
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.names:
             raise KeyError(name)
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        found = self.layout.get(name)
+        if found is None or not found.bucket_by:
+            return self.spark.read.parquet(f"{self.path}/{name}")
+        quoted = ", ".join(f"`{c}`" for c in found.bucket_by)
+        table = f"tagloom_{hashlib.sha1(f'{self.path}/{name}'.encode()).hexdigest()[:16]}_{found.written}"
+        place = self.path.replace("'", "\\'")
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} ({found.columns}) USING parquet CLUSTERED BY ({quoted}) SORTED BY ({quoted}) INTO {found.buckets} BUCKETS LOCATION '{place}/{name}'"
+        )
+        return self.spark.table(table)
 
     def __iter__(self) -> Iterator[str]:
         return iter(self.names)
@@ -32,6 +54,22 @@ class Catalog(Mapping):
             self[name].createOrReplaceTempView(name)
 
 
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found, files = _path(spark, path)
+    return files.exists(found)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of tables that nothing needs any more."""
+    found, files = _path(spark, path)
+    files.delete(found, True)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share: below the checkpoint folder of the session, in local mode also elsewhere."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,12 +82,44 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
-def write_tables(tables: Mapping[str, DataFrame], path: str, partition_by: Mapping[str, list[str]] | None = None) -> None:
-    """Writes every table; large ones can be partitioned."""
-    for name, df in tables.items():
-        writer = df.write.mode("overwrite")
-        by = (partition_by or {}).get(name)
-        (writer.partitionBy(*by) if by else writer).parquet(f"{path.rstrip('/')}/{name}")
+#: Table with the layout of the others, and its columns.
+LAYOUT = "table_layout"
+_LAYOUT = "name string, columns string, bucket_by array<string>, buckets int, rows long, written long"
+
+
+def write_table(
+    df: DataFrame, path: str, name: str, partition_by: tuple[str, ...] = (), bucket_by: tuple[str, ...] = (), buckets: int = 64, counters: Mapping[str, Column] | None = None
+) -> tuple[Row, dict[str, int]]:
+    """Writes a table below the path, once; returns its layout and its counters (aggregates over its rows; null counts as 0).
+
+    The counters are observed in the tasks that write, so they cost no pass of their own; these tasks are the last stage of
+    the job and a repeated one counts once. In buckets, rows of a key meet in one sorted file.
+    """
+    spark, columns = df.sparkSession, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    place, seen = f"{path.rstrip('/')}/{name}", Observation()
+    df = df.repartition(buckets, *bucket_by) if bucket_by else df
+    made = [F.coalesce(c.cast("long"), F.lit(0).cast("long")).alias(n) for n, c in (counters or {}).items()]
+    writer = df.observe(seen, F.count("*").alias("rows in all"), *made).write.mode("overwrite")
+    if bucket_by:  # the name is of no use later: a catalog makes its own
+        table = f"tagloom_{uuid.uuid4().hex}"
+        writer.bucketBy(buckets, *bucket_by).sortBy(*bucket_by).option("path", place).format("parquet").saveAsTable(table)
+        spark.sql(f"DROP TABLE {table}")
+    else:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(place)
+    found = dict(seen.get)
+    row = Row(name=name, columns=columns, bucket_by=list(bucket_by), buckets=buckets if bucket_by else None, rows=found.get("rows in all", 0), written=time.time_ns())
+    return row, {n: found.get(n, 0) for n in counters or {}}
+
+
+def write_layout(spark: SparkSession, path: str, rows: list[Row]) -> None:
+    """Adds what a catalog has to know of tables that were written: a row for each of them."""
+    spark.createDataFrame(rows, _LAYOUT).coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}/{LAYOUT}")
+
+
+def write_tables(tables: Mapping[str, DataFrame], path: str, partition_by: Mapping[str, list[str]] | None = None, bucket_by: Mapping[str, list[str]] | None = None, buckets: int = 64) -> None:
+    """Writes every table; large ones can be partitioned, or sorted into buckets."""
+    rows = [write_table(df, path, n, tuple((partition_by or {}).get(n, ())), tuple((bucket_by or {}).get(n, ())), buckets)[0] for n, df in tables.items()]
+    write_layout(next(iter(tables.values())).sparkSession, path, rows)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
@@ -66,10 +136,6 @@ def result_envelope(page: DataFrame, matching: DataFrame, url: str, data_until:
     return data.crossJoin(total).select(F.to_json(F.struct(*head, "total", "data"), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
-
 def append_history(stats: DataFrame, path: str, udate: Column) -> None:
     """Today's statistics as a partition of the history; a second run on a day replaces that day's partition only."""
     rows = stats.select("key", "value", udate.cast("date").alias("udate"))

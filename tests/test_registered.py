@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from tagloom import batch
 from tagloom.bridge import Tables
 from tagloom.plans import raw_sql, registered, registered_raw, registered_sql
 from tagloom.raw import Raw
@@ -70,6 +71,59 @@ def test_prepared_tables_are_read(spark, duck, tmp_path):
     assert "orders" not in plan and plan.count("Relation") == 2
 
 
+def test_daily_batch(spark, duck, tmp_path):
+    """Tables in buckets: queries about a key read its bucket, and nothing moves the large side of a join."""
+    stats = batch.run(Tables(spark, DATA), str(tmp_path), buckets=4)
+    c = catalog.Catalog(spark, str(tmp_path))
+    assert set(c) == {*batch.ORDER, "stats"} and c.layout["plain_tags"].rows == c["plain_tags"].count()
+    assert compare(stats, duck, registered_sql.ORACLE_SQL["m2_master_stats"])
+    t = Tables(spark, DATA, c)
+    for name in ("q1_key_combinations", "q4_key_stats", "q5_key_values", "q6_prevalent_values", "q10_key_overview", "q16_tag_combinations", "q25_relation_roles", "m2_master_stats", "m5_keys"):
+        assert compare(registered.QUERIES[name](t), duck, registered_sql.ORACLE_SQL[name])
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else a plan tells buckets only where they are joined
+    for name, read in (("q1_key_combinations", 2), ("q4_key_stats", 1), ("q5_key_values", 3), ("q6_prevalent_values", 3)):
+        plan = registered.QUERIES[name](t)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SelectedBucketsCount: 1 out of 4") >= read and "orders.parquet" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = c["tags"].join(c["keys"].select("key", "users_all"), "key")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        plan = registered.QUERIES["q1_key_combinations"](t)._jdf.queryExecution().executedPlan().toString()
+        moved = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+        assert len(moved) == 1 and "other_key" in moved[0]  # the partners of the key, not the counts of all keys
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+
+
+def test_counters_are_not_counted_twice(spark, tmp_path):
+    """An empty table has counters too, and a second writing replaces the first."""
+    from pyspark.sql import functions as F
+
+    counters = {"n": F.count("*"), "most": F.max("id")}
+    assert catalog.write_table(spark.range(0), str(tmp_path), "t", counters=counters)[1] == {"n": 0, "most": 0}
+    for n in (10, 20):
+        row, values = catalog.write_table(spark.range(n), str(tmp_path), "t", bucket_by=("id",), buckets=3, counters=counters)
+        catalog.write_layout(spark, str(tmp_path), [row])
+        assert values == {"n": n, "most": n - 1}
+    found = catalog.Catalog(spark, str(tmp_path))
+    assert found.layout["t"].rows == found["t"].count() == 20
+    assert [r.id for r in found["t"].where("id = 7").collect()] == [7]
+
+
+def test_pages_are_parsed_once(spark, raw, tmp_path):
+    for name in ("d5_descriptions", "d6_images", "d8_tag_lists", "d9_related_terms", "d11_group_status", "d12_problems"):
+        plan = registered_raw.QUERIES[name](raw)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and plan.count("FileScan") == 1
+    found = {r.reason for r in registered_raw.QUERIES["d12_problems"](raw).select("location", "reason").distinct().collect()}
+    assert len(found) == 9  # of ten kinds two are called alike
+    catalog.write_tables({"documented_pages": raw["documented_pages"]}, str(tmp_path))
+    kept = Raw(spark, DATA, catalog.Catalog(spark, str(tmp_path)))
+    problems = registered_raw.QUERIES["d12_problems"](kept)
+    assert "Python" not in problems._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, problems.collect())) == sorted(map(repr, registered_raw.QUERIES["d12_problems"](raw).collect()))
+
+
 def test_every_sql_has_a_query():
     assert set(registered_sql.ORACLE_SQL) == set(registered.QUERIES)
     assert set(raw_sql.ORACLE_SQL) == set(registered_raw.QUERIES)
