@@ -7,6 +7,7 @@ ref, role). Objects with null tags have no tags.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,16 +96,32 @@ def both_ways(combinations: DataFrame, key: str | None = None) -> DataFrame:
     return turned if key is None else turned.where(one == key)
 
 
-def tag_combinations(objects: DataFrame, interesting_tags: DataFrame, min_count: int = 1000) -> DataFrame:
-    """Objects that have both of two selected items, a tag or a key (value ''), of different keys and not both keys."""
-    numbered = objects.select("otype", F.struct("otype", "oid").alias("o"), F.explode("tags").alias("key", "value"))
+#: Selected items that are looked up inside the row; more are joined.
+SMALL = 5_000
+
+
+def tag_combinations(objects: DataFrame, interesting_tags: DataFrame, min_count: int = 1000, small: int = SMALL) -> DataFrame:
+    """Objects that have both of two selected items, a tag or a key (value ''), of different keys and not both keys.
+
+    A selection of up to ``small`` items is a set in the plan, and each object picks its items from it without any exchange;
+    beyond that the tags are joined with the selection, and the items of an object are grouped again.
+    """
     chosen = interesting_tags.select("key", "value").distinct()
-    both = numbered.withColumn("value", F.explode(F.array(F.col("value"), F.lit(""))))  # the join leaves few of them to group
-    items = both.join(chosen, ["key", "value"]).groupBy("o").agg(F.array_sort(F.collect_set(F.struct("key", "value"))).alias("items"))
-    pairs = items.select(F.col("o.otype").alias("otype"), F.explode(_pairs(F.col("items"))).alias("p"))
-    wanted = pairs.where("p.a.key <> p.b.key and (p.a.value <> '' or p.b.value <> '')")
+    listed = chosen.limit(small + 1).collect()  # bounded
+    entries = F.map_entries("tags")
+    both = F.concat(entries, F.transform(entries, lambda e: F.struct(e["key"], F.lit("").alias("value"))))
+    if len(listed) <= small:
+        name = lambda key, value: F.concat(F.length(key).cast("string"), F.lit(":"), key, value)  # noqa: E731  no two items alike
+        known = [f"{len(r.key)}:{r.key}{r.value}" for r in listed if r.key is not None and r.value is not None]
+        items = objects.select("otype", F.array_sort(F.array_distinct(F.filter(both, lambda e: name(e["key"], e["value"]).isin(known)))).alias("items"))
+    else:
+        rows = objects.select(F.struct("otype", "oid").alias("o"), F.inline(both))
+        grouped = rows.join(chosen, ["key", "value"]).groupBy("o").agg(F.array_sort(F.collect_set(F.struct("key", "value"))).alias("items"))
+        items = grouped.select("o.otype", "items")
+    wanted = F.filter(_pairs(F.col("items")), lambda p: (p["a"]["key"] != p["b"]["key"]) & ((p["a"]["value"] != "") | (p["b"]["value"] != "")))
+    pairs = items.where(F.size("items") > 1).select("otype", F.explode(wanted).alias("p"))
     named = [F.col(f"p.{s}.{c}").alias(f"{c}{n}") for n, s in ((1, "a"), (2, "b")) for c in ("key", "value")]
-    return wanted.groupBy(*named).agg(*typed()).where(F.col("count_all") >= min_count)
+    return pairs.groupBy(*named).agg(*typed()).where(F.col("count_all") >= min_count)
 
 
 def _relations(objects: DataFrame, interesting_rtypes: DataFrame | None) -> DataFrame:
@@ -197,8 +214,13 @@ def grid_cells(grid: DataFrame) -> DataFrame:
     )
 
 
+#: Keys up to this length are compared by deletions; the work on longer ones is linear in their length.
+SHORT = 10
+
+
 def _deletions(word: Column, most: int) -> Column:
     """The word and all words that deleting up to ``most`` characters leaves."""
+
     def drop(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
 
@@ -210,17 +232,53 @@ def _deletions(word: Column, most: int) -> Column:
     return F.array_distinct(found)
 
 
+def _segment(length: Column, i: int, n: int) -> tuple[Column, Column]:
+    """(start from 1, size) of the i-th of n segments of words of a length; the last ones are longer by one where needed."""
+    size = F.floor(length / n).cast("int")
+    longer = F.greatest(F.lit(i - n) + length % n, F.lit(0))  # segments before this one that are longer
+    return (size * i + longer + 1).cast("int"), (size + F.when(F.lit(n - i) <= length % n, 1).otherwise(0)).cast("int")
+
+
+def _mark(kind: int, length: Column, text: Column) -> Column:
+    return F.xxhash64(F.lit(kind), length, text)
+
+
+def _marks(word: Column, most: int) -> tuple[Column, Column]:
+    """(marks to be found by, marks to look for) of a word; see ``similar_keys``."""
+    n, none = F.length(word), F.array().cast("array<bigint>")
+
+    def at(i: int, length: Column, size: Column) -> Callable[[Column], Column]:
+        return lambda p: _mark(i, length, F.substr(word, p, size))
+
+    left = F.when(n <= SHORT + most, F.transform(_deletions(word, most), lambda w: _mark(-1, F.lit(0), w))).otherwise(none)
+    own, others = [], []
+    for i in range(most + 1):
+        start, size = _segment(n, i, most + 1)
+        own.append(_mark(i, n, F.substr(word, start, size)))
+        for shorter in range(most + 1):
+            length = n - shorter
+            start, size = _segment(length, i, most + 1)
+            places = F.sequence(F.greatest(start - most, F.lit(1)), F.greatest(F.least(start + most, n - size + 1), F.lit(1)))
+            others.append(F.when(length > SHORT, F.transform(places, at(i, length, size))).otherwise(none))
+    own = F.when(n > SHORT, F.array(*own)).otherwise(none)
+    return F.concat(left, own), F.array_distinct(F.concat(left, *others))
+
+
 def similar_keys(keys: DataFrame, max_distance: int = 2) -> DataFrame:
     """Pairs of keys (key1 < key2) whose lower-case edit distance is at most ``max_distance``; similarity is that distance.
 
-    Two such keys share a string that deleting at most so many characters from each leaves, so candidates come from an
-    equi-join on hashes of these strings. Keys of equal lower-case form are one in that join and are expanded after it.
+    Of a word cut into one segment more than there may be edits, one segment stands unchanged in the other word, shifted by
+    no more than the edits. So a word is found by its segments with their number and its length, and looks for its own
+    substrings at these places in words that are as long or shorter. Words of up to ``SHORT`` characters, whose segments say
+    little, share instead a string that deleting so many characters from each leaves. Keys of equal lower-case form are one
+    in that join and are expanded after it.
     """
     lower = keys.select("key", F.lower("key").alias("low")).distinct()
     words = lower.select("low").distinct()
-    marks = words.select("low", F.explode(_deletions(F.col("low"), max_distance)).alias("left")).select("low", F.xxhash64("left").alias("mark"))
-    other = marks.select(F.col("low").alias("low2"), "mark")
-    pairs = marks.join(other, "mark").where("low < low2").select("low", "low2").distinct()
+    own, others = _marks(F.col("low"), max_distance)
+    kept = words.select("low", F.explode(own).alias("mark"))
+    asked = words.select(F.col("low").alias("low2"), F.explode(others).alias("mark"))
+    pairs = kept.join(asked, "mark").where("low <> low2").select(F.least("low", "low2").alias("low"), F.greatest("low", "low2").alias("low2")).distinct()
     near = pairs.withColumn("similarity", F.levenshtein("low", "low2", max_distance)).where("similarity >= 0")
     same = words.select("low", F.col("low").alias("low2"), F.lit(0).alias("similarity"))
     a = lower.select("low", F.col("key").alias("x"))

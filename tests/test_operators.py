@@ -1,6 +1,8 @@
 """Jobs on small hand-written inputs."""
 
 import json
+import random
+import time
 from datetime import date, datetime
 
 import pytest
@@ -54,22 +56,53 @@ def test_grid(objects):
     assert rows(counting.grid_cells(grid).where("key = 'a'")) == [("a", 1, 2)]
 
 
+def distance(a, b):
+    line = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        line, before = [i], line
+        for j, y in enumerate(b, 1):
+            line.append(min(before[j] + 1, line[-1] + 1, before[j - 1] + (x != y)))
+    return line[-1]
+
+
+def edited(rnd, word, times):
+    for _ in range(times):
+        at = rnd.randrange(len(word) + 1)
+        word = word[:at] + rnd.choice(["", "a", "b", "é"]) + word[at + rnd.choice([0, 1]) :]
+    return word
+
+
 def test_similar_keys(spark):
     from itertools import combinations
 
-    names = ["old rod", "cold rod", "Old rod", "name", "nam", "nmae", "highway", "highwya", "x", "", "hihgwya"]
+    names = {"old rod", "cold rod", "Old rod", "name", "nam", "nmae", "highway", "highwya", "x", "", "hihgwya"}
+    rnd = random.Random(3)
+    for length in (1, 2, 3, 5, 8, 9, 10, 11, 12, 13, 14, 20, 31, 60):
+        base = "".join(rnd.choice("abcd_:") for _ in range(length))
+        names |= {base, base.upper(), *(edited(rnd, base, rnd.randrange(1, 4)) for _ in range(8))}
+    want = sorted((*sorted(p), d) for p in combinations(sorted(names), 2) if (d := distance(p[0].lower(), p[1].lower())) <= 2)
+    df = spark.createDataFrame([(n, 10) for n in names], "key string, count_all long")
+    assert len(want) > 100 and rows(counting.similar_keys(df)) == sorted(want, key=repr)
 
-    def distance(a, b):
-        line = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            line, before = [i], line
-            for j, y in enumerate(b, 1):
-                line.append(min(before[j] + 1, line[-1] + 1, before[j - 1] + (x != y)))
-        return line[-1]
 
-    want = sorted((*sorted(p), d) for p in combinations(names, 2) if (d := distance(p[0].lower(), p[1].lower())) <= 2)
+def test_long_similar_keys(spark):
+    rnd = random.Random(4)
+    names = ["".join(rnd.choice("abcdefgh") for _ in range(120)) for _ in range(100)]
+    names += [edited(rnd, n, 2) for n in names]
     df = spark.createDataFrame([(n, 10) for n in names], "key string, count_all long")
-    assert rows(counting.similar_keys(df)) == sorted(want, key=repr)
+    start = time.time()
+    found = rows(counting.similar_keys(df))
+    assert len(found) >= 100 - 20 and all(distance(a, b) == d for a, b, d in found)
+    marks = df.select(*[F.size(m) for m in counting._marks(F.col("key"), 2)]).first()
+    assert marks[0] == 3 and marks[1] <= 45 and time.time() - start < 30  # strings, however long the key
+
+
+def test_tag_combinations_both_ways(spark, objects):
+    items = spark.createDataFrame([("a", ""), ("a", "1"), ("b", "2"), ("c", ""), ("type", "route"), ("none", "x")], "key string, value string")
+    within, joined = (counting.tag_combinations(objects, items, 1, small) for small in (5000, 2))
+    moved = [df._jdf.queryExecution().executedPlan().toString().count("Exchange") for df in (within, joined)]
+    assert moved[0] == 1 < moved[1] and rows(within) == rows(joined) != []
+    assert rows(counting.tag_combinations(objects, items.limit(0), 1)) == []
 
 
 def test_classes_and_grades(spark):
