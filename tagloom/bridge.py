@@ -268,4 +268,8 @@ class Tables(Mapping):
     def t_search_index(self) -> DataFrame:
         return integration.search_index(self["plain_tags"])
 
+    def t_search_postings(self) -> DataFrame:
+        return integration.search_postings(self["search_index"])
 
+    def t_word_grams(self) -> DataFrame:
+        return wiki.word_grams(self["words"])

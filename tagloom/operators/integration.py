@@ -151,3 +151,8 @@ def search_index(tags: DataFrame) -> DataFrame:
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     part = lambda c: tags.select(F.lit(c).alias("field"), F.posexplode(words(c)).alias("pos", "token"), "key", "value", "count_all")
     return part("key").unionByName(part("value"))
+
+
+def search_postings(index: DataFrame) -> DataFrame:
+    """(token, field, key, value, count_all, positions): a row for each word of a tag, to be stored in buckets by word."""
+    return index.groupBy("token", "field", "key", "value", "count_all").agg(F.array_sort(F.collect_list("pos")).alias("positions"))

@@ -114,6 +114,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "m12_suggestions": lambda t: t["suggestions"],
     "m13_stats_series": lambda t: integration.stats_series(t["history_stats"], "click"),
     "m14_search_index": lambda t: t["search_index"],
+    "m14_search_postings": lambda t: joined(t["search_postings"], "positions"),
+    "d22_word_grams": lambda t: t["word_grams"],
     "q1_key_combinations": lambda t: keys.key_combinations(t, "priority"),
     "q1_key_combinations_nodes": lambda t: keys.key_combinations(t, "type", query="n", T="relations"),
     "q2_key_similar": lambda t: keys.key_similar(t, "old rod"),

@@ -333,6 +333,9 @@ SQL = {
     "m12_suggestions": "SELECT * FROM suggestions",
     "m13_stats_series": "SELECT ts::DATE AS udate, count(*) AS value FROM events WHERE event_type='click' GROUP BY 1",
     "m14_search_index": "SELECT * FROM search_index",
+    "m14_search_postings": "SELECT token, field, key, value, count_all, string_agg(pos::VARCHAR, ',' ORDER BY pos::VARCHAR) AS positions FROM search_index GROUP BY ALL",
+    "d22_word_grams": """SELECT DISTINCT substr(part, i::INT, 3) AS gram, key, value FROM (SELECT key, value, w || coalesce(',' || substr(lead(w) OVER (PARTITION BY key, value ORDER BY w), 1, 2), '') AS part
+      FROM (SELECT key, value, unnest(string_split(words, ',')) AS w FROM words)), LATERAL (SELECT unnest(range(1, length(part) - 1)) AS i) u""",
     "q1_key_combinations": _combined("priority", "count_all"),
     "q1_key_combinations_nodes": _combined("type", "count_relations", "lower(other_key) LIKE '%n%'"),
     "q2_key_similar": "SELECT key2 AS other_key, count_all2 AS count_all, similarity FROM similar_keys WHERE key1='old rod' UNION ALL SELECT key1, count_all1, similarity FROM similar_keys WHERE key2='old rod'",

@@ -170,6 +170,26 @@ def test_words_and_links(spark):
     assert [r.link_class for r in wiki.classify_links(links).collect()] == ["same", "tag_to_key", "key_to_tag", "ktr", "category", "map_features", "user", "rest"]
 
 
+def test_frequent_words_cost_a_task_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(wiki, "HELD_WORDS", 50)
+    data = [(f"k{i % 300}", None if i % 2 else "v", f"common Common word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} rare{'abc'[i % 3] * (i % 50 + 1)} x9y") for i in range(1500)]
+    pages = spark.createDataFrame(data, "key string, value string, body string")
+    parts = wiki._counted_words(pages.coalesce(1), 10)
+    each = {r.word: r["count"] for r in parts.groupBy("word").count().collect()}
+    flushes = 1500 // 50 + 1
+    assert each["common"] <= 10 * flushes and pages.where("body like '%common%'").count() == 1500
+    counts, about = {}, {}
+    for key, value, body in data:
+        for raw in set(body.split()):
+            if not any(c.isdigit() for c in raw):
+                counts[raw.lower()] = counts.get(raw.lower(), 0) + 1
+                about.setdefault((key, value or ""), set()).add(raw.lower())
+    want = sorted(((*k, sorted(w for w in ws if counts[w] < 10)) for k, ws in about.items() if any(counts[w] < 10 for w in ws)), key=repr)
+    assert want and rows(wiki.wiki_words(pages)) == want
+    grams = rows(wiki.word_grams(wiki.wiki_words(pages)))
+    assert grams == sorted({(t[i : i + 3], k, v) for k, v, ws in want for t in [",".join(ws)] for i in range(len(t) - 2)}, key=repr)
+
+
 def test_images(spark):
     body = json.dumps({"query": {"normalized": [{"from": "File:a b.png", "to": "File:A b.png"}], "pages": {"1": {"title": "File:A b.png", "imageinfo": [{"width": 10, "height": 20, "size": 3, "mime": "image/png", "url": "http://x/y.png", "thumburl": "http://x/200px-y.png"}]}, "-1": {"title": "File:none.png"}}}})
     cache = spark.createDataFrame([("File:a b.png", datetime(2020, 1, 1), body), ("File:old.png", datetime(2019, 1, 1), "{}")], "title string, timestamp timestamp, body string")
