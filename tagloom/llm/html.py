@@ -7,11 +7,13 @@ text; the smallest density on the path from it to the body is the threshold, and
 density contributes the subtree with the largest sum below it.
 
 Elements that never hold an article (menus, page headers and footers, asides, scripts, styles, what is hidden) are left
-out of the tree before densities are computed. So are forms and elements whose class or id names an advert, notice,
-sidebar or comments, unless one, or all of one name together, hold most of the page's text outside links: then the
-densities decide. Names of what consists of links or fields (menus, search, social) count only for elements without much
-other text. Beside the one article or main element of a page noise is always left out. A header that its class names as
-that of an entry belongs to the article, and its headings to the text. Formulas are text of the line that they stand in.
+out of the tree before densities are computed. So are elements whose class or id names an advert, notice, sidebar or
+reader comments, however much text they hold; they count only on a page that has no other text, or where they hold its
+main heading. Forms, widgets and names of a place (header, footer) may also be what wraps an article: they are left out
+unless one, or all of one name together, hold most of the other text outside links; then the densities decide. Names of
+what consists of links or fields (menus, search, social) count only for elements whose text is in links, or that have
+fields. Beside the one article or main element of a page noise is always left out. A header that its class names as that
+of an entry belongs to the article, and its headings to the text. Formulas are text of the line that they stand in.
 
 Open elements are kept on a stack with a count of each name, so the time follows the length of a page, however deep.
 
@@ -51,7 +53,8 @@ NOISE = re.compile(
     r"nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|side-?bars?|sidenav|aside|related|recommend(?:ed|ations)?|"
     r"widgets?|footers?|(?:site|page)-?header|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|notifications?|alerts?|"
     r"popups?|pop-up|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|search|"
-    r"shar(?:e|ing)|social|comments?|commentlist|respond|replies|disqus|discussion|skip-?link)(?![a-z])"
+    r"shar(?:e|ing)|social|comments?|commentlist|respond|replies|disqus|discussion|skip-?link)"
+    r"(?![a-z]|[-_](?:open|closed|enabled|disabled|on|off)(?![a-z]))"  # such names tell what is switched on
 )
 #: The kind of noise that is left out however much text it holds.
 ALWAYS = "always"
@@ -63,9 +66,13 @@ CLOSES = {
     "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
 }
 
-#: Names of what consists of links or fields, and the characters of other text that make it something else.
+#: Names of what consists of links or fields, and the elements that are fields.
 LINKED = set("nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager social search toolbar login".split())
-OTHER_TEXT = 80
+FIELDS = {"input", "select", "button", "textarea"}
+#: Names of what may wrap an article; all other noise is left out however much text it holds.
+WRAPPERS = LINKED | set("form widget widgets header site-header siteheader page-header pageheader footer footers masthead topbar".split())
+#: Elements that no noise holds, whatever its name.
+HEADS = {"h1", "main"}
 #: Classes of a header that belongs to an article.
 OWN_HEADER = re.compile(r"(?<![a-z])(?:entry|post|article|story|content|single)[-_]+(?:header|heading|title|top)(?![a-z])")
 
@@ -217,12 +224,19 @@ def walk(root: Node) -> list[Node]:
 
 def prune(nodes: list[Node]) -> None:
     """Counts the characters of every element's own text and takes the noise out of the tree; the last one is the root."""
-    plain: dict[Node, int] = {}  # characters outside links and outside what is always left out
+    plain: dict[Node, int] = {}  # characters outside links and outside what is left out
     whole: dict[Node, int] = {}
+    fields: dict[Node, int] = {}
+    heads: dict[Node, bool] = {}
     for node in nodes:
+        inner = [c for c in node.children if isinstance(c, Node)]
         node.own = sum(len(" ".join(html.unescape(c).split())) for c in node.children if isinstance(c, str))
-        whole[node] = node.own + sum(whole[c] for c in node.children if isinstance(c, Node))
-        within = node.own + sum(plain[c] for c in node.children if isinstance(c, Node))
+        whole[node] = node.own + sum(whole[c] for c in inner)
+        fields[node] = sum(fields[c] + (c.name in FIELDS) for c in inner)
+        heads[node] = node.noise != ALWAYS and any(c.name in HEADS or heads[c] for c in inner)
+        within = node.own + sum(plain[c] for c in inner)
+        if node.noise and node.noise not in WRAPPERS:
+            node.noise = "form" if heads[node] and node.noise != ALWAYS else ALWAYS
         plain[node] = 0 if node.name == "a" or node.noise == ALWAYS else within
     most = plain[nodes[-1]] / 2
     held, largest = Counter(), Counter()  # by all elements of one name together, and by one of them
@@ -245,9 +259,9 @@ def prune(nodes: list[Node]) -> None:
     def stays(node: Node) -> bool:
         if not node.noise:
             return True
-        if homes == 1 and "article" not in around[node]:
+        if node.noise == ALWAYS or homes == 1 and "article" not in around[node]:
             return False
-        if node.noise in LINKED and plain[node] > max(OTHER_TEXT, whole[node] / 2):
+        if node.noise in LINKED and not fields[node] and plain[node] > whole[node] / 2:
             return True
         return plain[node] > most or held[node.noise] > most >= largest[node.noise]
 

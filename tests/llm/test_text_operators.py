@@ -189,6 +189,32 @@ def test_html_probes():
     assert html.main_text(odd) == "one\ntwo\nthree\nfour five"
 
 
+def test_html_comments_and_notices_never_stand_for_the_article():
+    said = [f"Paragraph {k} of a text that goes on for some time and is read by somebody." for k in range(4)]
+    paragraphs, want = "".join(f"<p>{p}</p>" for p in said), "\n".join(said)
+    comments = "".join(f"<div class=comment><p>Reader {k} says at some length what they make of all this, and more.</p></div>" for k in range(12))
+    notice = "We use cookies to make this page better, and share what they tell with others. " * 20
+    for page in (
+        f"<div id=content>{paragraphs}</div><div id=comments>{comments}</div>",
+        f"<div id=content>{paragraphs}</div><section class='comments-area'>{comments}</section>",
+        f"<article>{paragraphs}<div class=comments>{comments}</div></article>",
+        f"<article>{paragraphs}</article><div id=comments>{comments}</div>",
+        f"<div>{paragraphs}</div><div class='cookie-notice'><p>{notice}</p></div>",
+        f"<div>{paragraphs}</div><div class=sidebar>{comments}</div><div class='ad-box'><p>{notice}</p></div>",
+        f"<form id=form1><div>{paragraphs}</div><div id=comments>{comments}</div></form>",
+        f"<div class='post comments-open'>{paragraphs}</div><div class=commentlist>{comments}</div>",
+    ):
+        assert html.main_text(f"<html><body>{page}</body></html>") == want, page[:60]
+    both = html.main_text(f"<body><main><article>{paragraphs}</article><article>{paragraphs}</article></main><div id=comments>{comments}</div></body>")
+    assert both == f"{want}\n{want}"
+    story = "One short story stands here alone."
+    assert html.main_text(f"<body><div><p>{story}</p></div><div class='cookie-notice'>{notice}</div></body>") == story
+    assert html.main_text(f"<body><div class=sidebar><h1>T</h1>{paragraphs}</div><p>&copy; me</p></body>").startswith(f"T\n{want}")
+    social = f"<article>{paragraphs}<div class=social><p>Social life is calm here.</p></div>{paragraphs}<div class=social><a href=x>Share</a> it</div></article>"
+    assert html.main_text(f"<body>{social}</body>") == f"{want}\nSocial life is calm here.\n{want}"
+    assert html.main_text(f"<body><div id=comments>{comments}</div></body>").count("Reader") == 12  # there is nothing else
+
+
 def test_html_time_follows_the_length():
     import time
 
