@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import functools
 from datetime import date
 
 from pyspark.sql import DataFrame, Window
@@ -48,6 +49,47 @@ def tag_chronology(history: DataFrame, selection: DataFrame | None = None) -> Da
     return _daily(steps, ["key", "value"])
 
 
+def object_states(history: DataFrame) -> DataFrame:
+    """(otype, oid, version, tags) of the last version of each object, to be stored in buckets by otype and oid; tags are
+    null where that version is not visible."""
+    last = history.groupBy("otype", "oid").agg(F.max_by(F.struct("version", F.when(F.col("visible"), F.col("tags")).alias("tags")), "version").alias("s"))
+    return last.select("otype", "oid", "s.version", "s.tags")
+
+
+def merge_day(states: DataFrame, history: DataFrame, by_value: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(daily changes, new states) from the last states and the versions of a day or more. Versions that a state knows, or
+    that are older than it, change nothing.
+
+    The versions of each object are one row, which meets the state of the object; stored states are not moved.
+    """
+    kept = F.array_sort(F.map_entries(F.when(F.col("visible"), F.col("tags"))))
+    version = F.struct("version", F.to_date("ts").alias("date"), kept.alias("tags"))
+    day = history.groupBy("otype", "oid").agg(F.array_sort(F.collect_set(version)).alias("new"))
+    known = states.select("otype", "oid", F.col("version").alias("known"), F.map_entries("tags").alias("old"))
+    met = known.join(day, ["otype", "oid"], "full")
+    fresh = F.filter("new", lambda n: F.col("known").isNull() | (n["version"] > F.col("known")))
+    met = met.withColumn("new", F.coalesce(fresh, F.array().cast(day.schema["new"].dataType)))
+
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+    items = lambda tags: F.coalesce(tags, empty) if by_value else F.transform(F.coalesce(tags, empty), lambda e: e["key"])
+    before = lambda i: F.when(i == 0, items(F.col("old"))).otherwise(items(F.try_element_at("new", F.greatest(i, F.lit(1)))["tags"]))
+    step = lambda a, b, n, d: F.transform(F.array_except(a, b), lambda x: F.struct(x.alias("item"), F.lit(n).alias("step"), d.alias("date")))
+    changes = F.flatten(F.transform("new", lambda n, i: F.concat(step(items(n["tags"]), before(i), 1, n["date"]), step(before(i), items(n["tags"]), -1, n["date"]))))
+    rows = met.where(F.size("new") > 0).select("otype", F.inline(changes))
+    steps = rows.select("otype", "date", "step", *(["item.key", "item.value"] if by_value else [F.col("item").alias("key")]))
+    last = F.try_element_at("new", F.lit(-1))
+    states = met.select("otype", "oid", F.coalesce(last["version"], "known").alias("version"), F.map_from_entries(F.when(F.size("new") > 0, last["tags"]).otherwise(F.col("old"))).alias("tags"))
+    return _daily(steps, ["key", "value"] if by_value else ["key"]), states
+
+
+def add_series(*parts: DataFrame) -> DataFrame:
+    """Daily changes of several days or parts as one series."""
+    by = [c for c in ("key", "value") if c in parts[0].columns]
+    sums = [F.sum(n).cast("long").alias(n) for n in ("nodes", "ways", "relations")]
+    every = functools.reduce(DataFrame.unionByName, parts)
+    return every.groupBy(*by, "date").agg(*sums).where("nodes <> 0 or ways <> 0 or relations <> 0")
+
+
 def first_use(history: DataFrame, by_value: bool = False) -> DataFrame:
     """First time, in seconds, that a visible object had the key (or tag)."""
     rows = history.where("visible").select("ts", F.explode("tags").alias("key", "value"))

@@ -36,14 +36,28 @@ def key_stats(tags: DataFrame) -> DataFrame:
     return tags.groupBy("key").agg(*sums, *values)
 
 
-def key_users(object_tags: DataFrame, approx: bool = False) -> DataFrame:
+def key_users(object_tags: DataFrame) -> DataFrame:
     """Distinct last editors of the objects with each key. The exact form first removes repeated (key, user) pairs, which
     is combined before the shuffle, so a frequent key costs a row for each user and task at most."""
-    if approx:
-        return object_tags.groupBy("key").agg(F.approx_count_distinct("uid").alias("users_all"))
     return object_tags.select("key", "uid").distinct().groupBy("key").agg(F.count("uid").alias("users_all"))
 
 
+def user_sketches(object_tags: DataFrame) -> DataFrame:
+    """(key, users): a sketch of the distinct last editors, which can be merged with those of other days. Its standard
+    error is 1.04 / sqrt(4096), 1.6 %."""
+    return object_tags.groupBy("key").agg(F.hll_sketch_agg("uid", 12).alias("users"))
+
+
+def merged_users(*sketches: DataFrame) -> DataFrame:
+    every = functools.reduce(DataFrame.unionByName, sketches)
+    return every.groupBy("key").agg(F.hll_union_agg("users").alias("users"))
+
+
+def sketched_users(sketches: DataFrame) -> DataFrame:
+    """(key, users_all) as the sketches estimate it."""
+    return sketches.select("key", F.hll_sketch_estimate("users").alias("users_all"))
+
+
 def object_counters() -> dict[str, Column]:
     """Objects and tags by type, nodes with tags, closed ways."""
     n, w, r = (F.col("otype") == t for t in "nwr")
@@ -174,6 +188,28 @@ def prevalent_roles(relation_types: DataFrame, relation_roles: DataFrame, min_fr
     )
 
 
+def node_cells(objects: DataFrame, box: tuple[float, float, float, float] = BOX, width: int = WIDTH, height: int = HEIGHT, *columns: Column) -> DataFrame:
+    """(oid, x, y) and further columns: the cell of each node within the box. Points on the right and lower edge belong to
+    the last cells."""
+    left, bottom, right, top = box
+    x = F.floor((F.col("lon") - left) / (right - left) * width)
+    y = F.floor((top - F.col("lat")) / (top - bottom) * height)
+    located = objects.where(F.col("lon").between(left, right) & F.col("lat").between(bottom, top) & (F.col("otype") == "n"))
+    last = lambda c, n: F.least(c, F.lit(n - 1)).cast("int")
+    return located.select("oid", last(x, width).alias("x"), last(y, height).alias("y"), *columns)
+
+
+def way_points(objects: DataFrame) -> DataFrame:
+    """(way, oid) of the nodes of tagged ways."""
+    ways = objects.where((F.col("otype") == "w") & (F.size("tags") > 0))
+    return ways.select(F.col("oid").alias("way"), F.explode(F.array_distinct("nds")).alias("oid"))
+
+
+def way_cells(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """(way, x, y): cells of the nodes of each way. Cells and points that are stored in buckets by node meet unmoved."""
+    return points.join(cells, "oid").select("way", "x", "y").distinct()
+
+
 def geo_grid(
     objects: DataFrame,
     by: tuple[str, ...] = ("key",),
@@ -181,29 +217,21 @@ def geo_grid(
     width: int = WIDTH,
     height: int = HEIGHT,
     only: DataFrame | None = None,
+    cells: DataFrame | None = None,
+    points: DataFrame | None = None,
 ) -> DataFrame:
-    """(key[, value], object_type, x, y, count): objects in each occupied cell; a way is in the cells of its nodes.
-
-    Points on the right and lower edge belong to the last cells, points outside to none. Nodes are reduced to their cell
-    before they meet the ways.
-    """
-    left, bottom, right, top = box
-    x = F.floor((F.col("lon") - left) / (right - left) * width)
-    y = F.floor((top - F.col("lat")) / (top - bottom) * height)
-    located = objects.where(F.col("lon").between(left, right) & F.col("lat").between(bottom, top) & (F.col("otype") == "n"))
-    last = lambda c, n: F.least(c, F.lit(n - 1)).cast("int")
-    nodes = located.select("oid", "tags", last(x, width).alias("x"), last(y, height).alias("y"))
-    ways = objects.where("otype = 'w'")
-    tag = F.explode("tags").alias("key", "value")
+    """(key[, value], object_type, x, y, count): objects in each occupied cell; a way is in the cells of its nodes, points
+    outside are in none. Nodes are reduced to their cell before they meet the ways; ``cells`` (of that box) and ``points``
+    may be stored tables."""
 
     def chosen(rows: DataFrame) -> DataFrame:
         return rows if only is None else rows.join(only.select(*by).distinct(), list(by), "left_semi")
 
-    of_nodes = chosen(nodes.where(F.size("tags") > 0).select(F.lit("n").alias("object_type"), "oid", tag, "x", "y"))
-    points = ways.where(F.size("tags") > 0).select(F.col("oid").alias("way"), F.explode(F.array_distinct("nds")).alias("oid"))
-    cells = points.join(nodes.select("oid", "x", "y"), "oid").select("way", "x", "y").distinct()
-    way_tags = chosen(ways.select(F.col("oid").alias("way"), tag))
-    of_ways = way_tags.join(cells, "way").select(F.lit("w").alias("object_type"), F.col("way").alias("oid"), "key", "value", "x", "y")
+    tag = F.explode("tags").alias("key", "value")
+    located = node_cells(objects, box, width, height) if cells is None else cells
+    met = way_cells(located, way_points(objects) if points is None else points)
+    of_nodes = chosen(node_cells(objects, box, width, height, tag).select(F.lit("n").alias("object_type"), "key", "value", "x", "y"))
+    of_ways = chosen(objects.where("otype = 'w'").select(F.col("oid").alias("way"), tag)).join(met, "way").select(F.lit("w").alias("object_type"), "key", "value", "x", "y")
     return of_nodes.unionByName(of_ways).groupBy(*by, "object_type", "x", "y").agg(F.count("*").alias("count"))
 
 

@@ -102,7 +102,7 @@ def tags_list(t: Tables, key: str | None = None, tags: str | None = None) -> Dat
         wanted = pages.sparkSession.createDataFrame(parse_tag_list(tags), "key string, value string").distinct()
     entry = F.struct("lang", F.struct("description", "image", "rendering").alias("page"))
     first = lambda c: F.min_by(c, F.struct(F.col("lang") != "en", "lang", "title")).alias(c)
-    chosen = pages.alias("p").join(F.broadcast(wanted).alias("w"), (F.col("p.key") == F.col("w.key")) & F.col("p.value").eqNullSafe(F.col("w.value")), "left_semi")
+    chosen = pages.alias("p").join(wanted.alias("w"), (F.col("p.key") == F.col("w.key")) & F.col("p.value").eqNullSafe(F.col("w.value")), "left_semi")
     one = F.min_by(F.struct("lang", "title", "description", "image", "rendering", "on_node", "on_way", "on_area", "on_relation"), "title").alias("page")
     each = chosen.groupBy("key", "value", "lang").agg(one).select("key", "value", "page.*")  # of several pages the first by title
     documented = each.groupBy("key", "value").agg(

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import codecs
+import itertools
+import json
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,10 +64,6 @@ def load_projects(fetch_log: DataFrame) -> DataFrame:
     )
 
 
-def fetched_projects(fetch_log: DataFrame) -> DataFrame:
-    return load_projects(fetch_log.where("fetch_status = '200'"))
-
-
 def prune_fetch_log(log: DataFrame, ids: DataFrame, now: Column, days: int = 7) -> DataFrame:
     """Fetches of listed projects: the newest success replaces what is older; failures stay for a week."""
     listed = log.join(ids.select("id").distinct(), "id", "left_semi")
@@ -144,12 +147,62 @@ def read_wikipedia_sites(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(parts[2] == "wikipedia").select(parts[1].alias("prefix"), text.alias("language"))
 
 
+#: Bytes of a result file that a task holds at a time.
+PIECE = 1 << 20
+_BINDINGS = re.compile(r'(?<!\\)"bindings"\s*:\s*\[')
+_BETWEEN = re.compile(r"[\s,]*")
+
+
+def bindings_in(read: Callable[[], bytes]) -> Iterator[dict]:
+    """The bindings of query results in JSON, one after the other, from pieces of their text (empty at its end); what is
+    held is a piece and a binding."""
+    decode, parse = codecs.getincrementaldecoder("utf-8")().decode, json.JSONDecoder().raw_decode
+    held, at, inside, more = "", 0, False, True
+    while True:
+        if inside:
+            at = _BETWEEN.match(held, at).end()
+            if held[at : at + 1] == "]":
+                inside = False
+                continue
+            try:
+                found, at = parse(held, at)
+                yield found
+                continue
+            except json.JSONDecodeError:
+                if not more:
+                    raise ValueError("a result ends within its bindings") from None
+        elif m := _BINDINGS.search(held, at):
+            at, inside = m.end(), True
+            continue
+        elif not more:
+            return
+        else:
+            at = max(at, len(held) - 100)  # the name may be cut
+        piece = read()
+        more = bool(piece)
+        held, at = held[at:] + decode(piece, not more), 0
+
+
 def read_wikidata_bindings(spark: SparkSession, path: str) -> DataFrame:
-    """(item, prop, description, label, lang) of query results in JSON; fields that a result lacks are null."""
-    value = "struct<value:string,`xml:lang`:string>"
-    schema = f"results struct<bindings:array<struct<item:{value},itemLabel:{value},prop:{value},label:{value},lang:{value}>>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("results.bindings").alias("b"))
-    return rows.select(F.col("b.item.value").alias("item"), F.col("b.prop.value").alias("prop"), F.col("b.itemLabel.value").alias("description"), F.col("b.label.value").alias("label"), F.coalesce("b.lang.value", F.col("b.label")["xml:lang"]).alias("lang"))
+    """(item, prop, description, label, lang) of query results in JSON; fields that a result lacks are null. Each file is read
+    by one task in pieces, so that a result may have millions of bindings."""
+    fields = {"item": "item", "prop": "prop", "description": "itemLabel", "label": "label", "lang": "label_lang"}
+    schema = pa.schema([(n, pa.string()) for n in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                files, inside = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+                with files.open_input_stream(inside) as f:
+                    found = bindings_in(lambda f=f: f.read(PIECE))
+                    while some := list(itertools.islice(found, 10_000)):
+                        values = [[b.get(name, {}).get("value") for b in some] for name in fields.values()]
+                        yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in values], schema=schema)
+
+    paths = spark.read.format("binaryFile").load(path).select("path").repartition("path")
+    return paths.mapInArrow(run, ", ".join(f"{n} string" for n in fields))
 
 
 def read_editor_lists(spark: SparkSession, deprecated: str, discarded: str, source: str) -> tuple[DataFrame, DataFrame]:

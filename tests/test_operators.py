@@ -195,7 +195,14 @@ def test_images(spark):
     cache = spark.createDataFrame([("File:a b.png", datetime(2020, 1, 1), body), ("File:old.png", datetime(2019, 1, 1), "{}")], "title string, timestamp timestamp, body string")
     (row,) = wiki.image_info(cache).collect()
     assert (row.image, row.width, row.image_url, row.thumb_url_prefix, row.thumb_url_suffix) == ("File:A b.png", 10, "https://x/y.png", "http://x/", "px-y.png")
-    assert rows(wiki.normalized_titles(cache)) == [("File:a b.png", "File:A b.png")]
+    assert rows(wiki.canonical_titles(cache)) == [("File:a b.png", "File:A b.png")]
+    answer = lambda *pairs: json.dumps({"query": {"normalized": [{"from": a, "to": b} for a, b in pairs]}})
+    chain = [(f"t{k}", f"t{k + 1}") for k in range(60)]
+    circle = [("x", "y"), ("y", "z"), ("z", "x"), ("into", "x"), ("same", "same"), ("two", "b"), ("two", "a"), ("a", "last")]
+    answers = spark.createDataFrame([(answer(*chain[::2]),), (answer(*chain[1::2]),), (answer(*circle),), ("no json",), (None,)], "body string")
+    assert rows(wiki.canonical_titles(answers)) == sorted([(f"t{k}", "t60") for k in range(60)] + [("two", "last"), ("a", "last")], key=repr)
+    pages = spark.createDataFrame([("p", "t5", 1), ("q", None, 2), ("r", "x", 3)], "title string, image string, n int")
+    assert rows(wiki.rewrite_images(pages, wiki.canonical_titles(answers))) == [("p", "t60", 1), ("q", None, 2), ("r", "x", 3)]
     kept = wiki.expire_cache(cache, F.lit("2020-01-20").cast("timestamp"))
     assert [r.title for r in kept.collect()] == ["File:a b.png"]
 
@@ -249,6 +256,85 @@ def test_wikidata(spark):
     assert rows(registries.deprecated_tags(mapping)) == [("a", "1"), ("b", None)]
 
 
+def test_bindings_in_pieces(spark, tmp_path):
+    value = lambda v: {"type": "literal", "value": v}
+    made = [{"item": value(f"http://x/Q{k}"), "label": value(f'Straße "bindings": [ {k} ]}} é'), "label_lang": value("de" if k % 2 else "en")} for k in range(200)]
+    text = json.dumps({"head": {"vars": ["bindings"]}, "results": {"bindings": made}}, ensure_ascii=False, indent=1) + "\n" + json.dumps({"results": {"bindings": []}}) + json.dumps({"results": {"bindings": [{"prop": value("a=b")}]}})
+    for size in (1, 7, 1000, 10**6):
+        pieces = iter([text.encode()[i : i + size] for i in range(0, len(text.encode()), size)])
+        assert list(readers.bindings_in(lambda p=pieces: next(p, b""))) == [*made, {"prop": value("a=b")}]
+    with pytest.raises(ValueError, match="ends within"):
+        list(readers.bindings_in(iter([text.encode()[:3000], b""]).__next__))
+    (tmp_path / "a.json").write_text(text)
+    (tmp_path / "b.json").write_text("{}")
+    found = rows(readers.read_wikidata_bindings(spark, str(tmp_path)))
+    assert len(found) == 201 and ("http://x/Q1", None, None, 'Straße "bindings": [ 1 ]} é', "de") in found and (None, "a=b", None, None, None) in found
+
+
+def test_days_are_merged(spark):
+    """Day by day from the last states equals all versions at once, with versions that come again or too late."""
+    rnd = random.Random(7)
+    versions = {}
+    for k in range(600):
+        otype, oid = rnd.choice("nwr"), rnd.randrange(12)
+        n = versions.setdefault((otype, oid), [])
+        tags = None if rnd.random() < 0.1 else {rnd.choice("abc"): rnd.choice("12") for _ in range(rnd.randrange(4))}
+        n.append((otype, oid, len(n) + 1, rnd.random() > 0.15, datetime(2020, 1, 1 + k // 60, k % 24), tags))
+    schema = "otype string, oid long, version int, visible boolean, ts timestamp, tags map<string,string>"
+    everything = sorted((r for n in versions.values() for r in n), key=lambda r: r[4])
+    df = lambda rows_: spark.createDataFrame(rows_, schema)
+    for by_value, whole in ((False, chronology.key_chronology), (True, chronology.tag_chronology)):
+        states, series = chronology.object_states(df([])), whole(df([]))
+        for day in range(1, 11):
+            new = [r for r in everything if r[4].day == day]
+            again = [r for r in everything if r[4].day < day][-5:]
+            steps, states = chronology.merge_day(states, df(new + again), by_value)
+            series, states = spark.createDataFrame(chronology.add_series(series, steps).collect(), series.schema), spark.createDataFrame(states.collect(), states.schema)
+        assert rows(series) == rows(whole(df(everything)))
+        assert rows(states, "otype", "oid", "version") == rows(chronology.object_states(df(everything)), "otype", "oid", "version")
+
+
+def test_states_are_not_moved(spark, tmp_path):
+    schema = "otype string, oid long, version int, visible boolean, ts timestamp, tags map<string,string>"
+    old = spark.createDataFrame([("n", k, 1, True, datetime(2020, 1, 1), {"a": "1"}) for k in range(50)], schema)
+    new = spark.createDataFrame([("n", 3, 2, True, datetime(2020, 1, 2), {"b": "1"})], schema)
+    catalog.write_tables({"states": chronology.object_states(old)}, str(tmp_path), bucket_by={"states": ["otype", "oid"]}, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        steps, states = chronology.merge_day(catalog.Catalog(spark, str(tmp_path))["states"], new)
+        for df in (steps, states):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(otype") == 1  # of the day
+        assert rows(steps) == [("a", date(2020, 1, 2), -1, 0, 0), ("b", date(2020, 1, 2), 1, 0, 0)] and states.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_users_of_days_are_merged(spark):
+    rnd = random.Random(9)
+    days = [[("k1", rnd.randrange(5000)) for _ in range(3000)] + [("k2", rnd.randrange(20)) for _ in range(50)] + [("k3", None)] for _ in range(3)]
+    df = lambda rows_: spark.createDataFrame(rows_, "key string, uid long")
+    merged = counting.merged_users(*[counting.user_sketches(df(d)) for d in days])
+    whole = counting.user_sketches(df([r for d in days for r in d]))
+    found = rows(counting.sketched_users(merged))
+    assert found == rows(counting.sketched_users(whole))
+    exact = dict(rows(counting.key_users(df([r for d in days for r in d]))))
+    assert all(abs(n - exact[k]) <= 0.05 * exact[k] for k, n in found) and exact["k1"] > 4000
+
+
+def test_grid_from_stored_cells(spark, objects, tmp_path):
+    tables = {"node_cells": counting.node_cells(objects), "way_points": counting.way_points(objects)}
+    catalog.write_tables(tables, str(tmp_path), bucket_by={"node_cells": ["oid"], "way_points": ["oid"]}, buckets=4)
+    c = catalog.Catalog(spark, str(tmp_path))
+    assert rows(counting.geo_grid(objects, cells=c["node_cells"], points=c["way_points"])) == rows(counting.geo_grid(objects))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = counting.way_cells(c["node_cells"], c["way_points"])._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(oid" not in plan and plan.count("Bucketed: true") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_query_symmetry_and_errors(spark, objects):
     combos = counting.key_combinations(objects)
     table = {"key_combinations": combos, "keys": counting.key_stats(counting.tag_stats(counting.explode_tags(objects)))}
