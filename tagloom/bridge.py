@@ -97,10 +97,10 @@ class Tables(Mapping):
         value = F.when(F.floor(F.col("doc_id") / 8) % 2 == 1, pick(PAGE_VALUES))
         return d.select(
             "lang", pick(PAGE_KEYS).alias("key"), value.alias("value"),
-            F.concat(F.lit("page "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("body"), F.substring("text", 1, 20).alias("description"),
+            F.concat(F.lit("page "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("body"), F.substring_index("text", "\n", 1).alias("description"),
             F.when(redirect, "redirect").otherwise("page").alias("type"), (F.col("doc_id") % 3 != 0).alias("has_templ"), (F.col("doc_id") % 5 != 0).alias("parsed"),
-            F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("File:i"), (F.col("doc_id") % 40).cast("string"))).alias("image"), F.lit(None).cast("string").alias("rendering"),
-            (F.col("doc_id") % 2 == 0).alias("on_node"), (F.col("doc_id") % 3 == 0).alias("on_way"), F.lit(False).alias("on_area"), F.lit(False).alias("on_relation"),
+            F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("File:i"), (F.col("doc_id") % 40).cast("string"))).alias("image"), F.when(F.col("doc_id") % 6 == 1, F.concat(F.lit("File:r"), (F.col("doc_id") % 9).cast("string"))).alias("rendering"),
+            *[(F.col("doc_id") % n == 0).alias(f"on_{kind}") for kind, n in (("node", 2), ("way", 3), ("area", 5), ("relation", 7))],
             status.alias("approval_status"), "doc_id",
         )
 
@@ -120,7 +120,8 @@ class Tables(Mapping):
         return s.select(
             F.col("s_name").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("description"),
             F.when(F.col("s_suppkey") % 10 == 0, "FETCH ERROR").when(F.col("s_suppkey") % 10 == 1, "PARSE_ERROR").otherwise("OK").alias("status"),
-            F.when(F.col("s_suppkey") % 3 == 0, F.lit("https://icons.example/i.png")).alias("icon_url"), F.lit(None).cast("string").alias("error_log"), F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("fetch_date"),
+            F.when(F.col("s_suppkey") % 3 == 0, F.lit("https://icons.example/i.png")).alias("icon_url"), F.when(F.col("s_suppkey") % 10 == 1, F.concat(F.lit("FATAL: no document at "), "s_name")).alias("error_log"),
+            F.date_add(F.lit("2024-01-01").cast("date"), (F.col("s_suppkey") % 9).cast("int")).cast("timestamp").alias("fetch_date"),
         )
 
     def t_project_tags(self) -> DataFrame:
@@ -131,7 +132,9 @@ class Tables(Mapping):
         value = F.when(brand, F.col("p_brand")).when(F.col("l_returnflag") == "N", rtype)
         flat = rows.select(F.col("s_name").alias("project_id"), F.when(brand, "brand").otherwise("type").alias("key"), value.alias("value"), (F.col("l_linestatus") == "O").alias("o"), (F.col("l_linestatus") == "F").alias("f"), (F.col("l_returnflag") == "N").alias("r"))
         found = flat.groupBy("project_id", "key", "value").agg(F.bool_or("o").alias("on_node"), F.bool_or("f").alias("on_way"), F.bool_or(F.col("f") | F.col("r")).alias("on_relation"), F.bool_and("o").alias("on_area"))
-        return found.select("*", F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("doc_url"), F.lit(None).cast("string").alias("icon_url"))
+        of_brand = F.col("key") == "brand"
+        about = F.concat(F.lit("uses "), "value")  # null for an entry about the key alone
+        return found.select("*", about.alias("description"), F.when(of_brand, F.concat(F.lit("https://doc.example/"), "project_id")).alias("doc_url"), F.when(~of_brand, F.concat(F.lit("https://icons.example/"), "project_id")).alias("icon_url"))
 
     def t_discardable_tags(self) -> DataFrame:
         rows = self["nation"].select(F.element_at(F.array(*map(F.lit, PAGE_KEYS)), (F.col("n_nationkey") % 8 + 1).cast("int")).alias("key"), F.when(F.col("n_nationkey") % 2 == 0, "id").otherwise("josm").alias("source"), "n_regionkey")

@@ -29,6 +29,9 @@ TABLES = {
     "wiki_links": """SELECT CASE i % 6 WHEN 0 THEN 'Tag:key' || i % 10 || '=v' WHEN 1 THEN 'DE:Key:key' || i % 10 WHEN 2 THEN 'Category:c' || i WHEN 3 THEN 'User talk:u' || i WHEN 4 THEN 'Proposed_features/p' || i ELSE 'Relation:r' || i % 10 END AS from_title,
       CASE i % 2 WHEN 0 THEN 'Key:key' || i % 10 ELSE 'Tag:key' || i % 10 || '=v' END AS to_title, i FROM (SELECT doc_id AS i FROM documents)""",
     "cache": "SELECT p_partkey AS n, 'File:p' || p_partkey % 500 || '.png' AS title, (DATE '2024-04-01' - (p_partkey % 120)::INT)::TIMESTAMP AS timestamp, p_partkey % 120 AS age FROM part",
+    "rewritings": """SELECT DISTINCT f, t FROM (SELECT 'file:p' || n % 500 || '.png' AS f, title AS t FROM cache
+      UNION ALL SELECT title, 'File:p' || CASE WHEN n % 500 % 50 = 8 THEN n % 500 - 1 ELSE n % 500 + 1 END || '.png' FROM cache WHERE n % 500 % 10 = 3 OR n % 500 % 50 IN (7, 8))""",
+    "canonical": """SELECT a.f, coalesce(b.t, a.t) AS t FROM rewritings a LEFT JOIN rewritings b ON a.t = b.f WHERE coalesce(b.t, a.t) NOT IN (SELECT f FROM rewritings)""",
     "newest": "SELECT *, row_number() OVER (ORDER BY age <= 30, timestamp, title) AS r FROM (SELECT * FROM cache QUALIFY row_number() OVER (PARTITION BY title ORDER BY timestamp DESC) = 1) WHERE age <= 90",
     "fetches": """SELECT s_suppkey AS k, s_name AS id, TIMESTAMP '2024-01-01' AS fetch_date, CASE WHEN s_suppkey % 4 = 0 THEN '404' ELSE '200' END AS fetch_status FROM supplier
       UNION ALL SELECT s_suppkey, s_name, TIMESTAMP '2024-01-05', CASE WHEN s_suppkey % 10 = 0 THEN '404' ELSE '200' END FROM supplier""",
@@ -50,13 +53,13 @@ TABLES = {
 }
 
 _T = "'2024-01-02T00:00:00Z'"
-_LOG = """concat_ws(chr(10), CASE WHEN k % 6 = 5 THEN 'ERROR: data_updated is not yyyymmddThhmmssZ and is ignored' END, CASE WHEN k % 2 = 1 THEN 'WARNING: project_url is not an https URL: http://x.example/' || k END,
+_LOG = """concat_ws(chr(10), CASE WHEN k % 6 = 5 THEN 'ERROR: data_updated is not yyyymmddThhmmssZ and is ignored' END, CASE WHEN k % 2 = 1 THEN 'WARNING: project_url is not an https URL: http://x.example/' || k END, CASE WHEN k % 3 = 1 THEN 'WARNING: icon_url is not an https URL: http://icon.example/' || k END,
   CASE WHEN k % 9 = 8 THEN 'WARNING: unknown property: more' END, CASE WHEN k % 7 = 6 THEN 'WARNING: project has unknown property: colour' END, 'ERROR: tags.2.object_types has an unknown type: house', 'ERROR: tags.3.value is not a string',
   'ERROR: tags.4.key is missing', 'WARNING: tags.5.object_types is empty and means all types', 'ERROR: tags.6.key is not a string')"""
 _ABOUT = "title, lang, key, value"
 _WHERE = "'Template:Key/Value/RelationDescription'"
 _DESCRIPTION = "trim(w || CASE WHEN i % 12 = 5 THEN ' <b>' ELSE '' END || ' key' || i % 50 || '=val' || i % 7)"
-_LABELS = "LEFT JOIN (SELECT code, 'label of ' || description AS label FROM items WHERE code IS NOT NULL) l USING (code)"
+_LABELS = "LEFT JOIN (SELECT code, 'label of ' || description AS label FROM items WHERE code IS NOT NULL AND k % 3 = 0) l USING (code)"
 _VALID = "SELECT s_suppkey AS k, s_name AS id FROM supplier WHERE s_suppkey % 10 > 4"
 
 RAW_SQL = {
@@ -76,6 +79,9 @@ RAW_SQL = {
     "a10_unicode_data": "SELECT * FROM unicode_data",
     "a11_wikipedia_sites": "SELECT * FROM sites",
     "a13_editor_lists": "SELECT 'old' || n_nationkey % 7 AS old_key, CASE WHEN n_nationkey % 3 = 0 THEN '*' ELSE lower(n_name) END AS old_value, lower(n_name) AS new_value FROM nation",
+    "a12_key_bindings": "SELECT item, prop, description, NULL::VARCHAR AS label, NULL::VARCHAR AS lang FROM items",
+    "a12_label_bindings": "SELECT item, NULL::VARCHAR AS prop, NULL::VARCHAR AS description, 'label of ' || description AS label, ['en', 'de', 'pt-br'][k % 3 + 1] AS lang FROM items",
+    "a13_discarded_keys": "SELECT 'id' AS source, lower(r_name) AS key FROM region",
     "a16_read_links": "SELECT from_title, to_title FROM wiki_links",
     "a17_languages": "SELECT DISTINCT lang AS code, lang AS iso639_1, 'language, ' || lang AS english_name, upper(lang) AS native_name FROM documents WHERE lang IS NOT NULL",
     "a18_catalog": "SELECT rtype AS name, count(*) AS n, sum(count_all)::BIGINT AS count_all FROM relation_roles GROUP BY rtype UNION ALL SELECT characters, count(*), sum(count_all)::BIGINT FROM plain_keys GROUP BY characters",
@@ -118,6 +124,9 @@ RAW_SQL = {
       UNION ALL SELECT 'Template:RelatedTerm', 'invalid lang parameter', {_ABOUT}, 'b@d' FROM described WHERE i % 21 = 2 AND i % 11 <> 10
       UNION ALL SELECT 'Template:Wikipedia', 'invalid lang parameter', {_ABOUT}, 'b@d' FROM described WHERE i % 10 = 0
       UNION ALL SELECT 'page content', 'parsing failed', {_ABOUT}, NULL FROM good WHERE b = 'bad' UNION ALL SELECT 'redirect page content', 'parsing failed', {_ABOUT}, NULL FROM good WHERE b = 'moved' AND i % 34 <> 0""",
+    "d20_canonical_titles": "SELECT f AS from_title, t AS to_title FROM canonical",
+    "d20_rewritten_images": """SELECT p.title, i.title AS image, 'https://i.example/' || i.m || '.png' AS image_url FROM (SELECT DISTINCT title, n % 500 AS m FROM cache WHERE n % 9 <> 0) i
+      JOIN (SELECT title, coalesce(t, image) AS image FROM (SELECT 'Key:k' || doc_id AS title, ['file', 'File'][doc_id % 3 + 1] || ':p' || doc_id % 500 || '.png' AS image FROM documents WHERE doc_id % 3 < 2) LEFT JOIN canonical ON image = f) p ON p.image = i.title""",
     "d21_expire_cache": "SELECT title, timestamp FROM newest WHERE age <= 30 OR r > 5",
     "d23_classify_links": """SELECT from_title, to_title, CASE i % 6 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 5 THEN 'en' END AS from_lang, CASE i % 6 WHEN 0 THEN 'tag' WHEN 1 THEN 'key' WHEN 5 THEN 'relation' END AS from_type,
       CASE i % 6 WHEN 0 THEN 'key' || i % 10 || '=v' WHEN 1 THEN 'key' || i % 10 WHEN 5 THEN 'r' || i % 10 END AS from_name, 'en' AS to_lang, ['key', 'tag'][i % 2 + 1] AS to_type, 'key' || i % 10 || ['', '=v'][i % 2 + 1] AS to_name,
@@ -125,14 +134,15 @@ RAW_SQL = {
     "e1_validate_projects": f"""SELECT id, CASE WHEN k % 10 = 1 THEN 'JSON_ERROR' WHEN k % 10 < 5 THEN 'PARSE_ERROR' ELSE 'OK' END AS status, CASE k % 10 WHEN 1 THEN 'FATAL: not JSON' WHEN 2 THEN 'FATAL: top level is not an object' WHEN 3 THEN 'FATAL: data_format is missing or unknown (known: 1)'
       WHEN 4 THEN concat_ws(chr(10), 'FATAL: project.description is missing or not a string', 'FATAL: project.project_url is missing or not a string', 'ERROR: project.contact_name is missing or not a string', 'ERROR: project.contact_email is missing or not a string') ELSE {_LOG} END AS error_log,
       CASE WHEN k % 10 > 4 AND k % 6 <> 5 THEN '20240101T000000Z' END AS data_updated, CASE WHEN k % 10 > 4 THEN 'P' || k WHEN k % 10 = 4 THEN 'x' END AS name, CASE WHEN k % 10 > 4 THEN 'd' END AS description, CASE WHEN k % 10 > 4 THEN 'http' || CASE WHEN k % 2 = 0 THEN 's' ELSE '' END || '://x.example/' || k END AS project_url,
-      CASE WHEN k % 10 > 4 THEN 'c' END AS contact_name, CASE WHEN k % 10 > 4 THEN 'e' END AS contact_email, NULL::VARCHAR AS doc_url, NULL::VARCHAR AS icon_url FROM (SELECT s_suppkey AS k, s_name AS id FROM supplier WHERE s_suppkey % 10 <> 0)""",
-    "e2_project_tags": f"""SELECT id AS project_id, key, CASE key WHEN 'brand' THEN 'Brand#' || k % 5 END AS value, true AS on_node, true AS on_way, key <> 'brand' AS on_relation, key <> 'brand' AS on_area, NULL::VARCHAR AS description, NULL::VARCHAR AS doc_url, NULL::VARCHAR AS icon_url
+      CASE WHEN k % 10 > 4 THEN 'c' END AS contact_name, CASE WHEN k % 10 > 4 THEN 'e' END AS contact_email, CASE WHEN k % 10 > 4 AND k % 4 = 1 THEN 'https://doc.example/' || k END AS doc_url, CASE WHEN k % 10 > 4 AND k % 3 = 1 THEN 'http://icon.example/' || k END AS icon_url FROM (SELECT s_suppkey AS k, s_name AS id FROM supplier WHERE s_suppkey % 10 <> 0)""",
+    "e2_project_tags": f"""SELECT id AS project_id, key, CASE key WHEN 'brand' THEN 'Brand#' || k % 5 END AS value, key <> 'brand' OR k % 2 = 0 AS on_node, key <> 'brand' OR k % 2 = 0 AS on_way, key <> 'brand' AS on_relation, key <> 'brand' OR k % 2 = 1 AS on_area,
+      CASE WHEN key = 'brand' AND k % 2 = 0 THEN 'about ' || k END AS description, CASE WHEN key = 'brand' AND k % 3 = 0 THEN 'https://doc.example/b' END AS doc_url, CASE WHEN key = 'brand' AND k % 3 = 0 THEN 'https://icon.example/b' END AS icon_url
       FROM (SELECT k, id, unnest(['brand', 'k' || k, 'e']) AS key FROM ({_VALID}))""",
     "f1_language_stats": "SELECT 'subtag_' || stype AS key, count(*) AS value FROM subtags GROUP BY stype UNION ALL SELECT 'wikipedia_sites', count(*) FROM sites",
     "g1_deprecated_tags": "SELECT DISTINCT 'old' || n_nationkey % 7 AS key, CASE WHEN n_nationkey % 3 <> 0 THEN lower(n_name) END AS value FROM nation",
     "h1_wikidata_keys": "SELECT code, prop AS key FROM items WHERE code IS NOT NULL",
     "h1_wikidata_tags": "SELECT code, prop AS key, 'val' || k AS value FROM item_tags WHERE good",
-    "h1_wikidata_labels": "SELECT code, 'label of ' || description AS label, 'en' AS lang FROM items WHERE code IS NOT NULL",
+    "h1_wikidata_labels": "SELECT code, 'label of ' || description AS label, ['en', 'de', 'pt-br'][k % 3 + 1] AS lang FROM items WHERE code IS NOT NULL",
     "h2_wikidata_stats": " UNION ALL ".join(
         [
             _union({"wikidata_keys": "count(*)", "wikidata_distinct_keys": "count(DISTINCT prop)"} | {f"wikidata_keys_{c.lower()}code": f"count(*) FILTER (WHERE code LIKE '{c}%')" for c in "PQ"}, "items WHERE code IS NOT NULL"),
@@ -163,7 +173,7 @@ RAW_SQL = {
     "r23_stats_dump": SQL["m2_master_stats"],
     "r24_link_key_usage": "SELECT key, count(*) AS count_all, count(DISTINCT value) AS values_all FROM link_tags WHERE key <> 'other' GROUP BY key",
 }
-_IMAGE = """SELECT title AS image, (n % 90 + 10)::BIGINT AS width, (n % 70 + 5)::BIGINT AS height, n * 1000 AS size, 'image/png' AS mime, 'https://i.example/' || n % 500 || '.png' AS image_url, 'https://i.example/t/' || n % 500 || '/' AS thumb_url_prefix, 'px-x.png' AS thumb_url_suffix
+_IMAGE = """SELECT title AS image, (n % 90 + 10)::BIGINT AS width, (n % 70 + 5)::BIGINT AS height, n * 1000 AS size, 'image/png' AS mime, 'https://i.example/' || n % 500 || '.png' AS image_url, CASE WHEN n % 12 <> 5 THEN 'https://i.example/t/' || n % 500 || '/' END AS thumb_url_prefix, CASE WHEN n % 12 <> 5 THEN 'px-x.png' END AS thumb_url_suffix
   FROM {0} QUALIFY row_number() OVER (PARTITION BY title ORDER BY timestamp) = 1"""
 RAW_SQL |= {"a15_image_info": _IMAGE.format("(SELECT * FROM cache WHERE n % 9 <> 0)"), "d20_image_info": _IMAGE.format("(SELECT * FROM newest WHERE (age <= 30 OR r > 10) AND n % 9 <> 0)")}
 

@@ -54,6 +54,23 @@ def _facts(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if c != "image"], "image.image", F.col("image.url").alias("image_url"))
 
 
+def _sketched_users(t: Tables) -> DataFrame:
+    """Distinct users, and whether the merged sketches of two halves of the objects estimate them within a twentieth."""
+    halves = [counting.user_sketches(t["object_tags"].where(F.col("oid") % 2 == k)) for k in (0, 1)]
+    near = counting.sketched_users(counting.merged_users(*halves)).withColumnRenamed("users_all", "near")
+    close = F.abs(F.col("near") - F.col("users_all")) <= F.greatest(F.col("users_all") / 20, F.lit(1))
+    return counting.key_users(t["object_tags"]).join(near, "key").select("key", "users_all", close.alias("close"))
+
+
+def _merged(t: Tables, by_value: bool) -> DataFrame:
+    """The series of the older versions with the newer ones merged in from the last states."""
+    last = t["history"].agg((F.max("version") * 0.6).alias("cut"))
+    rows = t["history"].crossJoin(F.broadcast(last))
+    old, new = rows.where("version <= cut").drop("cut"), rows.where("version > cut").drop("cut")
+    series = chronology.tag_chronology(old) if by_value else chronology.key_chronology(old)
+    return chronology.add_series(series, chronology.merge_day(chronology.object_states(old), new, by_value)[0])
+
+
 _NESTED = ("counts", "prevalent_values", "wiki_pages", "description")
 
 
@@ -62,6 +79,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "b1_tag_stats": lambda t: t["plain_tags"],
     "b2_key_stats": lambda t: counting.key_stats(t["plain_tags"]),
     "b3_key_users": lambda t: counting.key_users(t["object_tags"]),
+    "b3_user_sketches": _sketched_users,
     "b4_object_stats": lambda t: counting.object_stats(t["objects"]),
     "b5_key_combinations": lambda t: t["key_combinations"],
     "b6_tag_combinations": lambda t: t["tag_combinations"],
@@ -84,7 +102,10 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "b21_interesting_relation_types": lambda t: t.selection()["interesting_relation_types"],
     "b22_selection_stats": lambda t: counting.selection_stats(t.selection()),
     "c1_key_chronology": lambda t: t["key_chronology"],
+    "c1_key_chronology_merged": lambda t: _merged(t, False),
     "c2_tag_chronology": lambda t: t["tag_chronology"],
+    "c2_tag_chronology_merged": lambda t: _merged(t, True),
+    "c2_object_states": lambda t: joined(chronology.object_states(t["history"]), "tags"),
     "c3_first_use": lambda t: chronology.first_use(t["history"]),
     "c4_smoothness": lambda t: chronology.smoothness(t["key_chronology"]).withColumn("smoothness", F.round("smoothness", 8)),
     "c5_cumulative": lambda t: chronology.cumulative(t["key_chronology"], end=END),

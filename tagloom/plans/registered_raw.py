@@ -111,6 +111,9 @@ QUERIES: dict[str, Callable[[Raw], DataFrame]] = {
     "a10_unicode_data": lambda t: t["unicode_data"],
     "a11_wikipedia_sites": lambda t: t["wikipedia_sites"],
     "a13_editor_lists": lambda t: t["editor_lists"].select(F.explode("old_tags").alias("old_key", "old_value"), F.col("replace_tags")["new"].alias("new_value")),
+    "a12_key_bindings": lambda t: t["key_bindings"],
+    "a12_label_bindings": lambda t: t["label_bindings"],
+    "a13_discarded_keys": lambda t: t["discarded_keys"],
     "a15_image_info": lambda t: wiki.image_info(t["image_cache"]),
     "a16_read_links": lambda t: t["page_links"],
     "a17_languages": _languages,
@@ -134,6 +137,8 @@ QUERIES: dict[str, Callable[[Raw], DataFrame]] = {
     "d11_group_status": lambda t: _pages(t, "tgroup", "approval_status", "statuslink"),
     "d12_problems": lambda t: t.documentation()["problems"],
     "d20_image_info": lambda t: wiki.image_info(wiki.expire_cache(t["image_cache"], _now("2024-04-01"))),
+    "d20_canonical_titles": lambda t: wiki.canonical_titles(t["image_cache"]).withColumnsRenamed({"from": "from_title", "to": "to_title"}),
+    "d20_rewritten_images": lambda t: wiki.rewrite_images(t["pages_with_images"], wiki.canonical_titles(t["image_cache"])).join(wiki.image_info(t["image_cache"]), "image").select("title", "image", "image_url"),
     "d21_expire_cache": lambda t: wiki.expire_cache(t["image_cache"], _now("2024-04-01"), soft_limit=5).select("title", "timestamp"),
     "d23_classify_links": lambda t: wiki.classify_links(t["page_links"]),
     "e1_validate_projects": lambda t: t["checked_projects"].select("id", "status", "error_log", "data_updated", "name", "description", "project_url", "contact_name", "contact_email", "doc_url", "icon_url"),

@@ -84,8 +84,8 @@ for _n, _by in (("key", "key"), ("tag", "key, value")):
 TABLES |= {
     "wikipages": f"""SELECT *, CASE WHEN type='redirect' THEN 'r' WHEN NOT has_templ THEN 'p' WHEN parsed THEN 't' ELSE 'e' END AS status FROM (
       SELECT lang, {_list(PAGE_KEYS)}[doc_id % 8 + 1] AS key, CASE WHEN (doc_id // 8) % 2 = 1 THEN {_list(PAGE_VALUES)}[doc_id % 8 + 1] END AS value,
-      'page ' || doc_id AS title, text AS body, substr(text, 1, 20) AS description, CASE WHEN doc_id % 17 = 0 THEN 'redirect' ELSE 'page' END AS type, doc_id % 3 <> 0 AS has_templ,
-      doc_id % 5 <> 0 AS parsed, CASE WHEN doc_id % 4 = 0 THEN 'File:i' || doc_id % 40 END AS image, doc_id % 2 = 0 AS on_node, NULL::VARCHAR AS rendering, doc_id, doc_id % 3 = 0 AS on_way, false AS on_area, false AS on_relation,
+      'page ' || doc_id AS title, text AS body, split_part(text, chr(10), 1) AS description, CASE WHEN doc_id % 17 = 0 THEN 'redirect' ELSE 'page' END AS type, doc_id % 3 <> 0 AS has_templ,
+      doc_id % 5 <> 0 AS parsed, CASE WHEN doc_id % 4 = 0 THEN 'File:i' || doc_id % 40 END AS image, doc_id % 2 = 0 AS on_node, CASE WHEN doc_id % 6 = 1 THEN 'File:r' || doc_id % 9 END AS rendering, doc_id, doc_id % 3 = 0 AS on_way, doc_id % 5 = 0 AS on_area, doc_id % 7 = 0 AS on_relation,
       CASE WHEN toxic=1 THEN 'deprecated' WHEN quality=1 THEN 'approved' WHEN quality=0 THEN 'proposed' END AS approval_status FROM documents LEFT JOIN labels USING (doc_id))""",
     "relation_pages": "SELECT *, coalesce(value, 'AUTOMOBILE') AS rtype FROM wikipages WHERE key='type'",
     "wiki_images": "SELECT image, (n + 1) * 25 AS width, (n % 7 + 1) * 60 AS height, n * 1000000 AS size, 'image/png' AS mime, 'https://images.example/' || image AS image_url, 'https://images.example/t/' || image || '/' AS thumb_url_prefix, 'px.png' AS thumb_url_suffix FROM (SELECT DISTINCT image, substr(image, 7)::INT AS n FROM wikipages WHERE image IS NOT NULL)",
@@ -98,11 +98,11 @@ TABLES |= {
       SELECT key, coalesce(value, '') AS value, lower(w) AS word FROM (SELECT key, value, unnest(list_distinct(regexp_extract_all(body, '[A-Za-z0-9_]+'))) AS w FROM wikipages)
       WHERE length(w) > 2 AND NOT regexp_matches(w, '[0-9]'))) WHERE n < 10 GROUP BY key, value""",
     "problems": "SELECT 'page content' AS location, 'parsing failed' AS reason, title, lang, key, value, NULL::VARCHAR AS info FROM wikipages WHERE status='e'",
-    "projects": """SELECT s_name AS id, s_name AS name, 'nation ' || s_nationkey AS description, NULL::VARCHAR AS error_log, TIMESTAMP '2024-01-01 00:00:00' AS fetch_date, CASE s_suppkey % 10 WHEN 0 THEN 'FETCH ERROR' WHEN 1 THEN 'PARSE_ERROR' ELSE 'OK' END AS status,
+    "projects": """SELECT s_name AS id, s_name AS name, 'nation ' || s_nationkey AS description, CASE WHEN s_suppkey % 10 = 1 THEN 'FATAL: no document at ' || s_name END AS error_log, (DATE '2024-01-01' + (s_suppkey % 9)::INT)::TIMESTAMP AS fetch_date, CASE s_suppkey % 10 WHEN 0 THEN 'FETCH ERROR' WHEN 1 THEN 'PARSE_ERROR' ELSE 'OK' END AS status,
       CASE WHEN s_suppkey % 3 = 0 THEN 'https://icons.example/i.png' END AS icon_url FROM supplier""",
-    "project_tags": f"""SELECT s_name AS project_id, CASE l_returnflag WHEN 'R' THEN 'brand' ELSE 'type' END AS key, CASE l_returnflag WHEN 'R' THEN p_brand WHEN 'N' THEN {_list(RELATION_TYPES)}[l_suppkey % 5 + 1] END AS value, NULL::VARCHAR AS description, NULL::VARCHAR AS doc_url, NULL::VARCHAR AS icon_url,
+    "project_tags": f"""SELECT *, 'uses ' || value AS description, CASE key WHEN 'brand' THEN 'https://doc.example/' || project_id END AS doc_url, CASE WHEN key <> 'brand' THEN 'https://icons.example/' || project_id END AS icon_url FROM (SELECT s_name AS project_id, CASE l_returnflag WHEN 'R' THEN 'brand' ELSE 'type' END AS key, CASE l_returnflag WHEN 'R' THEN p_brand WHEN 'N' THEN {_list(RELATION_TYPES)}[l_suppkey % 5 + 1] END AS value,
       bool_or(l_linestatus='O') AS on_node, bool_or(l_linestatus='F') AS on_way, bool_or(l_linestatus='F' OR l_returnflag='N') AS on_relation, bool_and(l_linestatus='O') AS on_area
-      FROM lineitem JOIN part ON l_partkey=p_partkey JOIN supplier ON l_suppkey=s_suppkey GROUP BY ALL""",
+      FROM lineitem JOIN part ON l_partkey=p_partkey JOIN supplier ON l_suppkey=s_suppkey GROUP BY ALL)""",
     "unique_keys": """SELECT key, count(DISTINCT project_id) AS projects, coalesce(any_value(lang_count), 0) AS in_wiki, coalesce(any_value(count_all), 0)::BIGINT AS count_all
       FROM project_tags LEFT JOIN (SELECT key, lang_count FROM wikipages_keys) USING (key) LEFT JOIN (SELECT key, count_all FROM key_stats) USING (key) GROUP BY key""",
     "unique_tags": """SELECT key, value, count(DISTINCT project_id) AS projects, coalesce(any_value(lang_count), 0) AS in_wiki, coalesce(any_value(count_all), 0) AS count_all
@@ -259,9 +259,9 @@ _PAGES = """SELECT w.lang, CASE WHEN w.lang IS NULL THEN 'auto' ELSE 'ltr' END A
   w.image, width, height, size, mime, image_url, thumb_url_prefix, thumb_url_suffix, on_node, on_way, on_area, on_relation, approval_status, rendering
   FROM {0} w LEFT JOIN wiki_images i ON i.image=w.image LEFT JOIN languages ON code=w.lang WHERE {1}"""
 _ENTRIES = """SELECT project_id, key, value, on_node, on_way, on_relation, on_area, p.description, name AS project_name, j.icon_url FROM project_tags p JOIN projects j ON id=project_id AND status='OK' WHERE {0}"""
-_TAG_PAGES = """SELECT key, value, string_agg(lang || ':' || concat_ws(':', description, image), ',' ORDER BY lang || ':' || concat_ws(':', description, image)) AS wiki,
+_TAG_PAGES = """SELECT key, value, string_agg(lang || ':' || concat_ws(':', description, image, rendering), ',' ORDER BY lang || ':' || concat_ws(':', description, image, rendering)) AS wiki,
   arg_min(on_node, lang <> 'en' || lang) AS on_node, arg_min(on_way, (lang <> 'en')::VARCHAR || lang) AS on_way, arg_min(on_area, (lang <> 'en')::VARCHAR || lang) AS on_area, arg_min(on_relation, (lang <> 'en')::VARCHAR || lang) AS on_relation
-  FROM (SELECT key, value, lang, arg_min(description, title) AS description, arg_min(image, title) AS image, arg_min(on_node, title) AS on_node, arg_min(on_way, title) AS on_way, arg_min(on_area, title) AS on_area, arg_min(on_relation, title) AS on_relation
+  FROM (SELECT key, value, lang, arg_min(description, title) AS description, arg_min(image, title) AS image, arg_min_null(rendering, title) AS rendering, arg_min(on_node, title) AS on_node, arg_min(on_way, title) AS on_way, arg_min(on_area, title) AS on_area, arg_min(on_relation, title) AS on_relation
     FROM wikipages GROUP BY key, value, lang) GROUP BY key, value"""
 _TAG_PAGES = _TAG_PAGES.replace("lang <> 'en' || lang", "(lang <> 'en')::VARCHAR || lang")
 _LISTED = """SELECT w.key, w.value, coalesce(count_all, 0) AS count_all, coalesce(count_nodes, 0) AS count_nodes, coalesce(count_ways, 0) AS count_ways, coalesce(count_relations, 0) AS count_relations,
@@ -279,6 +279,7 @@ SQL = {
     "b1_tag_stats": "SELECT * FROM plain_tags",
     "b2_key_stats": "SELECT * FROM key_stats",
     "b3_key_users": "SELECT * FROM key_users",
+    "b3_user_sketches": "SELECT key, users_all, true AS close FROM key_users",
     "b4_object_stats": OBJECT_STATS,
     "b5_key_combinations": "SELECT * FROM key_combinations",
     "b6_tag_combinations": "SELECT * FROM tag_combinations",
@@ -301,7 +302,10 @@ SQL = {
     "b21_interesting_relation_types": "SELECT * FROM interesting_rtypes",
     "b22_selection_stats": "SELECT 'interesting_tags' AS name, count(*) AS count FROM interesting_tags UNION ALL SELECT 'frequent_tags', count(*) FROM frequent_tags UNION ALL SELECT 'interesting_relation_types', count(*) FROM interesting_rtypes",
     "c1_key_chronology": "SELECT * FROM key_chronology",
+    "c1_key_chronology_merged": "SELECT * FROM key_chronology",
     "c2_tag_chronology": "SELECT * FROM tag_chronology",
+    "c2_tag_chronology_merged": "SELECT * FROM tag_chronology",
+    "c2_object_states": "SELECT otype, oid, max(version) AS version, nullif(arg_max(CASE WHEN visible THEN key || ':' || value ELSE '' END, version), '') AS tags FROM history GROUP BY otype, oid",
     "c3_first_use": "SELECT key, floor(epoch(min(ts)))::BIGINT AS first_use FROM history WHERE visible GROUP BY key",
     "c4_smoothness": "SELECT key, round(1 - max(u) / nullif(sum(u), 0)::DOUBLE, 8) AS smoothness FROM (SELECT key, greatest(nodes + ways + relations, 0) AS u FROM key_chronology) GROUP BY key",
     "c5_cumulative": """SELECT key, date, sum(nodes + ways + relations) OVER (PARTITION BY key ORDER BY date)::BIGINT AS count FROM key_chronology
@@ -315,7 +319,7 @@ SQL = {
     "d16_inconsistent_tags": "SELECT * FROM inconsistent_tags",
     "d17_wiki_languages": "SELECT lang AS language, count(*) AS count_pages FROM wikipages GROUP BY lang",
     "d18_wiki_stats": WIKI_STATS,
-    "d19_image_titles": "SELECT DISTINCT image AS title FROM wikipages WHERE image IS NOT NULL",
+    "d19_image_titles": "SELECT image AS title FROM wikipages WHERE image IS NOT NULL UNION SELECT rendering FROM wikipages WHERE rendering IS NOT NULL",
     "d22_wiki_words": "SELECT * FROM words",
     "e3_project_counters": "SELECT p.id, p.name, p.description, p.status, p.icon_url, p.error_log, p.fetch_date, count(project_id) FILTER (WHERE value IS NULL) AS key_entries, count(value) AS tag_entries, count(DISTINCT key) AS unique_keys, count(DISTINCT (key, value)) FILTER (WHERE value IS NOT NULL) AS unique_tags FROM projects p LEFT JOIN project_tags ON project_id=id GROUP BY ALL",
     "e4_project_stats": _union({"projects": "count(*)", "projects_ok": "count(*) FILTER (WHERE status='OK')", "projects_fetch_error": "count(*) FILTER (WHERE status='FETCH ERROR')", "projects_parse_error": "count(*) FILTER (WHERE status='PARSE_ERROR')", "projects_with_icon": "count(icon_url)"}, "projects") + " UNION ALL " + _union({"project_keys": "count(*) FILTER (WHERE value IS NULL)", "project_tags": "count(value)"}, "project_tags"),
@@ -407,7 +411,7 @@ SQL = {
     "r14_problems_by_lang": "SELECT lang, count(*) AS count FROM problems GROUP BY lang",
     "r15_object_ratios": "SELECT 100.0::DOUBLE AS tagged_nodes_percent, floor(n / (SELECT count(*) FROM orders)::DOUBLE * 100) / 100 AS tags_per_node, floor(w / (SELECT count(*) FROM part)::DOUBLE * 100) / 100 AS tags_per_way, floor(r / (SELECT count(*) FROM customer)::DOUBLE * 100) / 100 AS tags_per_relation FROM (SELECT count(*) FILTER (WHERE otype='n') AS n, count(*) FILTER (WHERE otype='w') AS w, count(*) FILTER (WHERE otype='r') AS r FROM object_tags)",
     "r16_discardable_by_source": "SELECT key, max((source='id')::INT) AS id, max((source='josm')::INT) AS josm FROM discardable GROUP BY key",
-    "r20_project_overview": "SELECT id, name, status, fetch_date, true AS outdated, error_log FROM projects",
+    "r20_project_overview": "SELECT id, name, status, fetch_date, date_diff('day', fetch_date, TIMESTAMP '2024-01-09') > 7 AS outdated, error_log FROM projects",
     "r22_embed_counts": " UNION ALL ".join(f"SELECT '{x}' AS type, count_{x}::BIGINT AS count FROM keys WHERE key='type'" for x in ("all", "nodes", "ways", "relations")),
     "r22_embed_roles": "SELECT role, count_all FROM relation_roles WHERE rtype='BUILDING' ORDER BY count_all DESC, role LIMIT 10",
     "r25_value_treemap": _prevalent("year", 0.002),

@@ -108,19 +108,29 @@ class Raw(Tables):
         """Cached answers about images, two for some titles."""
         n = F.col("p_partkey")
         title = _say("File:p", n % 500, ".png")
-        info = F.when(n % 9 != 0, _say('"imageinfo":[{"width":', n % 90 + 10, ',"height":', n % 70 + 5, ',"size":', n * 1000, ',"mime":"image/png","url":"http://i.example/', n % 500, '.png","thumburl":"https://i.example/t/', n % 500, '/200px-x.png"}],')).otherwise(F.lit(""))
-        body = _say('{"query":{"normalized":[{"from":"file:p', n % 500, '.png","to":"', title, '"}],"pages":{"', n, '":{', info, '"imagerepository":"', _pick(("local", "shared"), n), '","title":"', title, '"}}}}')
+        info = F.when(n % 9 != 0, _say('"imageinfo":[{"width":', n % 90 + 10, ',"height":', n % 70 + 5, ',"size":', n * 1000, ',"mime":"image/png","url":"http://i.example/', n % 500, '.png","thumburl":"https://i.example/t/', n % 500, F.when(n % 12 == 5, "/x.png").otherwise("/200px-x.png"), '"}],')).otherwise(F.lit(""))
+        m = n % 500
+        also = F.when(m % 10 == 3, m + 1).when(m % 50 == 7, m + 1).when(m % 50 == 8, m - 1)  # a chain, and two that lead to each other
+        more = F.coalesce(_say(',{"from":"', title, '","to":"File:p', also, '.png"}'), F.lit(""))
+        body = _say('{"query":{"normalized":[{"from":"file:p', m, '.png","to":"', title, '"}', more, '],"pages":{"', n, '":{', info, '"imagerepository":"', _pick(("local", "shared"), n), '","title":"', title, '"}}}}')
         stamp = F.date_sub(F.lit("2024-04-01").cast("date"), (n % 120).cast("int")).cast("timestamp")
         return self["part"].select(title.alias("title"), stamp.alias("timestamp"), body.alias("body"))
 
+    def t_pages_with_images(self) -> DataFrame:
+        """Pages that name images as their authors wrote them."""
+        i = F.col("doc_id")
+        image = F.when(i % 3 == 0, _say("file:p", i % 500, ".png")).when(i % 3 == 1, _say("File:p", i % 500, ".png"))
+        return self["documents"].select(_say("Key:k", i).alias("title"), image.alias("image"))
+
     # ---- projects
     def t_fetch_log(self) -> DataFrame:
         """Two fetches of each supplier's project file."""
         k = F.col("s_suppkey")
         head = _say('{"data_format":1,"data_updated":"', F.when(k % 6 == 5, "yesterday").otherwise("20240101T000000Z"), '","project":{"name":"P', k, '","description":"d","project_url":"http')
         good = _say(
-            head, F.when(k % 2 == 0, "s").otherwise(""), "://x.example/", k, '","contact_name":"c","contact_email":"e"', F.when(k % 7 == 6, ',"colour":"red"').otherwise(""), "},",
-            F.when(k % 9 == 8, '"more":1,').otherwise(""), '"tags":[{"key":"brand","value":"Brand#', k % 5, '","object_types":["node","way"]},{"key":"k', k, '"},{"key":"bad","object_types":["house"]},',
+            head, F.when(k % 2 == 0, "s").otherwise(""), "://x.example/", k, '","contact_name":"c","contact_email":"e"', F.when(k % 4 == 1, _say(',"doc_url":"https://doc.example/', k, '"')).otherwise(""), F.when(k % 3 == 1, _say(',"icon_url":"http://icon.example/', k, '"')).otherwise(""), F.when(k % 7 == 6, ',"colour":"red"').otherwise(""), "},",
+            F.when(k % 9 == 8, '"more":1,').otherwise(""), '"tags":[{"key":"brand","value":"Brand#', k % 5, '"', F.when(k % 2 == 0, _say(',"description":"about ', k, '"')).otherwise(""), F.when(k % 3 == 0, ',"doc_url":"https://doc.example/b","icon_url":"https://icon.example/b"').otherwise(""),
+            ',"object_types":', F.when(k % 2 == 0, '["node","way"]').otherwise('["area"]'), '},{"key":"k', k, '"},{"key":"bad","object_types":["house"]},',
             '{"key":"n","value":5},{"value":"nokey"},{"key":"e","object_types":[]},{"key":7}]}',
         )
         text = (
@@ -173,27 +183,49 @@ class Raw(Tables):
         line = _say(F.lpad(F.hex(F.ascii("c")), 4, "0"), ";NAME OF ", F.col("c"), ";", F.when(F.col("c") == " ", "Zs").otherwise("Lu"), ";0;L")
         return readers.read_unicode_data(self.spark, self._text_file(chars.select(line.alias("value"))), self["unicode_codepoint_script_mapping"])
 
-    def t_editor_lists(self) -> DataFrame:
-        """Deprecated tags as an editor lists them: old tags and their replacements."""
+    def editor_lists(self) -> tuple[DataFrame, DataFrame]:
+        """Deprecated tags (old tags and their replacements) and discarded keys as an editor lists them."""
         k, path = F.col("n_nationkey"), catalog.scratch(self.spark)
         old = F.create_map(_say("old", k % 7), F.when(k % 3 == 0, "*").otherwise(F.lower("n_name")))
         entry = F.to_json(F.struct(old.alias("old"), F.create_map(F.lit("new"), F.lower("n_name")).alias("replace")))
         listed = self["nation"].agg(F.concat(F.lit("["), F.array_join(F.collect_list(entry), ","), F.lit("]")).alias("value"))  # nations are few
         listed.write.text(path)
-        keys = self._text_file(self["region"].select(_say('{"', F.lower("r_name"), '":true}').alias("value")).repartition(1, "value"))
-        return readers.read_editor_lists(self.spark, path, keys, "id")[0]
+        entry = F.concat(F.lit('"'), F.lower("r_name"), F.lit('":true'))
+        keys = self["region"].agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("value"))  # regions are few
+        return readers.read_editor_lists(self.spark, path, self._text_file(keys), "id")
+
+    def t_editor_lists(self) -> DataFrame:
+        return self.editor_lists()[0]
+
+    def t_discarded_keys(self) -> DataFrame:
+        return self.editor_lists()[1]
 
     # ---- Wikidata
-    def _items(self, prop: Column) -> DataFrame:
+    def _bindings(self, **fields: Column) -> DataFrame:
+        """Query results in JSON, some bindings in each file, read by the reader of bindings."""
         k = F.col("s_suppkey")
         item = _say(F.when(k % 7 == 0, "http://elsewhere.example/").otherwise("http://www.wikidata.org/entity/"), _pick(("Q", "P"), k), k)
-        return self["supplier"].select(item.alias("item"), prop.alias("prop"), _say("about ", F.col("s_name")).alias("description"))
+        named = {"item": item} | fields
+        binding = F.struct(*[F.struct(F.lit("literal").alias("type"), c.alias("value")).alias(n) for n, c in named.items()])
+        rows = self["supplier"].groupBy(F.floor(k / 100).alias("part")).agg(F.to_json(F.collect_list(binding)).alias("b"))  # a hundred each
+        path = self._text_file(rows.select(_say('{"head":{"vars":["item"]},\n"results":{"bindings":', F.col("b"), "}}").alias("value")))
+        return readers.read_wikidata_bindings(self.spark, path)
 
-    def wikidata(self) -> dict[str, DataFrame]:
+    def t_key_bindings(self) -> DataFrame:
+        k = F.col("s_suppkey")
+        return self._bindings(prop=_say("key", k % 20), itemLabel=_say("about ", F.col("s_name")))
+
+    def t_tag_bindings(self) -> DataFrame:
         k = F.col("s_suppkey")
-        keys = self._items(_say("key", k % 20))
-        tags = self._items(F.when(k % 11 == 0, _say("key", k % 20)).when(k % 13 == 0, _say("a=b=", k)).otherwise(_say("key", k % 20, "=val", k)))
-        labels = self._items(F.lit(None).cast("string")).select("item", F.concat(F.lit("label of "), "description").alias("label"), F.lit("en").alias("lang"))
+        tag = F.when(k % 11 == 0, _say("key", k % 20)).when(k % 13 == 0, _say("a=b=", k)).otherwise(_say("key", k % 20, "=val", k))
+        return self._bindings(prop=tag, itemLabel=_say("about ", F.col("s_name")))
+
+    def t_label_bindings(self) -> DataFrame:
+        return self._bindings(label=_say("label of about ", F.col("s_name")), label_lang=_pick(("en", "de", "pt-br"), F.col("s_suppkey")))
+
+    def wikidata(self) -> dict[str, DataFrame]:
+        keys, tags = (self[n].select("item", "prop", "description") for n in ("key_bindings", "tag_bindings"))
+        labels = self["label_bindings"].select("item", "label", "lang")
         made = registries.wikidata_tables(keys, tags, labels)
         return dict(zip(("wikidata_keys", "wikidata_tags", "wikidata_labels", "wikidata_errors"), made))
 
