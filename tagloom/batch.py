@@ -16,11 +16,11 @@ ORDER = (
     "plain_tags", "plain_keys", "key_counts", "object_stats", "key_combinations", "key_pairs", "plain_relation_types", "relation_types", "relation_roles",
     "prevalent_values", "prevalent_roles", "similar_keys", "similar_keys_common_rare",
     "wikipages", "wikipages_keys", "wikipages_tags", "wiki_languages", "relation_pages", "wiki_images", "inconsistent_status_keys", "inconsistent_status_tags",
-    "project_tags", "project_unique_tags", "keys", "tags", "tag_combinations", "top_tags", "words", "word_grams", "search_postings",
+    "project_tags", "project_unique_tags", "keys", "tags", "tag_combinations", "tag_pairs", "top_tags", "words", "word_grams", "search_postings",
 )
 #: Tables that are read by one key, or joined by it.
 BUCKETS = {
-    "plain_tags": ("key",), "plain_keys": ("key",), "key_counts": ("key",), "key_pairs": ("key1",), "prevalent_values": ("key",), "wikipages": ("key",), "wikipages_keys": ("key",),
+    "plain_tags": ("key",), "plain_keys": ("key",), "key_counts": ("key",), "key_pairs": ("key1",), "tag_pairs": ("key1",), "prevalent_values": ("key",), "wikipages": ("key",), "wikipages_keys": ("key",),
     "keys": ("key",), "tags": ("key",), "relation_roles": ("rtype",), "prevalent_roles": ("rtype",), "project_tags": ("key",),
     "words": ("key", "value"), "word_grams": ("gram",), "search_postings": ("token",),
 }

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import batch
+from .functions.semantics import counters
 from .operators import chronology, counting, integration, wiki
 
 #: Thresholds of the integration jobs, for data of this size.
@@ -192,6 +193,20 @@ class Tables(Mapping):
     def t_tag_combinations(self) -> DataFrame:
         return counting.tag_combinations(self._objects(members=False), self.selection()["interesting_tags"], LIMITS["combinations"])
 
+    def t_tag_pairs(self) -> DataFrame:
+        return counting.both_ways(self["tag_combinations"])
+
+    def tag_pairs_of(self, key: str, value: str) -> DataFrame:
+        """Combinations with one tag as the first, prepared or from the objects that have it."""
+        if "tag_pairs" in self.prepared:
+            found = self["tag_pairs"]
+        elif "tag_combinations" in self.prepared:
+            found = counting.both_ways(self["tag_combinations"], key)
+        else:
+            having = self._objects(members=False).where(F.try_element_at("tags", F.lit(key)) == value)
+            found = counting.both_ways(counting.tag_combinations(having, self.selection()["interesting_tags"], LIMITS["combinations"]), key)
+        return found.where((F.col("key1") == key) & (F.col("value1") == value))
+
     def t_plain_relation_types(self) -> DataFrame:
         return counting.relation_types(self["objects"])
 
@@ -222,6 +237,11 @@ class Tables(Mapping):
     def t_stats(self) -> DataFrame:
         return integration.master_stats(batch.statistics(self))
 
+    def t_described_counts(self) -> DataFrame:
+        """The counters of documented keys and tags alone."""
+        named = wiki.table_counters()
+        return counters(self["wikipages_keys"], named["wikipages_keys"]).unionByName(counters(self["wikipages_tags"], named["wikipages_tags"]))
+
     def t_wiki_languages(self) -> DataFrame:
         return wiki.wiki_languages(self["wikipages"])
 

@@ -102,12 +102,14 @@ def key_combinations(objects: DataFrame) -> DataFrame:
 
 
 def both_ways(combinations: DataFrame, key: str | None = None) -> DataFrame:
-    """Combinations with each of their keys (or only with the given one) as ``key1``, so that those of a key stand together."""
-    one, two = F.col("key1"), F.col("key2")
-    rows = combinations if key is None else combinations.where((one == key) | (two == key))
-    both = F.inline(F.array(F.struct(one, two), F.struct(two.alias("key1"), one.alias("key2"))))
-    turned = rows.select(both, *[c for c in combinations.columns if c not in ("key1", "key2")])
-    return turned if key is None else turned.where(one == key)
+    """Combinations of keys or tags with each of the two as the first one (or only those that begin with the given key), so
+    that those of a key stand together."""
+    names = [c for c in ("key", "value") if f"{c}1" in combinations.columns]
+    side = lambda a, b: F.struct(*[F.col(f"{c}{x}").alias(f"{c}{n}") for n, x in ((1, a), (2, b)) for c in names])
+    rows = combinations if key is None else combinations.where((F.col("key1") == key) | (F.col("key2") == key))
+    kept = [c for c in combinations.columns if c.rstrip("12") not in names]
+    turned = rows.select(F.inline(F.array(side(1, 2), side(2, 1))), *kept)
+    return turned if key is None else turned.where(F.col("key1") == key)
 
 
 #: Selected items that are looked up inside the row; more are joined.

@@ -12,7 +12,7 @@ from .keys import Tables, direction, narrow
 
 def wiki_languages(t: Tables, sort=None, order="asc", page=None, rp=None) -> DataFrame:
     """Languages with their pages and which part of the documented keys and tags they describe (not rounded)."""
-    total = narrow(t, "wiki_stats", "stats").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in ("wiki_keys_described", "wiki_tags_described")])
+    total = narrow(t, "described_counts", "stats").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in ("wiki_keys_described", "wiki_tags_described")])
     rows = t["languages"].crossJoin(F.broadcast(total)).select(
         "code", "native_name", "english_name", direction(F.col("code")).alias("dir"), "wiki_key_pages", "wiki_tag_pages",
         fraction("wiki_key_pages", "wiki_keys_described", None).alias("wiki_key_pages_fraction"),

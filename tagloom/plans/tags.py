@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import COUNTS, check_type, fraction, matching, required, sorted_page
+from ..operators.counting import both_ways
 from .keys import Tables, _descriptions, by_type, direction, narrow, on_type, pages_with_images, type_stats, with_fractions
 
 
@@ -21,13 +22,9 @@ def tag_combinations(t: Tables, key: str, value: str, query=None, T="all", sort=
     partner by the key's."""
     n = f"count_{check_type(T)}"
     own = t["tags"].where(_is(key, value)).agg(F.max(n).alias("this_count"))
-    pairs = t["tag_combinations"]
-
-    def side(a: int, b: int) -> DataFrame:
-        rows = pairs.where((F.col(f"key{a}") == key) & (F.col(f"value{a}") == value))
-        return rows.select(F.col(f"key{b}").alias("other_key"), F.col(f"value{b}").alias("other_value"), F.col(n).alias("together_count"))
-
-    rows = matching(side(1, 2).unionAll(side(2, 1)), query, "other_key", "other_value").where("together_count > 0")
+    pairs = t.tag_pairs_of(key, value) if hasattr(t, "tag_pairs_of") else both_ways(t["tag_combinations"], key).where(F.col("value1") == value)
+    rows = pairs.select(F.col("key2").alias("other_key"), F.col("value2").alias("other_value"), F.col(n).alias("together_count"))
+    rows = matching(rows, query, "other_key", "other_value").where("together_count > 0")
     tags = t["tags"].select(F.col("key").alias("other_key"), F.col("value").alias("other_value"), F.col(n).alias("tag_count"))
     keys = t["keys"].select(F.col("key").alias("other_key"), F.col(n).alias("key_count"))
     found = rows.join(tags, ["other_key", "other_value"], "left").join(keys, "other_key", "left").crossJoin(F.broadcast(own))

@@ -81,7 +81,7 @@ def test_daily_batch(spark, duck, tmp_path):
     for name in ("q1_key_combinations", "q4_key_stats", "q5_key_values", "q6_prevalent_values", "q10_key_overview", "q16_tag_combinations", "q25_relation_roles", "m2_master_stats", "m5_keys", "q31_search_key_and_value", "q31_search_phrase", "q32_search_keyword", "q34_search_value"):
         assert compare(registered.QUERIES[name](t), duck, registered_sql.ORACLE_SQL[name])
     spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else a plan tells buckets only where they are joined
-    for name, read in (("q1_key_combinations", 2), ("q4_key_stats", 1), ("q5_key_values", 3), ("q6_prevalent_values", 3), ("q34_search_value", 1)):
+    for name, read in (("q1_key_combinations", 2), ("q4_key_stats", 1), ("q5_key_values", 3), ("q6_prevalent_values", 3), ("q34_search_value", 1), ("q16_tag_combinations", 2)):
         plan = registered.QUERIES[name](t)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("SelectedBucketsCount: 1 out of 4") >= read and "orders.parquet" not in plan
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
