@@ -32,6 +32,8 @@ from .common import chunk_pieces, chunks, hand_back
 BATCH = 1024
 #: Chunks of text whose counts a worker remembers.
 REMEMBERED = 400_000
+#: Nodes of the trie that a worker keeps before it begins a new one.
+NODES = 1_000_000
 
 
 class Unigram:
@@ -103,11 +105,12 @@ class Trie:
         return out[::-1]
 
 
-def count_tokens(model: Unigram, pretokens: Iterable[bytes]) -> dict[bytes, int]:
-    """Tokens in the best split of each distinct pre-token."""
-    trie = Trie(model)
+def count_tokens(model: Unigram, pretokens: Iterable[bytes], trie: Trie | None = None) -> dict[bytes, int]:
+    """Tokens in the best split of each distinct pre-token; a trie that is handed over keeps its nodes for later calls."""
+    trie = trie or Trie(model)
     for word in set(pretokens):
-        trie.insert(word)
+        if word not in trie.tokens:
+            trie.insert(word)
     return trie.tokens
 
 
@@ -161,14 +164,29 @@ def train(docs: DataFrame, path: str, pattern: str, text_col: str = "text", batc
     return {row["id"]: row["n"] for row in totals.collect()}  # at most one row for each token of the vocabulary
 
 
-_MODELS: dict[tuple, tuple[Unigram, dict[str, tuple[int, int]]]] = {}
+class _Kept:
+    """What a worker keeps from batch to batch and from task to task: the model, a trie of pre-tokens, and the numbers of
+    pre-tokens (from bit 32 on) and tokens of chunks."""
+
+    def __init__(self, model: Unigram):
+        self.model, self.trie, self.chunks = model, Trie(model), {}
+
+    def forget(self, wanted: set[str]) -> None:
+        """Makes room: chunks that are wanted now stay, the trie is begun anew."""
+        if len(self.chunks) > REMEMBERED:
+            self.chunks = {c: self.chunks[c] for c in wanted if c in self.chunks}
+        if len(self.trie.best) > NODES:
+            self.trie = Trie(self.model)
+
+
+_MODELS: dict[tuple, _Kept] = {}
 
 
-def _model(path: str, held, number: int | None) -> tuple[Unigram, dict[str, tuple[int, int]]]:
-    """A worker's model and what it remembers of chunks (pre-tokens and tokens); the model used last is kept."""
+def _model(path: str, held, number: int | None) -> _Kept:
+    """The model used last is kept."""
     if (path, number) not in _MODELS:
         _MODELS.clear()
-        _MODELS[path, number] = Unigram.load(path, held and held.value), {}
+        _MODELS[path, number] = _Kept(Unigram.load(path, held and held.value))
     return _MODELS[path, number]
 
 
@@ -187,22 +205,23 @@ def counts(
     number = held and held._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, (model, known) = _splitter(pattern), _model(path, held, number)
+        find, kept = _splitter(pattern), _model(path, held, number)
         for whole in batches:
             for start in range(0, whole.num_rows, batch):
                 part = whole.slice(start, batch)
                 split = [chunks(text, find) for text in part.column(1).to_pylist()]
                 wanted = set().union(*(rest for _, rest in split))
-                if len(known) + len(wanted) > REMEMBERED:
-                    known.clear()
+                kept.forget(wanted)
+                known = kept.chunks
                 new = {chunk: chunk_pieces(chunk, find) for chunk in wanted if chunk not in known}
-                pieces = set().union(*new.values(), *(first for first, _ in split))
-                found = {p.decode(): n for p, n in count_tokens(model, (p.encode() for p in pieces)).items()}
-                known.update((chunk, (len(of), sum(map(found.__getitem__, of)))) for chunk, of in new.items())
+                pieces = {p: p.encode() for p in set().union(*new.values(), *(first for first, _ in split))}
+                tokens = count_tokens(kept.model, pieces.values(), kept.trie)
+                found = {p: tokens[data] for p, data in pieces.items()}
+                known.update((chunk, (len(of) << 32) + sum(map(found.__getitem__, of))) for chunk, of in new.items())
                 rows = []
-                for first, rest in split:
-                    pairs = [known[chunk] for chunk in rest]
-                    rows.append((len(first) + sum(a for a, _ in pairs), sum(map(found.__getitem__, first)) + sum(b for _, b in pairs)))
+                for first, rest in split:  # both sums at once
+                    both = sum(map(known.__getitem__, rest), (len(first) << 32) + sum(map(found.__getitem__, first)))
+                    rows.append((both >> 32, both & 0xFFFFFFFF))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *[pa.array([row[k] for row in rows], pa.int64()) for k in (0, 1)]], names=[id_col, "n_pretokens", "n_tokens"]
                 )
