@@ -188,7 +188,8 @@ class Tables(Mapping):
         return counting.key_combinations(self._objects(members=False))
 
     def selection(self) -> dict[str, DataFrame]:
-        return counting.selection(self["plain_keys"], self["plain_tags"], self["plain_relation_types"], LIMITS["tags"], LIMITS["map"], LIMITS["relations"])
+        keys = self["plain_keys" if "plain_keys" in self.prepared else "key_counts"]  # users and grades select nothing
+        return counting.selection(keys, self["plain_tags"], self["plain_relation_types"], LIMITS["tags"], LIMITS["map"], LIMITS["relations"])
 
     def t_tag_combinations(self) -> DataFrame:
         return counting.tag_combinations(self._objects(members=False), self.selection()["interesting_tags"], LIMITS["combinations"])

@@ -7,6 +7,7 @@ ref, role). Objects with null tags have no tags.
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -119,25 +120,38 @@ SMALL = 5_000
 def tag_combinations(objects: DataFrame, interesting_tags: DataFrame, min_count: int = 1000, small: int = SMALL) -> DataFrame:
     """Objects that have both of two selected items, a tag or a key (value ''), of different keys and not both keys.
 
-    A selection of up to ``small`` items is a set in the plan, and each object picks its items from it without any exchange;
-    beyond that the tags are joined with the selection, and the items of an object are grouped again.
+    A selection of up to ``small`` items is a set in the plan: each object picks its items from it without any exchange, and
+    pairs are pairs of numbers until they are added up. Beyond that, or should two items get one number, the tags are joined
+    with the selection, and the items of an object are grouped again.
     """
     chosen = interesting_tags.select("key", "value").distinct()
-    listed = chosen.limit(small + 1).collect()  # bounded
-    entries = F.map_entries("tags")
-    both = F.concat(entries, F.transform(entries, lambda e: F.struct(e["key"], F.lit("").alias("value"))))
-    if len(listed) <= small:
-        name = lambda key, value: F.concat(F.length(key).cast("string"), F.lit(":"), key, value)  # noqa: E731  no two items alike
-        known = [f"{len(r.key)}:{r.key}{r.value}" for r in listed if r.key is not None and r.value is not None]
-        items = objects.select("otype", F.array_sort(F.array_distinct(F.filter(both, lambda e: name(e["key"], e["value"]).isin(known)))).alias("items"))
+    name = lambda key, value: F.concat(F.length(key).cast("string"), F.lit(":"), key, value)  # noqa: E731  no two items alike
+    number = lambda key, value: F.xxhash64(name(key, value))
+    listed = chosen.where("key is not null and value is not null").select("*", number(F.col("key"), F.col("value")).alias("id")).limit(small + 1).collect()  # bounded
+    if len(listed) <= small and len({r.id for r in listed}) == len(listed):
+        tags = F.filter(F.map_entries("tags"), lambda e: name(e["key"], e["value"]).isin([f"{len(r.key)}:{r.key}{r.value}" for r in listed if r.value]))
+        keys = F.filter(F.map_keys("tags"), lambda k: k.isin([r.key for r in listed if not r.value]))
+        numbers = F.concat(F.transform(keys, lambda k: number(k, F.lit(""))), F.transform(tags, lambda e: number(e["key"], e["value"])))
+        items = objects.select("otype", F.sort_array(numbers).alias("items"))
+        table = F.from_json(F.lit(json.dumps({"id": [r.id for r in listed], "item": [[r.key, r.value] for r in listed]})), "id array<long>, item array<array<string>>")
+
+        def item(c: str) -> Column:
+            found = F.element_at(table["item"], F.array_position(table["id"], F.col(c)).cast("int"))
+            return F.struct(found[0].alias("key"), found[1].alias("value"))
     else:
+        entries = F.map_entries("tags")
+        both = F.concat(entries, F.transform(entries, lambda e: F.struct(e["key"], F.lit("").alias("value"))))
         rows = objects.select(F.struct("otype", "oid").alias("o"), F.inline(both))
         grouped = rows.join(chosen, ["key", "value"]).groupBy("o").agg(F.array_sort(F.collect_set(F.struct("key", "value"))).alias("items"))
-        items = grouped.select("o.otype", "items")
-    wanted = F.filter(_pairs(F.col("items")), lambda p: (p["a"]["key"] != p["b"]["key"]) & ((p["a"]["value"] != "") | (p["b"]["value"] != "")))
-    pairs = items.where(F.size("items") > 1).select("otype", F.explode(wanted).alias("p"))
-    named = [F.col(f"p.{s}.{c}").alias(f"{c}{n}") for n, s in ((1, "a"), (2, "b")) for c in ("key", "value")]
-    return pairs.groupBy(*named).agg(*typed()).where(F.col("count_all") >= min_count)
+        items, item = grouped.select("o.otype", "items"), F.col
+    # the outer form, as a filter on the size of items would move below them and make them twice
+    first = items.select("otype", "items", F.posexplode_outer("items").alias("i", "a"))
+    later = F.slice("items", F.col("i") + 2, F.size("items") - F.col("i") - 1)
+    pairs = first.select("otype", "a", F.explode(later).alias("b")).groupBy("a", "b").agg(*typed())
+    often = lambda c: F.when(F.col("count_all") >= min_count, item(c)).alias(c)  # noqa: E731  looked up after the counts, and in few rows
+    named = pairs.select(often("a"), often("b"), *COUNTS).where("a.key <> b.key and (a.value <> '' or b.value <> '')")
+    sides = [(F.least("a", "b"), 1), (F.greatest("a", "b"), 2)]
+    return named.select(*[side[c].alias(f"{c}{n}") for side, n in sides for c in ("key", "value")], *COUNTS)
 
 
 def _relations(objects: DataFrame, interesting_rtypes: DataFrame | None) -> DataFrame:
