@@ -105,6 +105,14 @@ def test_tag_combinations_both_ways(spark, objects):
     assert rows(counting.tag_combinations(objects, items.limit(0), 1)) == []
 
 
+def test_tag_combinations_of_odd_values(spark):
+    data = [("n", 1, {"a": "", "b": None, "c:": "1"}), ("n", 2, {"a": "", "c:": "1"}), ("w", 3, {"b": "é", "a": "x"}), ("w", 4, {}), ("r", 5, None)]
+    objects = spark.createDataFrame(data, "otype string, oid long, tags map<string,string>")
+    items = spark.createDataFrame([("a", ""), ("b", ""), ("b", "é"), ("b", None), (None, "x"), ("c:", "1"), ("c", ":1")], "key string, value string")
+    within, joined = (rows(counting.tag_combinations(objects, items, 1, small)) for small in (5000, 2))
+    assert within == joined == [("a", "", "b", "é", 1, 0, 1, 0), ("a", "", "c:", "1", 2, 2, 0, 0), ("b", "", "c:", "1", 1, 1, 0, 0)]
+
+
 def test_classes_and_grades(spark):
     data = [
         ("highway", 5, "plain", "u"), ("a", 5, "plain", "b"), ("ab", 200, "plain", "g"), ("addr:street", 101, "colon", "g"),
