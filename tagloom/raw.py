@@ -105,7 +105,7 @@ class Raw(Tables):
         return readers.read_links(self.spark, path)
 
     def t_image_cache(self) -> DataFrame:
-        """Cached answers about images, two for some titles."""
+        """Cached answers about images, several for most titles and, beyond 3,000 parts, of one time."""
         n = F.col("p_partkey")
         title = _say("File:p", n % 500, ".png")
         info = F.when(n % 9 != 0, _say('"imageinfo":[{"width":', n % 90 + 10, ',"height":', n % 70 + 5, ',"size":', n * 1000, ',"mime":"image/png","url":"http://i.example/', n % 500, '.png","thumburl":"https://i.example/t/', n % 500, F.when(n % 12 == 5, "/x.png").otherwise("/200px-x.png"), '"}],')).otherwise(F.lit(""))
@@ -114,7 +114,7 @@ class Raw(Tables):
         more = F.coalesce(_say(',{"from":"', title, '","to":"File:p', also, '.png"}'), F.lit(""))
         body = _say('{"query":{"normalized":[{"from":"file:p', m, '.png","to":"', title, '"}', more, '],"pages":{"', n, '":{', info, '"imagerepository":"', _pick(("local", "shared"), n), '","title":"', title, '"}}}}')
         stamp = F.date_sub(F.lit("2024-04-01").cast("date"), (n % 120).cast("int")).cast("timestamp")
-        return self["part"].select(title.alias("title"), stamp.alias("timestamp"), body.alias("body"))
+        return self["part"].select(title.alias("title"), stamp.alias("timestamp"), body.alias("body"), n.alias("entry"))
 
     def t_pages_with_images(self) -> DataFrame:
         """Pages that name images as their authors wrote them."""

@@ -371,3 +371,15 @@ def test_sinks(spark, tmp_path):
     c = catalog.Catalog(spark, str(tmp_path / "t"), ["stats"])
     c.register()
     assert spark.sql("select count(*) from stats").first()[0] == 1
+
+
+def test_images_of_one_time(spark):
+    """Of several answers of one time the first in the cache counts, by number and not by text."""
+    body = lambda n: json.dumps({"query": {"pages": {str(n): {"title": "File:a", "imageinfo": [{"width": n}]}}}})
+    day = datetime(2020, 1, 1)
+    cache = spark.createDataFrame([("File:a", day, body(n), n) for n in (18006, 6, 3006)] + [("File:a", datetime(2019, 1, 1), body(1), 1)], "title string, timestamp timestamp, body string, entry long")
+    kept = wiki.expire_cache(cache, F.lit("2020-01-20").cast("timestamp"))
+    assert [(r.entry, r.body) for r in kept.collect()] == [(6, body(6))]
+    assert [r.width for r in wiki.image_info(kept).collect()] == [6]
+    assert [r.width for r in wiki.image_info(cache.where("entry > 1")).collect()] == [6]
+    assert len(wiki.image_info(cache.drop("entry").where(F.col("timestamp") == day)).collect()) == 1

@@ -137,3 +137,19 @@ def test_sums(spark):
     assert by_tag.join(t["plain_keys"], "key").where("n <> count_all").count() == 0
     rows = registered.QUERIES["q6_prevalent_values"](t).collect()
     assert sum(r["count"] for r in rows) == t["plain_keys"].where("key = 'priority'").first().count_all
+
+
+@pytest.mark.parametrize("name", ["a15_image_info", "d20_image_info", "d21_expire_cache"])
+def test_answers_of_one_time(spark, name):
+    """With over 3,000 parts several answers about an image have one time, which the SQL leaves open (DuckDB's choice follows
+    its sort, which is not stable); the jobs take the first in the cache, as this SQL does once it says so."""
+    import duckdb
+
+    folder = DATA.replace("0.001", "0.1")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{folder}/part.parquet')")
+    for table in ("documents", "supplier", "nation", "region", "customer", "orders"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
+    want = con.execute(raw_sql.ORACLE_SQL[name].replace("ORDER BY timestamp)", "ORDER BY timestamp, n)").replace("ORDER BY timestamp DESC)", "ORDER BY timestamp DESC, n)")).fetchall()
+    got = [tuple(r) for r in registered_raw.QUERIES[name](Raw(spark, folder)).collect()]
+    assert want and sorted(map(repr, got)) == sorted(map(repr, want))
