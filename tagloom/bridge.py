@@ -229,6 +229,15 @@ class Tables(Mapping):
     def t_tag_grid(self) -> DataFrame:
         return counting.geo_grid(self._objects(members=False), ("key", "value"), only=self.selection()["frequent_tags"])
 
+    def tag_grid_of(self, key: str, value: str) -> DataFrame:
+        """Cells of one tag, prepared or from the objects that have it, if it is a frequent one."""
+        if "tag_grid" in self.prepared:
+            return self["tag_grid"].where((F.col("key") == key) & (F.col("value") == value))
+        tags = self.selection()["frequent_tags"].where((F.col("key") == key) & (F.col("value") == value))
+        objects = self._objects(members=False)
+        having = objects.where(F.try_element_at("tags", F.lit(key)) == value)
+        return counting.geo_grid(having, ("key", "value"), only=tags, cells=counting.node_cells(objects))  # a way is in the cells of any nodes
+
     def t_similar_keys(self) -> DataFrame:
         return counting.with_counts(counting.similar_keys(self["plain_keys"]), self["plain_keys"])
 

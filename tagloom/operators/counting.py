@@ -10,7 +10,7 @@ import functools
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.semantics import COUNTS, counters, fold, fraction, typed
@@ -117,6 +117,31 @@ def both_ways(combinations: DataFrame, key: str | None = None) -> DataFrame:
 SMALL = 5_000
 
 
+def _name(key: Column, value: Column) -> Column:
+    """A text for an item; no two items have the same."""
+    return F.concat(F.length(key).cast("string"), F.lit(":"), key, value)
+
+
+def _number(key: Column, value: Column) -> Column:
+    return F.xxhash64(_name(key, value))
+
+
+def _listed(chosen: DataFrame, small: int) -> tuple[list[Row], Callable[[str], Column]] | None:
+    """Selected items for the plan: (key, value, id) of each, and what gives an item from a column of ids. None if there are
+    more than ``small``, or if two of them get one number."""
+    rows = chosen.where("key is not null and value is not null").select("key", "value", _number(F.col("key"), F.col("value")).alias("id"))
+    listed = rows.limit(small + 1).collect()  # bounded
+    if len(listed) > small or len({r.id for r in listed}) < len(listed):
+        return None
+    table = F.from_json(F.lit(json.dumps({"id": [r.id for r in listed], "item": [[r.key, r.value] for r in listed]})), "id array<long>, item array<array<string>>")
+
+    def item(c: str) -> Column:
+        found = F.element_at(table["item"], F.array_position(table["id"], F.col(c)).cast("int"))
+        return F.struct(found[0].alias("key"), found[1].alias("value"))
+
+    return listed, item
+
+
 def tag_combinations(objects: DataFrame, interesting_tags: DataFrame, min_count: int = 1000, small: int = SMALL) -> DataFrame:
     """Objects that have both of two selected items, a tag or a key (value ''), of different keys and not both keys.
 
@@ -125,19 +150,12 @@ def tag_combinations(objects: DataFrame, interesting_tags: DataFrame, min_count:
     with the selection, and the items of an object are grouped again.
     """
     chosen = interesting_tags.select("key", "value").distinct()
-    name = lambda key, value: F.concat(F.length(key).cast("string"), F.lit(":"), key, value)  # noqa: E731  no two items alike
-    number = lambda key, value: F.xxhash64(name(key, value))
-    listed = chosen.where("key is not null and value is not null").select("*", number(F.col("key"), F.col("value")).alias("id")).limit(small + 1).collect()  # bounded
-    if len(listed) <= small and len({r.id for r in listed}) == len(listed):
-        tags = F.filter(F.map_entries("tags"), lambda e: name(e["key"], e["value"]).isin([f"{len(r.key)}:{r.key}{r.value}" for r in listed if r.value]))
+    if found := _listed(chosen, small):
+        listed, item = found
+        tags = F.filter(F.map_entries("tags"), lambda e: _name(e["key"], e["value"]).isin([f"{len(r.key)}:{r.key}{r.value}" for r in listed if r.value]))
         keys = F.filter(F.map_keys("tags"), lambda k: k.isin([r.key for r in listed if not r.value]))
-        numbers = F.concat(F.transform(keys, lambda k: number(k, F.lit(""))), F.transform(tags, lambda e: number(e["key"], e["value"])))
+        numbers = F.concat(F.transform(keys, lambda k: _number(k, F.lit(""))), F.transform(tags, lambda e: _number(e["key"], e["value"])))
         items = objects.select("otype", F.sort_array(numbers).alias("items"))
-        table = F.from_json(F.lit(json.dumps({"id": [r.id for r in listed], "item": [[r.key, r.value] for r in listed]})), "id array<long>, item array<array<string>>")
-
-        def item(c: str) -> Column:
-            found = F.element_at(table["item"], F.array_position(table["id"], F.col(c)).cast("int"))
-            return F.struct(found[0].alias("key"), found[1].alias("value"))
     else:
         entries = F.map_entries("tags")
         both = F.concat(entries, F.transform(entries, lambda e: F.struct(e["key"], F.lit("").alias("value"))))
@@ -235,20 +253,46 @@ def geo_grid(
     only: DataFrame | None = None,
     cells: DataFrame | None = None,
     points: DataFrame | None = None,
+    small: int = SMALL,
 ) -> DataFrame:
     """(key[, value], object_type, x, y, count): objects in each occupied cell; a way is in the cells of its nodes, points
     outside are in none. Nodes are reduced to their cell before they meet the ways; ``cells`` (of that box) and ``points``
-    may be stored tables."""
+    may be stored tables.
+
+    The items of an object stay together until it has its cells. Of up to ``small`` selected items each is a number until
+    the counts are there, as is a cell, so that the counts of a task are pairs of numbers.
+    """
+    entries = F.map_entries("tags")
+    parts = lambda e: (e["key"], e["value"] if "value" in by else F.lit(""))
+    found = None
+    if only is not None:
+        chosen = only.select(*by).distinct()
+        found = _listed(chosen if "value" in by else chosen.withColumn("value", F.lit("")), small)
+    if found:
+        listed, item = found
+        picked = F.filter(entries, lambda e: _name(*parts(e)).isin([f"{len(r.key)}:{r.key}{r.value}" for r in listed]))
+        rows = objects.withColumn("items", F.transform(picked, lambda e: _number(*parts(e))))
+    else:
+        item = F.col
+        rows = objects.withColumn("items", F.transform(entries, lambda e: F.struct(*[e[c].alias(c) for c in by])))
+        if only is not None:
+            each = rows.withColumn("item", F.explode("items")).withColumns({c: F.col("item")[c] for c in by})
+            rows = each.join(chosen, list(by), "left_semi").drop(*by).withColumn("items", F.array("item"))
 
-    def chosen(rows: DataFrame) -> DataFrame:
-        return rows if only is None else rows.join(only.select(*by).distinct(), list(by), "left_semi")
+    def counted(placed: DataFrame, kind: int) -> DataFrame:
+        cell = (F.col("x").cast("long") * height + F.col("y")) * 2 + kind
+        # the outer form, as a filter on the size of items would move below them and make them twice
+        return placed.select(cell.alias("cell"), F.explode_outer("items").alias("item")).where("item is not null")
 
-    tag = F.explode("tags").alias("key", "value")
     located = node_cells(objects, box, width, height) if cells is None else cells
     met = way_cells(located, way_points(objects) if points is None else points)
-    of_nodes = chosen(node_cells(objects, box, width, height, tag).select(F.lit("n").alias("object_type"), "key", "value", "x", "y"))
-    of_ways = chosen(objects.where("otype = 'w'").select(F.col("oid").alias("way"), tag)).join(met, "way").select(F.lit("w").alias("object_type"), "key", "value", "x", "y")
-    return of_nodes.unionByName(of_ways).groupBy(*by, "object_type", "x", "y").agg(F.count("*").alias("count"))
+    of_nodes = counted(node_cells(rows, box, width, height, F.col("items")), 0)
+    of_ways = counted(rows.where("otype = 'w'").select(F.col("oid").alias("way"), "items").join(met, "way"), 1)
+    grid = of_nodes.unionByName(of_ways).groupBy("item", "cell").agg(F.count("*").alias("count")).withColumn("item", item("item"))
+    kind = F.when(F.col("cell") % 2 == 0, "n").otherwise("w").alias("object_type")
+    place = F.expr("cell div 2")
+    x, y = (F.floor(place / height).cast("int").alias("x"), (place % height).cast("int").alias("y"))
+    return grid.select(*[F.col("item")[c].alias(c) for c in by], kind, x, y, "count")
 
 
 def grid_cells(grid: DataFrame) -> DataFrame:

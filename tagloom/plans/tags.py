@@ -34,8 +34,12 @@ def tag_combinations(t: Tables, key: str, value: str, query=None, T="all", sort=
     return sorted_page(found, spec, sort, order, page, rp)
 
 
+def _grid(t: Tables, key: str, value: str) -> DataFrame:
+    return t.tag_grid_of(key, value) if hasattr(t, "tag_grid_of") else t["tag_grid"].where(_is(key, value))
+
+
 def tag_distribution(t: Tables, key: str, value: str, kind: str = "nodes") -> DataFrame:
-    return t["tag_grid"].where(_is(key, value) & (F.col("object_type") == kind[0])).select("x", "y", "count")
+    return _grid(t, key, value).where(F.col("object_type") == kind[0]).select("x", "y", "count")
 
 
 def tag_stats(t: Tables, key: str, value: str) -> DataFrame:
@@ -67,7 +71,7 @@ def tag_overview(t: Tables, key: str, value: str) -> DataFrame:
     """One nested row of everything about a tag."""
     counts = tag_stats(t, key, value).agg(F.collect_list(F.struct("type", "count", "count_fraction")).alias("counts"))
     projects = t["project_unique_tags"].where(_is(key, value)).agg(F.coalesce(F.max("projects"), F.lit(0)).alias("projects"))
-    grid = t["tag_grid"].where(_is(key, value)).limit(1).agg((F.count("*") > 0).alias("has_map"))
+    grid = _grid(t, key, value).limit(1).agg((F.count("*") > 0).alias("has_map"))
     pages = t["wikipages"].where(_is(key, value))
     listed = pages.agg(F.array_sort(F.collect_list(F.struct("lang", "title", "status"))).alias("wiki_pages"))
     one = functools.reduce(DataFrame.crossJoin, [counts, projects, grid, listed, _descriptions(pages)])

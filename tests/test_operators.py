@@ -383,3 +383,23 @@ def test_images_of_one_time(spark):
     assert [r.width for r in wiki.image_info(kept).collect()] == [6]
     assert [r.width for r in wiki.image_info(cache.where("entry > 1")).collect()] == [6]
     assert len(wiki.image_info(cache.drop("entry").where(F.col("timestamp") == day)).collect()) == 1
+
+
+def test_grid_of_selected_tags(spark):
+    """Few selected items are numbers until they are counted, more are joined; both give the same cells."""
+    where = [(-180.0, 90.0), (179.99, -89.99), (180.0, -90.0), (0.0, 0.0), (0.0, 0.0), (None, 0.0)]
+    data = [("n", i, lon, lat, {"a": "x", "b": None if i == 3 else "y", "": "", "1:a": "x"}, None) for i, (lon, lat) in enumerate(where)]
+    data += [("w", 50, None, None, {"a": "x", "c": "z"}, [0, 3, 3, 4]), ("w", 51, None, None, None, [0]), ("w", 52, None, None, {"b": "y"}, [5, 99])]
+    objects = spark.createDataFrame(data, "otype string, oid long, lon double, lat double, tags map<string,string>, nds array<long>")
+    only = spark.createDataFrame([("a", "x"), ("b", "y"), ("", ""), (None, "x"), ("b", None), ("none", "z"), ("a", "x")], "key string, value string")
+    want = [("", "", "n", 0, 0, 1), ("", "", "n", 180, 90, 2), ("", "", "n", 359, 179, 2), ("a", "x", "n", 0, 0, 1), ("a", "x", "n", 180, 90, 2), ("a", "x", "n", 359, 179, 2)]
+    want += [("b", "y", "n", 0, 0, 1), ("b", "y", "n", 180, 90, 1), ("b", "y", "n", 359, 179, 2), ("a", "x", "w", 0, 0, 1), ("a", "x", "w", 180, 90, 1)]
+    want = sorted(want, key=repr)
+    found = counting.geo_grid(objects, ("key", "value"), only=only)
+    assert rows(found) == want == rows(counting.geo_grid(objects, ("key", "value"), only=only, small=1))
+    assert [c for c, t in found.dtypes if t == "int"] == ["x", "y"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan and "keys=[item#" in plan  # not texts
+    every = counting.geo_grid(objects, ("key", "value"))
+    assert rows(every.join(only, ["key", "value"], "left_semi")) == want
+    assert rows(counting.geo_grid(objects, only=only)) == rows(counting.geo_grid(objects).where("key in ('a', 'b', '')"))
