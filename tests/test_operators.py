@@ -417,3 +417,14 @@ def test_parsed_pages_go_out_in_parts(spark):
     pages = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "title string, body string").coalesce(1)
     got = [(r.title, r.parsed, [t.params for t in r.templates]) for r in wiki.extract_templates(pages).collect()]
     assert got == want
+
+
+def test_projects_are_checked_once(spark):
+    """A condition on the document does not make the checks a second time; odd entries of the tags are left out."""
+    head = {"data_format": 1, "project": {"name": "N", "description": "D", "project_url": "https://x", "contact_name": "c", "contact_email": "e"}}
+    tags = {"none": [], "null": [None, 5, "x", {}], "one": [{"key": "a"}, {"key": None}]}
+    data = [(i, "200", json.dumps(head | {"tags": t})) for i, t in tags.items()] + [("bad", "200", "{"), ("empty", "200", None)]
+    found = projects.project_tags(projects.validate_projects(spark.createDataFrame(data, "id string, fetch_status string, fetch_json string")))
+    assert rows(found.select("project_id", "key", "value", "on_node")) == [("one", "a", None, True)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("top level is not an object") == 1 and plan.count("parseJson(fetch_json") == 1
