@@ -48,7 +48,8 @@ class Raw(Tables):
             .when(odd == 4, _say("Tag:k", i, "=v/w"))
             .otherwise(_say("Bad code:Key:k", i))
         )
-        words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]+", ""))
+        cleaned = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]+", ""))
+        words = F.col("words")  # of a step of its own, as a body has them in several places
         if_ = lambda hit, *parts: F.when(hit, _say(*parts)).otherwise("")
         image = F.when(i % 3 == 0, _say("|image=File:i", i % 40, ".png")).when(i % 3 == 1, F.lit("|image=no image")).otherwise(F.lit(""))
         rendering = F.when(i % 7 == 2, _say("|osmcarto-rendering=Image:r", i % 5, ".svg")).when(i % 7 == 3, F.lit("|osmcarto-rendering=none")).otherwise(F.lit(""))
@@ -63,7 +64,7 @@ class Raw(Tables):
         )
         moved = F.when(i % 34 == 0, _say("#REDIRECT [[Tag:target=x", i, "]]")).otherwise(F.lit("#REDIRECT to nothing"))
         body = F.when(i % 17 == 0, moved).when(i % 13 == 0, words).when(i % 19 == 0, _say("x }} ", words)).otherwise(page)
-        return self["documents"].select("doc_id", title.alias("title"), F.when(i % 17 == 0, "redirect").otherwise("page").alias("type"), body.alias("body"))
+        return self["documents"].select("doc_id", "lang", cleaned.alias("words")).select("doc_id", title.alias("title"), F.when(i % 17 == 0, "redirect").otherwise("page").alias("type"), body.alias("body"))
 
     def t_page_list(self) -> DataFrame:
         """The list of pages, read from a tab-separated file that has other pages too."""

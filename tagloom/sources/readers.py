@@ -47,8 +47,8 @@ def current_wiki_bodies(pages: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def listed_bodies(bodies: DataFrame, pages: DataFrame) -> DataFrame:
-    """Cached bodies of pages that are still listed."""
-    return bodies.join(pages.select("title").distinct(), "title", "left_semi")
+    """Cached bodies of pages that are still listed. Titles are looked up, as sorting would move the bodies once more."""
+    return bodies.join(pages.select("title").distinct().hint("shuffle_hash"), "title", "left_semi")
 
 
 def load_projects(fetch_log: DataFrame) -> DataFrame:

@@ -428,3 +428,11 @@ def test_projects_are_checked_once(spark):
     assert rows(found.select("project_id", "key", "value", "on_node")) == [("one", "a", None, True)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("top level is not an object") == 1 and plan.count("parseJson(fetch_json") == 1
+
+
+def test_listed_bodies_are_not_sorted(spark):
+    bodies = spark.createDataFrame([("a", "1", "x"), ("a", "2", None), ("b", "1", "y"), (None, "1", "z")], "title string, timestamp string, body string")
+    pages = spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "title string")
+    found = readers.listed_bodies(bodies, pages)
+    assert rows(found) == [("a", "1", "x"), ("a", "2", None)]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and "ShuffledHashJoin" in found._jdf.queryExecution().executedPlan().toString()
