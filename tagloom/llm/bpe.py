@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -221,6 +222,15 @@ class Encoder:
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        collects = gc.isenabled()
+        gc.disable()  # nothing here refers back to itself, and looking for that takes time
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
         find = self.find
         split = [chunks(text, find) for text in texts]
         known = {chunk: chunk_pieces(chunk, find) for chunk in set().union(*(rest for _, rest in split))}

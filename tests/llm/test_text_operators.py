@@ -720,3 +720,17 @@ def test_token_counts(spark):
         got = collected(token_counts.counts(table(spark, ODD), path, pattern, batch=3, trained=given))
         assert sorted((r["n_pretokens"], r["n_tokens"]) for r in got) == sorted((len(one), sum(-slow(p, model.score)[1] for p in one)) for one in pieces)
     assert token_counts.counts(table(spark, []), path, pattern, trained=token_counts.train(table(spark, []), path, pattern)).count() == 0
+
+
+def test_encoding_leaves_the_collector_as_it_was():
+    import gc
+
+    import public_tokenizers
+
+    from tagloom.llm import bpe
+
+    encoder, seen = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), []
+    find = encoder.find
+    encoder.find = lambda text: seen.append(gc.isenabled()) or find(text)
+    assert len(encoder.encode(["some words", None])) == 2
+    assert seen and not any(seen) and gc.isenabled()
